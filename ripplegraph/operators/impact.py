@@ -47,9 +47,11 @@ def changed_entities(changes: DataFrame, names: DataFrame) -> DataFrame:
     """
     text = changes.select("change_id", F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))).alias("text"))
     distinct = names.select("name").distinct().withColumn("gram", F.substring("name", 1, 3))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1))), lambda i: F.col("text").substr(i, F.lit(3))))
-    long = text.select("change_id", "text", F.explode(grams).alias("gram")).join(distinct.where(F.length("name") >= 3), "gram").where(F.col("text").contains(F.col("name")))
-    one = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.col("text").substr(i, n)))))
+    # every place offers its three characters (one linear pass); texts come back only for names whose start occurs
+    grams = F.array_distinct(F.regexp_extract_all("text", F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+    maybe = text.select("change_id", F.explode(grams).alias("gram")).join(distinct.where(F.length("name") >= 3), "gram").select("change_id", "name")
+    long = maybe.join(text, "change_id").where(F.col("text").contains(F.col("name")))
+    one = F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit("(?s)(.)"), F.lit(1)), F.regexp_extract_all("text", F.lit("(?s)(?=(.{2}))"), F.lit(1))))
     short = text.select("change_id", F.explode(one).alias("name")).join(distinct.where(F.length("name") < 3), "name")
     found = long.select("change_id", "name").unionByName(short.select("change_id", "name")).distinct()
     return found.join(names, "name").select("change_id", "entity_id").distinct()

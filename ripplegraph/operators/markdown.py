@@ -203,12 +203,13 @@ def plain_mentions(chunk_rows: DataFrame, sources: DataFrame, aliases: DataFrame
     """In documents without a named artifact, the first alias of each business field found in a chunk, for new pairs.
 
     sources: document_id, source_id of the document's artifact; existing: source_id, target_id.
-    Aliases meet chunks by their first character trigram, so neither side need be small.
+    Aliases meet chunks by their first two characters, so neither side need be small; texts come back only for those.
     """
     c = chunk_rows.join(named_documents.select("document_id").distinct(), "document_id", "left_anti").join(sources.select("document_id", "source_id"), "document_id")
     fields = aliases.where("canonical_type = 'BusinessField' and alias <> ''").withColumn("gram", F.substring("alias", 1, 2))
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.array(F.col("text").substr(i, F.lit(2)), F.col("text").substr(i, F.lit(1))))))
-    hit = c.select("document_id", "source_id", "chunk_id", "section_id", "line_start", "text", F.explode(grams).alias("gram")).join(fields, "gram").where(F.col("text").contains(F.col("alias")))
+    grams = F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit("(?s)(.)"), F.lit(1)), F.regexp_extract_all("text", F.lit("(?s)(?=(.{2}))"), F.lit(1))))
+    maybe = c.select("chunk_id", F.explode(grams).alias("gram")).join(fields, "gram").drop("gram")
+    hit = maybe.join(c, "chunk_id").where(F.col("text").contains(F.col("alias")))
     first = hit.groupBy("document_id", "source_id", "item_id").agg(F.min_by(F.struct("alias", "chunk_id", "section_id", "line_start"), F.struct("seq", "line_start")).alias("m"))
     out = first.select("document_id", "source_id", F.col("item_id").alias("target_id"), "m.*", F.lit("MENTIONS").alias("relation_type"), F.lit("alias").alias("match_type"), F.lit("plain_mention").alias("evidence_type"))
     return out.join(existing.select("source_id", "target_id").distinct(), ["source_id", "target_id"], "left_anti")
