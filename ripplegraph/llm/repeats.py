@@ -15,10 +15,11 @@ ordered among those of the same column only. The fragments come from Spark's sor
 are read in order, a bounded batch of whole grams at a time; order and prefixes are rewritten each round.
 
 All repeats of a fragment contain its anchor, so the bytes they cover are one interval, given by the
-first and the last column that has one. Texts that occur whole more than once are one row until then.
+first and the last column that has one. Equal fragments are collapsed before they are dealt out, first
+in each batch, then for each gram: all their strings are repeats, and one of them stands for them.
 
-A gram with more than `hot` fragments is not gathered in one task: the hashes (128 bits) of its
-fragments' strings are counted over all tasks instead, which gives the same intervals.
+A gram with more than `hot` different fragments is not gathered in one task: the hashes (128 bits) of
+its fragments' strings are counted over all tasks instead, which gives the same intervals.
 
 Defined cases: null text counts as empty and keeps its row. Repeated rows (and repeated ids) are rows
 of their own, so each makes the other's long strings repeats. Texts shorter than `length` keep all.
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -133,8 +134,8 @@ def _matrix(raw: np.ndarray, offsets: np.ndarray, lo: np.ndarray, length: int) -
     return out
 
 
-FRAGMENT = "gram long, doc_id long, content string, lo int, pos long, fragment binary"
-COVERED = "doc_id long, content string, start long, end long"
+FRAGMENT = "gram long, doc_id long, content long, lo int, pos long, fragment binary"
+COVERED = "doc_id long, content long, start long, end long"
 
 
 def _fragments(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
@@ -162,7 +163,7 @@ def _fragments(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
 
     def _batch(rows: list, pieces: list) -> pa.RecordBatch:
         gram, ids, contents, lo, pos = zip(*rows, strict=True)
-        arrays = [pa.array(gram, pa.int64()), pa.array(ids, pa.int64()), pa.array(contents), pa.array(lo, pa.int32()), pa.array(pos, pa.int64()), pa.array(pieces, pa.binary())]
+        arrays = [pa.array(gram, pa.int64()), pa.array(ids, pa.int64()), pa.array(contents, pa.int64()), pa.array(lo, pa.int32()), pa.array(pos, pa.int64()), pa.array(pieces, pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, names=["gram", "doc_id", "content", "lo", "pos", "fragment"])
 
     return joined.select("doc_id", "text", "content", "spots").mapInArrow(cut_out, FRAGMENT)
@@ -217,51 +218,83 @@ def _by_counts(fragments: DataFrame, length: int) -> DataFrame:
                         out[2].append(content)
                         out[3].append(pos - lo + c)
                 if len(out[0]) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2]), pa.array(out[3], pa.int64())], names=["h", "doc_id", "content", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], names=["h", "doc_id", "content", "start"])
                     out = [[], [], [], []]
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2]), pa.array(out[3], pa.int64())], names=["h", "doc_id", "content", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], names=["h", "doc_id", "content", "start"])
 
-    every = fragments.mapInArrow(strings, "h binary, doc_id long, content string, start long").distinct()
+    every = fragments.mapInArrow(strings, "h binary, doc_id long, content long, start long").distinct()
     again = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     hits = every.join(again, "h")
     return hits.select("doc_id", "content", "start", (F.col("start") + length).alias("end"))
 
 
-def covered(source: DataFrame, length: int = LENGTH, hot: int = 4096) -> DataFrame:
-    """(doc_id, content, intervals): byte intervals of repeats, from (doc_id, text, content), content being the text's digest."""
+def covered(source: DataFrame, length: int = LENGTH, hot: int = 50_000) -> DataFrame:
+    """(doc_id, content, intervals): byte intervals of repeats, from (doc_id, text, content), content being the text's hash."""
     common.prepare(source.sparkSession)
 
+    left = length - GRAM
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = common.bytes_of(common.column(b, "text"))
-            at, h = anchors(raw, offsets, length)
+            at, gram = anchors(raw, offsets, length)
             row = np.searchsorted(offsets, at, side="right") - 1
-            counts = np.bincount(row, minlength=len(b))
+            begin, end = np.maximum(offsets[row], at - left), np.minimum(offsets[row + 1], at + length)
+            frag = common.mix(common.span_hashes(raw, begin, end) + (at - begin).astype(np.uint64))
+            order = np.lexsort((frag, gram))
+            new = np.ones(len(order), bool)
+            new[1:] = (gram[order][1:] != gram[order][:-1]) | (frag[order][1:] != frag[order][:-1])
+            group = np.cumsum(new) - 1
+            size = np.bincount(group) if len(order) else np.empty(0, np.int64)
+            lead, copies = order[new], size
+            # members of groups of a batch are settled; of other groups, and of one row of each, more is asked
+            settled = np.zeros(len(at), bool)
+            settled[order] = size[group] > 1 if len(order) else False
+            keep = np.zeros(len(at), np.int64)
+            keep[lead] = copies
+            some = np.flatnonzero(keep)
+            ids, contents = (common.column(b, c).to_numpy() for c in ("doc_id", "content"))
             yield pa.RecordBatch.from_arrays(
-                [common.column(b, "doc_id"), common.column(b, "content"), common.column(b, "size"), common.ragged(h.view(np.int64), counts, pa.int64()), common.ragged((at - offsets[row]).astype(np.int32), counts, pa.int32())],
-                names=["doc_id", "content", "size", "grams", "at"],
+                [pa.array(ids[row[some]]), pa.array(contents[row[some]]), pa.array(gram[some].view(np.int64)), pa.array(frag[some].view(np.int64)), pa.array(keep[some]), pa.array(at[some] - offsets[row[some]]), pa.array(end[some] - offsets[row[some]]), pa.array(begin[some] - offsets[row[some]])],
+                names=names,
             )
+            rest = np.flatnonzero(settled & (keep == 0))
+            if len(rest):
+                # their intervals, run together, under names of their own
+                r = row[rest]
+                first = np.ones(len(rest), bool)
+                first[1:] = (r[1:] != r[:-1]) | (begin[rest][1:] > end[rest][:-1])
+                a = np.flatnonzero(first)
+                z = np.append(a[1:], len(rest)) - 1
+                o, own = offsets[r[a]], common.mix(ids[r[a]].astype(np.uint64) * np.uint64(31) + at[rest][a].astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[r[a]]), pa.array(contents[r[a]]), pa.array(own), pa.array(own), pa.array(np.full(len(a), 2)), pa.array(begin[rest][a] - o), pa.array(end[rest][z] - o), pa.array(begin[rest][a] - o)],
+                    names=names,
+                )
 
-    sized = source.withColumn("size", F.octet_length("text"))
-    scanned = common.cut(sized.mapInArrow(scan, "doc_id long, content string, size int, grams array<long>, at array<int>"))
-    texts = scanned.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    spots = scanned.join(texts, ["doc_id", "content"]).dropDuplicates(["doc_id", "content"]).select("doc_id", "content", F.explode(F.arrays_zip("grams", "at")).alias("s")).select("doc_id", "content", F.col("s.grams").alias("gram"), F.col("s.at").alias("pos"))
-    spots = common.cut(spots)
-    frequent = spots.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    again = spots.join(frequent, "gram").groupBy("doc_id", "content").agg(F.sort_array(F.collect_list(F.struct("pos", "gram", (F.col("n") > hot).alias("hot")))).alias("spots"))
-    few = again.withColumn("spots", F.filter("spots", lambda s: ~s["hot"])).where(F.size("spots") > 0)
-    many = again.withColumn("spots", F.filter("spots", lambda s: s["hot"])).where(F.size("spots") > 0)
-    whole = scanned.where(F.col("size") >= length).join(texts.where("copies > 1").select("content"), "content")
-    whole = whole.select("doc_id", "content", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end")).distinct()
-    found = _by_columns(_fragments(source, few, length), length).unionByName(_by_counts(_fragments(source, many, length), length)).unionByName(whole)
+    names = ["doc_id", "content", "gram", "frag", "n", "pos", "end", "start"]
+    spots = source.mapInArrow(scan, "doc_id long, content long, gram long, frag long, n long, pos long, end long, start long")
+    same = Window.partitionBy("gram", "frag")
+    counted = (
+        spots.repartition("gram")
+        .withColumn("nth", F.row_number().over(same.orderBy("doc_id", "content", "pos")))
+        .withColumn("copies", F.sum("n").over(same))
+        .withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(Window.partitionBy("gram")))
+    )
+    known = common.cut(counted.where("copies > 1 or kinds > 1").select("doc_id", "content", "gram", "pos", "start", "end", "copies", "nth", "kinds"))
+    asked = known.where("kinds > 1 and nth = 1")
+    places = lambda rows: rows.groupBy("doc_id", "content").agg(F.sort_array(F.collect_list(F.struct("pos", "gram"))).alias("spots"))
+    found = _by_columns(_fragments(source, places(asked.where(F.col("kinds") <= hot)), length), length).unionByName(known.where("copies > 1").select("doc_id", "content", "start", "end"))
+    if asked.where(F.col("kinds") > hot).limit(1).count():
+        found = found.unionByName(_by_counts(_fragments(source, places(asked.where(F.col("kinds") > hot)), length), length))
     return found.groupBy("doc_id", "content").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("intervals"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = 50_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) of every row."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = docs.select(key.alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("content", F.md5("text"))
+    rows = docs.select(key.alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("content", F.xxhash64("text"))
     joined = rows.join(covered(rows, length, hot), ["doc_id", "content"], "left").select("doc_id", "text", "intervals")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
