@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.workers import importable
+
 
 def embedding_plan(chunks: DataFrame, embeddings: DataFrame, provider: str, model: str) -> DataFrame:
     """V1: chunks with content_hash and whether a finished vector of that content exists."""
@@ -24,6 +26,7 @@ def cosine_top_k(queries: DataFrame, chunks: DataFrame, k: int, block: int = 512
     Queries travel in blocks of `block`; every block meets every partition of chunks once, keeps a
     local top k by matrix product, and only those rows are shuffled.
     """
+    importable(chunks.sparkSession)
     n = queries.count()
     blocks = max(1, -(-n // block))
     q = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), "query_id", F.col("vector").cast("array<double>").alias("qv"))

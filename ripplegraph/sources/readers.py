@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import lines_of
+from ..functions.workers import importable
 from ..operators import markdown
 
 METHODS = ("get", "post", "put", "patch", "delete")
@@ -87,6 +88,7 @@ OPENAPI = "path string, endpoint string, method string, operation_id string, sch
 
 def openapi_fields(files: DataFrame) -> DataFrame:
     """S3: (path, text) to one row per operation field, with the line of the field; undecodable files give one row with the error."""
+    importable(files.sparkSession)
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -181,6 +183,7 @@ CELL_ROWS = "path string, sheet_index int, sheet_name string, cell string, row i
 
 def workbook_cells(files: DataFrame) -> DataFrame:
     """(path, content) of workbooks to one row per cell; one workbook is one row of work, bad files give an error row."""
+    importable(files.sparkSession)
     names = [c.split()[0] for c in CELL_ROWS.split(", ")]
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
