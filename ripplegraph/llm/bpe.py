@@ -215,6 +215,7 @@ def encode(docs: DataFrame, tokens: Tokens, text_col: str = "text", table_words:
     if table.count() > table_words:
         return _encode_by_shuffle(docs, table, tokens, text_col)
     spark = docs.sparkSession
+    common.prepare(spark, 500, 4 << 20)  # words, ids and pieces of a batch take many times its text
     docs = docs.drop("ids")
     shared = spark.sparkContext.broadcast((tokens, Packed(table.toArrow())))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
