@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ripplegraph.llm import bpe, common, decontaminate, ngram_join, pii, quality
 
-#: Documents are rejected under this score; lower than the query's threshold, so that clean ones stay.
-REJECT_BELOW = 0.3
+#: Documents are rejected under this score, as in the query of the classifier.
+REJECT_BELOW = 0.7
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

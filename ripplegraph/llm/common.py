@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.workers import importable
+
 #: Multiplier of the polynomial word hash and its inverse modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -26,14 +28,15 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 
 
-def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches (rows and bytes) and make sure that a checkpoint folder is set.
+def prepare(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound the Arrow batches (rows and bytes; they hold for what runs next) and make sure that a checkpoint folder is set.
 
     The cluster names the shared folder in spark.checkpoint.dir; only where that is unset (tests,
     local runs) a temporary folder is taken.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    importable(spark)
     sc = spark.sparkContext
     if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ripplegraph-"))
