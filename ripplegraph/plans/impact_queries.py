@@ -116,7 +116,7 @@ def unique_last(s: SparkSession, d: str) -> DataFrame:
 
 def merge_nodes(s: SparkSession, d: str) -> DataFrame:
     """Parts of one name become one node."""
-    e = t.flat(s, d, "entities").select(F.col("display_name").alias("name"), F.col("entity_id").alias("first_id"), F.array("canonical_name").alias("aliases"), F.array("document_id").alias("source_document_ids"), F.array("method").alias("extraction_methods"), F.regexp_extract("entity_id", r"(\d+)", 1).cast("long").alias("seq"))
+    e = t.flat(s, d, "shared_names").select(F.col("display_name").alias("name"), F.col("entity_id").alias("first_id"), F.array("canonical_name").alias("aliases"), F.array("document_id").alias("source_document_ids"), F.array("method").alias("extraction_methods"), F.regexp_extract("entity_id", r"(\d+)", 1).cast("long").alias("seq"))
     return maintain.merge_nodes(e, "name", ["first_id"]).select("name", "first_id", _joined("aliases"), _joined("source_document_ids"), _joined("extraction_methods"))
 
 
@@ -159,7 +159,7 @@ def set_status(s: SparkSession, d: str) -> DataFrame:
 
 def without_sources(s: SparkSession, d: str) -> DataFrame:
     """Nodes after two sources were taken away."""
-    e = t.flat(s, d, "entities").groupBy("display_name").agg(F.array_sort(F.collect_set("document_id")).alias("source_document_ids"))
+    e = t.flat(s, d, "shared_names").groupBy("display_name").agg(F.array_sort(F.collect_set("document_id")).alias("source_document_ids"))
     gone = t.flat(s, d, "entities").where("document_id in ('doc.1', 'doc.4')").select("document_id")
     return maintain.without_sources(e, gone).select("display_name", _joined("source_document_ids"))
 
@@ -281,14 +281,14 @@ ORACLE_SQL = {
     "report_counts": t.with_views("WITH " + _ALL + """ SELECT change_id, count(*) AS candidates, sum((review_priority = 'must_review')::INT) AS must_review, sum((review_priority = 'should_review')::INT) AS should_review, sum((review_priority = 'may_review')::INT) AS may_review, sum((review_priority = 'hidden')::INT) AS hidden FROM merged GROUP BY 1""", *_INPUT),
     "replace_by_document": t.with_views("SELECT document_id, status, count(*) AS n FROM relations_t WHERE document_id NOT IN ('doc.1', 'doc.2') OR status = 'confirmed' GROUP BY 1, 2", "relations"),
     "unique_last": t.with_views("SELECT * FROM ledger_t QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1", "ledger"),
-    "merge_nodes": t.with_views("SELECT display_name AS name, arg_min(entity_id, CAST(substring(entity_id, 8) AS BIGINT)) AS first_id, string_agg(DISTINCT canonical_name, ',' ORDER BY canonical_name) AS aliases, string_agg(DISTINCT document_id, ',' ORDER BY document_id) AS source_document_ids, string_agg(DISTINCT method, ',' ORDER BY method) AS extraction_methods FROM entities_t GROUP BY 1", "entities"),
+    "merge_nodes": t.with_views("SELECT display_name AS name, arg_min(entity_id, CAST(substring(entity_id, 8) AS BIGINT)) AS first_id, string_agg(DISTINCT canonical_name, ',' ORDER BY canonical_name) AS aliases, string_agg(DISTINCT document_id, ',' ORDER BY document_id) AS source_document_ids, string_agg(DISTINCT method, ',' ORDER BY method) AS extraction_methods FROM shared_names_t GROUP BY 1", "shared_names"),
     "merge_relations": t.with_views("SELECT relation_id, arg_min(file, evidence_id) AS first_file, CAST(count(DISTINCT evidence_id) AS INTEGER) AS n_evidence, string_agg(DISTINCT document_id, ',' ORDER BY document_id) AS source_document_ids FROM evidence_t GROUP BY 1", "evidence"),
     "carry_status": t.with_views("SELECT relation_id, CASE WHEN document_id = 'doc.3' THEN 'unconfirmed' ELSE status END AS status FROM (SELECT * FROM relations_t UNION ALL SELECT * FROM calls_t)", "relations", "calls"),
     "document_collisions": "SELECT source AS document_id, count(DISTINCT lang) AS paths FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1",
     "check_contract": t.with_views("SELECT CASE WHEN relation_type = 'ASSERTS' THEN 'relation_type is required; relation_type is unknown' ELSE '' END AS violations, count(*) AS n FROM relations_t GROUP BY 1", "relations"),
     "relation_diff": t.with_views("SELECT relation_id, 'added' AS change FROM relations_t WHERE status <> 'rejected' AND polarity <> 'explicit' UNION ALL SELECT relation_id, 'removed' FROM relations_t WHERE polarity = 'explicit' AND status = 'rejected'", "relations"),
     "set_status": t.with_views("SELECT CASE WHEN polarity = 'inferred' THEN 'rejected' ELSE status END AS status, polarity, count(*) AS n FROM relations_t GROUP BY 1, 2", "relations"),
-    "without_sources": t.with_views("SELECT display_name, string_agg(DISTINCT document_id, ',' ORDER BY document_id) AS source_document_ids FROM entities_t WHERE document_id NOT IN ('doc.1', 'doc.4') GROUP BY 1", "entities"),
+    "without_sources": t.with_views("SELECT display_name, string_agg(DISTINCT document_id, ',' ORDER BY document_id) AS source_document_ids FROM shared_names_t WHERE document_id NOT IN ('doc.1', 'doc.4') GROUP BY 1", "shared_names"),
     "document_changes": t.with_views(_STALE + " SELECT document_id, source_path, change_type FROM ch WHERE change_type IS NOT NULL", "documents_old", "documents_new"),
     "stale_relations": t.with_views(_STALE + """ SELECT 'stale.' || substring(sha1('relation|r' || substring(document_id, 2) || '|' || document_id || '|' || coalesce(current_hash, 'None')), 1, 16) AS stale_id, 'r' || substring(document_id, 2) AS target_id, document_id, 'Source ' || change_type || ': ' || source_path AS reason
         FROM ch WHERE change_type IN ('modified', 'removed')""", "documents_old", "documents_new"),

@@ -116,7 +116,7 @@ def concept_keys(s: SparkSession, d: str) -> DataFrame:
 
 def _distinct_names(s: SparkSession, d: str) -> DataFrame:
     """One entity per distinct part name."""
-    g = t.entities(s, d).groupBy("display_name").agg(F.min("canonical_name").alias("canonical_name"))
+    g = t.flat(s, d, "shared_names").groupBy("display_name").agg(F.min("canonical_name").alias("canonical_name"))
     return g.select(F.concat(F.lit("entity."), "canonical_name").alias("entity_id"), F.lit("BusinessField").alias("entity_type"), "display_name", "canonical_name", t.none().alias("aliases"), F.array(F.lit("rule")).alias("extraction_methods"))
 
 
@@ -421,7 +421,7 @@ ORACLE_SQL = {
     "name_index": t.with_views("""SELECT name, CAST(count(DISTINCT id) AS INTEGER) AS n_ids FROM (SELECT artifact_id AS id, artifact_id AS name FROM artifacts_t UNION ALL SELECT artifact_id, display_name FROM artifacts_t
         UNION ALL SELECT entity_id, entity_id FROM entities_t UNION ALL SELECT entity_id, display_name FROM entities_t UNION ALL SELECT entity_id, canonical_name FROM entities_t) GROUP BY 1""", "artifacts", "entities"),
     "alias_collisions": "SELECT p_name AS alias, CAST(count(DISTINCT p_partkey) AS INTEGER) AS n_items FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) > 1",
-    "concept_keys": t.with_views("""SELECT entity_id, CASE WHEN contains(lower(display_name), 'phone') OR contains(lower(display_name), 'tel') THEN 'phone_number' WHEN length(canonical_name) >= 4 THEN replace(canonical_name, '_', '') ELSE '' END AS concept,
+    "concept_keys": t.with_views("""SELECT entity_id, CASE WHEN contains(lower(display_name), 'phone') OR contains(lower(display_name), 'tel') THEN 'phone_number' WHEN length(canonical_name) >= 4 THEN array_to_string(list_filter(string_split(canonical_name, '_'), lambda w: length(w) >= 2), '') ELSE '' END AS concept,
         array_to_string(list_sort(list_distinct(list_filter(string_split(canonical_name, '_'), lambda w: length(w) >= 2))), ',') AS tokens FROM entities_t""", "entities"),
     "alias_trigram_pairs": """WITH e AS (SELECT DISTINCT 'entity.' || replace(p_name, ' ', '_') AS id, replace(p_name, ' ', '') || replace(p_name, ' ', '') AS t FROM part), g AS (SELECT id, substring(t, i, 3) AS gram, count(*) AS n FROM (SELECT id, t, unnest(range(1, length(t) - 1)) AS i FROM e) GROUP BY 1, 2),
         norm AS (SELECT id, sqrt(sum(n * n)) AS v FROM g GROUP BY 1)

@@ -15,7 +15,10 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'screen.' || CAST(c_custkey AS STRING), 'Screen', c_name, 'doc.' || CAST(c_custkey % 10 AS STRING) FROM {customer}
         UNION ALL SELECT 'table.' || CAST(n_nationkey AS STRING), 'Table', n_name, 'doc.' || CAST(n_nationkey % 10 AS STRING) FROM {nation}""",
     "entities": """
-        SELECT 'entity.' || CAST(p_partkey AS STRING) AS entity_id, 'BusinessField' AS entity_type, p_name AS display_name, replace(p_name, ' ', '_') AS canonical_name,
+        SELECT 'entity.' || CAST(p_partkey AS STRING) AS entity_id, 'BusinessField' AS entity_type, p_name || ' ' || CAST(p_partkey AS STRING) AS display_name, replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS STRING) AS canonical_name,
+            'doc.' || CAST(p_partkey % 10 AS STRING) AS document_id, CASE WHEN p_partkey % 11 = 0 THEN 'llm' ELSE 'rule' END AS method FROM {part}""",
+    "shared_names": """
+        SELECT 'entity.' || CAST(p_partkey AS STRING) AS entity_id, p_name AS display_name, replace(p_name, ' ', '_') AS canonical_name,
             'doc.' || CAST(p_partkey % 10 AS STRING) AS document_id, CASE WHEN p_partkey % 11 = 0 THEN 'llm' ELSE 'rule' END AS method FROM {part}""",
     "relations": """
         SELECT 'rel.' || CAST(l_suppkey AS STRING) || '.' || CAST(l_partkey AS STRING) AS relation_id,
@@ -33,11 +36,11 @@ SQL: dict[str, str] = {
     "evidence": """
         SELECT DISTINCT 'ev.' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING) || '.' || CAST(l_suppkey AS STRING) || '.' || CAST(l_partkey AS STRING) AS evidence_id,
             'rel.' || CAST(l_suppkey AS STRING) || '.' || CAST(l_partkey AS STRING) AS relation_id, 'doc.' || CAST(l_suppkey % 10 AS STRING) AS document_id,
-            'order-' || CAST(l_orderkey AS STRING) AS file, CAST(l_linenumber AS INT) AS line_start, CAST(l_linenumber AS INT) AS line_end, p_name || ' limit is ' || CAST(l_partkey % 50 AS STRING) AS quote
+            'order-' || CAST(l_orderkey AS STRING) AS file, CAST(l_linenumber AS INT) AS line_start, CAST(l_linenumber AS INT) AS line_end, p_name || ' ' || CAST(p_partkey AS STRING) || ' limit is ' || CAST(l_partkey % 50 AS STRING) AS quote
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "changes": """
-        SELECT 'chg.' || CAST(n_nationkey AS STRING) AS change_id, 'Change ' || n_name AS title, 'Set ' || p_name || ' limit from ' || CAST(p_partkey % 50 AS STRING) || ' to 99' AS body
-        FROM {nation} JOIN {part} ON p_partkey = n_nationkey * 7 + 3""",
+        SELECT 'chg.' || CAST(p_partkey AS STRING) AS change_id, 'Change ' || p_brand AS title, 'Set ' || p_name || ' ' || CAST(p_partkey AS STRING) || ' limit from ' || CAST(p_partkey % 50 AS STRING) || ' to 99' AS body
+        FROM {part} WHERE p_partkey % 80 = 3""",
     "documents_old": """SELECT 'd' || CAST(doc_id AS STRING) AS document_id, source || '/' || CAST(doc_id AS STRING) AS path, sha256(text) AS hash FROM {documents} WHERE doc_id % 5 <> 0""",
     "documents_new": """SELECT 'd' || CAST(doc_id AS STRING) AS document_id, source || '/' || CAST(doc_id AS STRING) AS path, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '.' ELSE text END) AS hash FROM {documents} WHERE doc_id % 7 <> 0""",
     "cells": """
