@@ -179,19 +179,17 @@ def word_table(docs: DataFrame, tokens: Tokens, text_col: str = "text", remember
 
 
 class Packed:
-    """The word table as sorted arrays."""
+    """The word table as sorted arrays, put together in each Python worker from the parts that tasks packed."""
 
-    def __init__(self, table: pa.Table):
-        h = table.column("h").to_numpy().view(np.uint64)
-        raw, offsets = common.bytes_of(table.column("ids"))
-        order = np.argsort(h)
-        sizes = np.diff(offsets)[order] // 4
-        flat = np.frombuffer(raw.tobytes(), "<u4")
-        self.h = h[order]
-        self.first = np.zeros(len(h) + 1, np.uint32)
-        np.cumsum(sizes, out=self.first[1:])
-        ids = flat[ragged_index(offsets[:-1][order] // 4, sizes)]
-        self.ids = ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
+    def __init__(self, parts: list[tuple[bytes, bytes, bytes]], wide: bool):
+        self.parts, self.wide = parts, wide
+
+    def __setstate__(self, state: dict):
+        hashes, sizes, ids = zip(*state["parts"], strict=True) if state["parts"] else ((), (), ())
+        self.h = np.frombuffer(b"".join(hashes), np.uint64)
+        self.first = np.zeros(len(self.h) + 1, np.uint32)
+        np.cumsum(np.frombuffer(b"".join(sizes), np.uint32), out=self.first[1:])
+        self.ids = np.frombuffer(b"".join(ids), "<u4" if state["wide"] else "<u2")
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after the other, number of ids per word)."""
@@ -203,6 +201,31 @@ class Packed:
         return self.ids[ragged_index(first, sizes)].astype(np.uint32), sizes
 
 
+def packed_parts(table: DataFrame, wide: bool) -> list[tuple[bytes, bytes, bytes]]:
+    """(hashes, sizes, ids) of 64 hash ranges of a word table of checked size; sorted and packed by tasks."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        h = t.column("h").to_numpy().view(np.uint64)
+        raw, offsets = common.bytes_of(t.column("ids"))
+        order = np.argsort(h)
+        h, sizes = h[order], (np.diff(offsets)[order] // 4).astype(np.int64)
+        ids = np.frombuffer(raw.tobytes(), "<u4")[ragged_index(offsets[:-1][order] // 4, sizes)].astype("<u4" if wide else "<u2")
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        part = (h >> np.uint64(58)).astype(np.int64)
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(h))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            rows = [int(part[a])], [h[a:b].tobytes()], [sizes[a:b].astype(np.uint32).tobytes()], [ids[ends[a] : ends[b]].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["part", "h", "sizes", "ids"])
+
+    dealt = table.repartition(F.shiftrightunsigned("h", 58))
+    found = dealt.mapInArrow(pack, "part int, h binary, sizes binary, ids binary").collect()
+    return [(bytes(r["h"]), bytes(r["sizes"]), bytes(r["ids"])) for r in sorted(found, key=lambda r: r["part"])]
+
+
 def ragged_index(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indexes of the elements of runs that begin at first[i] and have sizes[i] elements."""
     ends = np.cumsum(sizes)
@@ -217,7 +240,8 @@ def encode(docs: DataFrame, tokens: Tokens, text_col: str = "text", table_words:
     spark = docs.sparkSession
     common.prepare(spark, 500, 4 << 20)  # words, ids and pieces of a batch take many times its text
     docs = docs.drop("ids")
-    shared = spark.sparkContext.broadcast((tokens, Packed(table.toArrow())))
+    wide = len(tokens.pieces()) > 1 << 16
+    shared = spark.sparkContext.broadcast((tokens, Packed(packed_parts(table, wide), wide)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
