@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import any_of, column_letter, holds_any, short_hash, slug
+from ..functions.columns import column_letter, holds_any, short_hash, slug
 from .markdown import field_name, unresolved_mentions
 
 # Header signatures (every group needs a hit), then keywords, in this order.
