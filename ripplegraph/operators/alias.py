@@ -16,6 +16,7 @@ from ..functions.columns import any_of, short_hash
 # Words that make no meaningful overlap, concept rules, thresholds.
 STOP = ("id", "no", "name", "field", "item", "value", "code", "type")
 MIN_TRIGRAM, MIN_CONTEXT, NEAR_LINES = 0.72, 0.4, 3
+BY_EVIDENCE = "same_evidence_neighborhood"
 
 
 def tokens(value: Column) -> Column:
@@ -91,10 +92,11 @@ def _pairs(df: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
     return a.join(b, (F.col(f"l_{key}") == F.col(f"r_{key}")) & (F.col("l_id") < F.col("r_id")))
 
 
-def _similar_groups(items: DataFrame, score: str, least: float) -> DataFrame:
-    """(left, right, score) of the ids whose multisets of items (id, item, n) are similar.
+def similar_classes(items: DataFrame, score: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(id, grp) and (l_grp, r_grp, score): ids of equal multisets of items (id, item, n) form a class, and which classes are similar.
 
-    Ids of one content form a group; groups are compared by an inverted index and expanded last.
+    Classes are compared once by an inverted index; l_grp = r_grp stands for the pairs within a class. Both
+    tables together say what all pairs of ids would, without a row for each.
     """
     content = items.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("item", "n"))).alias("content"))
     content = content.withColumn("grp", F.sha2(F.to_json("content"), 256))
@@ -107,15 +109,28 @@ def _similar_groups(items: DataFrame, score: str, least: float) -> DataFrame:
     g = both.groupBy("l_grp", "r_grp").agg(F.sum(F.col("l_n") * F.col("r_n")).alias("dot"), F.count("*").alias("shared"), F.first("l_norm").alias("ln"), F.first("r_norm").alias("rn"), F.first("l_size").alias("ls"), F.first("r_size").alias("rs"))
     value = F.col("dot") / (F.col("ln") * F.col("rn")) if score == "cosine" else F.col("shared") / (F.col("ls") + F.col("rs") - F.col("shared"))
     close = g.withColumn("score", value).where(F.col("score") >= least - 1e-12)
-    ids = content.select("id", "grp")
+    return content.select("id", "grp"), close.select("l_grp", "r_grp", "score")
+
+
+def _similar_groups(items: DataFrame, score: str, least: float) -> DataFrame:
+    """(left, right, score) of the ids whose multisets of items (id, item, n) are similar: classes are expanded last."""
+    ids, close = similar_classes(items, score, least)
     out = close.join(ids.select(F.col("id").alias("x"), F.col("grp").alias("l_grp")), "l_grp").join(ids.select(F.col("id").alias("y"), F.col("grp").alias("r_grp")), "r_grp")
     return out.where("x <> y").select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"), "score").distinct()
 
 
+def _grams(entities: DataFrame) -> DataFrame:
+    return entities.select(F.col("entity_id").alias("id"), F.explode(trigrams(shape(entity_text()))).alias("item")).groupBy("id", "item").agg(F.count("*").cast("double").alias("n"))
+
+
 def trigram_pairs(entities: DataFrame) -> DataFrame:
     """A5: pairs by cosine of their character trigrams."""
-    grams = entities.select(F.col("entity_id").alias("id"), F.explode(trigrams(shape(entity_text()))).alias("item")).groupBy("id", "item").agg(F.count("*").cast("double").alias("n"))
-    return _similar_groups(grams, "cosine", MIN_TRIGRAM)
+    return _similar_groups(_grams(entities), "cosine", MIN_TRIGRAM)
+
+
+def trigram_classes(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A5 as classes of equal trigrams and their similar pairs."""
+    return similar_classes(_grams(entities), "cosine", MIN_TRIGRAM)
 
 
 def signatures(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -131,6 +146,11 @@ def context_pairs(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return _similar_groups(signatures(entities, relations).withColumn("n", F.lit(1.0)), "jaccard", MIN_CONTEXT)
 
 
+def context_classes(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A6 as classes of equal relation contexts and their similar pairs."""
+    return similar_classes(signatures(entities, relations).withColumn("n", F.lit(1.0)), "jaccard", MIN_CONTEXT)
+
+
 def evidence_of(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """(id, evidence_id) of the relations on either end of an entity."""
     ends = relations.select(F.explode(F.array("source_id", "target_id")).alias("id"), "evidence_ids").select("id", F.explode("evidence_ids").alias("evidence_id"))
@@ -153,8 +173,8 @@ def evidence_pairs(entities: DataFrame, relations: DataFrame, evidence: DataFram
     return shared.unionByName(both).distinct()
 
 
-def signals(entities: DataFrame, relations: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(left, right, signals) of every pair with at least one signal."""
+def signals(entities: DataFrame, relations: DataFrame, evidence: DataFrame | None) -> DataFrame:
+    """(left, right, signals) of every pair with at least one signal; without evidence, of the signals that names and contexts give."""
     e = entities.select(F.col("entity_id").alias("id"), concept_key(F.col("display_name"), F.col("canonical_name")).alias("concept"), F.array_distinct(tokens(entity_text())).alias("tokens"), shape(entity_text()).alias("shape"))
     named = lambda df, text: df.select(F.col("l_id").alias("left"), F.col("r_id").alias("right"), text.alias("signal"))
     by_concept = named(_pairs(e.where("concept <> ''"), "concept"), F.concat(F.lit("concept_key:"), "l_concept"))
@@ -166,13 +186,46 @@ def signals(entities: DataFrame, relations: DataFrame, evidence: DataFrame) -> D
     two = lambda c: F.format_string("%.2f", c)
     by_gram = trigram_pairs(entities).select("left", "right", F.concat(F.lit("embedding_similarity:"), two("score")).alias("signal"))
     by_context = context_pairs(entities, relations).select("left", "right", F.concat(F.lit("relation_similarity:"), two("score")).alias("signal"))
-    by_evidence = evidence_pairs(entities, relations, evidence).select("left", "right", F.lit("same_evidence_neighborhood").alias("signal")).distinct()
     every = by_concept
-    for part in (by_shape, by_token, by_gram, by_context, by_evidence):
+    for part in (by_shape, by_token, by_gram, by_context):
         every = every.unionByName(part)
+    if evidence is not None:
+        every = every.unionByName(evidence_pairs(entities, relations, evidence).select("left", "right", F.lit(BY_EVIDENCE).alias("signal")).distinct())
     return every.groupBy("left", "right").agg(F.array_sort(F.collect_set("signal")).alias("signals"))
 
 
+def content_classes(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(id, cls): entities of equal names, aliases and relation context, which have all signals but evidence in common; cls is a hash of them."""
+    context = signatures(entities, relations).groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("context"))
+    e = entities.select(F.col("entity_id").alias("id"), "display_name", "canonical_name", "aliases").join(context, "id", "left")
+    return e.select("id", F.sha2(F.to_json(F.struct("display_name", "canonical_name", "aliases", "context")), 256).alias("cls"))
+
+
+def class_signals(entities: DataFrame, relations: DataFrame, classes: DataFrame) -> DataFrame:
+    """(l_cls, r_cls, signals) that every pair of members of two classes has (of one class where l_cls = r_cls).
+
+    Two members stand for each class, so that pairs within it are seen too.
+    """
+    low = classes.groupBy("cls").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    some = low.select("cls", F.explode(F.array_distinct(F.array("a", "b"))).alias("id"))
+    pairs = signals(entities.join(some.select(F.col("id").alias("entity_id")), "entity_id", "left_semi"), relations, None)
+    of = lambda p, end: some.select(F.col("id").alias(end), F.col("cls").alias(p))
+    named = pairs.join(of("x", "left"), "left").join(of("y", "right"), "right")
+    return named.groupBy(F.least("x", "y").alias("l_cls"), F.greatest("x", "y").alias("r_cls")).agg(F.max("signals").alias("signals"))
+
+
+def evidence_signals(entities: DataFrame, relations: DataFrame, evidence: DataFrame, classes: DataFrame, by_class: DataFrame) -> DataFrame:
+    """(left, right, signals) of every pair that has evidence in common, with the signals of its classes.
+
+    With class_signals these are all pairs: members of two classes have the classes' signals unless they stand here.
+    """
+    near = evidence_pairs(entities, relations, evidence).select("left", "right").distinct()
+    of = lambda p, end: classes.select(F.col("id").alias(end), F.col("cls").alias(p))
+    named = near.join(of("x", "left"), "left").join(of("y", "right"), "right").select("left", "right", F.least("x", "y").alias("l_cls"), F.greatest("x", "y").alias("r_cls"))
+    own = F.array(F.lit(BY_EVIDENCE))
+    return named.join(by_class, ["l_cls", "r_cls"], "left").select("left", "right", F.array_sort(F.array_union(F.coalesce("signals", own), own)).alias("signals"))
+
+
 def candidates(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     """Candidate rows of the pairs: target first (non-ASCII, shorter, smaller id), alias list, hashed id."""
     cols = ("entity_id", "display_name", "canonical_name", "aliases")

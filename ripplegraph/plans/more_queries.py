@@ -150,6 +150,56 @@ def alias_candidates(s: SparkSession, d: str) -> DataFrame:
     return c.select("candidate_id", "target_id", "entity_b_id", F.size("signals").alias("n_signals"), _joined("aliases"))
 
 
+def _all_entities(s: SparkSession, d: str) -> DataFrame:
+    """One entity per part; parts of one name share it."""
+    return t.flat(s, d, "shared_names").select("entity_id", F.lit("BusinessField").alias("entity_type"), "display_name", "canonical_name", t.none().alias("aliases"), F.array("method").alias("extraction_methods"))
+
+
+def alias_trigram_members(s: SparkSession, d: str) -> DataFrame:
+    """A5: the class of equal trigrams of every part."""
+    return alias.trigram_classes(_all_entities(s, d))[0]
+
+
+def alias_trigram_classes(s: SparkSession, d: str) -> DataFrame:
+    """A5: pairs of those classes by trigram cosine; a class with itself stands for the pairs within."""
+    return alias.trigram_classes(_all_entities(s, d))[1].select("l_grp", "r_grp", F.round("score", 4).alias("score"))
+
+
+def alias_context_members(s: SparkSession, d: str) -> DataFrame:
+    """The class of equal relation contexts of every part that has relations."""
+    return alias.context_classes(t.entities(s, d), t.relations(s, d))[0]
+
+
+def alias_context_classes(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of those classes by Jaccard; a class with itself stands for the pairs within."""
+    return alias.context_classes(t.entities(s, d), t.relations(s, d))[1].select("l_grp", "r_grp", F.round("score", 4).alias("score"))
+
+
+def alias_part_evidence_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of parts with evidence within three lines of one file, with the number of evidence rows."""
+    x = alias.evidence_pairs(t.entities(s, d), t.relations(s, d), t.evidence(s, d))
+    return x.groupBy("left", "right").agg(F.count_distinct("evidence_id").alias("n"))
+
+
+def alias_class_members(s: SparkSession, d: str) -> DataFrame:
+    """The class of equal names and contexts of every part."""
+    return alias.content_classes(_all_entities(s, d), t.relations(s, d))
+
+
+def alias_class_signals(s: SparkSession, d: str) -> DataFrame:
+    """Signals that all pairs of members of two classes have."""
+    e, r = _all_entities(s, d), t.relations(s, d)
+    return alias.class_signals(e, r, alias.content_classes(e, r)).select("l_cls", "r_cls", F.array_join("signals", "|").alias("signals"))
+
+
+def alias_part_candidates(s: SparkSession, d: str) -> DataFrame:
+    """Alias candidates of all pairs of parts that have evidence in common; alias_class_signals has the others."""
+    e, r = _all_entities(s, d), t.relations(s, d)
+    c = alias.content_classes(e, r)
+    p = alias.evidence_signals(e, r, t.evidence(s, d), c, alias.class_signals(e, r, c))
+    return alias.candidates(e, p).select("candidate_id", "target_id", "entity_b_id", F.size("signals").alias("n_signals"), _joined("aliases"))
+
+
 def embedding_plan(s: SparkSession, d: str) -> DataFrame:
     """V1: chunks whose vectors are missing or out of date."""
     x = t.raw(s, d, "documents").select(_doc().alias("chunk_id"), "text")
@@ -377,7 +427,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_rows, sections, chunks, document_chunks, markdown_relations, markdown_dedupe, relation_lines_in_chunks, plain_mentions, unresolved, alias_suggestions, name_index, alias_collisions, concept_keys, alias_trigram_pairs, alias_context_pairs,
-        alias_evidence_pairs, alias_candidates, embedding_plan, cosine_top_k, redact_documents, redact_fields, sensitive_counts, audit_rows, answer_summary, case_metrics, release_gate, expected_sets, field_is_absent, sheet_types, region_bounds, region_members,
+        alias_evidence_pairs, alias_candidates, alias_trigram_members, alias_trigram_classes, alias_context_members, alias_context_classes, alias_part_evidence_pairs, alias_class_members, alias_class_signals, alias_part_candidates, embedding_plan, cosine_top_k, redact_documents, redact_fields, sensitive_counts, audit_rows, answer_summary, case_metrics, release_gate, expected_sets, field_is_absent, sheet_types, region_bounds, region_members,
         region_rendering, region_edges, grid_health, folder_health, ddl_columns, openapi_fields, alias_catalog, manifest_gap, collection_counts, graph_view, source_preview, decision_board, review_queue, run_history, document_context, ledger_mutations,
         ledger_status, source_changes, streamed_status,
     )
