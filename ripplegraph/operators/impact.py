@@ -226,6 +226,19 @@ def trace(changes: DataFrame, artifacts: DataFrame, impacts: DataFrame, rejected
     )
 
 
+def trace_counts(changes: DataFrame, artifacts: DataFrame, impacts: DataFrame, rejected: DataFrame) -> DataFrame:
+    """I11 per change: (change_id, included, review_priority, why, n) of all artifacts. Those that no relation reaches are counted by subtraction, so no change meets every artifact."""
+    known = artifacts.select("artifact_id")
+    in_ = impacts.select("change_id", "artifact_id", "review_priority", "reason").join(known, "artifact_id", "left_semi")
+    out = rejected.select("change_id", "artifact_id").distinct().join(known, "artifact_id", "left_semi").join(in_, ["change_id", "artifact_id"], "left_anti")
+    why = F.when(F.col("reason").startswith("Rejected"), "rejected").otherwise("other")
+    met = in_.select("change_id", F.lit(True).alias("included"), "review_priority", why.alias("why")).unionByName(out.select("change_id", F.lit(False).alias("included"), F.lit("hidden").alias("review_priority"), F.lit("rejected").alias("why")))
+    counts = met.groupBy("change_id", "included", "review_priority", "why").agg(F.count("*").alias("n"))
+    every = changes.select("change_id").distinct().crossJoin(F.broadcast(artifacts.agg(F.count("*").alias("_all"))))  # one row
+    rest = every.join(counts.groupBy("change_id").agg(F.sum("n").alias("_met")), "change_id", "left").withColumn("n", F.col("_all") - F.coalesce("_met", F.lit(0))).where("n > 0")
+    return counts.unionByName(rest.select("change_id", F.lit(False).alias("included"), F.lit("hidden").alias("review_priority"), F.lit("other").alias("why"), "n"))
+
+
 def explain(trace_rows: DataFrame, names: DataFrame, runs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Why (not) for wanted (name): names resolve by an index (name, ids); the latest run (run_id, change_id, seq) answers."""
     latest = runs.agg(F.max_by("change_id", "seq").alias("change_id"))

@@ -47,7 +47,7 @@ def impact_report(s: SparkSession, d: str) -> DataFrame:
 def impact_trace(s: SparkSession, d: str) -> DataFrame:
     """Whether and why each artifact is included, per change."""
     i, r = _impacts(s, d)
-    return impact.trace(t.changes(s, d), t.artifacts(s, d), i, r).groupBy("change_id", "included", "review_priority", F.when(F.col("reason").startswith("Rejected"), "rejected").otherwise("other").alias("why")).agg(F.count("*").alias("n"))
+    return impact.trace_counts(t.changes(s, d), t.artifacts(s, d), i, r)
 
 
 def report_counts(s: SparkSession, d: str) -> DataFrame:

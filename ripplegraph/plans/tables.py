@@ -51,6 +51,9 @@ SQL: dict[str, str] = {
     "expected": """SELECT 'case.' || CAST(doc_id % 8 AS STRING) AS case_id, 'd' || CAST(doc_id AS STRING) AS artifact_id, CASE WHEN quality = 1 THEN 'must_review' WHEN toxic = 1 THEN 'should_review' ELSE 'may_review' END AS level FROM {labels}""",
     "actual": """SELECT 'case.' || CAST(doc_id % 8 AS STRING) AS case_id, 'd' || CAST(doc_id AS STRING) AS artifact_id, CASE WHEN n_chars > 900 THEN 'must_review' WHEN n_chars > 400 THEN 'should_review' ELSE 'hidden' END AS review_priority, CAST(n_chars % 4 AS INT) AS n_evidence FROM {documents}""",
 }
+#: A change for every part, and one for every name that parts share.
+SQL["all_changes"] = SQL["changes"].replace(" WHERE p_partkey % 80 = 3", "")
+SQL["shared_changes"] = """SELECT DISTINCT 'chg.' || replace(p_name, ' ', '_') AS change_id, 'Change' AS title, 'Set ' || p_name || ' limit to 99' AS body FROM {part}"""
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
