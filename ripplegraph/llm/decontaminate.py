@@ -13,8 +13,10 @@ Lengths and edits count UTF-8 bytes; reported positions are code points.
 The index of the benchmark is sent to every task only in chunks of checked size (`chunk_chars`); a
 larger benchmark is scanned in several passes over the documents. No document is shuffled.
 
-Defined cases: null or empty texts match nothing; items shorter than `least` characters are ignored,
-as no bound would hold for them. An empty benchmark or no documents: no rows. Repeated documents are
+Defined cases: null or empty texts and items match nothing. Items shorter than a window match as a whole,
+those of 12 to 47 bytes with as many edits of their rate as leave a q-gram that must be shared (none under
+24 bytes, one under 36), those under 12 bytes exactly and between bytes that are no letters or digits;
+items shorter than `least` bytes are ignored. An empty benchmark or no documents: no rows. Repeated documents are
 reported each; repeated windows of an item are reported as one region per item and place.
 """
 
@@ -51,19 +53,32 @@ class Index:
     """Windows of benchmark items and the inverted list of their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]], window: int, rate: float, least: int):
-        self.items, self.windows = [], []
+        self.items, self.windows, self.at, self.tiny, self.window = [], [], [], [], window
+        whole = []
         for item, text in items:
             raw = FOLD[np.frombuffer((text or "").encode(), np.uint8)]
-            if len(raw) < least:
+            if len(raw) < max(1, least):
                 continue
+            if len(raw) < Q:
+                self.tiny.append((item, raw.tobytes()))
+                continue
+            if len(raw) > window:
+                whole.append((item, raw))
             starts = list(range(0, max(1, len(raw) - window + 1), window // 2))
             if len(raw) > window and starts[-1] + window < len(raw):
                 starts.append(len(raw) - window)
             for s in starts:
                 self.items.append(item)
                 self.windows.append(raw[s : s + window])
-        size = np.array([len(w) for w in self.windows], np.int64)
-        self.size, self.edits = size, (rate * size).astype(np.int64)
+                self.at.append(s)
+        self.n = len(self.windows)  # from here on: whole items, searched for a window anywhere
+        for item, raw in whole:
+            self.items.append(item)
+            self.windows.append(raw)
+        self.size = np.array([len(w) for w in self.windows], np.int64)
+        size = np.minimum(self.size, window)
+        self.edits = (rate * size).astype(np.int64)
+        self.edits = np.where(size < 4 * Q, np.minimum(self.edits, size // Q - 1), self.edits)
         self.bound = size + 1 - Q - self.edits * Q
         if (self.bound < 1).any():
             raise ValueError("the edit rate leaves no q-gram that must be shared")
@@ -95,7 +110,7 @@ class Index:
         entry = _runs(self.first[key], counts)
         window, diagonal = self.owner[entry], np.repeat(at, counts) - self.place[entry]
         step = self.edits[window] + 1
-        shift = 1 << 20  # diagonals start at minus a window's length
+        shift = 1 << 32  # diagonals start at minus an item's length
         band = (diagonal + shift) // step
         both_w, both_b = np.concatenate([window, window]), np.concatenate([band, band - 1])
         pair, n = np.unique(both_w * (1 << 40) + both_b, return_counts=True)
@@ -122,6 +137,67 @@ class Index:
         length = int(np.flatnonzero(back == back.min())[0])
         return a + j - length, a + j, int(d[j])
 
+    def anywhere(self, w: int, low: int, data: np.ndarray, start: int, end: int) -> tuple[int, int, int, int] | None:
+        """(start, end, edits) of a window at any offset of a whole item within a band of the document data[start:end], and its diagonal."""
+        k, size, item = int(self.edits[w]), self.window, self.windows[w]
+        mine, n = grams(item), len(item) - Q + 1
+        a, b = max(start, low), min(end, low + 2 * k + 1 + len(item))
+        theirs = grams(data[a:b])
+        hits = np.zeros(n + 1, np.int64)
+        for d in range(low, low + 2 * k + 2):
+            p, stop = max(0, a - d), min(n, a - d + len(theirs))
+            if p < stop:
+                hits[p + 1 : stop + 1] += theirs[p + d - a : stop + d - a] == mine[p:stop]
+        total = np.cumsum(hits)
+        count = total[size - Q + 1 :] - total[: n - (size - Q)]
+        offsets = np.flatnonzero(count >= self.bound[w])
+        offsets = offsets[np.argsort(-count[offsets], kind="stable")]
+        wide = size + 4 * k + 2
+        for at in (0, *range(8, len(offsets), 256)):
+            some = offsets[at : 8 if at == 0 else at + 256]
+            place = (low - k + some)[:, None] + np.arange(wide)
+            inside = (place >= start) & (place < end)
+            region = np.where(inside, data[np.clip(place, 0, len(data) - 1)], 256).astype(np.int16)
+            d = align_many(item[some[:, None] + np.arange(size)].astype(np.int16), region) if len(some) else np.full((1, 1), k + 1)
+            if d.min() <= k:
+                o = int(some[int(np.argmin(d.min(1)))])
+                x, y = max(start, low - k + o), min(end, low - k + o + wide)
+                window, text = item[o : o + size], data[x:y]
+                last = align(window, text)
+                j = int(np.argmin(last))
+                back = align(window[::-1], text[:j][::-1])
+                length = int(np.flatnonzero(back == back.min())[0])
+                return x + j - length, x + j, int(last[j]), x + j - length - o
+        return None
+
+    def exactly(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item, start, end) of the items that are too short for q-grams."""
+        raw = data.tobytes() if self.tiny else b""
+        for item, word in self.tiny:
+            at = raw.find(word)
+            while at >= 0:
+                row, end = int(np.searchsorted(offsets, at, side="right")) - 1, at + len(word)
+                first, last = int(offsets[row]), int(offsets[row + 1])
+                if end <= last and (at == first or not _WORD[raw[at - 1]]) and (end == last or not _WORD[raw[end]]):
+                    yield row, item, at, end
+                at = raw.find(word, at + 1)
+
+
+#: Bytes of letters and digits; those of other scripts count as letters.
+_WORD = np.array([i >= 128 or chr(i).isalnum() for i in range(256)])
+
+
+def align_many(windows: np.ndarray, regions: np.ndarray) -> np.ndarray:
+    """align() of each row."""
+    j = np.arange(regions.shape[1] + 1, dtype=np.int16)
+    d = np.zeros((len(regions), regions.shape[1] + 1), np.int16)
+    for i in range(windows.shape[1]):
+        e = d + 1
+        np.minimum(e[:, 1:], d[:, :-1] + (regions != windows[:, i : i + 1]), out=e[:, 1:])
+        e[:, 0] = i + 1
+        d = np.minimum.accumulate(e - j, axis=1) + j
+    return d
+
 
 def align(window: np.ndarray, region: np.ndarray) -> np.ndarray:
     """Edits of the window against the best part of the region that ends at each position."""
@@ -143,7 +219,7 @@ def _runs(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 120, rate: float = 0.06, least: int = 48, chunk_chars: int = 4_000_000
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 120, rate: float = 0.06, least: int = 1, chunk_chars: int = 4_000_000
 ) -> DataFrame:
     """(doc_id, item_id, start, end, edits): regions of documents that hold a window of a benchmark item."""
     common.prepare(docs.sparkSession)
@@ -161,13 +237,21 @@ def leaks(
             for batch in batches:
                 raw, offsets = common.bytes_of(common.column(batch, text_col))
                 data = FOLD[raw]
-                found: dict[tuple[int, int, int], tuple[int, int]] = {}
+                found: dict[tuple[int, int, int], tuple[int, int]] = {(row, item, a): (0, b) for row, item, a, b in index.exactly(data, offsets)}
+                known: dict[tuple[int, int], list[int]] = {}  # diagonals of what was found; whole items come last
                 for w, low in zip(*(x.tolist() for x in index.candidates(data, offsets)), strict=True):
                     for row in range(max(0, int(np.searchsorted(offsets, low, side="right")) - 1), len(batch)):
                         if offsets[row] > low + 3 * index.edits[w] + 2 + index.size[w]:
                             break
-                        hit = index.verify(w, low, data, int(offsets[row]), int(offsets[row + 1]))
+                        k, seen = int(index.edits[w]), known.setdefault((row, index.items[w]), [])
+                        if w < index.n:
+                            hit = index.verify(w, low, data, int(offsets[row]), int(offsets[row + 1]))
+                        elif any(low - k <= x <= low + 3 * k + 2 for x in seen):
+                            continue
+                        else:
+                            hit = index.anywhere(w, low, data, int(offsets[row]), int(offsets[row + 1]))
                         if hit:
+                            seen.append(hit[0] - index.at[w] if w < index.n else hit[3])
                             key = (row, index.items[w], hit[0])
                             found[key] = min(found.get(key, (1 << 30, 0)), (hit[2], hit[1]))
                 lead = (raw & 0xC0) != 0x80
