@@ -28,17 +28,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Code points of at most this are mapped by a table; letters beyond share one symbol per 32 points.
+#: Letters under this code point are symbols of their own; letters beyond share one symbol per 32 points.
 TABLE = 0x3000
 
 
 def simple(text: str) -> np.ndarray:
     """Lower-case letters as code points; every run of anything else is one space."""
     low = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    near = np.minimum(low, TABLE - 1)
-    letter = np.where(low < TABLE, _letters()[near], True)
     far = low >= TABLE
-    out = np.where(letter, np.where(far, (low >> np.uint32(5)) + np.uint32(TABLE), low), np.uint32(32))
+    out = np.where(_letters()[low], np.where(far, (low >> np.uint32(5)) + np.uint32(TABLE), low), np.uint32(32))
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 32) | (out[:-1] != 32)
     return out[keep]
@@ -49,7 +47,7 @@ _LETTERS: list[np.ndarray] = []
 
 def _letters() -> np.ndarray:
     if not _LETTERS:
-        _LETTERS.append(np.array([chr(i).isalpha() for i in range(TABLE)]))
+        _LETTERS.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
     return _LETTERS[0]
 
 
@@ -97,45 +95,47 @@ class Automaton:
         first = np.maximum(out[0], 0)
         cut = out < 0
         flat = np.where(cut, first[None, :], out) * alphabet
-        return (flat * 2 + cut).astype(np.int32).ravel()
+        flat = flat * 2 + cut
+        return flat.astype(np.int32 if flat.max() < 2**31 else np.int64).ravel()
 
 
 class Model:
-    """Automata of all languages over one shared alphabet of the most frequent symbols."""
+    """Automata of all languages, each over the symbols of its own sample; a symbol of no sample, or of other samples, is the same foreign symbol."""
 
-    def __init__(self, samples: list[tuple[str, list[str]]], chars_per_doc: int, alphabet: int = 64):
-        self.samples, self.chars, self.size = sorted(samples), chars_per_doc, alphabet
+    def __init__(self, samples: list[tuple[str, list[str]]], chars_per_doc: int):
+        self.samples, self.chars = sorted(samples), chars_per_doc
         self.languages = [x for x, _ in self.samples]
         self._tables: list[np.ndarray] | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_tables": None, "codes": None}
+        return self.__dict__ | {"_tables": None, "_own": None, "codes": None}
 
     def ready(self) -> Model:
         if self._tables is None:
             parts = {lang: [simple(t)[: self.chars] for t in texts] for lang, texts in self.samples}
             every = np.concatenate([p for ps in parts.values() for p in ps]) if parts else np.empty(0, np.uint32)
-            symbols, counts = np.unique(every, return_counts=True)
-            top = symbols[np.argsort(-counts, kind="stable")][: self.size - 2]
-            self.codes = np.ones(TABLE + (0x110000 >> 5) + 1, np.int32)  # 1: any other symbol; 0: end of a sample
-            self.codes[top] = np.arange(len(top)) + 2
-            self._tables = []
+            symbols = np.unique(every)
+            self.codes = np.ones(TABLE + (0x110000 >> 5) + 1, np.int32)  # 1: a symbol of no sample; 0: end of a sample
+            self.codes[symbols] = np.arange(len(symbols)) + 2
+            self._tables, self._own = [], []
             for lang in self.languages:
-                seq: list[int] = []
-                for p in parts[lang]:
-                    seq += self.codes[p].tolist() + [0]
-                self._tables.append(Automaton(seq).table(self.size))
+                seq = np.concatenate([np.append(self.codes[p], 0) for p in parts[lang]])
+                mine = np.unique(seq[seq > 0])
+                own = np.ones(len(symbols) + 2, np.int32)  # code to code of this language
+                own[0], own[mine] = 0, np.arange(len(mine)) + 2
+                self._tables.append(Automaton(own[seq].tolist()).table(len(mine) + 2))
+                self._own.append(own)
         return self
 
     def phrases(self, columns: list[np.ndarray], n: int) -> np.ndarray:
         """Phrases per language (rows) of n pieces; columns[j] has the j-th symbols of those pieces that are so long, longest first."""
         out = np.zeros((len(self.languages), n), np.int64)
-        for i, table in enumerate(self._tables):
-            state = np.zeros(n, np.int32)
+        for i, (table, own) in enumerate(zip(self._tables, self._own, strict=True)):
+            state = np.zeros(n, table.dtype)
             count = out[i]
             for codes in columns:
                 m = len(codes)
-                step = table[state[:m] + codes]
+                step = table[state[:m] + own[codes]]
                 count[:m] += step & 1
                 state[:m] = step >> 1
             count += 1  # the phrase that the end of the piece closes

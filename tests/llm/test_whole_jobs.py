@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ripplegraph.llm import decontaminate
+from ripplegraph.llm import decontaminate, langid
 
 DOC = "doc_id long, text string"
 ITEM = "item_id long, text string"
@@ -33,3 +33,17 @@ def test_leaks_of_short_items(spark):
     rows = [(n, f"12 {t} 34") for n, t in items] + [(100, "no such item, q9x zz"), (133, f"12 {items[3][1][:16]}#{items[3][1][17:]} 34")]
     found = decontaminate.leaks(spark.createDataFrame(rows, DOC), spark.createDataFrame(items, ITEM)).collect()
     assert {(r["doc_id"], r["item_id"], r["edits"]) for r in found} == {(n, n, 0) for n, t in items if t} | {(133, 33, 1)}
+
+
+def test_texts_without_letters_are_und():
+    m = langid.Model([("aa", ["some words of it"]), ("zh", ["\u4f60\u597d\u4e16\u754c"])], 384).ready()
+    texts = ["\U0001f600 \U0001f680", "\u3000\u3001\u3002", "\uff11\uff12", "\u4f60\u597d\U0001f600", "some words \U0001f600"]
+    assert langid.classify(m, texts, 1024)[0] == ["und", "und", "und", "zh", "aa"]
+
+
+def test_rare_scripts_keep_their_letters():
+    rng = np.random.default_rng(5)
+    text = lambda first, n: "".join(chr(first + c) for c in rng.integers(0, 16, n))
+    wide = [("".join(chr(0x430 + c) for c in range(32)) + "".join(chr(0x561 + c) for c in range(38)) + "abcdefghijklmnopqrstuvwxyz") * 4]
+    m = langid.Model([("aa", wide), ("g1", [text(0x10D0, 100)]), ("g2", [text(0x10E0, 100)])], 384).ready()
+    assert langid.classify(m, [text(0x10D0, 60), text(0x10E0, 60), "abcdef"], 1024)[0] == ["g1", "g2", "aa"]
