@@ -5,7 +5,8 @@ longest phrases that occur in that language's text; the fewer phrases, the close
 phrase count is normalised by the text length, and the language with the fewest phrases wins.
 
 The labelled text is a bounded sample (a fitted model, not a corpus count): `docs_per_lang`
-documents of each language in the order of a hash of their id, and `chars_per_doc` letters of each.
+different texts of each language in the order of a hash of the text, and `chars_per_doc` letters of each
+from a hashed position on, so that neither copies nor common openings are learnt again and again.
 Every text to be labelled is parsed whole. Parsing restarts every `piece` characters, so that one
 very long text is many independent pieces; a restart costs at most one phrase in `piece` characters.
 
@@ -142,21 +143,23 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_lang: int = 96, chars_per_doc: int = 384) -> Model:
-    """Sample `docs_per_lang` labelled documents of each language (by id hash) and build the model.
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 96, chars_per_doc: int = 384) -> Model:
+    """Sample `docs_per_lang` different labelled texts of each language (by text hash) and build the model.
 
-    The count of each language sets a hash threshold that passes about four times the rows needed,
+    The number of different texts of each language (estimated) sets a hash threshold that passes about four times the rows needed,
     so what is sorted is small whatever the table holds.
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    rows = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    first = F.pmod(F.xxhash64("text", F.lit("at")), F.greatest(F.length("text") - chars_per_doc, F.lit(0)) + 1)
     samples = []
     for lang, n in sorted(sizes.items()):
         share = min(1.0, 4.0 * docs_per_lang / n + 1e-9) if n > 8 * docs_per_lang else 1.0
         top = int(-(2**63) + share * 2**64) if share < 1 else 2**63 - 1
-        some = rows.where((F.col("lang") == lang) & (F.col("h") <= top)).orderBy("h", "text").limit(docs_per_lang)
-        samples.append((lang, [r["text"] for r in some.select(F.substring("text", 1, 4 * chars_per_doc).alias("text")).collect()]))
+        slices = rows.where((F.col("lang") == lang) & (F.col("h") <= top)).select("h", F.substring("text", first.cast("int") + 1, F.lit(4 * chars_per_doc)).alias("text"))
+        some = slices.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(docs_per_lang)
+        samples.append((lang, [r["text"] for r in some.collect()]))
     return Model([s for s in samples if s[1]], chars_per_doc)
 
 

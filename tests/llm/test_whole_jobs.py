@@ -47,3 +47,13 @@ def test_rare_scripts_keep_their_letters():
     wide = [("".join(chr(0x430 + c) for c in range(32)) + "".join(chr(0x561 + c) for c in range(38)) + "abcdefghijklmnopqrstuvwxyz") * 4]
     m = langid.Model([("aa", wide), ("g1", [text(0x10D0, 100)]), ("g2", [text(0x10E0, 100)])], 384).ready()
     assert langid.classify(m, [text(0x10D0, 60), text(0x10E0, 60), "abcdef"], 1024)[0] == ["g1", "g2", "aa"]
+
+
+def test_sample_is_of_different_texts_and_places(spark):
+    rng = np.random.default_rng(6)
+    head = "licence line that opens all documents " * 40
+    body = lambda: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(2000))
+    rows = [(i, head + body(), "en") for i in range(20)] + [(100 + i, head, "en") for i in range(200)]
+    m = langid.fit(spark.createDataFrame(rows, f"{DOC}, lang string"))
+    texts = m.samples[0][1]
+    assert len(texts) == 21 and sum("licence line" in t[:384] for t in texts) <= 8
