@@ -47,8 +47,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WIDE = {
     "number": r"(?<![0-9+)(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
     "identity": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,128}(?![A-Za-z0-9_+/-])",
-    "spoken": r"(?i)(?<![a-z0-9])[a-z0-9._-]{1,64} ?[\[(](?:at)[\])] ?[a-z0-9-]{1,63} ?[\[(](?:dot)[\])] ?[a-z]{2,12}(?![a-z])",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+",
+    "spoken": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]++ ?[\[(](?:at)[\])] ?[a-z0-9-]{1,63} ?[\[(](?:dot)[\])] ?[a-z]{2,12}(?![a-z])",
 }
 STRICT = {
     "number": r"^(?:\([2-9][0-9]{2}\) |[2-9][0-9]{2}-)[2-9][0-9]{2}-[0-9]{4}$",

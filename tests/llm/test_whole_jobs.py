@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ripplegraph.llm import decontaminate, langid
+from ripplegraph.llm import decontaminate, langid, pii
 
 DOC = "doc_id long, text string"
 ITEM = "item_id long, text string"
@@ -57,3 +57,13 @@ def test_sample_is_of_different_texts_and_places(spark):
     m = langid.fit(spark.createDataFrame(rows, f"{DOC}, lang string"))
     texts = m.samples[0][1]
     assert len(texts) == 21 and sum("licence line" in t[:384] for t in texts) <= 8
+
+
+def test_candidates_of_any_length(spark):
+    token = lambda n: ("a1B2c3D4e5" * (n // 10 + 1))[:n]
+    long = "x" * 70 + ".y"
+    rows = [(n, f"api key: {token(n)} end") for n in (19, 20, 128, 129, 5000)] + [(1, f"mail {long} (at) host (dot) com"), (2, f"mail {long[:20]} (at) host (dot) com")]
+    docs = spark.createDataFrame(rows, DOC)
+    got = {r["doc_id"]: [(c["kind"], c["start"], c["end"]) for c in r["c"]] for r in docs.select("doc_id", pii._candidates(docs["text"]).alias("c")).collect()}
+    spoken = lambda n: ("spoken", 5, 5 + n + len(" (at) host (dot) com"))
+    assert got == {19: [], **{n: [("secret", 9, 9 + n)] for n in (20, 128, 129, 5000)}, 1: [("secret", 5, 75), spoken(72)], 2: [("secret", 5, 25), spoken(20)]}
