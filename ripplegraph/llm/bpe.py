@@ -1,19 +1,28 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are normalised and split into words; every distinct word of the corpus is encoded once by the
-tokenizer, and ids come back to each document by the position of its words. Decoding joins each id
-to its piece and puts blanks between the pieces, as the tokenizer does that has no decoder.
+1. Texts are normalised and split into words. Consecutive documents of a task form a chunk: its words
+   become a dictionary (words are compared, not hashes), each document a sequence of places in it. A
+   chunk ends at `chunk_words` different words or `chunk_bytes` of text, so it is of bounded size.
+2. The dictionaries are dealt out by word. A part of the word table meets a word once per chunk, never
+   once per occurrence, so a frequent word is no hot key; each distinct word is encoded once there.
+3. Ids come back to their chunk, and each document's ids follow from its sequence by position. Sequences
+   are read off the documents a second time, which is cheaper than taking them through both shuffles.
+
+There is one path for all sizes: the number of parts grows with the text (`part_bytes` each), rows are
+packed, and no text, word table or corpus count passes the driver. Sequences meet ids by chunk name,
+a digest of the chunk's texts in their order, so the input must keep the order of its rows when it is
+read again, as a scan or a checkpoint does (any other order ends in an error, never in wrong ids).
 
 Splitting is vectorised for texts of Latin letters (code points under 0x250, no apostrophe); any other
 text is split by the tokenizer's own normaliser and splitter, so that words are the same everywhere.
 
-The table of words is joined back in one of two ways, with equal results. While it has at most
-`table_words` words (a checked size) it goes to every task as packed arrays and no document moves.
-Beyond that, (document, word, positions) rows are shuffled to the table and gathered by document.
+Decoding joins each id to its piece (a table as large as the vocabulary) and puts blanks between the
+pieces, as the tokenizer does that has no decoder.
 
 Defined cases: null and empty texts have no ids and decode to the empty text. Repeated rows are
 answered each. Strings of special tokens inside a text become those tokens, as in the library.
-A text of white space only has no ids. Other columns are kept, those added replace equal names.
+A text of white space only has no ids. A text longer than a slice is worked on alone, whole.
+Other columns are kept, those added replace equal names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -138,186 +148,204 @@ def split(tokens: Tokens, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     return low, starts, ends, rows
 
 
-def _hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit names of words; starts need not be sorted."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    total = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * common.powers(len(low), common.BASE), out=total[1:])
-    inverse = common.powers(int(starts.max()) + 1, common.BASE_INV)
-    return common.mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def _distinct(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
+    """Words as a dictionary of the different ones, in UTF-8."""
+    cps = low[common.ragged_index(starts, ends - starts)]
+    ends = np.concatenate([[0], np.cumsum(ends - starts)])
+    if (cps < 128).all():
+        raw = cps.astype(np.uint8)
+    else:
+        raw = cps.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        widths = np.concatenate([[0], np.cumsum(1 + (cps >= 0x80).astype(np.int64) + (cps >= 0x800) + (cps >= 0x10000))])
+        ends = widths[ends]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
 
 
-def word_table(docs: DataFrame, tokens: Tokens, text_col: str = "text", remember: int = 1_000_000) -> DataFrame:
-    """(h long, ids binary): every distinct word of the corpus, encoded once; ids as unsigned 32-bit."""
-    common.prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(tokens)
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.empty(0, np.uint64)
-        for b in batches:
-            low, starts, ends, _ = split(shared.value, *common.bytes_of(common.column(b, text_col)))
-            h, first = np.unique(_hashes(low, starts, ends), return_index=True)
-            if len(known):
-                new = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h
-                h, first = h[new], first[new]
-            known = np.sort(np.concatenate([known, h])) if len(known) < remember else h
-            text = [low[s:e].tobytes().decode("utf-32-le", "surrogatepass") for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(text, pa.string())], names=["h", "word"])
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tok, _ = shared.value.library()
-            first, last = common.column(b, "word").to_pylist(), common.column(b, "other").to_pylist()
-            if first != last:
-                raise ValueError("two words share a 64-bit hash")
-            ids = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(first, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([common.column(b, "h"), pa.array(ids, pa.binary())], names=["h", "ids"])
-
-    distinct = docs.select(text_col).mapInArrow(words, "h long, word string").groupBy("h").agg(F.min("word").alias("word"), F.max("word").alias("other"))
-    return distinct.mapInArrow(encode, "h long, ids binary")
-
-
-class Packed:
-    """The word table as sorted arrays, put together in each Python worker from the parts that tasks packed."""
+def _fields(columns: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
-    def __init__(self, parts: list[tuple[bytes, bytes, bytes]], wide: bool):
-        self.parts, self.wide = parts, wide
 
-    def __setstate__(self, state: dict):
-        hashes, sizes, ids = zip(*state["parts"], strict=True) if state["parts"] else ((), (), ())
-        self.h = np.frombuffer(b"".join(hashes), np.uint64)
-        self.first = np.zeros(len(self.h) + 1, np.uint32)
-        np.cumsum(np.frombuffer(b"".join(sizes), np.uint32), out=self.first[1:])
-        self.ids = np.frombuffer(b"".join(ids), "<u4" if state["wide"] else "<u2")
+DEALT = "part int, chunk string, place int, head binary, body binary"
 
-    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids one after the other, number of ids per word)."""
-        at = np.searchsorted(self.h, h)
-        if len(h) and (at.max(initial=0) >= len(self.h) or (self.h[at] != h).any()):
-            raise KeyError("a word is missing from the table")
-        first = self.first[at].astype(np.int64)
-        sizes = self.first[at + 1].astype(np.int64) - first
-        return self.ids[ragged_index(first, sizes)].astype(np.uint32), sizes
 
+class Chunk:
+    """Dictionary, and if asked for sequences, of consecutive documents."""
 
-def packed_parts(table: DataFrame, wide: bool) -> list[tuple[bytes, bytes, bytes]]:
-    """(hashes, sizes, ids) of 64 hash ranges of a word table of checked size; sorted and packed by tasks."""
+    def __init__(self, sequences: bool):
+        self.sequences, self.places, self.parts, self.size = sequences, {}, [], 0
+        self.digest = xxhash.xxh3_128()
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
+    def add(self, batch: pa.RecordBatch, tokens: Tokens, text_col: str, keep: list[str]) -> None:
+        raw, offsets = common.bytes_of(common.column(batch, text_col))
+        self.digest.update(np.diff(offsets).tobytes())
+        self.digest.update(np.ascontiguousarray(raw))
+        self.size += len(raw)
+        low, starts, ends, rows = split(tokens, raw, offsets)
+        words = _distinct(low, starts, ends)
+        known = self.places
+        if not self.sequences:
+            for w in words.dictionary.to_numpy(zero_copy_only=False):
+                known.setdefault(w, len(known))
             return
-        t = pa.Table.from_batches(held)
-        h = t.column("h").to_numpy().view(np.uint64)
-        raw, offsets = common.bytes_of(t.column("ids"))
-        order = np.argsort(h)
-        h, sizes = h[order], (np.diff(offsets)[order] // 4).astype(np.int64)
-        ids = np.frombuffer(raw.tobytes(), "<u4")[ragged_index(offsets[:-1][order] // 4, sizes)].astype("<u4" if wide else "<u2")
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        part = (h >> np.uint64(58)).astype(np.int64)
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(h))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            rows = [int(part[a])], [h[a:b].tobytes()], [sizes[a:b].astype(np.uint32).tobytes()], [ids[ends[a] : ends[b]].tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["part", "h", "sizes", "ids"])
-
-    dealt = table.repartition(F.shiftrightunsigned("h", 58))
-    found = dealt.mapInArrow(pack, "part int, h binary, sizes binary, ids binary").collect()
-    return [(bytes(r["h"]), bytes(r["sizes"]), bytes(r["ids"])) for r in sorted(found, key=lambda r: r["part"])]
-
-
-def ragged_index(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Indexes of the elements of runs that begin at first[i] and have sizes[i] elements."""
-    ends = np.cumsum(sizes)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
-
-
-def encode(docs: DataFrame, tokens: Tokens, text_col: str = "text", table_words: int = 4_000_000) -> DataFrame:
-    """docs plus ids binary (little-endian unsigned 32-bit ids of the whole text)."""
-    table = common.cut(word_table(docs, tokens, text_col))
-    if table.count() > table_words:
-        return _encode_by_shuffle(docs, table, tokens, text_col)
-    spark = docs.sparkSession
-    common.prepare(spark, 500, 4 << 20)  # words, ids and pieces of a batch take many times its text
-    docs = docs.drop("ids")
-    wide = len(tokens.pieces()) > 1 << 16
-    shared = spark.sparkContext.broadcast((tokens, Packed(packed_parts(table, wide), wide)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tok, packed = shared.value
-            low, starts, ends, rows = split(tok, *common.bytes_of(common.column(b, text_col)))
-            ids, sizes = packed.lookup(_hashes(low, starts, ends))
-            counts = np.bincount(rows, sizes, len(b)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, common.blobs(ids.astype("<u4"), counts)], names=[*b.schema.names, "ids"])
-
-    return docs.mapInArrow(placed, f"{schema}, ids binary")
-
-
-def _encode_by_shuffle(docs: DataFrame, table: DataFrame, tokens: Tokens, text_col: str) -> DataFrame:
-    """The same for a table of any size: words meet the table by a shuffled join, ids meet the document by its row."""
+        place = np.fromiter((known.setdefault(w, len(known)) for w in words.dictionary.to_numpy(zero_copy_only=False)), np.uint32, len(words.dictionary))
+        sequence = common.ragged(place[np.asarray(words.indices)], np.bincount(rows, minlength=len(batch)), pa.uint32())
+        self.parts.append(common.write_batch(_fields([*(common.column(batch, c) for c in keep), sequence], [*keep, "word sequence"])))
+
+    def rows(self, bits: int) -> Iterator[pa.RecordBatch]:
+        """Either the dictionary cut by word (place 0), or the order of its words (place 1) and the sequences (from 2 on)."""
+        name = self.digest.hexdigest()
+        words = list(self.places)
+        names = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        part = (names >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        if self.sequences:
+            bodies = [common.write_batch(_fields([pa.array(order.astype(np.uint32))], ["order"])), *self.parts]
+            out = [[-1] * len(bodies), list(range(1, len(bodies) + 1)), [b""] * len(bodies), bodies]
+        else:
+            sizes = np.fromiter(map(len, words), np.uint32, len(words))[order]
+            cuts = np.searchsorted(part[order], np.arange((1 << bits) + 1))
+            parts = np.flatnonzero(np.diff(cuts)).tolist()
+            heads = [sizes[cuts[p] : cuts[p + 1]].tobytes() for p in parts]
+            out = [parts, [0] * len(parts), heads, [b"".join([words[i] for i in order[cuts[p] : cuts[p + 1]].tolist()]) for p in parts]]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        part, place, head, body = (pa.array(x, k) for x, k in zip(out, kinds, strict=True))
+        whole = _fields([part, pa.array([name] * len(part), pa.string()), place, head, body], ["part", "chunk", "place", "head", "body"])
+        for at in range(0, len(whole), 64):
+            yield whole.slice(at, 64)
+
+
+def encode(
+    docs: DataFrame,
+    tokens: Tokens,
+    text_col: str = "text",
+    keep: list[str] | None = None,
+    part_bytes: int = 4 << 20,
+    chunk_words: int = 200_000,
+    chunk_bytes: int = 48 << 20,
+) -> DataFrame:
+    """The columns `keep` of docs (all, if not given) plus ids binary (little-endian unsigned 32-bit ids of the whole text)."""
+    common.prepare(docs.sparkSession)
     docs = docs.drop("ids")
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    bits = min(31, max(4, int(size // part_bytes).bit_length()))
     shared = docs.sparkSession.sparkContext.broadcast(tokens)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 33
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(at, at + len(b)))], names=[*b.schema.names, "row_key"])
-            at += len(b)
-
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            low, starts, ends, rows = split(shared.value, *common.bytes_of(common.column(b, text_col)))
-            if not len(starts):
+    wide = "<u4" if len(tokens.pieces()) > 1 << 16 else "<u2"
+
+    def read(sequences: bool):
+        def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chunk = None
+            for batch in batches:
+                for some in common.slices(batch, text_col):
+                    chunk = chunk or Chunk(sequences)
+                    chunk.add(some, shared.value, text_col, keep)
+                    if len(chunk.places) >= chunk_words or chunk.size >= chunk_bytes:
+                        yield from chunk.rows(bits)
+                        chunk = None
+            if chunk:
+                yield from chunk.rows(bits)
+
+        return chunks
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, bytes] = {}
+        last = -1
+        for batch in batches:
+            if not len(batch):
                 continue
-            h = _hashes(low, starts, ends)
-            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            order = np.lexsort((place, h, rows))
-            h, rows, place = h[order], rows[order], place[order]
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])]))
-            keys = np.asarray(common.column(b, "row_key"))[rows[new]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(h[new].view(np.int64)), common.ragged(place.astype(np.int32), np.diff(np.append(new, len(h))), pa.int32())], names=["row_key", "h", "places"]
-            )
-
-    # the key is a row's place in its partition: it is fixed by writing the rows before they are read twice
-    rows = common.cut(docs.mapInArrow(keyed, f"{schema}, row_key long"))
-    placed = rows.mapInArrow(occurrences, "row_key long, h long, places array<int>").join(table, "h")
-    one = placed.select("row_key", F.explode("places").alias("place"), "ids")
-    ids = one.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("parts"))
-    joined = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), ""))
-    found = ids.select("row_key", joined.alias("ids"))
-    out = rows.join(found, "row_key", "left").drop("row_key")
-    return out.withColumn("ids", F.coalesce("ids", F.unhex(F.lit(""))))
-
-
-def decode(encoded: DataFrame, tokens: Tokens) -> DataFrame:
+            part = common.column(batch, "part").to_numpy()
+            raw, offsets = common.bytes_of(common.column(batch, "head"))
+            sizes = np.frombuffer(raw.tobytes(), "<u4").astype(np.int64)
+            raw, _ = common.bytes_of(common.column(batch, "body"))
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            words = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+            distinct = words.dictionary.to_numpy(zero_copy_only=False)
+            if part[0] != last:
+                known = {}
+            new = [w for w in distinct if w not in known]
+            tok, _ = shared.value.library()
+            for at in range(0, len(new), 4096):
+                some = new[at : at + 4096]
+                text = [w.decode("utf-8", "surrogatepass") for w in some]
+                known.update(zip(some, (np.array(e.ids, wide).tobytes() for e in tok.encode_batch(text, add_special_tokens=False)), strict=True))
+            raw, first = common.bytes_of(pa.array([known[w] for w in distinct], pa.large_binary()))
+            code, length = np.asarray(words.indices), np.diff(first)
+            runs = length[code]
+            counts = np.diff(offsets) // 4
+            bounds = np.concatenate([[0], np.cumsum(runs)])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int64)
+            body = pa.py_buffer(np.ascontiguousarray(raw[common.ragged_index(first[code], runs)]))
+            ids = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(bounds), body]).cast(pa.binary())
+            head = common.blobs((runs // np.dtype(wide).itemsize).astype("<u4"), counts)
+            yield _fields([*(common.column(batch, c) for c in ("part", "chunk", "place")), head, ids], batch.schema.names)
+            last = int(part[-1])
+            if (part != last).any():  # keep what the part that may go on has
+                mine = np.unique(code[np.repeat(part == last, counts)])
+                known = {distinct[i]: known[distinct[i]] for i in mine.tolist()}
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, last, sizes, ids, table = None, -1, [], [], None
+        for batch in batches:
+            for name, part, place, head, body in zip(*(common.column(batch, c) for c in ("chunk", "part", "place", "head", "body")), strict=True):
+                name, part, place, body = name.as_py(), part.as_py(), place.as_py(), body.as_py()
+                if name != chunk:
+                    chunk, last, sizes, ids, table = name, -1, [], [], None
+                if place == 0:
+                    if part != last:  # chunks of equal texts share a name and a dictionary
+                        sizes.append(head.as_py())
+                        ids.append(body)
+                    last = part
+                    continue
+                if place == 1 and table is not None:
+                    continue
+                if place == 1:
+                    order = np.asarray(common.read_batch(body).column(0)).astype(np.int64)
+                    n = np.frombuffer(b"".join(sizes), "<u4").astype(np.int64)
+                    if len(n) != len(order):
+                        raise ValueError("a chunk's words are not those it was cut from; are the rows of the input in a stable order?")
+                    first, length = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+                    first[order], length[order] = np.cumsum(n) - n, n
+                    table, sizes, ids = (first, length, np.frombuffer(b"".join(ids), wide)), [], []
+                    continue
+                if table is None:
+                    raise ValueError("a chunk has no words; are the rows of the input in a stable order?")
+                first, length, pool = table
+                held = common.read_batch(body)
+                sequence = held.column(held.num_columns - 1)
+                word = np.asarray(sequence.flatten()).astype(np.int64)
+                runs = length[word]
+                ends = np.concatenate([[0], np.cumsum(runs)])
+                counts = np.diff(ends[np.asarray(sequence.offsets)])
+                yield _fields([*(held.column(i) for i in range(held.num_columns - 1)), common.blobs(pool[common.ragged_index(first[word], runs)].astype("<u4"), counts)], [*keep, "ids"])
+
+    ids = docs.mapInArrow(read(False), DEALT).repartition("part").sortWithinPartitions("part").mapInArrow(look_up, DEALT)
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.BinaryType())])
+    both = ids.unionByName(docs.mapInArrow(read(True), DEALT))
+    return both.repartition("chunk").sortWithinPartitions("chunk", "place", "part").mapInArrow(gathered, schema)
+
+
+def decode(encoded: DataFrame, tokens: Tokens, slice_ids: int = 1 << 18) -> DataFrame:
     """encoded (with ids) plus decoded: the pieces of the ids, blanks between them."""
+    common.prepare(encoded.sparkSession)
     encoded = encoded.drop("decoded")
     pieces = [p.encode() + b" " for p in tokens.pieces()]
     sizes = np.array([len(p) for p in pieces], np.int64)
     table = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes, sizes  # as large as the vocabulary
     shared = encoded.sparkSession.sparkContext.broadcast(table)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text, first, length = shared.value
-            raw, offsets = common.bytes_of(common.column(b, "ids"))
-            ids = np.frombuffer(raw.tobytes(), "<u4")
-            out = text[ragged_index(first[ids], length[ids])]
-            ends = np.zeros(len(ids) + 1, np.int64)
-            np.cumsum(length[ids], out=ends[1:])
-            bounds = ends[offsets // 4]
-            keep = np.ones(len(out), bool)
-            keep[bounds[1:][np.diff(bounds) > 0] - 1] = False  # the blank after the last piece
-            counts = np.diff(bounds) - (np.diff(bounds) > 0)
-            starts = np.zeros(len(b) + 1, np.int64)
-            np.cumsum(counts, out=starts[1:])
-            data = pa.py_buffer(np.ascontiguousarray(out[keep]))
-            decoded = pa.Array.from_buffers(pa.large_string(), len(b), [None, pa.py_buffer(starts), data]).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, decoded], names=[*b.schema.names, "decoded"])
-
-    return encoded.mapInArrow(joined, f"{schema}, decoded string")
+        text, first, length = shared.value
+        for whole in batches:
+            for b in common.slices(whole, "ids", size=4 * slice_ids):
+                raw, offsets = common.bytes_of(common.column(b, "ids"))
+                ids = np.frombuffer(raw.tobytes(), "<u4")
+                out = text[common.ragged_index(first[ids], length[ids])]
+                ends = np.concatenate([[0], np.cumsum(length[ids])])
+                bounds = ends[offsets // 4]
+                keep = np.ones(len(out), bool)
+                keep[bounds[1:][np.diff(bounds) > 0] - 1] = False  # the blank after the last piece
+                starts = np.concatenate([[0], np.cumsum(np.diff(bounds) - (np.diff(bounds) > 0))])
+                data = pa.py_buffer(np.ascontiguousarray(out[keep]))
+                decoded = pa.Array.from_buffers(pa.large_string(), len(b), [None, pa.py_buffer(starts), data]).cast(pa.string())
+                yield _fields([*b.columns, decoded], [*b.schema.names, "decoded"])
+
+    return encoded.mapInArrow(joined, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))

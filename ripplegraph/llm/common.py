@@ -1,23 +1,22 @@
-"""Helpers shared by the text operators: byte views of Arrow columns, word hashes, checkpoints.
+"""Helpers shared by the text operators: byte views of Arrow columns, word names, checkpoints.
 
-All hashing is done on whole Arrow batches with numpy, so a batch of documents costs a few vector
-passes instead of a Python loop over words.
+Work is done on whole Arrow batches with numpy and Arrow kernels, so a batch of documents costs a few
+vector passes and a loop over its different words instead of a Python loop over all words.
 """
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lineage
 from ..functions.workers import importable
 
-#: Multiplier of the polynomial word hash and its inverse modulo 2**64.
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: White space of the word rule: space and \x09-\x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -29,23 +28,17 @@ BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """Bound the Arrow batches (rows and bytes; they hold for what runs next) and make sure that a checkpoint folder is set.
-
-    The cluster names the shared folder in spark.checkpoint.dir; only where that is unset (tests,
-    local runs) a temporary folder is taken.
-    """
+    """Bound the Arrow batches that the JVM sends (operators cut them further where they need to) and make sure that a checkpoint folder is set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     importable(spark)
-    sc = spark.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ripplegraph-"))
+    lineage.checkpoint_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a table that later steps read more than once (reliable checkpoint)."""
     prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return lineage.cut(df)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -73,18 +66,6 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def powers(n: int, base: np.uint64) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
-    out = np.ones(max(n, 1), np.uint64)
-    done = 1
-    while done < n:
-        more = min(done, n - done)
-        step = np.uint64(pow(int(base), done, 1 << 64))
-        out[done : done + more] = out[:more] * step
-        done += more
-    return out[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads a 64-bit hash over all its bits."""
     x = x ^ (x >> np.uint64(33))
@@ -94,14 +75,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span data[start:end], from one prefix sum over the batch."""
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
+    """The byte spans data[start:end] (in order, not overlapping) as a dictionary of the different ones; Arrow compares the bytes."""
+    mask = np.zeros(len(data) + 1, np.int8)
+    mask[starts] += 1
+    mask[ends] -= 1
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    compact = np.ascontiguousarray(data[np.cumsum(mask[:-1], dtype=np.int8) > 0])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(compact)]).dictionary_encode()
+
+
+def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit name of each word; every different word of the batch is hashed once, by its bytes."""
     if len(starts) == 0:
         return np.empty(0, np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data), BASE), out=total[1:])
-    inverse = powers(int(starts[-1]) + 1, BASE_INV)
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    words = distinct_spans(data, starts, ends)
+    names = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.to_numpy(zero_copy_only=False)), np.uint64, len(words.dictionary))
+    return names[np.asarray(words.indices)]
+
+
+def slices(batch: pa.RecordBatch, text_col: str, rows: int = 500, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most `size` bytes of text (a longer text stands alone), whatever limits the session has for batches."""
+    _, offsets = bytes_of(column(batch, text_col))
+    at = 0
+    while at < len(batch):
+        end = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
+        end = min(max(end, at + 1), at + rows, len(batch))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,3 +144,36 @@ def blobs(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     np.cumsum(counts * width, out=offsets[1:])
     raw = pa.py_buffer(np.ascontiguousarray(values))
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), raw]).cast(pa.binary())
+
+
+def ragged_index(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indexes of the elements of runs that begin at first[i] and have sizes[i] elements."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
+
+
+def write_batch(batch: pa.RecordBatch) -> bytes:
+    """A record batch as bytes, compressed."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_batch(data: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(data, options=pa.ipc.IpcReadOptions(use_threads=False)) as source:
+        return source.read_next_batch()
+
+
+def row_key(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with two long columns that name a row, and their names: its id (0 if null) and a hash of all its columns.
+
+    Rows of one name are equal in every column, so one of them can stand for the others.
+    """
+    names = []
+    for stem in ("row_id", "row_tag"):
+        while stem in docs.columns:
+            stem += "_"
+        names.append(stem)
+    keyed = docs.withColumn(names[0], F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn(names[1], F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return keyed, names

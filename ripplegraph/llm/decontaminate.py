@@ -219,9 +219,16 @@ def _runs(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 120, rate: float = 0.06, least: int = 1, chunk_chars: int = 4_000_000
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    window: int = 120,
+    rate: float = 0.06,
+    least: int = 1,
+    chunk_chars: int = 4_000_000,
+    id_cols: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """(doc_id, item_id, start, end, edits): regions of documents that hold a window of a benchmark item."""
+    """(doc_id, item_id, start, end, edits): regions of documents that hold a window of a benchmark item; `id_cols` (long) name a document."""
     common.prepare(docs.sparkSession)
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).where(F.col("item").isNotNull() & F.col("item_id").isNotNull())
@@ -234,7 +241,7 @@ def leaks(
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for batch in batches:
+            for batch in (some for b in batches for some in common.slices(b, text_col, 2000, 4 << 20)):
                 raw, offsets = common.bytes_of(common.column(batch, text_col))
                 data = FOLD[raw]
                 found: dict[tuple[int, int, int], tuple[int, int]] = {(row, item, a): (0, b) for row, item, a, b in index.exactly(data, offsets)}
@@ -256,12 +263,13 @@ def leaks(
                             found[key] = min(found.get(key, (1 << 30, 0)), (hit[2], hit[1]))
                 lead = (raw & 0xC0) != 0x80
                 chars = lambda row, at, lead=lead, offsets=offsets: int(lead[offsets[row] : at].sum())
-                ids = common.column(batch, "doc_id")
-                rows = [(ids[row].as_py(), item, chars(row, a), chars(row, b), e) for (row, item, a), (e, b) in sorted(found.items())]
+                ids = [common.column(batch, c) for c in id_cols]
+                rows = [(*(c[row].as_py() for c in ids), item, chars(row, a), chars(row, b), e) for (row, item, a), (e, b) in sorted(found.items())]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "start", "end", "edits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col).mapInArrow(scan, "doc_id long, item_id long, start long, end long, edits long")
+        names = [*id_cols, "item_id", "start", "end", "edits"]
+        part = docs.select(*(F.col(c).cast("long").alias(c) for c in id_cols), text_col).mapInArrow(scan, ", ".join(f"`{c}` long" for c in names))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -13,9 +13,10 @@ def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
     e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, before = common.cut(e), None
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        # v is u's smaller neighbour; the smallest neighbour of v replaces it. A node without a smaller one keeps its edges.
+        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        low = common.cut(low.select(F.col("u").alias("v"), "m"))  # a table of its own, so that the join below can split a hot v
+        large = e.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = common.cut(small.unionByName(least.withColumnRenamed("m", "v")).distinct())

@@ -6,31 +6,37 @@ T = ceil(p * (a + b) / (100 + p)) shingles, which is at least ceil(p/100 * size)
 1. Document frequencies. Shingles of a batch of documents travel as packed numbers, dealt by hash
    range. Each range counts its shingles and returns, to the batches, those that occur in two or more
    documents with the class of their frequency (its logarithm). A set with fewer than T such shingles
-   can have no partner and drops out.
-2. Equal sets become one row (a class of documents).
+   can have no partner and drops out. The number of ranges grows with the text.
+2. Equal sets (by a signature of 128 bits) become one row, a class of documents.
 3. Prefixes. In the order of rising frequency class, two partners must share one of their first
    size - T + 1 shingles, so long inverted lists are hardly ever used for candidates. Sets that meet
-   in such a list form candidate groups; large groups are cut into blocks of `block` sets by rising
-   size, and only blocks of compatible sizes meet.
-4. T-occurrence search in a meeting of blocks (DivideSkip): for each probe the L longest of its
-   inverted lists are set aside; the short ones are merged, counting occurrences; rows that occur
-   T - L times or more are looked up in the long lists by binary search, and those that reach the
-   required overlap are linked. Only links that join two parts of the meeting are returned.
-5. Components of the links, labelled with the smallest id.
+   in such a list form candidate groups; groups are cut into blocks of bounded cost by rising size.
+4. Meetings. First every block meets itself and the next; then those pairs of blocks of compatible
+   sizes meet whose sets are not all in one component yet. So a large group of copies is worked on in
+   time that grows with its size, not with its square.
+5. T-occurrence search in a meeting (DivideSkip): for each probe, rows of its own component are left
+   out of its inverted lists and the L longest lists are set aside; the short ones are merged by a heap
+   that skips ahead to rows which T - L lists can still hold; rows found are looked up in the long lists
+   by binary search, and those that reach the required overlap are linked. Only links that join two
+   components are returned.
+6. Components of the links, labelled with the smallest id.
 
 No pair of documents is ever a row; the search runs on packed sets, and skew of a shingle adds one
-number per document to its range. Shingle hashes have 64 bits (the search uses at least 48 of them
-and the range number); set sizes are counts of distinct 64-bit hashes.
+number per document to its range. Words are named by a hash of their bytes; shingle hashes have 64
+bits, of which the search uses 48 or more (48 and the range number); set sizes are counts of distinct 64-bit hashes.
 
-Defined cases: fewer words than a shingle make one shingle of the whole sequence; null, empty and
-white-space texts have an empty set, link with nothing and form their own component. Repeated rows
-(and ids) are each returned; equal texts link. An empty table gives an empty result. Null ids are
-returned with the component of the smallest id they link to, null if none. Other columns are ignored.
+Defined cases: null, empty and blank texts have no shingles and link with nothing; shorter texts than
+`words` words are one shingle. Repeated rows are rows of one class; a repeated id is answered for each
+of its rows. Texts of any length are taken whole. An empty table gives an empty result. A null id never
+names a component; its row is returned with the component of the smallest id they link to, null if none.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,14 +49,14 @@ from pyspark.sql import functions as F
 from . import common, graph
 
 WORDS, PERCENT = 5, 80
-_MULTIPLIERS = common.powers(64, np.uint64(0xD6E8FEB86659FD93))
+_MULTIPLIERS = common.mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes, rows) of a batch, sorted by row, then hash."""
     low = common.LOWER[raw]
     starts, ends, rows = common.word_spans(low, offsets)
-    h = common.span_hashes(low, starts, ends)
+    h = common.word_names(low, starts, ends)
     n = len(offsets) - 1
     counts = np.bincount(rows, minlength=n)
     out, owner = np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -74,15 +80,13 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[
     return out[new], owner[new]
 
 
-def _frequencies(docs: DataFrame, text_col: str, bits: int, words: int, percent: int) -> DataFrame:
-    """One row per document: doc_id, n_shingles, sig (name of the set) and, where a partner is possible, its shared shingles by rising frequency."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _frequencies(ids: DataFrame, bits: int, words: int, percent: int) -> DataFrame:
+    """One row per document: doc_id, tag, n_shingles, sig and sig2 (name of the set) and, where a partner is possible, its shared shingles by rising frequency."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for b in batches:
-            for at in range(0, len(b), 4096):
-                some = b.slice(at, 4096)
+            for some in common.slices(b, "text", 4096, 4 << 20):
                 token, row = shingles(*common.bytes_of(common.column(some, "text")), words)
                 n = len(some)
                 size = np.bincount(row, minlength=n)
@@ -91,8 +95,7 @@ def _frequencies(docs: DataFrame, text_col: str, bits: int, words: int, percent:
                     total = np.zeros(len(token) + 1, np.uint64)
                     np.cumsum(common.mix(token ^ np.uint64(salt)), out=total[1:])
                     ends = np.cumsum(size)
-                    sums[i] = total[ends] - total[ends - size]
-                sig = common.mix(sums[0] + common.mix(sums[1] + size.astype(np.uint64)))
+                    sums[i] = common.mix(total[ends] - total[ends - size] + size.astype(np.uint64))
                 part = (token >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(token), np.int64)
                 packed = ((token & np.uint64((1 << 48) - 1)) << np.uint64(16)) | row.astype(np.uint64)
                 order = np.lexsort((packed, part))
@@ -101,9 +104,16 @@ def _frequencies(docs: DataFrame, text_col: str, bits: int, words: int, percent:
                 parts = np.flatnonzero(np.diff(cuts))
                 payload = [packed[cuts[p] : cuts[p + 1]].tobytes() for p in parts]
                 doc = common.column(some, "doc_id")
-                about = doc.fill_null(0).to_numpy().astype(np.int64).tobytes() + np.asarray(doc.is_valid()).astype(np.int64).tobytes() + size.astype(np.int64).tobytes() + sig.tobytes()
+                facts = [doc.fill_null(0).to_numpy(), np.asarray(doc.is_valid()), common.column(some, "tag").to_numpy(), size, *sums.view(np.int64)]
+                about = b"".join(x.astype(np.int64).tobytes() for x in facts)
+                away = ((chunk >> 32) + (chunk & 0xFFFFFFFF)) % (1 << bits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*parts.tolist(), (chunk >> 32) % (1 << bits)], pa.int32()), pa.array([chunk] * (len(parts) + 1)), pa.array([False] * len(parts) + [True]), pa.array([*payload, about], pa.binary())],
+                    [
+                        pa.array([*parts.tolist(), away], pa.int32()),
+                        pa.array([chunk] * (len(parts) + 1)),
+                        pa.array([False] * len(parts) + [True]),
+                        pa.array([*payload, about], pa.binary()),
+                    ],
                     names=["part", "chunk", "about", "payload"],
                 )
                 chunk += 1
@@ -141,15 +151,15 @@ def _frequencies(docs: DataFrame, text_col: str, bits: int, words: int, percent:
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
         part = table.column("part").to_numpy()
-        about = np.frombuffer(table.column("payload")[int(np.flatnonzero(part < 0)[0])].as_py(), np.int64).reshape(4, -1)
-        doc, valid, size, sig = about
+        about = np.frombuffer(table.column("payload")[int(np.flatnonzero(part < 0)[0])].as_py(), np.int64).reshape(6, -1)
+        doc, valid, tag, size, sig, sig2 = about
         keep = np.flatnonzero(part >= 0)
         n = len(doc)
         if len(keep):
             packed = np.concatenate([np.frombuffer(table.column("payload")[int(i)].as_py(), np.uint64) for i in keep])
             cls = np.concatenate([np.frombuffer(table.column("classes")[int(i)].as_py(), np.uint8) for i in keep])
             lengths = [len(table.column("classes")[int(i)].as_py()) for i in keep]
-            token = (packed >> np.uint64(16)) | (np.repeat(part[keep].astype(np.uint64), lengths) << np.uint64(48))
+            token = (packed >> np.uint64(16)) | (np.repeat(part[keep].astype(np.uint64), lengths) << np.uint64(min(48, 64 - bits)))
             row = (packed & np.uint64(0xFFFF)).astype(np.int64)
         else:
             token, cls, row = np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.int64)
@@ -164,97 +174,150 @@ def _frequencies(docs: DataFrame, text_col: str, bits: int, words: int, percent:
         return pa.table(
             {
                 "doc_id": pa.array(doc, mask=valid == 0),
+                "tag": pa.array(tag),
                 "n_shingles": pa.array(size),
                 "sig": pa.array(sig),
+                "sig2": pa.array(sig2),
                 "tokens": pc.if_else(pa.array(ok), tokens, pa.scalar(None, pa.binary())),
             }
         )
 
-    dealt = ids.mapInArrow(deal, "part int, chunk long, about boolean, payload binary")
+    dealt = ids.select("doc_id", "tag", "text").mapInArrow(deal, "part int, chunk long, about boolean, payload binary")
     counted = dealt.groupBy("part").applyInArrow(count, "chunk long, part int, payload binary, classes binary")
-    return counted.groupBy("chunk").applyInArrow(gather, "doc_id long, n_shingles long, sig long, tokens binary")
-
-
-def search(probes: list[np.ndarray], probe_sizes: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, percent: int, same: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """(probe, rows that reach the similarity with it). With `same`, probes are the sets and rows before the probe (by size, then place) are returned."""
-    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    keys, first = np.unique(flat, return_index=True)
-    first = np.append(first, len(flat))
-    for i, probe in enumerate(probes):
-        a = int(probe_sizes[i])
-        at = np.searchsorted(keys, probe)
-        at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == probe)] if len(keys) else at[:0]
-        lists = np.stack([first[at], first[at + 1]], axis=1)
-        length = lists[:, 1] - lists[:, 0]
-        need = -(-percent * a // 100)
+    return counted.groupBy("chunk").applyInArrow(gather, "doc_id long, tag long, n_shingles long, sig long, sig2 long, tokens binary")
+
+
+def merge_skip(lists: list[list[int]], need: int) -> tuple[list[int], list[int]]:
+    """Rows on `need` or more of the rising lists, and on how many; a heap holds the head of each list."""
+    rows, counts = [], []
+    heap = [(x[0], i, 0) for i, x in enumerate(lists)]
+    heapq.heapify(heap)
+    while len(heap) >= need:
+        row, out = heap[0][0], []
+        while heap and heap[0][0] == row:
+            out.append(heapq.heappop(heap))
+        if len(out) >= need:
+            rows.append(row)
+            counts.append(len(out))
+            ahead = row + 1
+        else:  # the lists left in the heap must hold the row that comes next
+            while len(out) < need - 1:
+                out.append(heapq.heappop(heap))
+            ahead = heap[0][0]
+        for _, i, at in out:
+            at = bisect_left(lists[i], ahead, at)
+            if at < len(lists[i]):
+                heapq.heappush(heap, (lists[i][at], i, at))
+    return rows, counts
+
+
+class Block:
+    """Inverted lists of sets; rows are numbered by rising size."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
+        flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        self.owner, self.sizes = owner[order], sizes
+        self.keys, first = np.unique(flat[order], return_index=True)
+        self.first = np.append(first, len(flat))
+
+    def search(self, probe: np.ndarray, size: int, wanted: np.ndarray, percent: int) -> np.ndarray:
+        """Rows among the wanted ones whose sets reach the similarity with a set of `size` shingles, of which `probe` are shared with any other."""
+        need = -(-percent * size // 100)
+        wanted = wanted & (100 * np.minimum(self.sizes, size) >= percent * np.maximum(self.sizes, size))
+        if not wanted.any() or not len(self.keys):
+            return np.empty(0, np.int64)
+        at = np.searchsorted(self.keys, probe)
+        at = at[self.keys[np.minimum(at, len(self.keys) - 1)] == probe]
+        runs = self.first[at + 1] - self.first[at]
+        entry = self.owner[common.ragged_index(self.first[at], runs)]
+        keep = wanted[entry]
+        which = np.repeat(np.arange(len(at)), runs)[keep]
+        lists = np.split(entry[keep], np.flatnonzero(np.diff(which)) + 1) if len(which) else []
         if len(lists) < need:
-            continue
-        lists = lists[np.argsort(-length, kind="stable")]
-        longest = int((lists[0, 1] - lists[0, 0])) if len(lists) else 0
-        n_long = min(need - 1, int(need / (0.0085 * math.log(max(longest, 2)) + 1)), len(lists)) if longest > 64 else 0
-        n_long = min(n_long, int((lists[:, 1] - lists[:, 0] > 64).sum()))
-        short = lists[n_long:]
-        sizes_s = short[:, 1] - short[:, 0]
-        ends = np.cumsum(sizes_s)
-        entries = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(short[:, 0] - (ends - sizes_s), sizes_s)
-        count = np.bincount(owner[entries], minlength=len(sets))
-        rows = np.flatnonzero(count >= max(1, need - n_long))
-        if same:
-            rows = rows[(sizes[rows] < a) | ((sizes[rows] == a) & (rows < i))]
-        rows = rows[(100 * np.minimum(sizes[rows], a) >= percent * np.maximum(sizes[rows], a))]
-        total = count[rows]
-        for lo, hi in lists[:n_long]:
+            return np.empty(0, np.int64)
+        lists.sort(key=len, reverse=True)
+        n_long = 0 if len(lists[0]) <= 64 else min(need - 1, int(need / (0.0085 * math.log(len(lists[0])) + 1)), sum(len(x) > 64 for x in lists))
+        rows, total = map(np.array, merge_skip([x.tolist() for x in lists[n_long:]], need - n_long))
+        for x in lists[:n_long]:
             if not len(rows):
                 break
-            spot = np.searchsorted(owner[lo:hi], rows)
-            total = total + ((spot < hi - lo) & (owner[lo:hi][np.minimum(spot, hi - lo - 1)] == rows))
-        yes = 100 * total >= percent * (a + sizes[rows] - total)
-        if yes.any():
-            yield i, rows[yes]
+            spot = np.minimum(np.searchsorted(x, rows), len(x) - 1)
+            total = total + (x[spot] == rows)
+        if not len(rows):
+            return np.empty(0, np.int64)
+        return rows[100 * total >= percent * (size + self.sizes[rows] - total)]
 
 
 def _links(key: tuple, table: pa.Table, percent: int) -> pa.Table:
-    """Links of one meeting of two blocks that join parts which were apart."""
+    """Links of one meeting of two blocks, or of a block with itself, that join components which were apart.
+
+    A link names the components (by their roots so far); each is linked to the smallest of those it was joined with.
+    """
+    table = table.sort_by([("n_shingles", "ascending"), ("node", "ascending")])
     left = np.asarray(table.column("left"))
-    sig, size = table.column("sig").to_numpy(), table.column("n_shingles").to_numpy()
+    size, root = (table.column(c).to_numpy() for c in ("n_shingles", "root"))
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("tokens")]
+    as_sets: dict[int, set] = {}
+    index_rows = np.flatnonzero(left)
     same = bool(left.all())
-    rows = np.flatnonzero(left)
-    probes = rows if same else np.flatnonzero(~left)
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = x = parent.get(parent[x], parent[x])
-        return x
-
-    out_a, out_b = [], []
-    for i, found in search([sets[j] for j in probes], size[probes], [sets[j] for j in rows], size[rows], percent, same):
-        a = int(sig[probes[i]])
-        for r in found.tolist():
-            b = int(sig[rows[r]])
-            x, y = root(a), root(b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                out_a.append(a)
-                out_b.append(b)
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-
-def components(docs: DataFrame, text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = 500, range_bytes: int = 12_000_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+    block = Block([sets[i] for i in index_rows], size[index_rows])
+    _, part = np.unique(root, return_inverse=True)  # component of each row of the meeting
+    lead: dict[int, int] = {}  # a row of each component that was met last
+
+    def near(i: int, j: int) -> bool:
+        a, b = (as_sets.setdefault(x, set(sets[x].tolist())) for x in (i, j))
+        both = len(a & b)
+        return 100 * both >= percent * int(size[i] + size[j] - both)
+
+    def link(i: int, j: int) -> None:
+        x, y = part[i], part[j]
+        if x != y:
+            part[part == x] = y
+            lead[int(y)] = j
+            lead.pop(int(x), None)
+
+    if not same:
+        for i in index_rows.tolist():
+            lead[int(part[i])] = i
+    for at, i in enumerate((index_rows if same else np.flatnonzero(~left)).tolist()):
+        for j in list(lead.values())[-4:]:
+            if part[i] != part[j] and near(i, j):
+                link(i, j)
+        apart = part[index_rows] != part[i]
+        if same:
+            apart[at:] = False
+        for r in block.search(sets[i], int(size[i]), apart, percent).tolist() if apart.any() else ():
+            link(i, int(index_rows[r]))
+        if same:
+            lead.pop(int(part[i]), None)
+            lead[int(part[i])] = i
+    joined = pa.table({"part": part, "root": root}).group_by("part").aggregate([("root", "min"), ("root", "distinct")])
+    a = pc.list_flatten(joined.column("root_distinct"))
+    b = joined.column("root_min").take(pc.list_parent_indices(joined.column("root_distinct")))
+    return pa.table({"a": a, "b": b}).filter(pc.not_equal(a, b))
+
+
+def components(
+    docs: DataFrame, text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = 200_000, range_bytes: int = 12_000_000, tag_col: str | None = None
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, tag, group) of every document.
+
+    `tag` is the long column `tag_col` (0 if not given), `group` names the component, also where no row has an id; null: linked with nothing.
+    `block` bounds the shingles of a block.
+    """
     spark = docs.sparkSession
     common.prepare(spark)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    bits = min(15, max(0, math.ceil(math.log2(max(1, size / range_bytes)))))
-    every = common.cut(_frequencies(docs, text_col, bits, words, percent))
-    sets = every.where(F.col("tokens").isNotNull()).groupBy("sig").agg(
+    bits = min(31, max(0, math.ceil(math.log2(max(1, size / range_bytes)))))
+    tag = F.lit(0) if tag_col is None else F.col(tag_col)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag.cast("long").alias("tag"), F.col(text_col).alias("text"))
+    every = common.cut(_frequencies(ids, bits, words, percent))
+    classes = every.where(F.col("tokens").isNotNull()).groupBy("sig", "sig2").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")
     )
-    sets = common.cut(sets)
+    sets = common.cut(classes.withColumn("node", F.monotonically_increasing_id()))
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -264,34 +327,53 @@ def components(docs: DataFrame, text_col: str = "text", words: int = WORDS, perc
             first = offsets // 8
             shared = np.diff(first)
             take = shared - (-(-percent * n // 100)) + 1
-            entry = np.arange(int(take.sum())) + np.repeat(first[:-1] - (np.cumsum(take) - take), take)
-            yield pa.RecordBatch.from_arrays([pa.array(token[entry]), pa.array(np.repeat(common.column(b, "sig").to_numpy(), take))], names=["token", "sig"])
+            entry = common.ragged_index(first[:-1], take)
+            yield pa.RecordBatch.from_arrays([pa.array(token[entry]), pa.array(np.repeat(common.column(b, "node").to_numpy(), take))], names=["token", "node"])
 
-    listed = common.cut(sets.select("sig", "n_shingles", "tokens").mapInArrow(prefix, "token long, sig long"))
-    lead = listed.groupBy("token").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a != z")
-    met = listed.join(lead, "token").select("a", F.col("sig").alias("b")).where("a != b").distinct()
+    listed = common.cut(sets.select("node", "n_shingles", "tokens").mapInArrow(prefix, "token long, node long"))
+    lead = common.cut(listed.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").drop("z"))
+    met = listed.join(lead, "token").select("a", F.col("node").alias("b")).where("a != b").distinct()
     stars = graph.connected(met)
-    groups = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("sig"), F.col("root").alias("grp"))
-    grouped = common.cut(groups.join(sets.select("sig", "n_shingles"), "sig"))
-    links = _meetings(grouped, sets, block, percent)
-    joined = graph.connected(links)
+    groups = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "grp")
+    grouped = common.cut(groups.join(sets.select("node", "n_shingles"), "node"))
+    joined = graph.connected(_meetings(grouped, sets, block, percent))
     # the smallest id of each component, over classes of equal sets
-    label = sets.select("sig", "doc_id", "copies").join(joined, F.col("sig") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sig"))
+    label = sets.select("node", "sig", "sig2", "doc_id", "copies").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = label.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
-    named = label.join(best, "root").select("sig", "component_id")
-    out = every.select("doc_id", "n_shingles", "sig").join(named, "sig", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    named = label.join(best, "root").select("sig", "sig2", "component_id", F.col("root").alias("group"))
+    out = every.drop("tokens").join(named, ["sig", "sig2"], "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "tag", "group")
 
 
 def _meetings(grouped: DataFrame, sets: DataFrame, block: int, percent: int) -> DataFrame:
-    """Links found in all meetings of blocks of all groups."""
-    order = Window.partitionBy("grp").orderBy("n_shingles", "sig")
-    placed = common.cut(grouped.withColumn("blk", F.floor((F.row_number().over(order) - 1) / block).cast("int")))
+    """(a, b): links that join all that is similar, from all meetings of blocks of all groups."""
+    # a row's block follows from counts of its group by size (in 16 shares), so no group is sorted in one task
+    cost = F.greatest("n_shingles", F.lit(block // 500))
+    salted = grouped.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(16)))
+    counts = salted.groupBy("grp", "n_shingles", "salt").agg(F.count("*").alias("n"))
+    before = F.sum(F.col("n") * cost).over(Window.partitionBy("grp").orderBy("n_shingles", "salt")) - F.col("n") * cost
+    counts = common.cut(counts.withColumn("before", before))
+    blk = F.floor((F.col("before") + F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")) * cost) / block)
+    placed = common.cut(salted.join(counts, ["grp", "n_shingles", "salt"]).select("grp", "node", blk.alias("blk"), "n_shingles"))
     bounds = placed.groupBy("grp", "blk").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    nth = F.row_number().over(Window.partitionBy("grp").orderBy("blk"))  # over blocks
+    bounds = common.cut(bounds.withColumn("nth", nth))
     x, y = bounds.alias("x"), bounds.alias("y")
-    fits = (F.col("x.grp") == F.col("y.grp")) & (F.col("x.blk") <= F.col("y.blk")) & (F.col("y.low") * percent <= F.col("x.high") * 100)
-    meet = x.join(y, fits).select(F.col("x.grp").alias("grp"), F.col("x.blk").alias("i"), F.col("y.blk").alias("j"))
-    left = meet.select("grp", F.col("i").alias("blk"), "i", "j", F.lit(True).alias("left"))
-    right = meet.where("i != j").select("grp", F.col("j").alias("blk"), "i", "j", F.lit(False).alias("left"))
-    rows = placed.join(left.unionByName(right), ["grp", "blk"]).select("grp", "i", "j", "left", "sig").join(sets.select("sig", "n_shingles", "tokens"), "sig")
-    return rows.groupBy("grp", "i", "j").applyInArrow(lambda key, table: _links(key, table, percent), "a long, b long")
+    fits = (F.col("x.grp") == F.col("y.grp")) & (F.col("x.nth") <= F.col("y.nth")) & (F.col("y.low") * percent <= F.col("x.high") * 100)
+    pairs = x.join(y, fits).select(F.col("x.grp").alias("grp"), F.col("x.blk").alias("i"), F.col("y.blk").alias("j"), (F.col("y.nth") - F.col("x.nth")).alias("gap"))
+
+    def links(meet: DataFrame, rows: DataFrame) -> DataFrame:
+        left = meet.select("grp", F.col("i").alias("blk"), "i", "j", F.lit(True).alias("left"))
+        right = meet.where("i != j").select("grp", F.col("j").alias("blk"), "i", "j", F.lit(False).alias("left"))
+        dealt = rows.join(left.unionByName(right), ["grp", "blk"]).select("grp", "i", "j", "left", "node", "root").join(sets.select("node", "n_shingles", "tokens"), "node")
+        return dealt.groupBy("grp", "i", "j").applyInArrow(lambda key, table: _links(key, table, percent), "a long, b long")
+
+    first = common.cut(links(pairs.where("gap <= 1"), placed.withColumn("root", F.col("node"))))
+    later = pairs.where("gap > 1")
+    if not later.limit(1).count():
+        return first
+    rooted = common.cut(placed.join(graph.connected(first), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    spread = rooted.groupBy("grp", "blk").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    i, j = (spread.select("grp", F.col("blk").alias(c), F.col("least").alias(f"least_{c}"), F.col("most").alias(f"most_{c}")) for c in "ij")
+    apart = later.join(i, ["grp", "i"]).join(j, ["grp", "j"]).where("least(least_i, least_j) != greatest(most_i, most_j)")
+    return first.unionByName(links(apart.select("grp", "i", "j"), rooted))

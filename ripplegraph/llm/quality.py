@@ -40,7 +40,8 @@ def features(data: np.ndarray, offsets: np.ndarray, dims: int) -> tuple[np.ndarr
     n = len(offsets) - 1
     low = common.LOWER[data]
     starts, ends, rows = common.word_spans(low, offsets)
-    key = rows.astype(np.int64) * dims + (common.span_hashes(low, starts, ends) % np.uint64(dims)).astype(np.int64)
+    h = common.word_names(low, starts, ends)
+    key = rows.astype(np.int64) * dims + (h % np.uint64(dims)).astype(np.int64)
     key, tf = np.unique(key, return_counts=True)
     row, col = key // dims, (key % dims).astype(np.int32)
     value = np.sqrt(tf.astype(np.float64))
@@ -63,7 +64,6 @@ def features(data: np.ndarray, offsets: np.ndarray, dims: int) -> tuple[np.ndarr
     length = np.bincount(rows, (ends - starts).astype(float), n)
     again = np.zeros(n)
     if len(rows) > 1:
-        h = common.span_hashes(low, starts, ends)
         again = np.bincount(rows[1:][(h[1:] == h[:-1]) & (rows[1:] == rows[:-1])], minlength=n).astype(float)
     stats = np.stack(
         [
@@ -193,11 +193,12 @@ def score(docs: DataFrame, machine: Machine | None, text_col: str = "text") -> D
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = shared.value
-            if m is None:
-                p = np.full(len(b), 0.5)
-            else:
-                z = m.logits(*features(*common.bytes_of(common.column(b, text_col)), m.dims))
-                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "score"])
+            for some in common.slices(b, text_col):
+                if m is None:
+                    p = np.full(len(some), 0.5)
+                else:
+                    z = m.logits(*features(*common.bytes_of(common.column(some, text_col)), m.dims))
+                    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(p, pa.float64())], names=[*some.schema.names, "score"])
 
     return docs.mapInArrow(scored, f"{schema}, score double")

@@ -18,7 +18,7 @@ def _file(name: str) -> str:
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 rows of largest integer inner product for every vector whose id is divisible by 20."""
-    rows = common.cut(topk.integer_vectors(common.read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64.0))
+    rows = topk.integer_vectors(common.read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64.0)
     return topk.exact_top_k(rows.where(topk.every_nth("id", 20)), rows, k=20)
 
 
@@ -42,7 +42,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and link component of every document."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return ngram_join.components(docs)
+    return ngram_join.components(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(_file("word_bpe_49k.json")) as f:
         tokens = bpe.Tokens(f.read())
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.decode(bpe.encode(docs, tokens), tokens)
+    both = bpe.decode(bpe.encode(docs, tokens, keep=["doc_id"]), tokens)
     return both.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,7 +242,8 @@ def covered(source: DataFrame, length: int = LENGTH, hot: int = 50_000) -> DataF
             at, gram = anchors(raw, offsets, length)
             row = np.searchsorted(offsets, at, side="right") - 1
             begin, end = np.maximum(offsets[row], at - left), np.minimum(offsets[row + 1], at + length)
-            frag = common.mix(common.span_hashes(raw, begin, end) + (at - begin).astype(np.uint64))
+            text = raw.tobytes()
+            frag = np.fromiter((xxhash.xxh3_64_intdigest(text[a:z], p) for a, z, p in zip(begin.tolist(), end.tolist(), (at - begin).tolist(), strict=True)), np.uint64, len(at))
             order = np.lexsort((frag, gram))
             new = np.ones(len(order), bool)
             new[1:] = (gram[order][1:] != gram[order][:-1]) | (frag[order][1:] != frag[order][:-1])

@@ -42,8 +42,30 @@ def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(int(i), [int(v) for v in rng.integers(-3, 4, 6)]) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, v array<long>")
-    got = topk.exact_top_k(df.where(topk.every_nth()), df, k=5, row_block=32, query_block=4, cell_bits=1)
+    got = topk.exact_top_k(df.where(topk.every_nth()), df, k=5, row_block=32, query_block=4, levels=3)
     assert {tuple(r) for r in got.collect()} == brute_top(rows, 5)
+    wide = [(i, [int(v) for v in rng.integers(-(2**28), 2**28, 6)]) for i in range(100)]
+    df = spark.createDataFrame(wide, "id long, v array<long>")
+    assert {tuple(r) for r in topk.exact_top_k(df.where(topk.every_nth()), df, k=5, levels=4).collect()} == brute_top(wide, 5)
+
+
+def test_bounds_hold_and_spare_exact_vectors():
+    rng = np.random.default_rng(8)
+    x, q = (rng.integers(-20, 21, (n, 32)) for n in (600, 20))
+    about = topk.Approximation.of(x, 16)
+    assert about.cells.max() < 32 and about.cells.dtype == np.uint8
+    lower, upper = about.bounds(q, np.float64)
+    assert (lower <= q @ x.T).all() and (q @ x.T <= upper).all()
+    kth = np.sort(lower, axis=1)[:, -5]
+    assert (upper >= kth[:, None]).mean() < 0.3
+
+
+def test_repeated_rows_share_no_block(spark):
+    df = spark.createDataFrame([(i % 2, [1, 2]) for i in range(400)] + [(20, [3, 1])], "id long, v array<long>")
+    blocks, n = topk._blocks(df.withColumn("place", F.monotonically_increasing_id()), 401, 50, "rb")
+    assert n == 9 and max(len(r["rb_ids"]) for r in blocks.collect()) < 100
+    got = topk.exact_top_k(df.where(topk.every_nth()), df, k=3).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == [(0, r, 1, 5) for r in (1, 2, 3)] + [(20, r, 0, 5) for r in (1, 2, 3)]
 
 
 def test_top_k_cases(spark):
@@ -202,30 +224,46 @@ def near_copies(rng, n, words, changes):
 def test_components_equal_brute_force(spark, docs):
     rng = np.random.default_rng(5)
     rows = docs + [(5000 + i, t) for i, t in enumerate(near_copies(rng, 60, 120, 3))] + [(6000 + i, t) for i, t in enumerate(["one two", "ONE\ttwo", "one", "", " \n", None, "a b c d e", "A b c d e", "a b c d e f"])]
-    for options in ({}, {"block": 8, "range_bytes": 20_000}):
+    for options in ({}, {"block": 1000, "range_bytes": 20_000}):
         got = ngram_join.components(frame(spark, rows), **options).collect()
-        assert sorted(tuple(r) for r in got) == brute_components(rows)
+        assert sorted(tuple(r)[:3] for r in got) == brute_components(rows)
 
 
 def test_component_cases(spark):
     assert ngram_join.components(frame(spark, [])).count() == 0
-    df = spark.createDataFrame([(7, "a b c d e f", 1), (7, "a b c d e f", 2), (3, "a b c d e f", 3), (None, "q r s", 4)], "doc_id long, text string, sig int")
+    df = spark.createDataFrame([(7, "a b c d e f", 1), (7, "a b c d e f", 2), (3, "a b c d e f", 3), (None, "q r s", 4)], "doc_id long, text string, tag int")
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in ngram_join.components(df).collect())
     assert got == [(-1, 1, None), (3, 2, 3), (7, 2, 3), (7, 2, 3)]
 
 
 def test_divide_skip_equals_counts():
     rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(300)]
+    sets = sorted((np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(300)), key=len)
     sizes = np.array([len(s) for s in sets])
-    got = {(i, int(r)) for i, rows in ngram_join.search(sets, sizes, sets, sizes, 60, True) for r in rows}
-    want = set()
-    for i in range(len(sets)):
-        for j in range(len(sets)):
-            o = len(np.intersect1d(sets[i], sets[j]))
-            if (sizes[j], j) < (sizes[i], i) and 100 * o >= 60 * (sizes[i] + sizes[j] - o):
-                want.add((i, j))
-    assert got == want
+    block = ngram_join.Block(sets, sizes)
+    for i, s in enumerate(sets):
+        wanted = rng.random(300) < 0.8
+        both = np.array([len(np.intersect1d(s, x)) for x in sets])
+        want = np.flatnonzero(wanted & (100 * both >= 60 * (sizes[i] + sizes - both)))
+        assert block.search(s, int(sizes[i]), wanted, 60).tolist() == want.tolist()
+    lists = [sorted(set(rng.integers(0, 30, 12).tolist())) for _ in range(9)]
+    count = collections.Counter(x for y in lists for x in y)
+    for need in range(1, 10):
+        assert list(zip(*ngram_join.merge_skip(lists, need), strict=True)) == sorted((r, n) for r, n in count.items() if n >= need)
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_that_fool_polynomials_are_not_one(spark, tokens):
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    df = frame(spark, [(1, one), (2, other), (3, f"{other} {one}")])
+    assert [r["component_id"] for r in ngram_join.components(df).orderBy("doc_id").collect()] == [1, 2, 3]
+    got = bpe.decode(bpe.encode(df, tokens), tokens).orderBy("doc_id").collect()
+    assert [(bytes(r["ids"]), r["decoded"]) for r in got] == [brute_bpe(tokens, t) for t in (one, other, f"{other} {one}")]
+    assert [r["n_removed"] for r in repeats.remove_repeats(df).orderBy("doc_id").collect()] == [r[2] for r in brute_removed([(1, one), (2, other), (3, f"{other} {one}")], 200)]
 
 
 def test_connected(spark):
@@ -426,11 +464,14 @@ def brute_bpe(tokens, text):
 
 def test_bpe_equals_library(spark, docs, tokens):
     rows = docs + [(10_000 + i, t) for i, t in enumerate(ODD)] + [(10_000, ODD[0])] + [(20_000, "".join(chr(i) + " " for i in range(1, 0x250)))]
-    for limit in (4_000_000, 10):
-        got = bpe.decode(bpe.encode(frame(spark, rows), tokens, table_words=limit), tokens).collect()
+    for options in ({}, {"part_bytes": 100, "chunk_words": 50, "chunk_bytes": 5000}):
+        got = bpe.decode(bpe.encode(frame(spark, rows), tokens, **options), tokens).collect()
         want = sorted((i, *brute_bpe(tokens, t)) for i, t in rows)
         assert sorted((r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in got) == want
     assert bpe.decode(bpe.encode(frame(spark, []), tokens), tokens).count() == 0
+    clash = spark.createDataFrame([(1, "two words", "x", 5)] * 3, "doc_id long, text string, ids string, decoded int").repartition(3)
+    got = bpe.decode(bpe.encode(common.cut(clash), tokens), tokens).collect()
+    assert [(r["doc_id"], r["decoded"]) for r in got] == [(1, "two</w> words</w>")] * 3
 
 
 def test_helpers():
@@ -439,5 +480,7 @@ def test_helpers():
     assert bytes(raw) == "é  x".encode() and offsets.tolist() == [0, 0, 0, 5]
     starts, ends, rows = common.word_spans(*common.bytes_of(pa.array(["a b", "b a", "ab"])))
     assert (starts.tolist(), ends.tolist(), rows.tolist()) == ([0, 2, 3, 5, 6], [1, 3, 4, 6, 8], [0, 0, 1, 1, 2])
-    h = common.span_hashes(*[np.frombuffer(b"a b b a", np.uint8), np.array([0, 2, 4, 6]), np.array([1, 3, 5, 7])])
+    h = common.word_names(*[np.frombuffer(b"a b ba", np.uint8), np.array([0, 2, 4, 5]), np.array([1, 3, 5, 6])])
     assert h[0] == h[3] and h[1] == h[2] and h[0] != h[1]
+    parts = list(common.slices(pa.RecordBatch.from_arrays([pa.array(["aaaa", None, "bb", "c" * 50, "", "d"])], names=["text"]), "text", rows=3, size=6))
+    assert [p.column(0).to_pylist() for p in parts] == [["aaaa", None, "bb"], ["c" * 50], ["", "d"]]
