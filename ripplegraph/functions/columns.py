@@ -8,6 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space as Python's str.isspace() has it, for use in a character class; Java's \\s is ASCII only.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters, digits and underscore as Python's \\w has them, and the edge between these and others.
+WORD = r"\p{L}\p{N}_"
+EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
+
+
+def strip(value: Column) -> Column:
+    """A text without white space at its ends, Unicode white space included."""
+    return F.regexp_replace(value, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+
+
 def short_hash(value: Column, length: int = 10) -> Column:
     """First hex digits of the sha1 of a text."""
     return F.substring(F.sha1(value.cast("binary")), 1, length)

@@ -22,7 +22,7 @@ BY_EVIDENCE = "same_evidence_neighborhood"
 def tokens(value: Column) -> Column:
     """A4: identifier tokens of two characters or more: camel, snake and Japanese words, folded."""
     spaced = F.regexp_replace(F.regexp_replace(value, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    words = F.transform(F.regexp_extract_all(spaced, F.lit(r"[A-Za-z][A-Za-z0-9]*|\d+|[一-龥ぁ-んァ-ン]+"), F.lit(0)), F.lower)
+    words = F.transform(F.regexp_extract_all(spaced, F.lit(r"[A-Za-z][A-Za-z0-9]*|\p{Nd}+|[一-龥ぁ-んァ-ン]+"), F.lit(0)), F.lower)
     return F.filter(words, lambda w: F.length(w) >= 2)
 
 
@@ -244,8 +244,11 @@ def candidates(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def pair_context(pairs: DataFrame, relations: DataFrame, evidence: DataFrame, max_relations: int = 24, max_quotes: int = 8) -> DataFrame:
-    """(left, right): neighbours, the first relations that touch the pair or a neighbour, their evidence and first quotes (limits of the report)."""
+def pair_context(pairs: DataFrame, entities: DataFrame, relations: DataFrame, evidence: DataFrame, max_relations: int = 24, max_quotes: int = 8) -> DataFrame:
+    """(left, right): neighbours, the first relations that touch the pair or a neighbour, and evidence with its first quotes (limits of the report).
+
+    Evidence is that of those relations and that which the pair has in common or close by (A7).
+    """
     ends = relations.select(F.col("source_id").alias("n"), F.col("target_id").alias("o")).unionByName(relations.select(F.col("target_id").alias("n"), F.col("source_id").alias("o"))).distinct()
     p = pairs.select("left", "right")
     own = p.select("left", "right", F.explode(F.array("left", "right")).alias("n"))
@@ -261,7 +264,10 @@ def pair_context(pairs: DataFrame, relations: DataFrame, evidence: DataFrame, ma
     text = F.concat("source_id", F.lit(" -"), "relation_type", F.lit("-> "), "target_id", F.lit(" ["), "status", F.lit("/"), "polarity", F.lit("]"))
     r = top.join(relations.select("relation_id", text.alias("line"), "evidence_ids"), "relation_id")
     lines = r.groupBy("left", "right").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "line"))), lambda s: s["line"]).alias("relation_context"))
-    ev = r.select("left", "right", F.explode("evidence_ids").alias("evidence_id")).distinct().join(evidence.select("evidence_id", "quote"), "evidence_id")
+    named = p.select(F.explode(F.array("left", "right")).alias("entity_id")).distinct()
+    near = evidence_pairs(entities.join(named, "entity_id", "left_semi"), relations, evidence).join(p, ["left", "right"], "left_semi")
+    ids = r.select("left", "right", F.explode("evidence_ids").alias("evidence_id")).unionByName(near.select("left", "right", "evidence_id")).distinct()
+    ev = ids.join(evidence.select("evidence_id", "quote"), "evidence_id")
     quotes = ev.groupBy("left", "right").agg(F.array_sort(F.collect_list(F.struct("evidence_id", "quote"))).alias("_q"))
     out = p.join(surrounding, ["left", "right"], "left").join(lines, ["left", "right"], "left").join(quotes, ["left", "right"], "left")
     return out.withColumn("evidence_ids", F.transform("_q", lambda s: s["evidence_id"])).withColumn("evidence_quotes", F.transform(F.slice("_q", 1, max_quotes), lambda s: s["quote"])).drop("_q")
@@ -276,7 +282,7 @@ def apply_judgements(rows: DataFrame, answers: DataFrame, evidence: DataFrame) -
     """A model's judgements (candidate_id, judgement, reason, evidence_ids); unknown evidence is dropped, and without any left the own list stays."""
     known = answers.select("candidate_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence.select("evidence_id"), "evidence_id", "left_semi")
     good = known.groupBy("candidate_id").agg(F.array_sort(F.collect_set("evidence_id")).alias("_ev"))
-    a = answers.select("candidate_id", F.col("judgement").alias("_j"), F.col("reason").alias("_r")).join(good, "candidate_id", "left")
+    a = answers.select("candidate_id", F.col("judgement").alias("_j"), F.nullif("reason", F.lit("")).alias("_r")).join(good, "candidate_id", "left")
     j = rows.join(a, "candidate_id", "left")
     return j.withColumn("judgement", F.coalesce("_j", "judgement")).withColumn("reason", F.coalesce("_r", "reason")).withColumn("evidence_ids", F.coalesce("_ev", "evidence_ids")).drop("_j", "_r", "_ev")
 

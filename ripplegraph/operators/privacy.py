@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import EDGE, SPACE
+
 MASK = "[REDACTED]"
-# What is redacted, in this order. (?U) makes classes Unicode-aware where names may be.
+# What is redacted, in this order. White space, digits and word edges are those of Unicode.
 REDACT = (
-    r"(?i)(?:氏名|名前|顧客名|口座名義|full[_ ]?name|customer[_ ]?name)\s*[:：=]\s*[^\r\n,，。]{2,80}",
-    r"(?i)(?:顧客番号|会員番号|口座番号|customer[_ -]?id|account[_ -]?number)\s*[:：=]\s*[A-Za-z0-9_-]{4,40}",
-    r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
-    r"\b0\d{1,4}[- ]?\d{1,4}[- ]?\d{3,4}\b",
-    r"https?://[^\s)]+",
-    r"(?i)\b(?:sk-[A-Za-z0-9_\-]{8,}|pk_[A-Za-z0-9_\-]{8,}|(?:api[_-]?key|token|secret)[=:][A-Za-z0-9_\-]{8,})\b",
-    r"\b\d{7,12}\b",
+    rf"(?i)(?:氏名|名前|顧客名|口座名義|full[_ ]?name|customer[_ ]?name)[{SPACE}]*[:：=][{SPACE}]*[^\r\n,，。]{{2,80}}",
+    rf"(?i)(?:顧客番号|会員番号|口座番号|customer[_ -]?id|account[_ -]?number)[{SPACE}]*[:：=][{SPACE}]*[A-Za-z0-9_-]{{4,40}}",
+    rf"{EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{EDGE}",
+    rf"{EDGE}0\p{{Nd}}{{1,4}}[- ]?\p{{Nd}}{{1,4}}[- ]?\p{{Nd}}{{3,4}}{EDGE}",
+    rf"https?://[^{SPACE})]+",
+    rf"(?i){EDGE}(?:sk-[A-Za-z0-9_\-]{{8,}}|pk_[A-Za-z0-9_\-]{{8,}}|(?:api[_-]?key|token|secret)[=:][A-Za-z0-9_\-]{{8,}}){EDGE}",
+    rf"{EDGE}\p{{Nd}}{{7,12}}{EDGE}",
 )
 SENSITIVE_KEY = r"(?i)key|token|secret|password|full[_ ]?name|customer[_ ]?name|customer[_ ]?id|account[_ ]?number|email|phone"
 CATEGORIES = {"email": REDACT[2], "phone": REDACT[3], "url": REDACT[4], "api_key": REDACT[5], "account_number": REDACT[6]}
@@ -47,7 +49,14 @@ def sensitive_counts(chunks: DataFrame, text_col: str = "text") -> DataFrame:
 def audit_rows(calls: DataFrame) -> DataFrame:
     """Hashes and sizes of model calls (run_id, purpose, provider, model, payload, answer, redacted), never their content."""
     return calls.select(
-        "run_id", "purpose", "provider", "model", F.sha2("payload", 256).alias("payload_hash"), F.sha2("answer", 256).alias("answer_hash"), F.length("payload").alias("payload_chars"), F.coalesce("redacted", F.lit(False)).alias("redacted")
+        "run_id",
+        "purpose",
+        "provider",
+        "model",
+        F.sha2("payload", 256).alias("payload_hash"),
+        F.sha2("answer", 256).alias("answer_hash"),
+        F.length("payload").alias("payload_chars"),
+        F.coalesce("redacted", F.lit(False)).alias("redacted"),
     )
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.columns import strip
+
 SUFFIXES = (".md", ".txt", ".yml", ".yaml", ".json", ".sql", ".csv", ".xlsx")
 
 
@@ -32,17 +34,31 @@ def _merge_hashes(state: DataFrame, batch: DataFrame) -> DataFrame:
     return j.withColumn("changes", F.when(F.col("_before").isNull(), F.col("changes")).otherwise(F.col("_before") + F.col("changes") - 1)).drop("_before")
 
 
+# Fixed value: the longest key of a mutation.
+MAX_KEY = 200
+
+
+def _keyed(events: DataFrame) -> DataFrame:
+    """Events with their trimmed key (null: none, or too long) and a digest of action and params.
+
+    Params are JSON: order of names and white space do not count. What is no JSON counts as text.
+    """
+    key = strip(F.coalesce("key", F.lit("")))
+    params = F.coalesce(F.to_json(F.try_parse_json("params")), F.col("params"))
+    digest = F.sha2(F.to_json(F.struct("action", params.alias("params"))), 256)
+    return events.withColumn("_k", F.when(F.length(key).between(1, MAX_KEY), key)).withColumn("_d", digest)
+
+
 def first_mutations(events: DataFrame) -> DataFrame:
-    """R2: (key, action, digest, seq): the first mutation of each key; params are compared by digest."""
-    d = events.withColumn("digest", F.sha2(F.concat_ws("|", "action", "params"), 256))
-    return d.groupBy("key").agg(F.min_by(F.struct("action", "digest", "seq"), "seq").alias("f")).select("key", "f.action", "f.digest", "f.seq")
+    """R2: (key, action, digest, seq): the first mutation of each valid key."""
+    d = _keyed(events).where("_k is not null")
+    return d.groupBy(F.col("_k").alias("key")).agg(F.min_by(F.struct("action", F.col("_d").alias("digest"), "seq"), "seq").alias("f")).select("key", "f.action", "f.digest", "f.seq")
 
 
 def mutation_results(events: DataFrame, ledger: DataFrame) -> DataFrame:
-    """R2: each event against the ledger: applied (the first), replayed (same content) or conflict (other content)."""
-    d = events.withColumn("_d", F.sha2(F.concat_ws("|", "action", "params"), 256))
-    j = d.join(ledger.select("key", F.col("digest").alias("_f"), F.col("seq").alias("_s")), "key")
-    out = F.when(F.col("seq") == F.col("_s"), "applied").when(F.col("_d") == F.col("_f"), "replayed").otherwise("conflict")
+    """R2: each event against the ledger: applied (the first), replayed (same content), conflict (other content) or invalid (its key)."""
+    j = _keyed(events).join(ledger.select(F.col("key").alias("_k"), F.col("digest").alias("_f"), F.col("seq").alias("_s")), "_k", "left")
+    out = F.when(F.col("_k").isNull(), "invalid").when(F.col("seq") == F.col("_s"), "applied").when(F.col("_d") == F.col("_f"), "replayed").otherwise("conflict")
     return j.withColumn("outcome", out).select(*events.columns, "outcome")
 
 
