@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import column_letter, holds_any, short_hash, slug
-from .markdown import field_name, unresolved_mentions
+from ..functions.columns import column_letter, holds_any, lines_of, short_hash, slug, strip
+from .markdown import field_name, unresolved_mentions, with_ids
 
 # Header signatures (every group needs a hit), then keywords, in this order.
 SIGNATURES = (
@@ -156,7 +156,7 @@ def region_lines(regions: DataFrame) -> DataFrame:
 
 def header_row(members: DataFrame, first: int = 8) -> DataFrame:
     """(region_id, header_row): of a region's first rows the fullest with two values or more, the first of equals."""
-    v = members.where(has_value() & (F.trim("value") != "") & (F.col("row") < F.col("start_row") + first))
+    v = members.where(has_value() & (strip(F.col("value")) != "") & (F.col("row") < F.col("start_row") + first))
     n = v.groupBy("region_id", "row").agg(F.count("*").alias("n")).where("n >= 2")
     return n.groupBy("region_id").agg(F.max_by("row", F.struct("n", -F.col("row"))).alias("header_row"))
 
@@ -164,7 +164,7 @@ def header_row(members: DataFrame, first: int = 8) -> DataFrame:
 def region_rows(members: DataFrame) -> DataFrame:
     """(region_id, row, values, evidence_ids): rows under the header as maps from header, and from col_n, to value."""
     head = header_row(members)
-    m = members.join(head, "region_id").withColumn("_i", F.col("column") - F.col("start_column") + 1).withColumn("_v", F.trim(F.coalesce("value", F.lit(""))))
+    m = members.join(head, "region_id").withColumn("_i", F.col("column") - F.col("start_column") + 1).withColumn("_v", strip(F.coalesce("value", F.lit(""))))
     names = m.where("row = header_row").select("region_id", "_i", F.col("_v").alias("_h"))
     body = m.where("row > header_row").join(names, ["region_id", "_i"], "left")
     col = F.concat(F.lit("col_"), F.col("_i").cast("string"))
@@ -189,7 +189,7 @@ def lookup(values: Column, *names: str) -> Column:
 
 
 def _sheet_name(c: Column) -> Column:
-    short = F.trim(F.regexp_replace(c, "(定義書|一覧|シート|項目|設計書)$", ""))
+    short = strip(F.regexp_replace(c, "(定義書|一覧|シート|項目|設計書)$", ""))
     return F.when(short == "", c).otherwise(short)
 
 
@@ -248,59 +248,206 @@ def clean(nodes: DataFrame, edges: DataFrame, regions: DataFrame) -> tuple[DataF
     return good, e.where("_p is null").select(edges.columns), told.groupBy("region_id").agg(F.array_sort(F.collect_set("w")).alias("warnings"))
 
 
-def proposals_to_graph(nodes: DataFrame, edges: DataFrame, status: DataFrame, document_id: str) -> DataFrame:
-    """Relations of the proposals that are not rejected (status: region_id, status); node and relation types are mapped, guesses are inferred."""
+def _named_slug(value: Column) -> Column:
+    """Letters and digits of any script in lower case, joined by underscores; texts without any are named by their hash."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
+    return F.when(plain == "", short_hash(value)).otherwise(plain)
+
+
+def _live_nodes(nodes: DataFrame, status: DataFrame, names: DataFrame | None) -> DataFrame:
+    """Nodes of proposals that are not rejected, with id, type and name in the graph."""
     live = status.where("status <> 'rejected'").select("region_id")
     kind = F.coalesce(_map(NODE_TYPES, F.col("node_type")), F.lit("Document"))
     name = F.when(kind == "BusinessField", field_name(F.col("display_name"))).otherwise(F.col("display_name"))
-    n = nodes.join(live, "region_id", "left_semi").select("region_id", "temp_id", F.concat(_map(PREFIX, kind), F.lit("."), slug(name)).alias("node_id"))
-    e = edges.join(n.select("region_id", F.col("temp_id").alias("source_temp_id"), F.col("node_id").alias("source_id")), ["region_id", "source_temp_id"]).join(n.select("region_id", F.col("temp_id").alias("target_temp_id"), F.col("node_id").alias("target_id")), ["region_id", "target_temp_id"])
-    rel = F.coalesce(_map(RELATION_MAP, F.col("relation_type")), F.col("relation_type"))
-    e = e.withColumn("relation_type", rel)
-    key = short_hash(F.concat_ws("|", "source_id", "relation_type", "target_id", "region_id"))
+    n = nodes.join(live, "region_id", "left_semi").withColumn("kind", kind).withColumn("name", name)
+    return with_ids(n, "name", "kind", names, "node_id", _map(PREFIX, F.col("kind")))
+
+
+def proposals_to_graph(
+    nodes: DataFrame, edges: DataFrame, regions: DataFrame, status: DataFrame, document: DataFrame, names: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Artifacts, entities, relations and evidence of the proposals that are not rejected.
+
+    status: region_id, status, and optionally extraction_method; document: workbook_id, document_id, file; names: the alias
+    catalog. Node and relation types are mapped, guesses are inferred, each relation has the region's text as evidence.
+    """
+    n = _live_nodes(nodes, status, names).join(regions.select("region_id", "workbook_id"), "region_id").join(document, "workbook_id")
+    method = F.when(F.col("rationale").contains("LLM"), "llm").otherwise("rule") if "rationale" in nodes.columns else F.lit("rule")
+    sets = lambda c, name: F.array_sort(F.collect_set(c)).alias(name)
+    node = n.groupBy("node_id", "kind").agg(
+        F.min_by("name", F.struct("region_id", "temp_id")).alias("display_name"), sets("document_id", "source_document_ids"), sets(method, "extraction_methods")
+    )
+    ends = n.select("region_id", "temp_id", "node_id", "kind")
+    e = edges
+    for end in ("source", "target"):
+        e = e.join(
+            ends.select("region_id", F.col("temp_id").alias(f"{end}_temp_id"), F.col("node_id").alias(f"{end}_id"), F.col("kind").alias(f"{end}_kind")),
+            ["region_id", f"{end}_temp_id"],
+        )
+    e = e.withColumn("relation_type", F.coalesce(_map(RELATION_MAP, F.col("relation_type")), F.col("relation_type")))
+    place = region_lines(regions).select("region_id", "section_id", "chunk_id")
+    about = regions.select("region_id", "workbook_id", "sheet_name", "range", "rendered_text", "start_row", "end_row")
+    e = e.join(about, "region_id").join(document, "workbook_id").join(place, "region_id").join(status.drop("status"), "region_id")
+    key = F.concat_ws("|", "source_id", "relation_type", "target_id", "region_id")
     guess = F.col("inference_level") != "explicit"
-    out = e.select(
-        F.concat(F.lit("rel."), slug(F.col("source_id")), F.lit("."), F.lower("relation_type"), F.lit("."), slug(F.col("target_id")), F.lit("."), key).alias("relation_id"), "relation_type", "source_id", "target_id",
-        F.array(F.concat(F.lit("ev."), short_hash(F.concat("region_id", F.lit("|"), F.concat_ws("|", "source_id", "relation_type", "target_id", "region_id"))))).alias("evidence_ids"),
-        F.lit("rule").alias("extraction_method"), F.when(guess, "inferred").otherwise("explicit").alias("polarity"), F.lit("unconfirmed").alias("status"), F.when(guess, "semantic").otherwise("exact").alias("match_type"), F.array(F.lit(document_id)).alias("source_document_ids"), "region_id",
-    )
-    return out.dropDuplicates(["relation_id"])
+    by = F.when(F.col("extraction_method") == "llm", "llm").otherwise("rule") if "extraction_method" in status.columns else F.lit("rule")
+    lines = F.filter(lines_of(F.col("rendered_text")), lambda x: (x != "") & ~x.startswith("| ---"))
+    quote = F.substring(F.concat(F.lit("["), "sheet_name", F.lit("!"), "range", F.lit("] "), F.array_join(lines, " / ")), 1, 2000)
+    slugs = F.concat(F.lit("rel."), _named_slug(F.col("source_id")), F.lit("."), F.lower("relation_type"), F.lit("."), _named_slug(F.col("target_id")))
+    rows = e.select(
+        F.concat(slugs, F.lit("."), short_hash(key)).alias("relation_id"),
+        "relation_type",
+        "source_id",
+        "target_id",
+        F.concat(F.lit("ev."), short_hash(F.concat("region_id", F.lit("|"), key))).alias("evidence_id"),
+        by.alias("extraction_method"),
+        F.when(guess, "inferred").otherwise("explicit").alias("polarity"),
+        F.lit("unconfirmed").alias("status"),
+        F.when(guess, "semantic").otherwise("exact").alias("match_type"),
+        "document_id",
+        "section_id",
+        "chunk_id",
+        quote.alias("quote"),
+        F.when(F.col("target_kind") == "BusinessField", "entity").otherwise("artifact").alias("target_support"),
+        F.struct(
+            "file", F.greatest("start_row", F.lit(1)).alias("line_start"), F.greatest("start_row", "end_row").alias("line_end")
+        ).alias("source_location"),
+        "region_id",
+    )
+    first = rows.groupBy("relation_id").agg(F.min(F.struct(*[c for c in rows.columns if c != "relation_id"])).alias("r")).select("relation_id", "r.*")
+    supports = F.array(
+        F.struct(F.col("target_support").alias("type"), F.col("target_id").alias("id")), F.struct(F.lit("relation").alias("type"), F.col("relation_id").alias("id"))
+    )
+    return {
+        "artifacts": node.where("kind <> 'BusinessField'").withColumnsRenamed({"node_id": "artifact_id", "kind": "artifact_type"}),
+        "entities": node.where("kind = 'BusinessField'").withColumnsRenamed({"node_id": "entity_id", "kind": "entity_type"}),
+        "relations": first.withColumn("evidence_ids", F.array("evidence_id")).withColumn("source_document_ids", F.array("document_id")).drop(
+            "evidence_id", "section_id", "chunk_id", "quote", "target_support", "source_location"
+        ),
+        "evidence": first.select(
+            "evidence_id", "document_id", "section_id", "chunk_id", "quote", F.lit("dirty_excel_region_relation").alias("evidence_type"), supports.alias("supports"), "source_location"
+        ),
+    }
 
 
 def decide_proposals(status: DataFrame, decisions: DataFrame) -> DataFrame:
-    """X11: proposal states after (region_id, status) decisions; the graph is then rebuilt by X10 and replace-by-document."""
-    d = decisions.select("region_id", F.col("status").alias("_s"))
+    """X11: proposal states after (region_id, status) decisions; only accepted and rejected are states that can be decided."""
+    d = decisions.where(F.col("status").isin("accepted", "rejected")).select("region_id", F.col("status").alias("_s"))
     return status.join(d, "region_id", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")
 
 
-def grid_health(sheets: DataFrame, regions: DataFrame, cells: DataFrame) -> DataFrame:
-    """(measure, name, n): histograms of sheet and region types, unresolved mentions, totals."""
+def rebuild(
+    nodes: DataFrame, edges: DataFrame, regions: DataFrame, status: DataFrame, decisions: DataFrame, document: DataFrame, names: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """X11: the new graph (X10) of every workbook that has a decided proposal; it replaces that of the workbook's document by G1."""
+    books = regions.join(decisions.select("region_id"), "region_id", "left_semi").select("workbook_id").distinct()
+    mine = regions.join(books, "workbook_id", "left_semi")
+    keep = lambda df: df.join(mine.select("region_id"), "region_id", "left_semi")
+    return proposals_to_graph(keep(nodes), keep(edges), mine, keep(decide_proposals(status, decisions)), document, names)
+
+
+def drawing_warnings(sheets: DataFrame) -> DataFrame:
+    """Warnings on drawings that are not read; sheets: sheet_name, drawings (array)."""
+    some = sheets.where(F.size("drawings") > 0)
+    said = lambda verb: F.concat(F.lit("Sheet '"), "sheet_name", F.lit(f"' {verb} drawing content: "), F.array_join("drawings", ", "))
+    return some.select(F.explode(F.array(said("contains unsupported"), said("has unresolved"))).alias("warning"))
+
+
+def grid_health(sheets: DataFrame, regions: DataFrame, cells: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
+    """(measure, name, n): totals, histograms of sheet and region types, unresolved mentions and different warnings.
+
+    There is a proposal for every region but revision histories. warnings: warning. Sheets may have `drawings`.
+    """
     one = lambda df, m, n: df.groupBy(n.alias("name")).agg(F.count("*").alias("n")).select(F.lit(m).alias("measure"), "name", "n")
-    mention = regions.select(F.explode(unresolved_mentions(F.col("rendered_text"))).alias("m"))
-    total = cells.agg(F.count("*").alias("n")).select(F.lit("cells").alias("measure"), F.lit("all").alias("name"), "n")
-    return one(sheets, "sheet_type", F.col("sheet_type")).unionByName(one(regions, "region_type", F.col("region_type"))).unionByName(one(mention, "unresolved", F.col("m"))).unionByName(total)
-
-
-def folder_health(cells: DataFrame) -> DataFrame:
-    """Per workbook: rows, merged cells, hidden and revision sheets, sheets with several header-like rows, repeated field names."""
-    filled = cells.where(has_value())
-    per_row = filled.groupBy("workbook_id", "sheet_id", "row").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("style.font_bold"), F.lit(False)).cast("int")).alias("bold"))
-    heads = per_row.where("n >= 2 and bold = n").groupBy("workbook_id", "sheet_id").agg(F.count("*").alias("h")).groupBy("workbook_id").agg(F.sum((F.col("h") > 1).cast("int")).alias("multi_header_sheets"))
-    rows = per_row.groupBy("workbook_id").agg(F.count("*").alias("rows"))
-    base = cells.groupBy("workbook_id").agg(
-        F.count_distinct(F.when(F.coalesce("merged_range", F.lit("")) != "", F.struct("sheet_id", "merged_range"))).alias("merged_ranges"),
-        F.count_distinct(F.when(holds_any(F.coalesce("sheet_name", F.lit("")), ("改訂", "履歴")), F.col("sheet_id"))).alias("revision_sheets"),
+    total = lambda df, m: df.agg(F.count("*").alias("n")).select(F.lit("total").alias("measure"), F.lit(m).alias("name"), "n")
+    proposed = regions.where("region_type <> 'revision_history'")
+    mention = proposed.select(F.explode(unresolved_mentions(F.col("rendered_text"))).alias("m"))
+    told = warnings.select("warning") if warnings is not None else sheets.select(F.lit("").alias("warning")).limit(0)
+    if "drawings" in sheets.columns:
+        told = told.unionByName(drawing_warnings(sheets))
+    parts = [
+        total(sheets.select("workbook_id").distinct(), "workbooks"),
+        total(sheets, "sheets"),
+        total(cells, "cells"),
+        total(regions, "regions"),
+        total(proposed, "proposals"),
+        one(sheets, "sheet_type", F.col("sheet_type")),
+        one(regions, "region_type", F.col("region_type")),
+        one(mention, "unresolved", F.col("m")),
+        one(told.distinct(), "warning", F.col("warning")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def sheet_details(cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
+    """Per sheet: rows with values, header cells, merged ranges, estimated type, and whether it has several header rows, is hidden or a revision history.
+
+    A header row is one of the first eight with three values or more. sheets: sheet_id, file_name, hidden; without it no sheet is hidden and
+    the workbook's id stands for its file.
+    """
+    n = cells.where(has_value()).groupBy("sheet_id", "row").agg(F.count("*").alias("n"))
+    per = n.groupBy("sheet_id").agg(F.count("*").alias("rows"), F.sum(((F.col("row") <= 8) & (F.col("n") >= 3)).cast("int")).alias("heads"))
+    top = cells.where(has_value() & (F.col("row") == 1)).groupBy("sheet_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("column", "value"))), lambda s: s["value"]).alias("headers")
+    )
+    base = cells.groupBy("workbook_id", "sheet_id").agg(
+        F.first("sheet_name").alias("sheet_name"), F.count_distinct(F.when(F.coalesce("merged_range", F.lit("")) != "", F.col("merged_range"))).alias("merged_cells")
     )
+    known = sheets.select("sheet_id", "file_name", "hidden") if sheets is not None else base.select("sheet_id", F.col("workbook_id").alias("file_name"), F.lit(False).alias("hidden"))
+    j = base.join(per, "sheet_id", "left").join(top, "sheet_id", "left").join(known, "sheet_id", "left")
+    headers = F.coalesce("headers", F.array().cast("array<string>"))
+    return j.select(
+        "workbook_id",
+        "sheet_id",
+        "sheet_name",
+        F.coalesce("rows", F.lit(0)).alias("rows"),
+        F.size(headers).alias("columns"),
+        "merged_cells",
+        estimate_sheet_type(F.coalesce("file_name", F.lit("")), F.col("sheet_name"), headers).alias("estimated_type"),
+        (F.coalesce("heads", F.lit(0)) > 1).alias("multi_header"),
+        F.coalesce("hidden", F.lit(False)).alias("hidden"),
+        holds_any(F.col("sheet_name"), ("改訂", "履歴")).alias("revision_history"),
+    )
+
+
+def folder_health(details: DataFrame) -> DataFrame:
+    """One row of totals over sheet details, with the warnings."""
+    n = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0))
+    data = F.greatest(F.col("rows") - 1, F.lit(0))
+    t = details.agg(
+        F.count_distinct("workbook_id").alias("workbooks"),
+        F.count("*").alias("sheets"),
+        F.coalesce(F.sum(data), F.lit(0)).alias("detected_artifacts"),
+        F.coalesce(F.sum(data), F.lit(0)).alias("possible_relations"),
+        n("merged_cells").alias("merged_cells"),
+        n("hidden").alias("hidden_sheets"),
+        n("multi_header").alias("multi_header_sheets"),
+        n("revision_history").alias("revision_sheets"),
+    )
+    # The warnings.
+    merged = F.when(F.col("merged_cells") > 0, "結合セルがあります。必要に応じて表形式へ整形してください。")
+    heads = F.when(F.col("multi_header_sheets") > 0, "複数のヘッダー候補があるシートがあります。")
+    return t.withColumn("warnings", F.array_compact(F.array(merged, heads)))
+
+
+def repeated_fields(cells: DataFrame) -> DataFrame:
+    """(name, count) of values like field names that stand below the first rows of sheets more than once."""
     looks = F.col("value").rlike("[A-Za-z_]{4,}|額|金額|ID|コード")
-    twice = filled.where(looks).groupBy("workbook_id", "value").agg(F.count("*").alias("n")).where("n > 1").groupBy("workbook_id").agg(F.array_sort(F.collect_set("value")).alias("repeated_fields"))
-    return base.join(rows, "workbook_id", "left").join(heads, "workbook_id", "left").join(twice, "workbook_id", "left").select("workbook_id", F.coalesce("rows", F.lit(0)).alias("rows"), "merged_ranges", "revision_sheets", F.coalesce("multi_header_sheets", F.lit(0)).alias("multi_header_sheets"), "repeated_fields")
+    return cells.where(has_value() & (F.col("row") > 1) & looks).groupBy(F.col("value").alias("name")).agg(F.count("*").alias("count")).where("count > 1")
 
 
-def field_alias_groups(rows: DataFrame) -> DataFrame:
-    """(name, aliases): logical names of a row (values) with the physical names beside them."""
-    v = rows.select(F.filter("values", lambda x: holds_any(x, ("額", "金額", "限度"))).alias("l"), F.filter("values", lambda x: x.rlike("[A-Za-z]")).alias("p"))
-    long = v.select(F.explode("l").alias("left"), "p").select(F.regexp_replace("left", "利用|希望", "").alias("name"), F.explode(F.concat(F.array("left"), "p")).alias("alias"))
-    return long.groupBy("name").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+def field_alias_groups(cells: DataFrame) -> DataFrame:
+    """(name, aliases): logical names in rows below the first with the physical names beside them; groups of two or more."""
+    v = cells.where(has_value() & (F.col("row") > 1)).select("sheet_id", "row", "value")
+    left = v.where(holds_any(F.col("value"), ("額", "金額", "限度"))).withColumnRenamed("value", "left").distinct()
+    right = v.where(F.col("value").rlike("[A-Za-z]")).withColumnRenamed("value", "right").distinct()
+    name = F.regexp_replace("left", "利用|希望", "").alias("name")
+    pairs = left.join(right, ["sheet_id", "row"]).select(name, F.col("right").alias("alias")).unionByName(left.select(name, F.col("left").alias("alias")))
+    groups = pairs.distinct().groupBy("name").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
+    return groups.where(F.size("aliases") > 1)
 
 
 def is_design_sheet(file_name: Column, sheet_name: Column, top_values: Column) -> Column:
@@ -331,7 +478,7 @@ def mapped_rows(rows: DataFrame) -> DataFrame:
     rows: sheet, row, sheet_type, values (map from header to text), columns (map from header to column number).
     """
     v = F.col("values")
-    get = lambda *names: F.coalesce(*[F.when(F.trim(F.coalesce(F.try_element_at(v, F.lit(n)), F.lit(""))) != "", F.trim(F.try_element_at(v, F.lit(n)))) for n in names])
+    get = lambda *names: F.coalesce(*[F.when(strip(F.coalesce(F.try_element_at(v, F.lit(n)), F.lit(""))) != "", strip(F.try_element_at(v, F.lit(n)))) for n in names])
     has = lambda name: get(name).isNotNull()
     one = lambda st, s, rel, tt, t, ev, head: F.struct(F.lit(st).alias("source_type"), s.alias("source"), rel.alias("relation_type"), F.lit(tt).alias("target_type"), t.alias("target"), F.lit(ev).alias("evidence_type"), head.alias("header"))
     shown = F.when(F.coalesce(get("入力可否"), F.lit("")).contains("不可"), "DISPLAYS").otherwise("DEFINES")

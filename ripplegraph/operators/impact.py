@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import rank_in, sorted_union
+from ..functions.containment import pairs_within
+from ..functions.lineage import cut
 
+# Priorities, and the relation types that give them.
 PRIORITIES = ("must_review", "should_review", "may_review", "hidden")
 MUST = ("DEFINES", "WRITES", "VALIDATES", "SENDS", "REQUEST_FIELD")
 SHOULD = ("READS", "DISPLAYS", "RESPONSE_FIELD", "COVERS", "CALLS")
@@ -40,21 +43,11 @@ def names_of(entities: DataFrame, aliases: DataFrame | None = None) -> DataFrame
 
 
 def changed_entities(changes: DataFrame, names: DataFrame) -> DataFrame:
-    """(change_id, entity_id) of entities of which a name occurs in title and body.
-
-    Distinct names meet the texts through their first three characters, which every text offers once
-    for each place; names under three characters meet them by containment. Both sides may be large.
-    """
+    """(change_id, entity_id) of entities of which a name occurs in title and body; names meet texts through their rarest characters."""
     text = changes.select("change_id", F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))).alias("text"))
-    distinct = names.select("name").distinct().withColumn("gram", F.substring("name", 1, 3))
-    # every place offers its three characters (one linear pass); texts come back only for names whose start occurs
-    grams = F.array_distinct(F.regexp_extract_all("text", F.lit("(?s)(?=(.{3}))"), F.lit(1)))
-    maybe = text.select("change_id", F.explode(grams).alias("gram")).join(distinct.where(F.length("name") >= 3), "gram").select("change_id", "name")
-    long = maybe.join(text, "change_id").where(F.col("text").contains(F.col("name")))
-    one = F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit("(?s)(.)"), F.lit(1)), F.regexp_extract_all("text", F.lit("(?s)(?=(.{2}))"), F.lit(1))))
-    short = text.select("change_id", F.explode(one).alias("name")).join(distinct.where(F.length("name") < 3), "name")
-    found = long.select("change_id", "name").unionByName(short.select("change_id", "name")).distinct()
-    return found.join(names, "name").select("change_id", "entity_id").distinct()
+    found = pairs_within(names.select(F.col("name").alias("text")), text)
+    named = found.join(text, F.col("outer") == F.col("text")).select("change_id", F.col("inner").alias("name"))
+    return named.join(names, "name").select("change_id", "entity_id").distinct()
 
 
 IMPACT = ["change_id", "artifact_id", "display_name", "artifact_type", "review_priority", "evidence_strength", "match_type", "relation_distance", "rule_assessment", "reason", "relation_paths", "evidence_ids", "relation_statuses"]
@@ -154,11 +147,12 @@ def hop2(near: DataFrame, relations: DataFrame, artifacts: DataFrame) -> DataFra
 
 def analyse(changes: DataFrame, entities: DataFrame, artifacts: DataFrame, relations: DataFrame, aliases: DataFrame | None = None, hops: int = 2, semantic: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Impacts of every change, and its rejected relations. `semantic` are further candidates."""
-    changed = changed_entities(changes, names_of(entities, aliases))
+    changed = cut(changed_entities(changes, names_of(entities, aliases)))
     one, rejected = hop1(changed, relations, artifacts)
-    found = direct(changed, entities, relations).withColumn("_seq", F.lit("")).unionByName(one)
+    found = cut(direct(changed, entities, relations).withColumn("_seq", F.lit("")).unionByName(one))
     near = merge(found)
     if hops >= 2:
+        near = cut(near)  # hop 2 reads it as it is
         found = found.unionByName(hop2(near, relations, artifacts))
     if semantic is not None:
         found = found.unionByName(semantic)

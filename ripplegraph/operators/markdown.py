@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import lines_of, short_hash, slug, sorted_union
+from ..functions.columns import SPACE, lines_of, short_hash, slug, sorted_union, strip
 
 # Artifact types and the prefixes of their ids.
 TYPES = {"api": "API", "screen": "Screen", "table": "Table", "column": "Column", "validationrule": "ValidationRule", "externalif": "ExternalIF", "testcase": "TestCase", "batch": "Batch", "document": "Document"}
@@ -40,18 +40,19 @@ EVIDENCE_TYPES = {
     "RECEIVES": "external_mapping_definition",
     "COVERS": "test_coverage_definition",
 }
-NAMED = r"(?i)^(API|Screen|Table|Column|ValidationRule|ExternalIF|TestCase|Batch|Document)\s*:\s*(.+)$"
-INLINE = r"^([^:：]{1,80})[:：]\s*(.+)$"
+NAMED = rf"(?i)^(API|Screen|Table|Column|ValidationRule|ExternalIF|TestCase|Batch|Document)[{SPACE}]*:[{SPACE}]*(.+)$"
+INLINE = rf"^([^:：]{{1,80}})[:：][{SPACE}]*(.+)$"
+HEADING = rf"^(#{{1,6}})[{SPACE}]+(.+)$"
 
 
 def documents(texts: DataFrame) -> DataFrame:
     """(source_key, path, text) to document rows: title is the first non-blank line without its marks."""
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
-    first = F.element_at(F.filter(lines_of(F.col("text")), lambda s: F.trim(s) != ""), 1)
+    first = F.element_at(F.filter(lines_of(F.col("text")), lambda s: strip(s) != ""), 1)
     return texts.select(
         F.concat(F.lit("doc."), slug(stem), F.lit("."), F.substring(F.sha1(F.col("source_key").cast("binary")), 1, 8)).alias("document_id"),
         "path",
-        F.coalesce(F.trim(F.regexp_replace(first, "^[# ]+", "")), stem).alias("title"),
+        F.coalesce(strip(F.regexp_replace(first, "^[# ]+", "")), stem).alias("title"),
         F.lit("markdown").alias("document_type"),
         F.sha2(F.col("text"), 256).alias("hash"),
         "text",
@@ -66,9 +67,16 @@ def lines(docs: DataFrame) -> DataFrame:
 def sections(docs: DataFrame) -> DataFrame:
     """Every heading opens a section up to the line before the next; documents without one have a section "Document"."""
     size = docs.select("document_id", F.greatest(F.size(lines_of(F.coalesce("text", F.lit("")))), F.lit(1)).alias("n"))
-    heads = lines(docs).where(F.col("raw").rlike(r"^#{1,6}\s+\S"))
+    heads = lines(docs).where(F.col("raw").rlike(HEADING))
     w = Window.partitionBy("document_id").orderBy("line")
-    h = heads.select("document_id", "line", F.length(F.regexp_extract("raw", "^(#{1,6})", 1)).alias("level"), F.trim(F.regexp_extract("raw", r"^#{1,6}\s+(.+)$", 1)).alias("heading"), F.lead("line").over(w).alias("_next"), F.row_number().over(w).alias("_i"))
+    h = heads.select(
+        "document_id",
+        "line",
+        F.length(F.regexp_extract("raw", HEADING, 1)).alias("level"),
+        strip(F.regexp_extract("raw", HEADING, 2)).alias("heading"),
+        F.lead("line").over(w).alias("_next"),
+        F.row_number().over(w).alias("_i"),
+    )
     j = size.join(h, "document_id", "left")
     return j.select(
         F.concat(F.lit("sec."), "document_id", F.lit("."), F.lpad(F.coalesce("_i", F.lit(1)).cast("string"), 3, "0")).alias("section_id"),
@@ -80,15 +88,14 @@ def sections(docs: DataFrame) -> DataFrame:
 def chunks(docs: DataFrame, secs: DataFrame) -> DataFrame:
     """The stripped text of each section, sliced from the document's line array."""
     j = secs.join(docs.select("document_id", lines_of(F.coalesce("text", F.lit(""))).alias("_l")), "document_id")
-    text = F.trim(F.array_join(F.slice("_l", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n"))
-    text = F.regexp_replace(text, r"^\s+|\s+$", "")
+    text = strip(F.array_join(F.slice("_l", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n"))
     return j.select(F.regexp_replace("section_id", "^sec", "chunk").alias("chunk_id"), "document_id", "section_id", text.alias("text"), "line_start", "line_end")
 
 
 def relation_type_for_heading(text: Column) -> Column:
     """Relation type of a heading; white space collapsed, case folded; null if it is none."""
     pairs = [x for kind, names in HEADINGS.items() for name in names for x in (F.lit(name), F.lit(kind))]
-    return F.element_at(F.create_map(*pairs), F.lower(F.regexp_replace(F.trim(text), r"\s+", " ")))
+    return F.element_at(F.create_map(*pairs), F.lower(F.regexp_replace(strip(text), f"[{SPACE}]+", " ")))
 
 
 def named_type(text: Column) -> Column:
@@ -98,14 +105,14 @@ def named_type(text: Column) -> Column:
 
 
 def named_name(text: Column) -> Column:
-    return F.trim(F.regexp_extract(text, NAMED, 2))
+    return strip(F.regexp_extract(text, NAMED, 2))
 
 
 def roots(docs: DataFrame) -> DataFrame:
     """T5: (document_id, root_type, root_name): artifact that a document as a whole describes, if any."""
     ls = lines_of(F.coalesce("text", F.lit("")))
     head = F.element_at(F.filter(ls, lambda s: s.startswith("#")), 1)
-    d = docs.select("document_id", F.trim(F.regexp_replace(head, "^[# ]+", "")).alias("title"), F.lower("text").alias("low"))
+    d = docs.select("document_id", strip(F.regexp_replace(head, "^[# ]+", "")).alias("title"), F.lower("text").alias("low"))
     low = F.lower("title")
     kind = (
         F.when(F.col("title").isNull() | (F.col("title") == ""), None)
@@ -125,9 +132,8 @@ def scan(docs: DataFrame) -> DataFrame:
     and without one goes back to the document's root; a bare `key:` line ends the relation type.
     """
     root = roots(docs)
-    text = F.regexp_replace("raw", r"^\s+|\s+$", "")
-    l = lines(docs).withColumn("t", text)
-    head = F.when(F.col("t").rlike(r"^#{1,6}\s+.+$"), F.trim(F.regexp_extract("t", r"^#{1,6}\s+(.+)$", 1)))
+    l = lines(docs).withColumn("t", strip(F.col("raw")))
+    head = F.when(F.col("t").rlike(HEADING), strip(F.regexp_extract("t", HEADING, 2)))
     l = l.withColumn("head", head).withColumn("named", named_type(F.col("head"))).withColumn("by_head", relation_type_for_heading(F.col("head")))
     inline = F.when(F.col("head").isNull() & F.col("t").rlike(INLINE), relation_type_for_heading(F.regexp_extract("t", INLINE, 1)))
     l = l.withColumn("inline", inline).join(root, "document_id", "left")
@@ -140,7 +146,7 @@ def scan(docs: DataFrame) -> DataFrame:
     l = l.withColumn("_a", artifact).withColumn("_r", relation)
     l = l.withColumn("cur", F.coalesce(F.last("_a", True).over(w), F.when(F.col("root_type").isNotNull(), F.struct(F.col("root_type").alias("type"), F.col("root_name").alias("name"))))).withColumn("rel", F.last("_r", True).over(w))
     bullet = F.col("head").isNull() & F.col("inline").isNull() & ~ends & F.col("t").startswith("- ") & (F.coalesce("rel", F.lit("")) != "")
-    values = F.when(F.col("inline").isNotNull(), F.filter(F.transform(F.split(F.regexp_extract("t", INLINE, 2), "[,/]"), F.trim), lambda v: v != "")).when(bullet, F.array(F.trim(F.col("t").substr(F.lit(3), F.length("t")))))
+    values = F.when(F.col("inline").isNotNull(), F.filter(F.transform(F.split(F.regexp_extract("t", INLINE, 2), "[,/]"), strip), lambda v: v != "")).when(bullet, F.array(strip(F.col("t").substr(F.lit(3), F.length("t")))))
     out = l.where("cur is not null").withColumn("v", F.explode(values)).where("v <> ''")
     kind = F.when((F.col("cur.type") == "Screen") & (F.col("rel") == "DEFINES"), "DISPLAYS").otherwise(F.col("rel"))
     column = (F.col("cur.type") == "Table") & (F.col("rel") == "DEFINES") & F.col("inline").isNull()
@@ -153,24 +159,58 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def field_name(value: Column) -> Column:
     """Name of a field in a bullet: what stands before a colon or full stop."""
-    return F.trim(F.substring_index(F.trim(F.substring_index(value, ":", 1)), "。", 1))
+    return strip(F.substring_index(strip(F.substring_index(value, ":", 1)), "。", 1))
+
+
+def catalog_names(aliases: DataFrame) -> DataFrame:
+    """(name, item_id, canonical_type, seq): every name of the catalog's entries, their ids included; no type is null."""
+    kind = F.when(F.col("canonical_type") != "", F.col("canonical_type")).alias("canonical_type")
+    own = aliases.groupBy("item_id", "canonical_type").agg(F.min("seq").alias("seq")).select(F.col("item_id").alias("name"), "item_id", kind, "seq")
+    return aliases.select(F.col("alias").alias("name"), "item_id", kind, "seq").unionByName(own)
+
+
+def catalog_ids(df: DataFrame, name: str, kind: str, names: DataFrame, out: str) -> DataFrame:
+    """df with `out`: the first entry (by `seq`) of that name whose type is that of `kind` or not given; null if there is none."""
+    first = names.groupBy(F.col("name").alias("_n"), F.col("canonical_type").alias("_k")).agg(F.min(F.struct("seq", "item_id")).alias("_e"))
+    typed = first.where("_k is not null")
+    free = first.where("_k is null").select("_n", F.col("_e").alias("_f"))
+    j = df.join(typed, (F.col(name) == F.col("_n")) & (F.col(kind) == F.col("_k")), "left").drop("_n", "_k").join(free, F.col(name) == F.col("_n"), "left")
+    return j.withColumn(out, F.least("_e", "_f")["item_id"]).drop("_n", "_e", "_f")
 
 
 def with_ids(df: DataFrame, name: str, kind: str, aliases: DataFrame | None, out: str, prefix: Column) -> DataFrame:
-    """Ids of names: the first alias entry (by `seq`) of that name and type, else prefix.slug."""
+    """Ids of names: the catalog's id of that name and type, else prefix.slug.
+
+    A business field that the catalog knows only as a column takes the id of the field named like the column's leaf.
+    """
     plain = F.concat(prefix, F.lit("."), slug(F.col(name)))
     if aliases is None:
         return df.withColumn(out, plain)
-    items = aliases.select("item_id", "canonical_type", "alias", "seq").unionByName(aliases.select("item_id", "canonical_type", F.col("item_id").alias("alias"), "seq"))
-    best = items.groupBy(F.col("alias").alias("_n"), F.col("canonical_type").alias("_k")).agg(F.min_by("item_id", "seq").alias("_id"))
-    return df.join(best, (F.col(name) == F.col("_n")) & (F.col(kind) == F.col("_k")), "left").withColumn(out, F.coalesce("_id", plain)).drop("_n", "_k", "_id")
+    names = catalog_names(aliases)
+    j = catalog_ids(df, name, kind, names, "_id")
+    j = catalog_ids(j.withColumn("_column", F.lit("Column")), name, "_column", names, "_as_column")
+    j = catalog_ids(j.withColumn("_leaf", F.substring_index(name, ".", -1)).withColumn("_field", F.lit("BusinessField")), "_leaf", "_field", names, "_by_leaf")
+    leaf = F.when((F.col(kind) == "BusinessField") & F.col("_as_column").isNotNull(), F.col("_by_leaf"))
+    return j.withColumn(out, F.coalesce("_id", leaf, plain)).drop("_id", "_column", "_as_column", "_leaf", "_field", "_by_leaf")
 
 
-def targets(rows: DataFrame) -> DataFrame:
-    """Type and name of each target: READS of an upper-case name is a table, field relations are business fields, WRITES tables, the rest documents."""
+def targets(rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Type and name of each target.
+
+    READS of an upper-case name is a table, field relations are business fields; other targets have the type of the
+    catalog's first entry of that name (a type that is no artifact's is a document), else WRITES tables and the rest documents.
+    """
     table = (F.col("relation_type") == "READS") & F.col("value").rlike("^[A-Z][A-Z0-9_]*$")
-    kind = F.when(table, "Table").when(F.col("relation_type").isin(*FIELD_RELATIONS), "BusinessField").when(F.col("relation_type") == "WRITES", "Table").otherwise("Document")
-    return rows.withColumn("target_type", kind).withColumn("target_name", F.when(kind == "BusinessField", field_name(F.col("value"))).otherwise(F.col("value")))
+    field = F.col("relation_type").isin(*FIELD_RELATIONS)
+    known = F.lit(None).cast("string")
+    if aliases is not None:
+        first = catalog_names(aliases).groupBy(F.col("name").alias("_n")).agg(F.min_by("canonical_type", F.struct("seq", "item_id")).alias("_known"))
+        rows = rows.join(first, F.col("value") == F.col("_n"), "left").drop("_n")
+        known = F.when(F.col("_known").isNull() | F.col("_known").isin(*PREFIXES), F.col("_known")).otherwise("Document")
+    other = F.coalesce(known, F.when(F.col("relation_type") == "WRITES", "Table").otherwise("Document"))
+    kind = F.when(table, "Table").when(field, "BusinessField").otherwise(other)
+    out = rows.withColumn("target_type", kind).withColumn("target_name", F.when(kind == "BusinessField", field_name(F.col("value"))).otherwise(F.col("value")))
+    return out.drop("_known")
 
 
 def prefix_of(kind: Column) -> Column:
@@ -180,10 +220,10 @@ def prefix_of(kind: Column) -> Column:
 
 def relations_of(rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Relation and evidence ids of scanned rows, hashed over source, type, target, document, line and quote."""
-    r = targets(rows)
+    r = targets(rows, aliases)
     r = with_ids(r, "source_name", "source_type", aliases, "source_id", prefix_of(F.col("source_type")))
     r = with_ids(r, "target_name", "target_type", aliases, "target_id", prefix_of(F.col("target_type")))
-    quote = F.regexp_replace("raw", r"^\s+|\s+$", "")
+    quote = strip(F.col("raw"))
     key = short_hash(F.concat_ws("|", "source_id", "relation_type", "target_id", "document_id", F.col("line").cast("string"), quote))
     kinds = F.create_map(*[x for k, v in EVIDENCE_TYPES.items() for x in (F.lit(k), F.lit(v))])
     return r.select(

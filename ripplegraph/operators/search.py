@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import any_of, rank_in, short_hash
+from ..functions.columns import EDGE, any_of, lines_of, rank_in, short_hash, strip
+from ..functions.containment import pairs_within
+from ..functions.lineage import cut
 from .impact import PRIORITIES
 
 # Relation types that are followed, by the depth at which a path that ends on them stops.
@@ -42,8 +44,8 @@ def change_atoms(changes: DataFrame) -> DataFrame:
     part = lambda i, g: F.regexp_extract("text", PATTERNS[i], g)
     pick = lambda g: F.when(hit(0), part(0, g)).when(hit(1), part(1, g)).when(hit(2), part(2, g))
     label = F.when(hit(0), part(0, 2)).when(hit(1), part(1, 2)).otherwise("")
-    first_line = F.element_at(F.filter(F.split("body", "\r\n|\n|\r"), lambda s: F.trim(s) != ""), 1)
-    plain = F.trim(F.regexp_replace(first_line, "^[# ]+", ""))
+    first_line = F.element_at(F.filter(lines_of(F.col("body")), lambda s: strip(s) != ""), 1)
+    plain = strip(F.regexp_replace(first_line, "^[# ]+", ""))
     matched = pick(1).isNotNull()
     df = df.withColumn("target", F.when(matched, _strip(pick(1), " の")).otherwise(F.coalesce(plain, F.substring("body", 1, 40))))
     prop = (
@@ -56,8 +58,8 @@ def change_atoms(changes: DataFrame) -> DataFrame:
     df = df.withColumn("property", F.when(matched, prop)).withColumn("before", F.when(matched, _strip(pick(3), " をに、。"))).withColumn("after", F.when(matched, _strip(pick(4), " をに、。")))
     terms = F.concat(
         F.array("target"),
-        F.regexp_extract_all("text", F.lit(r"(?U)\b[A-Za-z][A-Za-z0-9_]*Limit[A-Za-z0-9_]*\b"), F.lit(0)),
-        F.regexp_extract_all("text", F.lit(r"(?U)\b[A-Z][A-Z0-9_]*LIMIT[A-Z0-9_]*\b"), F.lit(0)),
+        F.regexp_extract_all("text", F.lit(rf"{EDGE}[A-Za-z][A-Za-z0-9_]*Limit[A-Za-z0-9_]*{EDGE}"), F.lit(0)),
+        F.regexp_extract_all("text", F.lit(rf"{EDGE}[A-Z][A-Z0-9_]*LIMIT[A-Z0-9_]*{EDGE}"), F.lit(0)),
         F.when(F.col("target").contains("限度") | F.col("text").contains("限度"), F.array(*map(F.lit, LIMIT_NAMES))).otherwise(F.array().cast("array<string>")),
     )
     key = F.when(matched, F.concat("change_id", "target", F.coalesce("before", F.lit("None")), F.coalesce("after", F.lit("None")))).otherwise(F.concat("change_id", "target"))
@@ -76,25 +78,31 @@ def atom_counts(atoms: DataFrame) -> DataFrame:
 
 
 def seed_entities(atoms: DataFrame, names: DataFrame) -> DataFrame:
-    """(change_id, entity_id): a term within a name or a name within a term, also without underscores and case.
+    """(change_id, entity_id): a term within a name or a name within a term, underscores and case aside.
 
-    Distinct terms meet distinct names: the work is the product of what is distinct, over which both
-    sides repeat little; rows then come back by equi-joins.
+    Folding goes by characters, so what contains a text also contains it folded. A text of underscores
+    alone is folded to nothing and lies within every other.
     """
-    terms = atoms.select("change_id", F.explode("target_terms").alias("term")).where("term <> ''").distinct()
     fold = lambda c: F.regexp_replace(F.lower(c), "_", "")
-    t = terms.select("term").distinct().withColumn("ft", fold(F.col("term")))
-    n = names.select("name").distinct().withColumn("fn", fold(F.col("name")))
-    inside = F.col("name").contains(F.col("term")) | F.col("term").contains(F.col("name")) | F.col("fn").contains(F.col("ft")) | F.col("ft").contains(F.col("fn"))
-    pairs = n.join(t, inside)
-    return terms.join(pairs.select("term", "name"), "term").join(names, "name").select("change_id", "entity_id").distinct()
+    terms = atoms.select("change_id", F.explode("target_terms").alias("term")).where("term <> ''").select("change_id", fold(F.col("term")).alias("term")).distinct()
+    known = names.where("name <> ''").select("entity_id", fold(F.col("name")).alias("name")).distinct()
+    terms, known = cut(terms), cut(known)
+    t, n = terms.select(F.col("term").alias("text")), known.select(F.col("name").alias("text"))
+    pairs = pairs_within(t, n).select(F.col("inner").alias("term"), F.col("outer").alias("name")).unionByName(pairs_within(n, t).select(F.col("outer").alias("term"), F.col("inner").alias("name")))
+    out = terms.join(pairs.distinct(), "term").join(known, "name").select("change_id", "entity_id")
+    for one, other in ((terms.where("term = ''"), known), (known.where("name = ''"), terms)):
+        if one.limit(1).count():
+            out = out.unionByName(one.crossJoin(other).select("change_id", "entity_id"))  # all of them by definition
+    return out.distinct()
 
 
 def seeds_from_evidence(atoms: DataFrame, seeds: DataFrame, relations: DataFrame, evidence: DataFrame) -> DataFrame:
     """For changes without B3 seeds, targets of relations whose evidence quotes a term or the before value."""
     left = atoms.join(seeds.select("change_id").distinct(), "change_id", "left_anti")
-    terms = left.select("change_id", F.explode(F.array_union("target_terms", F.array(F.coalesce("before", F.lit(""))))).alias("term")).where("term <> ''").distinct()
-    hit = evidence.select("evidence_id", "quote").join(terms, F.col("quote").contains(F.col("term"))).select("change_id", "evidence_id").distinct()
+    terms = cut(left.select("change_id", F.explode(F.array_union("target_terms", F.array(F.coalesce("before", F.lit(""))))).alias("term")).where("term <> ''").distinct())
+    pairs = pairs_within(terms.select(F.col("term").alias("text")), evidence.select(F.col("quote").alias("text")))
+    quoted = terms.join(pairs.select(F.col("inner").alias("term"), F.col("outer").alias("quote")), "term").select("change_id", "quote").distinct()
+    hit = evidence.select("evidence_id", "quote").join(quoted, "quote").select("change_id", "evidence_id").distinct()
     long = relations.select("target_id", F.explode("evidence_ids").alias("evidence_id"))
     return hit.join(long, "evidence_id").select("change_id", F.col("target_id").alias("entity_id")).distinct()
 
@@ -103,33 +111,65 @@ def depth_of(relation_type: Column) -> Column:
     return F.when(relation_type.isin(*DEPTH_ONE), 1).when(relation_type.isin(*DEPTH_THREE), 3).otherwise(2)
 
 
-def bounded_search(seeds: DataFrame, relations: DataFrame) -> DataFrame:
-    """(change_id, node_id, hops, path, evidence_ids): the shortest way from a seed to each node against
+def reached_nodes(seeds: DataFrame, relations: DataFrame) -> DataFrame:
+    """(change_id, node_id, hops, seed, relation_ids): the shortest way from a seed to each node against
     the direction of relations, at most three hops. A node is recorded over any followed relation but
-    expanded only if the path is shorter than the depth of the relation just used. One best path per
-    change, node and hop goes on, so the table never grows by the number of paths.
+    expanded only if the path is shorter than the depth of the relation just used.
+
+    Only ids travel. One best path per change, node and hop goes on, and a hop orders its paths by the
+    place of the path before among its change's and the relation, so the table never grows by the number of paths.
     """
     edge = relations.where(F.col("relation_type").isin(*EXPAND) & (F.col("status") != "rejected")).select(
-        F.col("target_id").alias("node_id"), F.col("source_id").alias("next_id"), "relation_id", "relation_type", "polarity", F.col("status").alias("_st"), F.col("evidence_ids").alias("_ev")
+        F.col("target_id").alias("node_id"), F.col("source_id").alias("next_id"), "relation_id", depth_of(F.col("relation_type")).alias("depth")
     )
-    step = "array<struct<relation_id:string,relation_type:string,source_id:string,target_id:string,polarity:string,status:string>>"
-    frontier = seeds.select("change_id", F.col("entity_id").alias("node_id"), F.col("entity_id").alias("seed"), F.array().cast(step).alias("path"), F.array().cast("array<string>").alias("evidence_ids")).distinct()
+    frontier = seeds.select("change_id", F.col("entity_id").alias("node_id"), F.col("entity_id").alias("seed"), F.array().cast("array<string>").alias("relation_ids")).distinct()
+    frontier = cut(frontier.withColumn("place", F.struct("seed", F.lit("").alias("relation_id"))))
     visited = frontier.select("change_id", "node_id")
     found = None
     for hop in (1, 2, 3):
-        here = F.struct("relation_id", "relation_type", F.col("next_id").alias("source_id"), F.col("node_id").alias("target_id"), "polarity", F.col("_st").alias("status"))
-        walked = frontier.join(edge, "node_id").select(
-            "change_id", F.col("next_id").alias("node_id"), "seed", F.concat("path", F.array(here)).alias("path"), F.array_sort(F.array_union("evidence_ids", "_ev")).alias("evidence_ids"), (F.lit(hop) < depth_of(F.col("relation_type"))).alias("goes_on")
+        walked = frontier.select("change_id", "node_id", "place").join(edge, "node_id").select(
+            "change_id", F.col("node_id").alias("last_id"), F.col("next_id").alias("node_id"), F.struct("place", "relation_id").alias("way"), (F.lit(hop) < F.col("depth")).alias("goes_on")
         )
-        order = F.struct("seed", F.transform("path", lambda s: s["relation_id"]))
-        row = F.struct("seed", "path", "evidence_ids")
-        best = walked.groupBy("change_id", "node_id").agg(F.min_by(row, order).alias("r"), F.min_by(F.when(F.col("goes_on"), row), F.when(F.col("goes_on"), order)).alias("e"))
-        new = best.select("change_id", "node_id", F.lit(hop).alias("hops"), "r.*")
-        found = new if found is None else found.unionByName(new.join(found.select("change_id", "node_id"), ["change_id", "node_id"], "left_anti"))
+        row = F.struct("way", "last_id")
+        best = walked.groupBy("change_id", "node_id").agg(F.min(row).alias("b"), F.min(F.when(F.col("goes_on"), row)).alias("e"))
+        best = cut(best) if hop < 3 else best
+        before = frontier.select("change_id", F.col("node_id").alias("last_id"), "seed", F.col("relation_ids").alias("_before"))
+
+        def told(rows: DataFrame, c: str, before: DataFrame = before) -> DataFrame:
+            r = rows.select("change_id", "node_id", F.col(f"{c}.last_id").alias("last_id"), F.col(f"{c}.way").alias("way"))
+            ids = F.concat("_before", F.array("way.relation_id"))
+            return r.join(before, ["change_id", "last_id"]).select("change_id", "node_id", "seed", ids.alias("relation_ids"), "way")
+
+        new = best.select("change_id", "node_id", "b")
+        new = new if found is None else new.join(found.select("change_id", "node_id"), ["change_id", "node_id"], "left_anti")
+        rows = told(new, "b").select("change_id", "node_id", F.lit(hop).alias("hops"), "seed", "relation_ids")
+        found = rows if found is None else found.unionByName(rows)
         if hop < 3:
-            frontier = best.where("e is not null").select("change_id", "node_id", "e.*").join(visited, ["change_id", "node_id"], "left_anti")
+            ahead = told(best.where("e is not null").join(visited, ["change_id", "node_id"], "left_anti"), "e")
+            order = Window.partitionBy("change_id").orderBy("way")
+            place = F.struct(F.lpad(F.row_number().over(order).cast("string"), 12, "0").alias("seed"), F.lit("").alias("relation_id"))
+            frontier = cut(ahead.select("change_id", "node_id", "seed", "relation_ids", place.alias("place")))
             visited = visited.unionByName(frontier.select("change_id", "node_id"))
-    return found.select("change_id", "node_id", "hops", "seed", "path", "evidence_ids")
+    return found
+
+
+def with_paths(found: DataFrame, relations: DataFrame) -> DataFrame:
+    """Reached nodes with their path (relations in order) and the evidence of all of it."""
+    step = F.struct("relation_id", "relation_type", "source_id", "target_id", "polarity", "status")
+    r = relations.select("relation_id", step.alias("step"), "evidence_ids")
+    out, none = found, F.array().cast("array<string>")
+    steps, ids = [], []
+    for i in range(3):
+        side = r.select(F.col("relation_id").alias(f"_r{i}"), F.col("step").alias(f"_s{i}"), F.col("evidence_ids").alias(f"_e{i}"))
+        out = out.join(side, F.get("relation_ids", F.lit(i)) == F.col(f"_r{i}"), "left")
+        steps.append(F.col(f"_s{i}"))
+        ids.append(F.coalesce(f"_e{i}", none))
+    return out.select("change_id", "node_id", "hops", "seed", F.array_compact(F.array(*steps)).alias("path"), F.array_sort(F.array_distinct(F.concat(*ids))).alias("evidence_ids"))
+
+
+def bounded_search(seeds: DataFrame, relations: DataFrame) -> DataFrame:
+    """(change_id, node_id, hops, seed, path, evidence_ids) of the reached nodes."""
+    return with_paths(reached_nodes(seeds, relations), relations)
 
 
 def _fits(prop: Column, kind: Column) -> Column:
@@ -141,14 +181,16 @@ def _fits(prop: Column, kind: Column) -> Column:
 def verify(paths: DataFrame, atoms: DataFrame, artifacts: DataFrame, evidence: DataFrame) -> DataFrame:
     """Paths to artifacts with verdict and verdict_reason, from the polarity of the path and the quotes on it.
 
-    One join brings all quotes; they are reduced to two booleans before the paths come back.
+    Each quote is read once per change that asks for it and reduced to two booleans before the paths come back.
     """
     atom = atoms.groupBy("change_id").agg(F.min_by(F.struct("target_terms", "before", "after", "property", "operation"), "atom_id").alias("atom"))
     p = paths.join(artifacts.select(F.col("artifact_id").alias("node_id"), "display_name", "artifact_type"), "node_id").join(atom, "change_id")
-    quotes = p.select("change_id", "node_id", "atom", F.explode("evidence_ids").alias("evidence_id")).join(evidence.select("evidence_id", "quote"), "evidence_id")
+    rows = p.select("change_id", "node_id", F.explode("evidence_ids").alias("evidence_id"))
+    asked = rows.select("change_id", "evidence_id").distinct().join(atom, "change_id").join(evidence.select("evidence_id", "quote"), "evidence_id")
     term = F.exists("atom.target_terms", lambda t: (t != "") & F.col("quote").contains(t))
     was = F.coalesce((F.col("atom.before") != "") & F.col("quote").contains(F.col("atom.before")), F.lit(False))
-    facts = quotes.groupBy("change_id", "node_id").agg(F.bool_or(term).alias("term"), F.bool_or(was).alias("was"))
+    said = asked.groupBy("change_id", "evidence_id").agg(F.bool_or(term).alias("term"), F.bool_or(was).alias("was"))
+    facts = rows.join(said, ["change_id", "evidence_id"]).groupBy("change_id", "node_id").agg(F.bool_or("term").alias("term"), F.bool_or("was").alias("was"))
     j = p.join(facts, ["change_id", "node_id"], "left")
     explicit = F.exists("path", lambda s: s["polarity"] == "explicit")
     inferred = F.forall("path", lambda s: s["polarity"] == "inferred")

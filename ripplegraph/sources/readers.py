@@ -1,24 +1,19 @@
-"""Reading sources: documents, record collections, API descriptions, DDL, CSV, workbooks, catalogs, reviews.
+"""Reading sources: documents, record collections, API descriptions, DDL, CSV, catalogs, reviews (workbooks: workbooks.py).
 
-Files are read by Spark (text, binaryFile, csv, json). Only YAML and workbook decoding need a small
-helper per file; a file that cannot be decoded becomes a row of an error column, never a failed job.
+Files are read by Spark (text, csv, json). Only YAML decoding needs a small helper per file; a file that cannot be decoded becomes a row of an error column, never a failed job.
 """
 
 from __future__ import annotations
 
-import io
 import json
-import re
-import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.columns import lines_of
+from ..functions.columns import EDGE, SPACE, WORD, lines_of, strip
 from ..functions.workers import importable
 from ..operators import markdown
 
@@ -37,8 +32,8 @@ def read_collection(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header; a byte-order mark is not part of the first name; all columns are text."""
-    df = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    """CSV with a header; a byte-order mark is not part of the first name; all columns are text, quotes are doubled, quoted values may hold line ends."""
+    df = spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"').option("multiLine", True).csv(path)
     return df.toDF(*[c.removeprefix("﻿") for c in df.columns])
 
 
@@ -108,20 +103,21 @@ def ddl_columns(files: DataFrame) -> DataFrame:
 
     Definitions are split on every comma, also inside parentheses.
     """
-    statement = r"(?is)CREATE\s+TABLE\s+[\w.]+\s*\(.*?\);"
+    head = rf"(?is)CREATE[{SPACE}]+TABLE[{SPACE}]+"
+    statement = rf"{head}[{WORD}.]+[{SPACE}]*\(.*?\);"
     s = files.select("path", "text", F.explode(F.regexp_extract_all("text", F.lit(statement), F.lit(0))).alias("s"))
-    body = F.regexp_extract("s", r"(?is)CREATE\s+TABLE\s+[\w.]+\s*\((.*?)\);", 1)
-    s = s.withColumn("table_name", F.regexp_extract("s", r"(?is)CREATE\s+TABLE\s+([\w.]+)\s*\(", 1)).withColumn("body", body)
+    body = F.regexp_extract("s", rf"{head}[{WORD}.]+[{SPACE}]*\((.*?)\);", 1)
+    s = s.withColumn("table_name", F.regexp_extract("s", rf"{head}([{WORD}.]+)[{SPACE}]*\(", 1)).withColumn("body", body)
     s = s.withColumn("_at", F.expr("locate(s, text) + locate('(', s)"))  # place of the body in the text, from 1
     parts = F.split("body", ",", -1)
     p = s.select("path", "text", "table_name", "_at", parts.alias("_all"), F.posexplode(parts).alias("position", "_raw"))
     before = F.length(F.array_join(F.slice("_all", 1, F.col("position")), ",")) + F.when(F.col("position") > 0, 1).otherwise(0)
-    lead = F.length("_raw") - F.length(F.regexp_replace("_raw", r"^\s+", ""))
+    lead = F.length("_raw") - F.length(F.regexp_replace("_raw", f"^[{SPACE}]+", ""))
     upto = F.col("text").substr(F.lit(1), F.col("_at") - 1 + before + lead)
-    definition = F.regexp_replace("_raw", r"^\s+|\s+$", "")
+    definition = strip(F.col("_raw"))
     p = p.withColumn("definition", definition).withColumn("line", (F.length(F.regexp_replace(upto, "[^\n]", "")) + 1).cast("int")).where("definition <> ''")
-    words = F.split("definition", r"\s+")
-    table_level = F.col("definition").rlike(r"(?i)^(PRIMARY|FOREIGN|UNIQUE|CONSTRAINT|CHECK)\b")
+    words = F.split("definition", f"[{SPACE}]+")
+    table_level = F.col("definition").rlike(rf"(?i)^(PRIMARY|FOREIGN|UNIQUE|CONSTRAINT|CHECK){EDGE}")
     own = F.upper("definition").rlike("PRIMARY KEY|NOT NULL|UNIQUE")
     return p.select(
         "path", "table_name", "position", "definition", F.when(~table_level, F.get(words, F.lit(0))).alias("column_name"),
@@ -129,92 +125,6 @@ def ddl_columns(files: DataFrame) -> DataFrame:
     )
 
 
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-
-
-def _number(letters: str) -> int:
-    n = 0
-    for c in letters:
-        n = n * 26 + ord(c) - 64
-    return n
-
-
-def parse_workbook(content: bytes) -> list[dict]:
-    """Cells of one .xlsx file that carry a value, merge, fill, border, link or comment."""
-    out = []
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        xml = lambda name: ElementTree.fromstring(z.read(name)) if name in names else None
-        strings = [("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t"))) for si in (xml("xl/sharedStrings.xml") if "xl/sharedStrings.xml" in names else [])]
-        styles = xml("xl/styles.xml")
-        fonts = [f.find("m:b", _NS) is not None for f in styles.findall("m:fonts/m:font", _NS)] if styles is not None else []
-        fills = [(f.find("m:patternFill/m:fgColor", _NS).get("rgb") if f.find("m:patternFill/m:fgColor", _NS) is not None else None) for f in styles.findall("m:fills/m:fill", _NS)] if styles is not None else []
-        borders = [any(side.get("style") for side in b) for b in styles.findall("m:borders/m:border", _NS)] if styles is not None else []
-        formats = [(int(x.get("fontId", 0)), int(x.get("fillId", 0)), int(x.get("borderId", 0))) for x in styles.findall("m:cellXfs/m:xf", _NS)] if styles is not None else []
-        rels = {r.get("Id"): r.get("Target") for r in xml("xl/_rels/workbook.xml.rels")}
-        for index, sheet in enumerate(xml("xl/workbook.xml").findall("m:sheets/m:sheet", _NS), start=1):
-            target = rels[sheet.get(_REL)].lstrip("/")
-            root = xml(target if target.startswith("xl/") else f"xl/{target}")
-            merged = {}
-            for m in root.findall("m:mergeCells/m:mergeCell", _NS):
-                a, b = (re.fullmatch(r"([A-Z]+)(\d+)", x) for x in (m.get("ref") + ":" + m.get("ref")).split(":")[:2])
-                for r in range(int(a[2]), int(b[2]) + 1):
-                    for c in range(_number(a[1]), _number(b[1]) + 1):
-                        merged[(r, c)] = m.get("ref")
-            hidden_cols = {c for x in root.findall("m:cols/m:col", _NS) if x.get("hidden") == "1" for c in range(int(x.get("min")), int(x.get("max")) + 1)}
-            links = {x.get("ref"): x.get("location") or x.get(_REL) or "" for x in root.findall("m:hyperlinks/m:hyperlink", _NS)}
-            for row in root.findall("m:sheetData/m:row", _NS):
-                for cell in row.findall("m:c", _NS):
-                    a = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r"))
-                    at = (int(a[2]), _number(a[1]))
-                    kind, v = cell.get("t", "n"), cell.find("m:v", _NS)
-                    value = "".join(t.text or "" for t in cell.iter(f"{{{_NS['m']}}}t")) if kind == "inlineStr" else v.text if v is not None else None
-                    value = strings[int(value)] if kind == "s" and value is not None else value
-                    font, fill, border = formats[int(cell.get("s", 0))] if formats and int(cell.get("s", 0)) < len(formats) else (0, 0, 0)
-                    style = {"bold": bool(fonts[font]) if font < len(fonts) else False, "fill": fills[fill] if fill < len(fills) else None, "border": bool(borders[border]) if border < len(borders) else False}
-                    if value or at in merged or style["bold"] or style["fill"] or style["border"] or cell.get("r") in links:
-                        out.append({"sheet_index": index, "sheet_name": sheet.get("name"), "cell": cell.get("r"), "row": at[0], "column": at[1], "value": value, "merged_range": merged.get(at), "hyperlink": links.get(cell.get("r")), "is_hidden_row": row.get("hidden") == "1", "is_hidden_col": at[1] in hidden_cols, **style})
-    return out
-
-
-CELL_ROWS = "path string, sheet_index int, sheet_name string, cell string, row int, column int, value string, merged_range string, hyperlink string, is_hidden_row boolean, is_hidden_col boolean, bold boolean, fill string, border boolean, error string"
-
-
-def workbook_cells(files: DataFrame) -> DataFrame:
-    """(path, content) of workbooks to one row per cell; one workbook is one row of work, bad files give an error row."""
-    importable(files.sparkSession)
-    names = [c.split()[0] for c in CELL_ROWS.split(", ")]
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    rows = [{"path": path, "error": None, **c} for c in parse_workbook(bytes(content))]
-                except Exception as e:  # noqa: BLE001  any fault of a file is a row
-                    rows = [{"path": path, "error": str(e)[:300]}]
-                yield pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
-
-    return files.select("path", "content").mapInPandas(parse, CELL_ROWS)
-
-
-def cells_table(parsed: DataFrame) -> DataFrame:
-    """Cells in the shape of the cells collection."""
-    workbook = F.concat(F.lit("wb."), F.substring(F.sha1(F.substring_index("path", "/", -1).cast("binary")), 1, 10))
-    sheet = F.concat(workbook, F.lit(".sheet."), F.lpad(F.col("sheet_index").cast("string"), 3, "0"))
-    none = F.lit(None).cast("string")
-    style = F.struct(F.col("fill").alias("fill_color"), F.col("bold").alias("font_bold"), "border", none.alias("number_format"), none.alias("horizontal"), none.alias("vertical"))
-    return parsed.where("error is null").select(
-        workbook.alias("workbook_id"), F.col("path").alias("file_path"), sheet.alias("sheet_id"), "sheet_name", "cell", F.concat(F.lit("ev."), F.substring(F.sha1(F.concat_ws("|", sheet, "cell").cast("binary")), 1, 10)).alias("evidence_id"),
-        "value", F.lit("s").alias("data_type"), "row", "column", "merged_range", style.alias("style"), "hyperlink", none.alias("comment"), "is_hidden_row", "is_hidden_col",
-    )
-
-
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
-    return cells_table(workbook_cells(files.select("path", "content").repartition("path")))
-
-
 def alias_catalog(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(item_id, canonical_type, aliases) exploded to (item_id, canonical_type, alias, seq); and the invalid entries with a reason."""
     known = (*markdown.TYPES.values(), "BusinessField")
