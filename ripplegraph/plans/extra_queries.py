@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import alias, freshness, grid, impact, maintain, search, views
@@ -48,8 +48,8 @@ def _trigram_candidates(s: SparkSession, d: str) -> DataFrame:
 def alias_pair_context(s: SparkSession, d: str) -> DataFrame:
     """Surroundings of the pairs that are similar by trigrams."""
     e = more_queries._distinct_names(s, d)
-    c = alias.pair_context(alias.trigram_pairs(e), more_queries._name_relations(s, d), t.evidence(s, d))
-    return c.select("left", "right", F.size("surrounding_node_ids").alias("n_surrounding"), F.size("relation_context").alias("n_relations"))
+    c = alias.pair_context(alias.trigram_pairs(e), e, more_queries._name_relations(s, d), t.evidence(s, d))
+    return c.select("left", "right", F.size("surrounding_node_ids").alias("n_surrounding"), F.size("relation_context").alias("n_relations"), F.size("evidence_ids").alias("n_evidence"), F.size("evidence_quotes").alias("n_quotes"))
 
 
 def alias_inserts(s: SparkSession, d: str) -> DataFrame:
@@ -61,7 +61,7 @@ def alias_inserts(s: SparkSession, d: str) -> DataFrame:
 def alias_judgements(s: SparkSession, d: str) -> DataFrame:
     """Candidates after judgements; unknown evidence is dropped."""
     c = _trigram_candidates(s, d)
-    answers = c.select("candidate_id", F.lit("same").alias("judgement"), F.lit("ok").alias("reason"), F.array(F.lit("nowhere")).alias("evidence_ids"))
+    answers = c.select("candidate_id", F.lit("same").alias("judgement"), F.when(F.col("target_id") < "entity.m", "ok").otherwise("").alias("reason"), F.array(F.lit("nowhere")).alias("evidence_ids"))
     return alias.apply_judgements(c, answers, t.flat(s, d, "evidence")).select("candidate_id", "judgement", "reason", F.size("evidence_ids").alias("n_evidence"))
 
 
@@ -91,6 +91,12 @@ def rerank_answers(s: SparkSession, d: str) -> DataFrame:
     return impact.apply_rerank(i, a).select("change_id", "artifact_id", "review_priority", "evidence_strength")
 
 
+def ordered_impacts(s: SparkSession, d: str) -> DataFrame:
+    """I8: impacts of each change in order of priority and artifact, with their place."""
+    i = impact.ordered(_hop1(s, d)).select("change_id", "artifact_id", "review_priority")
+    return i.withColumn("seq", F.monotonically_increasing_id()).select("*", F.row_number().over(Window.partitionBy("change_id").orderBy("seq")).alias("place")).drop("seq")
+
+
 def rerank_batches(s: SparkSession, d: str) -> DataFrame:
     """Candidates in batches of twenty."""
     return impact.rerank_batches(_hop1(s, d), t.evidence(s, d)).select("change_id", "batch", F.size("candidates").alias("n"))
@@ -148,7 +154,7 @@ def impact_context(s: SparkSession, d: str) -> DataFrame:
 def checked_submissions(s: SparkSession, d: str) -> DataFrame:
     """Submissions by change; one with foreign evidence is rejected as a whole."""
     g = search.candidate_subgraph(_paths(s, d), t.relations(s, d).where("target_id like 'entity.%'"))
-    a = g.select(F.col("change_id").alias("submission_id"), "change_id", "node_id", F.when(F.col("change_id").rlike("3$"), F.array(F.lit("zz"))).otherwise(F.slice("evidence", 1, 1)).alias("evidence_ids"), F.slice("relations", 1, 1).alias("relation_ids"))
+    a = g.select(F.col("change_id").alias("submission_id"), "change_id", "node_id", F.when(F.col("change_id").rlike("[68]3$"), F.array(F.lit("zz"))).otherwise(F.slice("evidence", 1, 1)).alias("evidence_ids"), F.slice("relations", 1, 1).alias("relation_ids"))
     return search.check_submission(a, g).groupBy("submission_id", "rejected").agg(F.count("*").alias("n"))
 
 
@@ -241,7 +247,7 @@ def change_sessions(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        prune_embeddings, upsert_stale, freshness_totals, replace_rows, alias_pair_context, alias_inserts, alias_judgements, alias_decisions, semantic_candidates, rerank_answers, rerank_batches, explain_names, imported_relations, named_entities, evidence_seeds,
+        prune_embeddings, upsert_stale, freshness_totals, replace_rows, alias_pair_context, alias_inserts, alias_judgements, alias_decisions, semantic_candidates, rerank_answers, ordered_impacts, rerank_batches, explain_names, imported_relations, named_entities, evidence_seeds,
         candidate_subgraphs, impact_context, checked_submissions, decided_impacts, lowered_priorities, report_rows, plain_table_columns, estimated_sheet_types, mapped_sheet_rows, graph_page, source_library, quoted_impacts, inspected_artifacts, region_listing,
         change_sessions,
     )
@@ -282,5 +288,51 @@ ORACLE_SQL = {
         FROM artifacts_t d GROUP BY d.document_id""", *_I[:5]),
     "quoted_impacts": t.with_views("WITH " + _HOP + " SELECT change_id, o.artifact_id, string_agg(quote, '|' ORDER BY evidence_id) AS quotes FROM (SELECT DISTINCT change_id, artifact_id, evidence_id, quote FROM ok JOIN evidence_t USING (relation_id)) o GROUP BY 1, 2", *_I),
     "inspected_artifacts": "SELECT c_name AS name, 'screen.' || CAST(c_custkey AS VARCHAR) AS artifact_id, 'Screen' AS artifact_type FROM customer WHERE c_custkey % 3 = 0",
+    "rerank_answers": t.with_views("WITH " + _HOP + """, full_best AS (SELECT change_id, artifact_id, arg_min(review_priority, (k, relation_id)) AS p, arg_min(rule_assessment, (k, relation_id)) AS a FROM (SELECT *, CASE review_priority WHEN 'must_review' THEN 0 WHEN 'should_review' THEN 1 ELSE 2 END AS k FROM ok) GROUP BY 1, 2),
+        j AS (SELECT *, p = 'must_review' AND a = 'explicit_relation' AS kept, regexp_matches(artifact_id, '[02468]$') AS up FROM full_best)
+        SELECT change_id, artifact_id, CASE WHEN kept THEN p WHEN up THEN CASE WHEN p = 'may_review' THEN 'should_review' ELSE p END ELSE 'may_review' END AS review_priority,
+            CASE WHEN kept THEN 'strong' WHEN up THEN CASE p WHEN 'must_review' THEN 'strong' ELSE 'medium' END ELSE 'weak' END AS evidence_strength FROM j""", *_I),
+    "ordered_impacts": t.with_views("WITH " + _HOP + " SELECT change_id, artifact_id, review_priority, CAST(row_number() OVER (PARTITION BY change_id ORDER BY CASE review_priority WHEN 'must_review' THEN 0 WHEN 'should_review' THEN 1 ELSE 2 END, artifact_id) AS INTEGER) AS place FROM best", *_I),
+    "explain_names": t.with_views("WITH " + impact_queries._ALL + """, latest AS (SELECT arg_max(change_id, CAST(substring(change_id, 5) AS BIGINT)) AS c FROM changes_t)
+        SELECT s_name AS name, 'api.' || CAST(s_suppkey AS VARCHAR) AS artifact_id, m.artifact_id IS NOT NULL AS included FROM supplier LEFT JOIN (SELECT artifact_id FROM merged JOIN latest ON change_id = c) m ON m.artifact_id = 'api.' || CAST(s_suppkey AS VARCHAR)""", *_I),
+    "candidate_subgraphs": t.with_views(impact_queries._WAYS.replace("{only}", "target_id LIKE 'entity.%'") + """, r AS (SELECT * FROM both_r WHERE target_id LIKE 'entity.%'),
+        nodes AS (SELECT change_id, node_id, node_id AS n FROM found UNION SELECT s.change_id, s.node_id, source_id FROM steps s JOIN r USING (relation_id) UNION SELECT s.change_id, s.node_id, target_id FROM steps s JOIN r USING (relation_id)),
+        every AS (SELECT change_id, node_id, relation_id, 0 AS k, i FROM steps UNION ALL SELECT change_id, node_id, relation_id, 1, 0 FROM nodes JOIN r ON n = source_id UNION ALL SELECT change_id, node_id, relation_id, 1, 0 FROM nodes JOIN r ON n = target_id),
+        top AS (SELECT *, row_number() OVER (PARTITION BY change_id, node_id ORDER BY o, relation_id) AS x FROM (SELECT change_id, node_id, relation_id, min((k, i)) AS o FROM every GROUP BY 1, 2, 3))
+        SELECT change_id, node_id, CAST(count(DISTINCT relation_id) AS INTEGER) AS n_relations, CAST(len(list_distinct(flatten(list([source_id, target_id])))) AS INTEGER) AS n_nodes FROM top JOIN r USING (relation_id) WHERE x <= 40 GROUP BY 1, 2""", *_I),
+    "impact_context": t.with_views(impact_queries._WAYS.replace("{only}", "target_id LIKE 'entity.%'") + " SELECT change_id, CAST(least(100, count(*)) AS INTEGER) AS n FROM found GROUP BY 1", *_I),
+    "checked_submissions": t.with_views(impact_queries._WAYS.replace("{only}", "target_id LIKE 'entity.%'") + " SELECT change_id AS submission_id, regexp_matches(change_id, '[68]3$') AS rejected, count(*) AS n FROM found GROUP BY 1, 2", *_I),
+    "region_listing": t.with_views(more_queries._GRID + more_queries._REGIONS + " SELECT region_id, sheet_name, range, CASE WHEN n <= 2 THEN 'note_block' ELSE 'screen_item_table' END AS region_type FROM text ORDER BY region_id LIMIT 10", "cells"),
     "change_sessions": t.with_views("WITH " + _HOP + " SELECT c.change_id, 1 AS atoms, CAST(count(b.artifact_id) AS INTEGER) AS impacts, CAST(count(b.artifact_id) AS INTEGER) AS decisions FROM changes_t c LEFT JOIN best b ON b.change_id = c.change_id GROUP BY 1", *_I),
 }
+
+#: Pairs of part names by trigrams as candidates: target first.
+_TRIGRAM = "WITH p AS (" + more_queries.ORACLE_SQL["alias_trigram_pairs"] + """), n AS (SELECT DISTINCT 'entity.' || replace(p_name, ' ', '_') AS id, p_name AS d FROM part),
+    o AS (SELECT CASE WHEN (length(x.d), x.id) <= (length(y.d), y.id) THEN x.id ELSE y.id END AS target_id, CASE WHEN (length(x.d), x.id) <= (length(y.d), y.id) THEN y.id ELSE x.id END AS entity_b_id FROM p JOIN n x ON x.id = p."left" JOIN n y ON y.id = p."right"),
+    k AS (SELECT 'alias_' || substring(sha1('embedding_similarity' || target_id || entity_b_id), 1, 10) AS candidate_id, * FROM o)"""
+ORACLE_SQL["alias_inserts"] = _TRIGRAM + " SELECT candidate_id, target_id, entity_b_id FROM k"
+ORACLE_SQL["alias_judgements"] = _TRIGRAM + " SELECT candidate_id, 'same' AS judgement, CASE WHEN target_id < 'entity.m' THEN 'ok' ELSE 'candidate signals: embedding_similarity' END AS reason, 0 AS n_evidence FROM k"
+ORACLE_SQL["alias_pair_context"] = t.with_views("WITH p AS (" + more_queries.ORACLE_SQL["alias_trigram_pairs"] + """), r AS (SELECT relation_id, source_id, 'entity.' || replace(p_name, ' ', '_') AS target_id FROM relations_t JOIN part ON target_id = 'entity.' || CAST(p_partkey AS VARCHAR)),
+    own AS (SELECT "left" AS l, "right" AS r, "left" AS n FROM p UNION SELECT "left", "right", "right" FROM p), around AS (SELECT DISTINCT l, own.r, source_id AS n FROM own JOIN r ON r.target_id = own.n), nodes AS (SELECT * FROM own UNION SELECT * FROM around),
+    touch AS (SELECT nodes.l, nodes.r, relation_id FROM nodes JOIN r ON n = source_id UNION SELECT nodes.l, nodes.r, relation_id FROM nodes JOIN r ON n = target_id), top AS (SELECT * FROM touch QUALIFY row_number() OVER (PARTITION BY l, r ORDER BY relation_id) <= 24),
+    o AS (SELECT DISTINCT 'entity.' || replace(p_name, ' ', '_') AS id, evidence_id, file, line_start FROM evidence_t JOIN part ON p_partkey = CAST(string_split(evidence_id, '.')[5] AS BIGINT)),
+    near AS (SELECT a.id AS l, b.id AS r, unnest([a.evidence_id, b.evidence_id]) AS evidence_id FROM o a JOIN o b ON a.file = b.file AND a.id < b.id AND abs(a.line_start - b.line_start) <= 3),
+    ev AS (SELECT l, r, evidence_id FROM top JOIN evidence_t USING (relation_id) UNION SELECT near.l, near.r, evidence_id FROM near JOIN p ON p."left" = near.l AND p."right" = near.r),
+    e AS (SELECT l, r, count(*) AS n FROM ev GROUP BY 1, 2), a AS (SELECT l, r, count(DISTINCT n) AS n FROM around GROUP BY 1, 2), c AS (SELECT l, r, count(*) AS n FROM top GROUP BY 1, 2)
+    SELECT a.l AS "left", a.r AS "right", CAST(a.n AS INTEGER) AS n_surrounding, CAST(c.n AS INTEGER) AS n_relations, CAST(e.n AS INTEGER) AS n_evidence, CAST(least(8, e.n) AS INTEGER) AS n_quotes FROM a JOIN c ON a.l = c.l AND a.r = c.r JOIN e ON e.l = a.l AND e.r = a.r""", "relations", "evidence")
+_M = more_queries.ORACLE_SQL
+_TWO = "printf('%.2f', floor(s * 100 + 0.5 + 1e-9) / 100)"
+ORACLE_SQL["alias_candidates"] = t.with_views("""WITH n AS (SELECT DISTINCT 'entity.' || replace(p_name, ' ', '_') AS id, p_name AS d, replace(p_name, ' ', '_') AS c FROM part),
+    words AS (SELECT id, list_filter(string_split(replace(d || '_' || c, ' ', '_'), '_'), lambda w: length(w) >= 2) AS ws FROM n), tok AS (SELECT DISTINCT id, unnest(ws) AS w FROM words),
+    concept AS (SELECT id, CASE WHEN contains(lower(d), 'phone') OR contains(lower(d), 'tel') THEN 'phone_number' WHEN length(c) >= 4 THEN array_to_string(list_filter(string_split(c, '_'), lambda w: length(w) >= 2), '') ELSE '' END AS k FROM n),
+    useful AS (SELECT id, w FROM tok WHERE length(w) >= 4 AND w NOT IN ('id', 'no', 'name', 'field', 'item', 'value', 'code', 'type')),
+    met AS (SELECT DISTINCT a.id AS l, b.id AS r FROM useful a JOIN useful b ON a.w = b.w AND a.id < b.id), shared AS (SELECT l, r, list_sort(list(a.w)) AS ws FROM met JOIN tok a ON a.id = l JOIN tok b ON b.id = met.r AND a.w = b.w GROUP BY 1, 2),
+    gram AS (""" + _M["alias_trigram_pairs"].replace("round(sum(a.n * b.n) / any_value(x.v) / any_value(y.v), 4) AS score", "sum(a.n * b.n) / any_value(x.v) / any_value(y.v) AS s") + """),
+    items AS (SELECT DISTINCT 'entity.' || replace(p_name, ' ', '_') AS id, relation_type AS item FROM relations_t JOIN part ON target_id = 'entity.' || CAST(p_partkey AS VARCHAR)), sizes AS (SELECT id, count(*) AS n FROM items GROUP BY 1),
+    ctx AS (SELECT a.id AS l, b.id AS r, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS s FROM items a JOIN items b ON a.item = b.item AND a.id < b.id JOIN sizes x ON x.id = a.id JOIN sizes y ON y.id = b.id GROUP BY 1, 2 HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.4),
+    o AS (SELECT DISTINCT 'entity.' || replace(p_name, ' ', '_') AS id, file, line_start FROM evidence_t JOIN part ON p_partkey = CAST(string_split(evidence_id, '.')[5] AS BIGINT)),
+    sig AS (SELECT a.id AS l, b.id AS r, 'concept_key:' || a.k AS s FROM concept a JOIN concept b ON a.k = b.k AND a.k <> '' AND a.id < b.id UNION SELECT a.id, b.id, 'camel_snake_shape_match' FROM words a JOIN words b ON array_to_string(a.ws, '') = array_to_string(b.ws, '') AND a.id < b.id
+        UNION SELECT l, r, 'name_token_overlap:' || array_to_string(ws[1:4], ',') FROM shared UNION SELECT "left", "right", 'embedding_similarity:' || """ + _TWO + " FROM gram UNION SELECT l, r, 'relation_similarity:' || " + _TWO + """ FROM ctx
+        UNION SELECT a.id, b.id, 'same_evidence_neighborhood' FROM o a JOIN o b ON a.file = b.file AND a.id < b.id AND abs(a.line_start - b.line_start) <= 3),
+    pairs AS (SELECT l, r, list_sort(list(s)) AS ss FROM sig GROUP BY 1, 2), sided AS (SELECT ss, CASE WHEN (length(x.d), x.id) <= (length(y.d), y.id) THEN x ELSE y END AS t, CASE WHEN (length(x.d), x.id) <= (length(y.d), y.id) THEN y ELSE x END AS c FROM pairs JOIN n x ON x.id = l JOIN n y ON y.id = pairs.r)
+    SELECT 'alias_' || substring(sha1(array_to_string(ss, '|') || t.id || c.id), 1, 10) AS candidate_id, t.id AS target_id, c.id AS entity_b_id, CAST(len(ss) AS INTEGER) AS n_signals, array_to_string(list_sort(list_distinct([c.d, c.c])), ',') AS aliases FROM sided""", "relations", "evidence")

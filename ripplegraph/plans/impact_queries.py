@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import freshness, impact, maintain, search
 from ..sources import sinks
 from . import tables as t
@@ -13,7 +14,7 @@ _joined = lambda c: F.array_join(c, ",").alias(c)
 
 
 def _impacts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return impact.analyse(t.changes(s, d), t.entities(s, d), t.artifacts(s, d), t.relations(s, d))
+    return impact.analyse(t.changes(s, d), t.entities(s, d), t.artifacts(s, d), cut(t.relations(s, d)))
 
 
 def changed_entities(s: SparkSession, d: str) -> DataFrame:
@@ -77,21 +78,23 @@ _ALL = (
     ev AS (SELECT relation_id, list(DISTINCT evidence_id) AS ids FROM evidence_t GROUP BY relation_id),
     cand1 AS (
         SELECT change_id, c.entity_id AS artifact_id, CASE WHEN method = 'llm' AND sure.target_id IS NULL THEN 'may_review' ELSE 'must_review' END AS review_priority, 'direct_match' AS rule_assessment,
-            CASE WHEN method = 'llm' AND sure.target_id IS NULL THEN 'semantic' ELSE 'exact' END AS match_type, 0 AS dist, '' AS seq, ['change -> ' || c.entity_id] AS paths, CAST([] AS VARCHAR[]) AS evs, CAST([] AS VARCHAR[]) AS statuses
+            CASE WHEN method = 'llm' AND sure.target_id IS NULL THEN 'semantic' ELSE 'exact' END AS match_type, 0 AS dist, '' AS seq, ['change -> ' || c.entity_id] AS paths, CAST([] AS VARCHAR[]) AS evs, CAST([] AS VARCHAR[]) AS statuses,
+            CASE WHEN method = 'llm' AND sure.target_id IS NULL THEN 'An unconfirmed LLM-only entity was matched.' ELSE '変更依頼が ' || e.display_name || ' を直接参照しているため。' END AS reason
         FROM changed c JOIN entities_t e ON c.entity_id = e.entity_id LEFT JOIN sure ON sure.target_id = c.entity_id
         UNION ALL
-        SELECT change_id, h.artifact_id, review_priority, rule_assessment, match_type, 1, h.relation_id, [path], coalesce(ev.ids, []), [status]
+        SELECT change_id, h.artifact_id, review_priority, rule_assessment, match_type, 1, h.relation_id, [path], coalesce(ev.ids, []), [status], relation_type || ' relation with explicit local evidence was found.'
         FROM hop1 h JOIN artifacts_t a ON a.artifact_id = h.artifact_id LEFT JOIN ev ON ev.relation_id = h.relation_id WHERE status <> 'rejected'),
     near AS (
         SELECT change_id, artifact_id, list_sort(list_distinct(flatten(list(paths))))[1] AS path, list_distinct(flatten(list(evs))) AS evs, list_distinct(flatten(list(statuses))) AS statuses FROM cand1 GROUP BY 1, 2),
     edges AS (SELECT r.*, coalesce(ev.ids, []) AS ids FROM relations_t r LEFT JOIN ev ON ev.relation_id = r.relation_id UNION ALL SELECT c.*, [] FROM calls_t c),
     cand2 AS (
         SELECT n.change_id, e.source_id AS artifact_id, CASE WHEN polarity = 'inferred' AND status <> 'confirmed' THEN 'may_review' ELSE 'should_review' END AS review_priority, 'explicit_relation' AS rule_assessment,
-            match_type, 2 AS dist, '~' || relation_id || '|' || target_id AS seq, [n.path || ' <- ' || relation_type || ' - ' || source_id] AS paths, list_concat(n.evs, e.ids) AS evs, list_append(n.statuses, status) AS statuses
+            match_type, 2 AS dist, '~' || relation_id || '|' || target_id AS seq, [n.path || ' <- ' || relation_type || ' - ' || source_id] AS paths, list_concat(n.evs, e.ids) AS evs, list_append(n.statuses, status) AS statuses,
+            'A two-hop explicit relation path to the changed entity was found.' AS reason
         FROM edges e JOIN near n ON e.target_id = n.artifact_id JOIN artifacts_t a ON a.artifact_id = e.source_id WHERE status <> 'rejected'),
     cands AS (SELECT *, CASE review_priority WHEN 'must_review' THEN 0 WHEN 'should_review' THEN 1 ELSE 2 END AS rank FROM (SELECT * FROM cand1 UNION ALL SELECT * FROM cand2)),
     merged AS (
-        SELECT change_id, artifact_id, arg_min(review_priority, (rank, dist, seq)) AS review_priority, arg_min(rule_assessment, (rank, dist, seq)) AS rule_assessment, arg_min(match_type, (dist, seq)) AS first_match, bool_or(match_type = 'exact') AS exact,
+        SELECT change_id, artifact_id, arg_min(review_priority, (rank, dist, seq)) AS review_priority, arg_min(rule_assessment, (rank, dist, seq)) AS rule_assessment, arg_min(match_type, (dist, seq)) AS first_match, arg_min(reason, (dist, seq)) AS reason, bool_or(match_type = 'exact') AS exact,
             min(dist) AS relation_distance, list_distinct(flatten(list(paths))) AS paths, list_distinct(flatten(list(evs))) AS evs, list_sort(list_distinct(flatten(list(statuses)))) AS statuses
         FROM cands GROUP BY 1, 2)"""
 )
@@ -218,13 +221,12 @@ def seed_entities(s: SparkSession, d: str) -> DataFrame:
 
 def bounded_search(s: SparkSession, d: str) -> DataFrame:
     """Nodes reached within the depth of their relation types, with hops and evidence."""
-    r = search.bounded_search(seed_entities(s, d), t.relations(s, d))
-    return r.select("change_id", "node_id", "hops")
+    return search.reached_nodes(seed_entities(s, d), t.relations(s, d)).select("change_id", "node_id", "hops")
 
 
 def verified_impacts(s: SparkSession, d: str) -> DataFrame:
     """Verified impact hypotheses."""
-    paths = search.bounded_search(seed_entities(s, d), t.relations(s, d))
+    paths = search.bounded_search(seed_entities(s, d), cut(t.relations(s, d)))
     v = search.verify(paths, _term_atoms(s, d), t.artifacts(s, d), t.evidence(s, d))
     decisions = t.artifacts(s, d).select(F.concat(F.lit("i."), "artifact_id").alias("impact_id"), F.col("artifact_id").alias("candidate_node_id"), F.when(F.col("artifact_id").endswith("3"), "rejected").otherwise("accepted").alias("status"), F.lit("2024").alias("updated_at"))
     h = search.hypotheses(search.apply_prior_decisions(v, decisions))
@@ -234,7 +236,7 @@ def verified_impacts(s: SparkSession, d: str) -> DataFrame:
 def flat_export(s: SparkSession, d: str) -> DataFrame:
     """K2: one row per candidate with its first evidence."""
     r = sinks.flat_export(_impacts(s, d)[0], t.evidence(s, d))
-    return r.select("change_id", "artifact_id", "review_priority", "evidence_count", "file", "line", "quote")
+    return r.select("change_id", "artifact_id", "review_priority", "evidence_count", "file", F.coalesce("line", F.lit(0)).alias("line"), "quote")
 
 
 def cypher_export(s: SparkSession, d: str) -> DataFrame:
@@ -301,6 +303,27 @@ ORACLE_SQL = {
     "seed_entities": t.with_views("""SELECT DISTINCT change_id, entity_id FROM (SELECT change_id, regexp_extract(body, '^Set (.*) limit from', 1) AS term FROM changes_t) c JOIN (SELECT entity_id, display_name AS name FROM entities_t UNION ALL SELECT entity_id, canonical_name FROM entities_t) n
         ON contains(name, term) OR contains(term, name) OR contains(replace(lower(name), '_', ''), replace(lower(term), '_', '')) OR contains(replace(lower(term), '_', ''), replace(lower(name), '_', ''))""", "changes", "entities"),
 }
+_NODES = """, all_nodes AS (SELECT artifact_id AS id, display_name, artifact_type AS kind FROM artifacts_t UNION ALL SELECT entity_id, display_name, entity_type FROM entities_t)"""
+_GRAPH = "both_r AS (SELECT r.*, coalesce(ev.ids, []) AS ids FROM relations_t r LEFT JOIN (SELECT relation_id, list_sort(list(DISTINCT evidence_id)) AS ids FROM evidence_t GROUP BY 1) ev USING (relation_id) UNION ALL SELECT c.*, [] FROM calls_t c)"
+_PRIORITIES = "(VALUES (1, 'must_review'), (2, 'should_review'), (3, 'may_review'), (4, 'hidden')) p(k, v)"
+ORACLE_SQL |= {
+    "flat_export": t.with_views("WITH " + _ALL + """, f AS (SELECT *, list_sort(evs)[1] AS first FROM merged) SELECT change_id, artifact_id, review_priority, CAST(len(evs) AS INTEGER) AS evidence_count, coalesce(file, '') AS file, coalesce(line_start, 0) AS line, coalesce(quote, '') AS quote
+        FROM f LEFT JOIN evidence_t ON evidence_id = first""", *_INPUT),
+    "markdown_export": t.with_views("WITH " + _ALL + _NODES + f""", x AS (SELECT change_id, artifact_id, unnest(evs) AS evidence_id FROM merged), ev_lines AS (SELECT change_id, artifact_id, string_agg('- `' || file || ':' || CAST(line_start AS VARCHAR) || '` ' || quote, chr(10) ORDER BY evidence_id) AS l FROM x JOIN evidence_t USING (evidence_id) GROUP BY 1, 2)
+        SELECT m.change_id, CAST(k AS VARCHAR) || '.' || m.artifact_id AS place, CAST(length('## ' || display_name || ' (`' || m.artifact_id || '`)__- Priority: ' || review_priority || '_- Reason: ' || reason || '_- Paths: ' || array_to_string(paths, '; ') || '__' || coalesce(l, '- no evidence') || '_') AS INTEGER) AS n_chars
+        FROM merged m JOIN all_nodes ON id = m.artifact_id JOIN {_PRIORITIES} ON v = review_priority LEFT JOIN ev_lines e ON e.change_id = m.change_id AND e.artifact_id = m.artifact_id
+        UNION ALL SELECT change_id, '0', CAST(length('# Impact of ' || change_id || '__') + sum(length('- ' || v || ': ' || CAST(n AS VARCHAR) || '_')) AS INTEGER) FROM (SELECT change_id, v, count(*) FILTER (review_priority = v) AS n FROM merged, {_PRIORITIES} GROUP BY 1, 2) GROUP BY 1""", *_INPUT),
+    "cypher_export": t.with_views("WITH " + _GRAPH + """ SELECT 1 AS part, artifact_id AS id, 'MERGE (n:Node:Artifact {id: ' || to_json(artifact_id) || '}) SET n.name=' || to_json(display_name) || ', n.type=' || to_json(artifact_type) || ';' AS statement FROM artifacts_t
+        UNION ALL SELECT 2, entity_id, 'MERGE (n:Node:Entity {id: ' || to_json(entity_id) || '}) SET n.name=' || to_json(display_name) || ', n.type=' || to_json(entity_type) || ';' FROM entities_t
+        UNION ALL SELECT 3, evidence_id, 'MERGE (e:Evidence {id: ' || to_json(evidence_id) || '}) SET e.file=' || to_json(file) || ', e.line_start=' || CAST(line_start AS VARCHAR) || ', e.line_end=' || CAST(line_end AS VARCHAR) || ';' FROM evidence_t
+        UNION ALL SELECT 4, relation_id, 'MATCH (s:Node {id: ' || to_json(source_id) || '}), (t:Node {id: ' || to_json(target_id) || '}) MERGE (s)-[r:' || relation_type || ' {id: ' || to_json(relation_id) || '}]->(t) SET r.status=' || to_json(status) || ', r.layer=' || chr(39) || 'domain' || chr(39) || ';' FROM both_r
+        UNION ALL SELECT 5, relation_id || '|' || e, 'MATCH (s:Node {id: ' || to_json(source_id) || '}), (e:Evidence {id: ' || to_json(e) || '}) MERGE (s)-[:HAS_EVIDENCE {relation_id: ' || to_json(relation_id) || '}]->(e);' FROM (SELECT *, unnest(ids) AS e FROM both_r)""", *_INPUT[:5]),
+    "notes_export": t.with_views("WITH " + _GRAPH + _NODES + """, o AS (SELECT source_id AS id, string_agg('- `' || relation_type || '` -> [[' || target_id || ']] (`' || status || '`)', chr(10) ORDER BY '- `' || relation_type || '` -> [[' || target_id || ']] (`' || status || '`)') AS o FROM both_r GROUP BY 1),
+        i AS (SELECT target_id AS id, string_agg('- [[' || source_id || ']] -> `' || relation_type || '` (`' || status || '`)', chr(10) ORDER BY '- [[' || source_id || ']] -> `' || relation_type || '` (`' || status || '`)') AS i FROM both_r GROUP BY 1)
+        SELECT 'nodes/' || n.id || '.md' AS path, sha256('---' || chr(10) || 'id: ' || to_json(n.id) || chr(10) || 'type: ' || to_json(kind) || chr(10) || 'review_status: unreviewed' || chr(10) || '---' || chr(10) || chr(10) || '# ' || n.display_name || chr(10) || chr(10) || '## Outgoing Relations' || chr(10) || coalesce(o, '') || chr(10) || chr(10)
+            || '## Incoming Relations' || chr(10) || coalesce(i, '') || chr(10) || chr(10) || '## Aliases' || chr(10) || coalesce(canonical_name, '') || chr(10)) AS content_hash FROM all_nodes n LEFT JOIN o ON o.id = n.id LEFT JOIN i ON i.id = n.id LEFT JOIN entities_t e ON e.entity_id = n.id
+        UNION ALL SELECT 'evidence/' || evidence_id || '.md', sha256('# ' || evidence_id || chr(10) || chr(10) || '- File: `' || file || '`' || chr(10) || '- Lines: `' || CAST(line_start AS VARCHAR) || '-' || CAST(line_end AS VARCHAR) || '`' || chr(10) || '- Cell: ``' || chr(10) || chr(10) || '```text' || chr(10) || quote || chr(10) || '```' || chr(10)) FROM evidence_t""", *_INPUT[:5]),
+}
 _SEARCH = """WITH seeds AS (SELECT DISTINCT change_id, entity_id FROM (SELECT change_id, regexp_extract(body, '^Set (.*) limit from', 1) AS term FROM changes_t) c JOIN (SELECT entity_id, display_name AS name FROM entities_t UNION ALL SELECT entity_id, canonical_name FROM entities_t) n
         ON contains(name, term) OR contains(term, name) OR contains(replace(lower(name), '_', ''), replace(lower(term), '_', '')) OR contains(replace(lower(term), '_', ''), replace(lower(name), '_', ''))),
     edges AS (SELECT source_id, target_id, relation_type, CASE WHEN relation_type = 'MENTIONS' THEN 1 WHEN relation_type IN ('DEFINES', 'DISPLAYS', 'VALIDATES', 'REQUEST_FIELD', 'SENDS', 'COVERS') THEN 3 ELSE 2 END AS depth
@@ -310,3 +333,23 @@ _SEARCH = """WITH seeds AS (SELECT DISTINCT change_id, entity_id FROM (SELECT ch
     h3 AS (SELECT change_id, source_id AS node_id FROM h2 JOIN edges ON target_id = node_id WHERE go AND NOT EXISTS (SELECT 1 FROM h1 WHERE h1.change_id = h2.change_id AND h1.node_id = h2.node_id AND h1.go) GROUP BY 1, 2)
     SELECT change_id, node_id, CAST(min(hops) AS INTEGER) AS hops FROM (SELECT change_id, node_id, 1 AS hops FROM h1 UNION ALL SELECT change_id, node_id, 2 FROM h2 UNION ALL SELECT change_id, node_id, 3 FROM h3) GROUP BY 1, 2"""
 ORACLE_SQL["bounded_search"] = t.with_views(_SEARCH, "changes", "entities", "relations", "calls")
+#: The same search with the ways: the best by seed and relations of each node and hop.
+_WAYS = """WITH terms AS (SELECT change_id, regexp_extract(body, '^Set (.*) limit from', 1) AS term, regexp_extract(body, 'from ([0-9]+) to', 1) AS before FROM changes_t),
+    seeds AS (SELECT DISTINCT change_id, entity_id FROM terms JOIN (SELECT entity_id, display_name AS name FROM entities_t UNION ALL SELECT entity_id, canonical_name FROM entities_t) n
+        ON contains(name, term) OR contains(term, name) OR contains(replace(lower(name), '_', ''), replace(lower(term), '_', '')) OR contains(replace(lower(term), '_', ''), replace(lower(name), '_', ''))),
+    """ + _GRAPH + """,
+    edges AS (SELECT *, CASE WHEN relation_type = 'MENTIONS' THEN 1 WHEN relation_type IN ('DEFINES', 'DISPLAYS', 'VALIDATES', 'REQUEST_FIELD', 'SENDS', 'COVERS') THEN 3 ELSE 2 END AS depth FROM both_r WHERE status <> 'rejected' AND relation_type <> 'ASSERTS' AND {only}),
+    w1 AS (SELECT change_id, source_id AS node_id, entity_id AS seed, [relation_id] AS way, 1 < depth AS go FROM seeds JOIN edges ON target_id = entity_id),
+    b1 AS (SELECT change_id, node_id, arg_min(way, (seed, way)) AS way FROM w1 GROUP BY 1, 2), f1 AS (SELECT change_id, node_id, arg_min(seed, (seed, way)) AS seed, arg_min(way, (seed, way)) AS way FROM w1 WHERE go GROUP BY 1, 2),
+    w2 AS (SELECT change_id, source_id AS node_id, seed, list_append(way, relation_id) AS way, 2 < depth AS go FROM f1 JOIN edges ON target_id = node_id),
+    b2 AS (SELECT change_id, node_id, arg_min(way, (seed, way)) AS way FROM w2 GROUP BY 1, 2), f2 AS (SELECT change_id, node_id, arg_min(seed, (seed, way)) AS seed, arg_min(way, (seed, way)) AS way FROM w2 WHERE go AND NOT EXISTS (SELECT 1 FROM f1 WHERE f1.change_id = w2.change_id AND f1.node_id = w2.node_id) GROUP BY 1, 2),
+    w3 AS (SELECT change_id, source_id AS node_id, seed, list_append(way, relation_id) AS way FROM f2 JOIN edges ON target_id = node_id), b3 AS (SELECT change_id, node_id, arg_min(way, (seed, way)) AS way FROM w3 GROUP BY 1, 2),
+    found AS (SELECT *, 1 AS hops FROM b1 UNION ALL SELECT *, 2 FROM b2 WHERE NOT EXISTS (SELECT 1 FROM b1 WHERE b1.change_id = b2.change_id AND b1.node_id = b2.node_id)
+        UNION ALL SELECT *, 3 FROM b3 WHERE NOT EXISTS (SELECT 1 FROM b1 WHERE b1.change_id = b3.change_id AND b1.node_id = b3.node_id) AND NOT EXISTS (SELECT 1 FROM b2 WHERE b2.change_id = b3.change_id AND b2.node_id = b3.node_id)),
+    steps AS (SELECT f.change_id, f.node_id, f.hops, generate_subscripts(way, 1) AS i, unnest(way) AS relation_id FROM found f)"""
+ORACLE_SQL["verified_impacts"] = t.with_views(_WAYS.replace("{only}", "true") + """,
+    facts AS (SELECT change_id, node_id, min(hops) AS hops, bool_or(polarity = 'explicit') AS explicit, bool_and(polarity = 'inferred') AS inferred, list_distinct(flatten(list(ids))) AS evs FROM steps JOIN both_r USING (relation_id) GROUP BY 1, 2),
+    q AS (SELECT f.change_id, node_id, evidence_id FROM (SELECT change_id, node_id, unnest(evs) AS evidence_id FROM facts) f), said AS (SELECT q.change_id, node_id, bool_or(contains(quote, term)) AS term, bool_or(contains(quote, before)) AS was FROM q JOIN evidence_t USING (evidence_id) JOIN terms ON terms.change_id = q.change_id GROUP BY 1, 2),
+    v AS (SELECT f.*, CASE WHEN term IS NULL THEN 'hidden' WHEN explicit AND (term OR was) THEN 'must_review' WHEN inferred AND NOT term THEN 'may_review' WHEN explicit THEN 'should_review' ELSE 'may_review' END AS v FROM facts f JOIN artifacts_t ON artifact_id = f.node_id LEFT JOIN said s ON s.change_id = f.change_id AND s.node_id = f.node_id),
+    w AS (SELECT *, CASE WHEN node_id LIKE '%3' THEN CASE v WHEN 'must_review' THEN 'should_review' WHEN 'should_review' THEN 'may_review' ELSE v END WHEN v = 'may_review' THEN 'should_review' ELSE v END AS p FROM v)
+    SELECT change_id, node_id AS artifact_id, p AS review_priority, CAST(hops AS INTEGER) AS relation_distance, CASE WHEN explicit THEN 'explicit_relation' ELSE 'inferred_relation' END AS rule_assessment, CAST(len(evs) AS INTEGER) AS n_evidence FROM w WHERE p <> 'hidden'""", *_INPUT)

@@ -46,10 +46,32 @@ SQL: dict[str, str] = {
     "cells": """
         SELECT 'wb.' || CAST(s_nationkey AS STRING) AS workbook_id, 'sh.' || CAST(s_nationkey AS STRING) AS sheet_id, '画面項目' || CAST(s_nationkey AS STRING) AS sheet_name, s_name AS value, CAST(2 + s_suppkey % 97 AS INT) AS r, 2 AS c FROM {supplier}
         UNION ALL SELECT 'wb.' || CAST(s_nationkey AS STRING), 'sh.' || CAST(s_nationkey AS STRING), '画面項目' || CAST(s_nationkey AS STRING), CAST(s_suppkey AS STRING), CAST(2 + s_suppkey % 97 AS INT), 3 FROM {supplier} WHERE s_suppkey % 3 <> 0
-        UNION ALL SELECT 'wb.' || CAST(s_nationkey AS STRING), 'sh.' || CAST(s_nationkey AS STRING), '画面項目' || CAST(s_nationkey AS STRING), '別紙参照', CAST(2 + s_suppkey % 97 AS INT), 6 FROM {supplier} WHERE s_suppkey % 4 = 0""",
+        UNION ALL SELECT 'wb.' || CAST(s_nationkey AS STRING), 'sh.' || CAST(s_nationkey AS STRING), '画面項目' || CAST(s_nationkey AS STRING), '別紙参照', CAST(2 + s_suppkey % 97 AS INT), 6 FROM {supplier} WHERE s_suppkey % 4 = 0
+        UNION ALL SELECT 'wb.c' || CAST(n AS STRING), 'sh.c' || CAST(n AS STRING), '画面一覧', CASE k WHEN 2 THEN '画面' || seg WHEN 3 THEN name ELSE 'API ' || CAST(n AS STRING) END, CAST(nth + CASE WHEN odd = 1 THEN 1000000 ELSE 1 END AS INT), k
+            FROM (SELECT c_nationkey AS n, c_mktsegment AS seg, c_name AS name, c_custkey % 2 AS odd, row_number() OVER (PARTITION BY c_nationkey, c_custkey % 2 ORDER BY c_custkey) AS nth FROM {customer}) x, (SELECT 2 AS k UNION ALL SELECT 3 UNION ALL SELECT 4) y
+        UNION ALL SELECT 'wb.c' || CAST(n AS STRING), 'sh.c' || CAST(n AS STRING), '画面一覧', CASE k WHEN 2 THEN '画面名' WHEN 3 THEN '項目名' ELSE '呼び出すAPI' END, CAST(CASE WHEN odd = 1 THEN 1000000 ELSE 1 END AS INT), k
+            FROM (SELECT DISTINCT c_nationkey AS n, c_custkey % 2 AS odd FROM {customer}) x, (SELECT 2 AS k UNION ALL SELECT 3 UNION ALL SELECT 4) y""",
     "ledger": """SELECT event_id AS seq, 'k' || CAST(user_id AS STRING) AS k, event_type AS action, props AS params FROM {events}""",
-    "expected": """SELECT 'case.' || CAST(doc_id % 8 AS STRING) AS case_id, 'd' || CAST(doc_id AS STRING) AS artifact_id, CASE WHEN quality = 1 THEN 'must_review' WHEN toxic = 1 THEN 'should_review' ELSE 'may_review' END AS level FROM {labels}""",
-    "actual": """SELECT 'case.' || CAST(doc_id % 8 AS STRING) AS case_id, 'd' || CAST(doc_id AS STRING) AS artifact_id, CASE WHEN n_chars > 900 THEN 'must_review' WHEN n_chars > 400 THEN 'should_review' ELSE 'hidden' END AS review_priority, CAST(n_chars % 4 AS INT) AS n_evidence FROM {documents}""",
+    "mutations": """
+        SELECT event_id AS seq, CASE WHEN event_id % 31 = 0 THEN '  ' WHEN event_id % 37 = 0 THEN repeat('k', 201) ELSE ' k' || CAST(user_id AS STRING) || '.' || event_type || chr(12288) END AS key,
+            CASE WHEN user_id % 9 = 0 AND event_id % 2 = 0 THEN 'other' ELSE event_type END AS action,
+            CASE WHEN event_id % 2 = 0 THEN '{{"u": ' || CAST(user_id AS STRING) || ', "p": ' || CAST(user_id % 5 + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS STRING) || '}}'
+                ELSE '{{ "p":' || CAST(user_id % 5 AS STRING) || ',"u":' || CAST(user_id AS STRING) || ' }}' END AS params FROM {events}""",
+    "expected": """
+        SELECT 'case.' || CAST(doc_id % 24 AS STRING) AS case_id, 'd' || CAST(doc_id AS STRING) AS artifact_id, CASE WHEN quality = 1 THEN 'must_review' WHEN toxic = 1 THEN 'should_review' ELSE 'may_review' END AS level FROM {labels}
+        UNION ALL SELECT 'case.' || CAST(doc_id % 24 AS STRING), 'd' || CAST(doc_id AS STRING), 'should_review' FROM {labels} WHERE quality = 1 AND doc_id % 5 = 0""",
+    "actual": """
+        SELECT 'case.' || CAST(doc_id % 24 AS STRING) AS case_id, 'd' || CAST(doc_id AS STRING) AS artifact_id, CASE WHEN n_chars > 900 THEN 'must_review' WHEN n_chars > 400 THEN 'should_review' WHEN n_chars > 200 THEN 'may_review' ELSE 'hidden' END AS review_priority,
+            CAST(n_chars % 3 AS INT) AS relation_distance, CAST(n_chars % 4 AS INT) AS n_evidence FROM {documents}""",
+    "cases": """
+        SELECT case_id, CASE WHEN n < 4 THEN 'golden' WHEN n < 16 THEN 'evaluation' ELSE 'holdout' END AS category, 'chg.' || CAST(CASE WHEN n = 23 THEN 0 ELSE n END AS STRING) AS change_id
+        FROM (SELECT DISTINCT 'case.' || CAST(doc_id % 24 AS STRING) AS case_id, doc_id % 24 AS n FROM {labels})""",
+    "catalog": """
+        SELECT 'api.gateway_' || CAST(s_suppkey AS STRING) AS item_id, 'API' AS canonical_type, 'Gateway ' || CAST(s_suppkey AS STRING) AS alias, CAST(s_suppkey AS INT) AS seq FROM {supplier}
+        UNION ALL SELECT 'entity.doc_field_' || CAST(s_suppkey AS STRING), 'BusinessField', 'Doc field ' || CAST(s_suppkey AS STRING), CAST(s_suppkey AS INT) FROM {supplier}
+        UNION ALL SELECT 'untyped_' || CAST(s_suppkey AS STRING), '', 'LOG_B' || CAST(s_suppkey AS STRING), CAST(s_suppkey AS INT) FROM {supplier}
+        UNION ALL SELECT 'column.known_' || CAST(r_regionkey AS STRING), 'Column', 'T' || CAST(r_regionkey AS STRING) || '.amount', CAST(r_regionkey AS INT) FROM {region}
+        UNION ALL SELECT 'entity.amount_of_money', 'BusinessField', 'amount', 0 FROM {region} WHERE r_regionkey = 0""",
 }
 #: A change for every part, and one for every name that parts share.
 SQL["all_changes"] = SQL["changes"].replace(" WHERE p_partkey % 80 = 3", "")

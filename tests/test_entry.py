@@ -20,7 +20,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["impact_hop1", "bounded_search", "document_changes", "markdown_relations", "alias_trigram_pairs", "cosine_top_k", "case_metrics", "region_members", "ledger_mutations"])
+@pytest.mark.parametrize("name", ["impact_hop1", "bounded_search", "document_changes", "markdown_relations", "alias_trigram_pairs", "cosine_top_k", "case_metrics", "release_gate", "region_edges", "ledger_mutations", "workbook_cells", "csv_rows", "verified_impacts", "flat_export", "alias_candidates", "review_queue_items", "rebuilt_relations", "stale_impacts"])
 def test_queries_equal_sql(spark, name):
     db = duckdb.connect()
     for table in TABLES:

@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from ripplegraph.functions.containment import pairs_within
 from ripplegraph.operators import alias, evaluate, freshness, grid, maintain, markdown, privacy, vectors, views
-from ripplegraph.sources import readers, sinks
+from ripplegraph.plans import further_queries
+from ripplegraph.sources import readers, sinks, workbooks
 from ripplegraph.streaming import ledgers
 
 
@@ -98,12 +102,92 @@ def test_redaction(spark):
     assert m == {"customer_name": "[REDACTED]", "note": "call [REDACTED]"}
 
 
-def test_metrics_of_empty_sets(spark):
-    exp = spark.createDataFrame([("c", "a", "must_review")], "case_id string, artifact_id string, level string")
-    act = spark.createDataFrame([("c", "a", "must_review", ["e"]), ("d", "b", "may_review", [])], "case_id string, artifact_id string, review_priority string, evidence_ids array<string>")
+def test_redaction_of_unicode_text(spark):
+    rows = [("氏名　：　山田太郎",), ("電話０９０１２３４５６７８ 0３-1234-5678 x",), ("番号１２３４５６７です 1234567 １２３４５６７",), ("見https://a.b/c　次",), ("会員番号\u00a0=\u3000AB_12-x9 end",)]
+    out = [r["t"] for r in spark.createDataFrame(rows, "t string").select(privacy.redact_text(F.col("t")).alias("t")).collect()]
+    patterns = [
+        re.compile(p, f)
+        for p, f in (
+            (r"(?:氏名|名前|顧客名|口座名義|full[_ ]?name|customer[_ ]?name)\s*[:：=]\s*[^\r\n,，。]{2,80}", re.I),
+            (r"(?:顧客番号|会員番号|口座番号|customer[_ -]?id|account[_ -]?number)\s*[:：=]\s*[A-Za-z0-9_-]{4,40}", re.I),
+            (r"\b0\d{1,4}[- ]?\d{1,4}[- ]?\d{3,4}\b", 0),
+            (r"https?://[^\s)]+", 0),
+            (r"\b\d{7,12}\b", 0),
+        )
+    ]
+    for got, (text,) in zip(out, rows, strict=True):
+        for p in patterns:
+            text = p.sub("[REDACTED]", text)
+        assert got == text
+    assert out[0] == "[REDACTED]" and out[4] == "[REDACTED] end"
+
+
+CASE = "case_id string, artifact_id string, level string"
+FOUND = "case_id string, artifact_id string, review_priority string, relation_distance int, evidence_ids array<string>"
+
+
+def test_metrics_count_must_and_should(spark):
+    exp = spark.createDataFrame([("c", "a", "must_review"), ("c", "m", "may_review")], CASE)
+    act = spark.createDataFrame([("c", "a", "must_review", 0, []), ("c", "m", "may_review", 1, []), ("d", "b", "may_review", 1, ["e"]), ("e", "x", "should_review", 1, [])], FOUND)
     got = {r["case_id"]: r for r in evaluate.case_metrics(exp, act).collect()}
-    assert got["c"]["must_recall"] == 1.0 and got["c"]["evidence_coverage"] == 1.0
-    assert got["d"]["must_recall"] == 1.0 and got["d"]["visible_precision"] == 0.0 and got["d"]["expansion_ratio"] == 0.0
+    assert got["c"]["must_review_recall"] == 1.0 and got["c"]["visible_precision"] == 1.0 and got["c"]["evidence_coverage"] == 1.0 and got["c"]["report_size"] == 1
+    assert got["d"]["must_review_recall"] == 1.0 and got["d"]["visible_precision"] == 1.0 and got["d"]["candidate_expansion_ratio"] == 0.0
+    assert got["e"]["visible_precision"] == 0.0 and got["e"]["evidence_coverage"] == 0.0
+    assert evaluate.missed_must(exp, act.where("artifact_id <> 'a'")).collect() == [("c", "a")]
+
+
+def test_gate_without_evaluation_cases_fails(spark):
+    exp = spark.createDataFrame([(f"c{i}", f"a{i}", "must_review") for i in range(24)], CASE)
+    act = exp.select("case_id", "artifact_id", F.col("level").alias("review_priority"), F.lit(1).alias("relation_distance"), F.array(F.lit("e")).alias("evidence_ids"))
+    kinds = lambda i, some: "golden" if i < 2 else "holdout" if i < 4 or not some else "evaluation"
+    for some, status in ((True, "pass"), (False, "fail")):
+        cases = spark.createDataFrame([(f"c{i}", kinds(i, some), f"chg{i}") for i in range(24)], "case_id string, category string, change_id string")
+        g = evaluate.release_gate(evaluate.dataset_metrics(exp, act, cases), exp).first()
+        assert g["status"] == status and g["must_review_recall"] == (1.0 if some else 0.0) and g["case_count"] == 24
+
+
+def test_white_space_of_documents(spark):
+    docs = spark.createDataFrame([("d", "#　見出し API\n\u00a0##\u3000 Request \u3000 fields\u2003\n-\u3000no bullet\n- 金額\u3000: key\n")], "document_id string, text string")
+    assert [(r["heading"], r["level"]) for r in markdown.sections(docs).collect()] == [("見出し API", 1)]
+    rows = markdown.scan(docs).collect()
+    assert [(r["relation_type"], r["value"], r["line"]) for r in rows] == [("REQUEST_FIELD", "金額\u3000: key", 4)]
+    assert markdown.targets(markdown.scan(docs)).first()["target_name"] == "金額"
+
+
+def test_catalog_types_targets(spark):
+    docs = spark.createDataFrame([("d", "# X API\n## Calls\n- 信用API\n- Known field\n- nothing\n## Table: T\n- amount\n- other")], "document_id string, text string")
+    cat = [("api.credit", "API", "信用API", 0), ("entity.k", "BusinessField", "Known field", 1), ("column.c", "Column", "T.amount", 2), ("entity.money", "BusinessField", "amount", 3), ("free", None, "T.other", 4)]
+    r = markdown.relations_of(markdown.scan(docs), spark.createDataFrame(cat, "item_id string, canonical_type string, alias string, seq int")).orderBy("line").collect()
+    assert [(x["source_id"], x["target_type"], x["target_id"]) for x in r] == [
+        ("api.x_api", "API", "api.credit"), ("api.x_api", "Document", "document.known_field"), ("api.x_api", "Document", "document.nothing"), ("column.c", "BusinessField", "entity.money"), ("free", "BusinessField", "free"),
+    ]
+
+
+def test_mutation_keys_and_params(spark):
+    rows = [(1, " k ", "a", '{"a":1,"b":2}'), (2, "k", "a", '{ "b": 2, "a": 1 }'), (3, "k", "a", None), (4, "  ", "a", "{}"), (5, "x" * 201, "a", "{}"), (6, "n", None, None), (7, "n", None, None), (8, "n", None, "null"), (9, "t", "a", "no json"), (10, "t", "a", "no json")]
+    e = spark.createDataFrame(rows, "seq long, key string, action string, params string")
+    got = [r["outcome"] for r in ledgers.mutation_results(e, ledgers.first_mutations(e)).orderBy("seq").collect()]
+    assert got == ["applied", "replayed", "conflict", "invalid", "invalid", "applied", "replayed", "conflict", "applied", "replayed"]
+
+
+def test_pairs_within(spark):
+    small, big = ["ab", "abc", "abcd", "z", "", "xyz q", "none"], ["xxabcdxx", "abc", "", "zz xyz q zz", "ab"]
+    frame = lambda rows: spark.createDataFrame([(r,) for r in rows], "text string")
+    got = {tuple(r) for r in pairs_within(frame(small * 2), frame(big)).collect()}
+    assert got == {(a, b) for a in small for b in big if a and a in b}
+
+
+def test_health_of_sheets(spark):
+    cells = [("w", "s", "IF一覧", r, c, f"v{r}{c}") for r in (1, 2, 4) for c in (1, 2, 3)] + [("w", "t", "改訂", 1, 1, "利用限度額"), ("w", "t", "改訂", 2, 1, "利用限度額"), ("w", "t", "改訂", 2, 2, "limit_amt"), ("w", "t", "改訂", 3, 1, "limit_amt")]
+    df = spark.createDataFrame(cells, "workbook_id string, sheet_id string, sheet_name string, row int, column int, value string").withColumn("merged_range", F.when(F.col("value") == "v11", "A1:B1"))
+    sheets = spark.createDataFrame([("s", "外部IF.xlsx", False), ("t", "b.xlsx", True)], "sheet_id string, file_name string, hidden boolean")
+    d = {r["sheet_id"]: r for r in grid.sheet_details(df, sheets).collect()}
+    assert d["s"]["multi_header"] and d["s"]["columns"] == 3 and d["s"]["estimated_type"] == "external_if" and d["s"]["merged_cells"] == 1 and not d["s"]["hidden"]
+    assert d["t"]["hidden"] and d["t"]["revision_history"] and not d["t"]["multi_header"]
+    f = grid.folder_health(grid.sheet_details(df, sheets)).first()
+    assert (f["sheets"], f["detected_artifacts"], f["hidden_sheets"], f["revision_sheets"], len(f["warnings"])) == (2, 4, 1, 1, 2)
+    assert [tuple(r) for r in grid.repeated_fields(df).collect()] == [("limit_amt", 2)]
+    assert [(r["name"], r["aliases"]) for r in grid.field_alias_groups(df).collect()] == [("限度額", ["limit_amt", "利用限度額"])]
 
 
 def test_sources(spark, tmp_path):
@@ -122,19 +206,15 @@ def test_sources(spark, tmp_path):
 
 
 def test_workbook(spark):
-    import io
-    import zipfile
-
-    buf = io.BytesIO()
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    with zipfile.ZipFile(buf, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData><row r="2"><c r="B2" t="inlineStr"><is><t>hello</t></is></c><c r="C2"/></row></sheetData><mergeCells><mergeCell ref="B2:B3"/></mergeCells></worksheet>')
-    df = readers.workbook_cells(spark.createDataFrame([("a.xlsx", bytearray(buf.getvalue())), ("b.xlsx", bytearray(b"no"))], "path string, content binary"))
-    cells = readers.cells_table(df).collect()
-    assert [(c["cell"], c["value"], c["row"], c["column"], c["merged_range"]) for c in cells] == [("B2", "hello", 2, 2, "B2:B3")]
-    assert df.where("error is not null").count() == 1
+    files = [("in/A b.xlsx", bytearray(further_queries.small_book([("山田", 1.5, True)]))), ("b.xlsx", bytearray(b"no")), ("c.xlsx", None)]
+    df = workbooks.parsed(spark.createDataFrame(files, "path string, content binary"))
+    cells = {c["cell"]: c for c in workbooks.cells_table(df).collect()}
+    assert (cells["A2"]["value"], cells["A2"]["style"]["fill_color"], cells["A2"]["style"]["font_bold"]) == ("山田", "theme:4", True)  # phonetic runs are no part of values
+    assert cells["C2"]["value"] == "True" and cells["D2"]["value"] == "2023-03-15 12:00:00" and cells["D2"]["data_type"] == "d" and cells["B2"]["comment"] == "see note"
+    assert cells["F1"]["merged_range"] == cells["G1"]["merged_range"] == "F1:G1" and cells["A1"]["hyperlink"] == "https://example.org/x" and cells["A1"]["workbook_id"].startswith("wb.a_b.")
+    sheets = [(s["sheet_name"], s["hidden"], s["drawings"]) for s in workbooks.sheets_table(df).collect()]
+    assert sheets == [("Data", False, []), ("Old", True, ["2 images"])]
+    assert df.where("error is not null").count() == 2
 
 
 def test_exports(spark):
