@@ -16,6 +16,8 @@ matcher never recurses over a long run (separators between digits are first mark
 Only the counts of patterns of votes and features reach the driver; there are at most
 4 kinds * 3**5 votes * 4 lengths of them, whatever the input.
 
+Long lists of spans are put together in groups, so texts of any length and number of spans are worked on whole.
+
 Defined cases: null text counts as empty and stays null under redaction; no rows, or no candidates:
 prior weights, no further spans. Each row is answered by itself, so repeated rows repeat answers.
 Columns that this module adds replace columns of the same names.
@@ -56,29 +58,53 @@ STRICT = {
     "secret": r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(?:sk|pk|ghp|AKIA)[A-Za-z0-9_-]{16,})$",
     "spoken": r"(?i)(?:com|org|net|edu|gov|io|de|fr|es|uk)$",
 }
-#: Cue words before a span, by kind: the gazetteer.
-CUES = {
-    "number": r"(?i)(?:phone|tel|call|mobile|fax|contact)\W{0,4}(?:\w+\W{1,3}){0,2}$",
-    "identity": r"(?i)(?:ssn|social|identity|tax|id)\W{0,4}(?:\w+\W{1,3}){0,2}$",
-    "secret": r"(?i)(?:token|secret|password|passwd|key|bearer|credential)\W{0,5}(?:\w+\W{1,3}){0,2}$",
-    "spoken": r"(?i)(?:mail|contact|write|reach)\W{0,4}(?:\w+\W{1,3}){0,2}$",
+# The gazetteer, cue words that stand before a span, by kind, in English, German, French, Spanish and Japanese.
+GAZETTEER = {
+    "number": "phone tel call mobile fax contact telefon anruf handy kontakt téléphone appel portable teléfono llamar móvil contacto 電話 携帯",
+    "identity": "ssn social identity tax id ausweis steuer identité sécurité identidad fiscal seguro 番号",
+    "secret": "token secret password passwd key bearer credential passwort kennwort schlüssel geheim jeton clé contraseña clave llave 鍵 暗号",
+    "spoken": "mail contact write reach schreib kontakt écri courriel correo escrib 連絡",
 }
+#: Up to two words may stand between a cue and its span.
+CUES = {kind: rf"(?iU)(?:{'|'.join(words.split())})\W{{0,5}}(?:\w+\W{{1,3}}){{0,2}}$" for kind, words in GAZETTEER.items()}
 
 
 def _found(text: Column, pattern: str) -> Column:
     """array<struct<start,end,match>> of a pattern's matches; positions in code points, end exclusive."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+    # one gap more than matches: the last one meets none
+    pairs = F.filter(F.zip_with(between, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match"))), lambda p: p["match"].isNotNull())
 
-    def step(acc: Column, item: Column) -> Column:
-        start = acc["at"] + item["gap"]
+    def step(at: Column, item: Column) -> tuple[Column, Column]:
+        start = at + item["gap"]
         end = start + F.length(item["match"])
-        one = F.struct(start.alias("start"), end.alias("end"), item["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return end, F.struct(start.alias("start"), end.alias("end"), item["match"].alias("match"))
+
+    return _running(pairs, step, "struct<start:int,end:int,match:string>")
+
+
+def _running(items: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str, group: int = 64) -> Column:
+    """One result per item, each from the item and a number carried on from the item before (0 at first).
+
+    Groups of results are put together first and joined at the end, so that a long list is not copied for every item.
+    """
+    none = F.array().cast(f"array<{kind}>")
 
-    pairs = F.transform(matches, lambda m, i: F.struct(F.get(between, i).alias("gap"), m.alias("match")))
-    return F.aggregate(pairs, zero, step)["out"]
+    def one(acc: Column, item: Column) -> Column:
+        at, out = step(acc["at"], item)
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(out.cast(kind))).alias("out"))
+
+    def all_of(known: Column) -> Column:
+        def many(acc: Column, g: Column) -> Column:
+            some = F.aggregate(F.slice(known, g * group + 1, F.lit(group)), F.struct(acc["at"].alias("at"), none.alias("out")), one, lambda x: F.array(x))
+            return F.aggregate(some, acc, lambda whole, x: F.struct(x["at"].alias("at"), F.concat(whole["out"], F.array(x["out"])).alias("out")))
+
+        groups = F.sequence(F.lit(0), F.floor((F.size(known) - 1) / group).cast("int"))
+        return F.flatten(F.aggregate(groups, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out")), many)["out"])
+
+    # the list of items is bound to a name, so that it is found once
+    return F.get(F.transform(F.array(items), lambda known: F.when(F.size(known) > 0, all_of(known)).otherwise(none)), F.lit(0))
 
 
 def _none() -> Column:
@@ -233,16 +259,19 @@ def detect(docs: DataFrame, weights: list[float], text_col: str = "text", thresh
 def redact(detected: DataFrame, text_col: str = "text") -> DataFrame:
     """Replace every detected span by its kind in square brackets; overlapping spans become one."""
     text = F.col(text_col)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        piece = F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(piece).alias("out"))
 
-    state = F.aggregate(F.col("spans"), zero, step)
-    rest = F.concat(state["out"], text.substr(state["at"] + 1, F.length(text)))
-    return detected.withColumn(text_col, F.when(F.size("spans") > 0, rest).otherwise(text)).drop("spans")
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        piece = F.concat(text.substr(at + 1, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        end = F.greatest(at, s["end"])
+        return end, F.struct(F.when(s["start"] < at, "").otherwise(piece).alias("piece"), end.alias("end"))
+
+    own = "pieces"
+    while own in detected.columns:
+        own += "_"
+    cut = detected.withColumn(own, _running(F.col("spans"), step, "struct<piece:string,end:int>"))
+    rest = text.substr(F.element_at(own, -1)["end"] + 1, F.length(text))
+    whole = F.concat(F.array_join(F.transform(own, lambda p: p["piece"]), ""), rest)
+    return cut.withColumn(text_col, F.when(F.size("spans") > 0, whole).otherwise(text)).drop("spans", own)
 
 
 def listed(spans: Column) -> Column:

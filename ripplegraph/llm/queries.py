@@ -28,7 +28,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(docs, pii.fit(docs))
     base = F.filter("spans", lambda s: s["rank"] < len(pii.BASE_KINDS))
     counts = [pii.count_of(k).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    more = [pii.count_of(k).cast("long").alias(f"n_{k}") for k in pii.MORE_KINDS]
+    every = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), *more, every)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

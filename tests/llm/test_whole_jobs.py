@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from ripplegraph.llm import decontaminate, langid, pii
@@ -67,3 +69,26 @@ def test_candidates_of_any_length(spark):
     got = {r["doc_id"]: [(c["kind"], c["start"], c["end"]) for c in r["c"]] for r in docs.select("doc_id", pii._candidates(docs["text"]).alias("c")).collect()}
     spoken = lambda n: ("spoken", 5, 5 + n + len(" (at) host (dot) com"))
     assert got == {19: [], **{n: [("secret", 9, 9 + n)] for n in (20, 128, 129, 5000)}, 1: [("secret", 5, 75), spoken(72)], 2: [("secret", 5, 25), spoken(20)]}
+
+
+def test_recall_of_personal_data_and_secrets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = pii.detect(docs, pii.fit(docs)).select("doc_id", "text", "spans").collect()
+    planted = {
+        "secret": r'token = "([0-9a-f]{40})"',
+        "email": r"[a-z]+\.[0-9]+@mail[0-9]\.example\.com",
+        "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])",
+    }
+    for kind, pattern in planted.items():
+        known = [(r["text"], m.span(m.lastindex or 0), r["spans"]) for r in found for m in re.finditer(pattern, r["text"] or "")]
+        hit = sum(any(s["start"] <= a and b <= s["end"] for s in spans) for _, (a, b), spans in known)
+        assert not known or hit >= 0.9 * len(known), (kind, hit, len(known))
+    plain = [r for r in found if r["text"] and not re.search(r"[0-9@]", r["text"])]
+    assert sum(bool(r["spans"]) for r in plain) <= 0.01 * max(1, len(plain))
+
+
+def test_many_spans_in_one_text(spark):
+    text = "x a@b.co é " * 3000
+    df = spark.createDataFrame([(1, text), (1, text), (2, "10.0.0.1 " * 130), (None, None), (3, "")], DOC)
+    out = pii.redact(pii.detect(df, [])).orderBy("doc_id").collect()
+    assert [r["text"] for r in out] == [None, "x [EMAIL] é " * 3000, "x [EMAIL] é " * 3000, "[IP] " * 130, ""]
