@@ -177,3 +177,15 @@ def row_key(docs: DataFrame) -> tuple[DataFrame, list[str]]:
         names.append(stem)
     keyed = docs.withColumn(names[0], F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn(names[1], F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     return keyed, names
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Rising 64-bit numbers as bytes: the numbers' first bytes, then their second bytes and so on, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+
+
+def stretch(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    raw = pa.Codec("zstd").decompress(data[8:], 8 * n, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64).ravel()

@@ -102,7 +102,7 @@ def _frequencies(ids: DataFrame, bits: int, words: int, percent: int) -> DataFra
                 part, packed = part[order], packed[order]
                 cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
                 parts = np.flatnonzero(np.diff(cuts))
-                payload = [packed[cuts[p] : cuts[p + 1]].tobytes() for p in parts]
+                payload = [common.squeeze(packed[cuts[p] : cuts[p + 1]]) for p in parts]
                 doc = common.column(some, "doc_id")
                 facts = [doc.fill_null(0).to_numpy(), np.asarray(doc.is_valid()), common.column(some, "tag").to_numpy(), size, *sums.view(np.int64)]
                 about = b"".join(x.astype(np.int64).tobytes() for x in facts)
@@ -122,9 +122,9 @@ def _frequencies(ids: DataFrame, bits: int, words: int, percent: int) -> DataFra
         about = np.asarray(table.column("about"))
         rest = table.filter(pa.array(about))
         table = table.filter(pa.array(~about))
-        raw, offsets = common.bytes_of(table.column("payload"))
-        packed = np.frombuffer(raw.tobytes(), np.uint64)
-        source = np.repeat(np.arange(len(table)), np.diff(offsets) // 8)
+        parts = [common.stretch(x.as_py()) for x in table.column("payload")]
+        packed = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        source = np.repeat(np.arange(len(table)), [len(x) for x in parts])
         order = np.argsort(packed >> np.uint64(16), kind="stable")
         token = packed[order] >> np.uint64(16)
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(token) else np.zeros(1, np.int64)
@@ -137,7 +137,8 @@ def _frequencies(ids: DataFrame, bits: int, words: int, percent: int) -> DataFra
         counts = np.bincount(source[order], minlength=len(table))
         some = np.flatnonzero(counts)
         chunks = pa.concat_arrays([table.column("chunk").combine_chunks().take(pa.array(some)), rest.column("chunk").combine_chunks()])
-        payload = common.blobs(packed[order], counts[some])
+        ends = np.cumsum(counts[some])
+        payload = pa.array([common.squeeze(packed[order[e - c : e]]) for e, c in zip(ends.tolist(), counts[some].tolist(), strict=True)], pa.binary())
         classes = common.blobs(cls, counts[some])
         n, m = len(some), len(rest)
         return pa.table(
@@ -156,7 +157,7 @@ def _frequencies(ids: DataFrame, bits: int, words: int, percent: int) -> DataFra
         keep = np.flatnonzero(part >= 0)
         n = len(doc)
         if len(keep):
-            packed = np.concatenate([np.frombuffer(table.column("payload")[int(i)].as_py(), np.uint64) for i in keep])
+            packed = np.concatenate([common.stretch(table.column("payload")[int(i)].as_py()) for i in keep])
             cls = np.concatenate([np.frombuffer(table.column("classes")[int(i)].as_py(), np.uint8) for i in keep])
             lengths = [len(table.column("classes")[int(i)].as_py()) for i in keep]
             token = (packed >> np.uint64(16)) | (np.repeat(part[keep].astype(np.uint64), lengths) << np.uint64(min(48, 64 - bits)))
