@@ -75,7 +75,7 @@ def alias_decisions(s: SparkSession, d: str) -> DataFrame:
 def semantic_candidates(s: SparkSession, d: str) -> DataFrame:
     """Artifacts reached from retrieved chunks through the evidence in them."""
     ev = t.evidence(s, d).withColumn("chunk_id", F.col("source_location.file")).withColumn("supports", F.array(F.struct(F.lit("relation").alias("type"), F.col("relation_id").alias("id"))))
-    top = t.raw(s, d, "orders").where("o_orderkey % 50 = 0").select(F.lit("c").alias("change_id"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("chunk_id"))
+    top = t.raw(s, d, "orders").select(F.lit("c").alias("change_id"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("chunk_id"))
     c = impact.semantic_candidates(top, ev, t.relations(s, d), t.artifacts(s, d))
     return c.groupBy("change_id", "artifact_id").agg(F.count_distinct(F.element_at("evidence_ids", 1)).alias("n_evidence"))
 
@@ -113,7 +113,7 @@ def explain_names(s: SparkSession, d: str) -> DataFrame:
 
 
 def imported_relations(s: SparkSession, d: str) -> DataFrame:
-    """Quotes of the first line of each document, kept if they occur once, else with the problem."""
+    """Quotes of the last line of each document, kept if they occur once, else with the problem."""
     c = t.raw(s, d, "documents").select(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("chunk_id"), "text", F.lit(1).alias("line_start"))
     a = c.select("chunk_id", F.lit("a").alias("source_id"), F.lit("READS").alias("relation_type"), F.lit("e").alias("target_id"), F.element_at(F.split("text", "\n"), -1).alias("quote"))
     ok, bad = impact.import_relations(a, c)
@@ -125,7 +125,7 @@ def named_entities(s: SparkSession, d: str) -> DataFrame:
     """Entities that answers name, by id or by a unique name."""
     e = t.entities(s, d)
     a = t.raw(s, d, "part").select(F.lit("c").alias("change_id"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("entity."), F.col("p_partkey").cast("string"))).otherwise(F.col("p_name")).alias("name"))
-    known, _ = impact.match_named_entities(a, e, alias.name_index(t.artifacts(s, d).limit(0), e))
+    known, _ = impact.match_named_entities(a, e, alias.name_index(t.artifacts(s, d), e))
     return known
 
 
@@ -225,8 +225,8 @@ def quoted_impacts(s: SparkSession, d: str) -> DataFrame:
 
 def inspected_artifacts(s: SparkSession, d: str) -> DataFrame:
     """Artifacts by unique name."""
-    w = t.raw(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_name").alias("name"))
-    idx = alias.name_index(t.artifacts(s, d), t.entities(s, d).limit(0))
+    w = t.raw(s, d, "customer").select(F.col("c_name").alias("name"))
+    idx = alias.name_index(t.artifacts(s, d), t.entities(s, d))
     return views.inspect(t.artifacts(s, d), w, idx, "artifact_id").select("name", "artifact_id", "artifact_type")
 
 
@@ -269,7 +269,7 @@ ORACLE_SQL = {
         o AS (SELECT x.id AS a, y.id AS b, x.p_name AS an, y.p_name AS bn, y.c AS bc, x.c AS ac FROM p JOIN n x ON x.id = p."left" JOIN n y ON y.id = p."right"),
         k AS (SELECT CASE WHEN (length(an), a) <= (length(bn), b) THEN a ELSE b END AS item_id, CASE WHEN (length(an), a) <= (length(bn), b) THEN bn ELSE an END AS x, CASE WHEN (length(an), a) <= (length(bn), b) THEN bc ELSE ac END AS y FROM o)
         SELECT id AS item_id, 'BusinessField' AS canonical_type, p_name AS alias FROM n UNION SELECT item_id, 'BusinessField', x FROM k UNION SELECT item_id, 'BusinessField', y FROM k""",
-    "semantic_candidates": t.with_views("SELECT 'c' AS change_id, 'api.' || string_split(evidence_id, '.')[4] AS artifact_id, count(DISTINCT evidence_id) AS n_evidence FROM evidence_t JOIN relations_t USING (relation_id) WHERE CAST(substring(file, 7) AS BIGINT) % 50 = 0 AND status <> 'rejected' AND CAST(substring(file, 7) AS BIGINT) IN (SELECT o_orderkey FROM orders) GROUP BY 2", "evidence", "relations"),
+    "semantic_candidates": t.with_views("SELECT 'c' AS change_id, 'api.' || string_split(evidence_id, '.')[4] AS artifact_id, count(DISTINCT evidence_id) AS n_evidence FROM evidence_t JOIN relations_t USING (relation_id) WHERE status <> 'rejected' AND CAST(substring(file, 7) AS BIGINT) IN (SELECT o_orderkey FROM orders) GROUP BY 2", "evidence", "relations"),
     "rerank_batches": t.with_views("WITH " + _HOP + " SELECT change_id, CAST(floor((r - 1) / 20) AS INTEGER) AS batch, CAST(count(*) AS INTEGER) AS n FROM (SELECT change_id, row_number() OVER (PARTITION BY change_id) AS r FROM best) GROUP BY 1, 2", *_I),
     "imported_relations": """WITH a AS (SELECT 'k' || CAST(doc_id AS VARCHAR) AS chunk_id, text, string_split(text, chr(10))[-1] AS q FROM documents),
         b AS (SELECT *, strpos(text, q) AS i FROM a) SELECT chunk_id, CASE WHEN p = 'ok' THEN CAST(1 + length(substring(text, 1, i - 1)) - length(replace(substring(text, 1, i - 1), chr(10), '')) AS INTEGER) ELSE 0 END AS line_start, p AS problem
@@ -287,7 +287,7 @@ ORACLE_SQL = {
     "source_library": t.with_views("""SELECT d.document_id, (SELECT count(*) FROM evidence_t e WHERE e.document_id = d.document_id) AS evidence, count(*) AS nodes, (SELECT count(*) FROM (SELECT document_id FROM relations_t UNION ALL SELECT document_id FROM calls_t) r WHERE r.document_id = d.document_id) AS relations, 0 AS versions, 0 AS stale
         FROM artifacts_t d GROUP BY d.document_id""", *_I[:5]),
     "quoted_impacts": t.with_views("WITH " + _HOP + " SELECT change_id, o.artifact_id, string_agg(quote, '|' ORDER BY evidence_id) AS quotes FROM (SELECT DISTINCT change_id, artifact_id, evidence_id, quote FROM ok JOIN evidence_t USING (relation_id)) o GROUP BY 1, 2", *_I),
-    "inspected_artifacts": "SELECT c_name AS name, 'screen.' || CAST(c_custkey AS VARCHAR) AS artifact_id, 'Screen' AS artifact_type FROM customer WHERE c_custkey % 3 = 0",
+    "inspected_artifacts": "SELECT c_name AS name, 'screen.' || CAST(c_custkey AS VARCHAR) AS artifact_id, 'Screen' AS artifact_type FROM customer",
     "rerank_answers": t.with_views("WITH " + _HOP + """, full_best AS (SELECT change_id, artifact_id, arg_min(review_priority, (k, relation_id)) AS p, arg_min(rule_assessment, (k, relation_id)) AS a FROM (SELECT *, CASE review_priority WHEN 'must_review' THEN 0 WHEN 'should_review' THEN 1 ELSE 2 END AS k FROM ok) GROUP BY 1, 2),
         j AS (SELECT *, p = 'must_review' AND a = 'explicit_relation' AS kept, regexp_matches(artifact_id, '[02468]$') AS up FROM full_best)
         SELECT change_id, artifact_id, CASE WHEN kept THEN p WHEN up THEN CASE WHEN p = 'may_review' THEN 'should_review' ELSE p END ELSE 'may_review' END AS review_priority,

@@ -127,5 +127,5 @@ QUERIES = {
 _OLD = impact_queries.ORACLE_SQL
 ORACLE_SQL = {f"all_{n}": _text(_OLD[n], changes="all_changes") for n in ("changed_entities", "impact_direct", "impact_hop1", "impact_rejected", "impact_report", "impact_trace")}
 ORACLE_SQL |= {f"shared_{n}": _text(_OLD[n], changes="shared_changes", entities="shared_names") for n in ("changed_entities", "impact_hop1", "impact_report")}
-ORACLE_SQL["all_semantic_candidates"] = extra_queries.ORACLE_SQL["semantic_candidates"].replace("CAST(substring(file, 7) AS BIGINT) % 50 = 0 AND ", "")
-ORACLE_SQL["all_inspected_artifacts"] = extra_queries.ORACLE_SQL["inspected_artifacts"].replace(" WHERE c_custkey % 3 = 0", "")
+ORACLE_SQL["all_semantic_candidates"] = extra_queries.ORACLE_SQL["semantic_candidates"]
+ORACLE_SQL["all_inspected_artifacts"] = extra_queries.ORACLE_SQL["inspected_artifacts"]

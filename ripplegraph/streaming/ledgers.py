@@ -1,14 +1,15 @@
 """Append ledgers as Structured Streaming jobs. Each has a batch function of the same result.
 
-The state is a table of one row per key, kept as versioned snapshots: a batch reads snapshot n - 1 and
-writes snapshot n under its epoch, so that a batch that is run again writes the same rows again.
+The state is a table of one row per key in buckets. A batch reads the buckets of its keys as they were after
+the batch before and writes them under its epoch, with a list of every bucket's version, so that a batch
+that is run again writes the same rows again, and what a batch does not touch is not written anew.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -76,25 +77,46 @@ def _merge_status(state: DataFrame, batch: DataFrame) -> DataFrame:
     return current_status(state.select("impact_id", "status", "seq").unionByName(batch.select("impact_id", "status", "seq")))
 
 
-LEDGERS: dict[str, tuple[str, Callable[[DataFrame, DataFrame], DataFrame]]] = {
-    "source_changes": ("path string, hash string, seq long, changes long", _merge_hashes),
-    "mutations": ("key string, action string, digest string, seq long", _merge_mutations),
-    "decisions": ("impact_id string, status string, seq long", _merge_status),
+#: By ledger: the schema of its state (the first column is the key), the key of an event, and how a batch is folded in.
+LEDGERS: dict[str, tuple[str, Callable[[], Column], Callable[[DataFrame, DataFrame], DataFrame]]] = {
+    "source_changes": ("path string, hash string, seq long, changes long", lambda: F.col("path"), _merge_hashes),
+    "mutations": ("key string, action string, digest string, seq long", lambda: strip(F.coalesce("key", F.lit(""))), _merge_mutations),
+    "decisions": ("impact_id string, status string, seq long", lambda: F.col("impact_id"), _merge_status),
 }
 
 
-def run(stream: DataFrame, ledger: str, folder: str) -> StreamingQuery:
-    """Fold a stream into a ledger under `folder`; ends when what is available is read."""
-    schema, merge = LEDGERS[ledger]
-    spark = stream.sparkSession
+def _versions(spark: SparkSession, place: str, epoch: int) -> dict[int, int]:
+    """Version of every bucket that has one after a batch; at most as many as there are buckets."""
+    if epoch < 0:
+        return {}
+    return {r["bucket"]: r["version"] for r in spark.read.schema("bucket int, version long").parquet(f"{place}/buckets/v{epoch}").collect()}
+
+
+def _state(spark: SparkSession, place: str, schema: str, versions: dict[int, int]) -> DataFrame:
+    paths = [f"{place}/rows/v{v}/bucket={b}" for b, v in sorted(versions.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def run(stream: DataFrame, ledger: str, folder: str, buckets: int = 64) -> StreamingQuery:
+    """Fold a stream into a ledger under `folder`; ends when what is available is read. Only buckets of keys that a batch holds are written anew."""
+    schema, key, merge = LEDGERS[ledger]
+    spark, place = stream.sparkSession, f"{folder}/{ledger}"
+    bucket = lambda k: F.pmod(F.xxhash64(k), F.lit(buckets)).cast("int").alias("bucket")
 
     def fold(batch: DataFrame, epoch: int) -> None:
-        old = spark.read.schema(schema).parquet(f"{folder}/{ledger}/v{epoch - 1}") if epoch else spark.createDataFrame([], schema)
-        merge(old, batch).write.mode("overwrite").parquet(f"{folder}/{ledger}/v{epoch}")
+        known = _versions(spark, place, epoch - 1)
+        touched = {r["bucket"] for r in batch.select(bucket(key())).distinct().collect()}
+        old = _state(spark, place, schema, {b: v for b, v in known.items() if b in touched})
+        new = merge(old, batch)
+        new.withColumn("bucket", bucket(F.col(new.columns[0]))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{place}/rows/v{epoch}")
+        written = {r["bucket"] for r in spark.read.parquet(f"{place}/rows/v{epoch}").select("bucket").distinct().collect()} if touched else set()
+        rows = [(b, v) for b, v in {**known, **dict.fromkeys(written, epoch)}.items()]
+        spark.createDataFrame(rows, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{place}/buckets/v{epoch}")
 
-    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/{ledger}/_progress").trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, ledger: str, folder: str, epoch: int) -> DataFrame:
-    """A ledger's snapshot after a batch."""
-    return spark.read.schema(LEDGERS[ledger][0]).parquet(f"{folder}/{ledger}/v{epoch}")
+    """A ledger's state after a batch."""
+    place = f"{folder}/{ledger}"
+    return _state(spark, place, LEDGERS[ledger][0], _versions(spark, place, epoch))
