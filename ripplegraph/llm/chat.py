@@ -10,8 +10,8 @@ length and the two sums of digests, taken in one window per conversation. Only i
 shuffled for the collapse; texts are read again for what is kept.
 
 Defined cases: turns are ordered by turn number, then role and text; repeated turn numbers are turns
-of their own. A null text renders as empty, a null role as `unknown`; null and empty are equal.
-Rows without a conversation id are dropped. No rows: no conversations. Other columns are ignored.
+of their own, a null turn number counts as -1. A null text renders as empty, a null role as `unknown`;
+null and empty are equal. Texts of any length are rendered whole. Rows without a conversation id are dropped. No rows: no conversations. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,23 +42,28 @@ def prefixes(rows: DataFrame) -> DataFrame:
 
 
 def maximal(rows: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, n_collapsed): conversations that are no prefix of others; equal ones keep the smallest id.
+    """(conv_id, n_turns, n_collapsed, n_snapshots): conversations that are no prefix of others; equal ones keep the smallest id.
 
-    n_collapsed counts the conversations equal to this one that it stands for, itself not included.
+    n_collapsed counts the conversations equal to this one that it stands for, itself not included, and n_snapshots those
+    that are a shorter prefix of it (a snapshot of two kept conversations counts for both).
     """
     p = common.cut(prefixes(rows))
     whole = p.where(F.col("at") == F.col("n_turns"))
-    kept = whole.groupBy("n_turns", "a", "b").agg(F.min("conv_id").alias("conv_id"), (F.count("*") - 1).alias("n_collapsed"))
+    classes = common.cut(whole.groupBy("n_turns", "a", "b").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n")))
     inner = p.where(F.col("at") < F.col("n_turns")).select(F.col("at").alias("n_turns"), "a", "b").distinct()
-    return kept.join(inner, ["n_turns", "a", "b"], "left_anti").select("conv_id", "n_turns", "n_collapsed")
+    top = common.cut(classes.join(inner, ["n_turns", "a", "b"], "left_anti"))
+    shorter = p.where(F.col("at") < F.col("n_turns")).join(top.select("conv_id"), "conv_id", "left_semi").select("conv_id", F.col("at").alias("n_turns"), "a", "b")
+    seen = shorter.join(classes.select("n_turns", "a", "b", "n"), ["n_turns", "a", "b"]).groupBy("conv_id").agg(F.sum("n").alias("n_snapshots"))
+    out = top.join(seen, "conv_id", "left")
+    return out.select("conv_id", "n_turns", (F.col("n") - 1).alias("n_collapsed"), F.coalesce("n_snapshots", F.lit(0)).alias("n_snapshots"))
 
 
 def render(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The kept conversations as text, one `<|role|>` block per turn and an end mark."""
-    t = turns(rows).join(kept, "conv_id")
-    lined = t.groupBy("conv_id", "n_turns", "n_collapsed").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.sha2("text", 256).alias("content"), "text"))).alias("turns"))
+    """The kept conversations as text, one `<|role|>` block per turn and an end mark; columns of kept stay."""
+    t = turns(rows).join(kept.select("conv_id"), "conv_id", "left_semi")
+    lined = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.sha2("text", 256).alias("content"), "text"))).alias("turns"))
     text = F.array_join(F.transform("turns", lambda s: F.concat(F.lit("<|"), s["role"], F.lit("|>\n"), s["text"], F.lit("\n"))), "")
-    return lined.select("conv_id", "n_turns", "n_collapsed", F.concat(text, F.lit("<|end|>")).alias("text"))
+    return kept.join(lined, "conv_id").select(*kept.columns, F.concat(text, F.lit("<|end|>")).alias("text"))
 
 
 def collapse_and_render(rows: DataFrame) -> DataFrame:

@@ -11,13 +11,15 @@ The budget is `rate` of the window's length. Matching ignores ASCII case and kin
 Lengths and edits count UTF-8 bytes; reported positions are code points.
 
 The index of the benchmark is sent to every task only in chunks of checked size (`chunk_chars`); a
-larger benchmark is scanned in several passes over the documents. No document is shuffled.
+larger benchmark is scanned in several passes over the documents, and one chunk is held at a time. No
+document is shuffled.
 
 Defined cases: null or empty texts and items match nothing. Items shorter than a window match as a whole,
 those of 12 to 47 bytes with as many edits of their rate as leave a q-gram that must be shared (none under
 24 bytes, one under 36), those under 12 bytes exactly and between bytes that are no letters or digits;
 items shorter than `least` bytes are ignored. An empty benchmark or no documents: no rows. Repeated documents are
-reported each; repeated windows of an item are reported as one region per item and place.
+reported each; repeated windows of an item are reported as one region per item and place. Texts of any
+length are searched whole. Other columns than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -270,6 +272,9 @@ def leaks(
 
         names = [*id_cols, "item_id", "start", "end", "edits"]
         part = docs.select(*(F.col(c).cast("long").alias(c) for c in id_cols), text_col).mapInArrow(scan, ", ".join(f"`{c}` long" for c in names))
+        if chunks > 1:  # one index at a time is held
+            part = common.cut(part)
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 

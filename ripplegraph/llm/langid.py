@@ -15,7 +15,7 @@ and is marked as a cut), and all pieces of an Arrow batch advance together, one
 
 Defined cases: a null text, or one without any letter, is `und` with score 0. Ties go to the language
 that sorts first. No labelled row at all: every text is `und`. Rows are answered one by one, so
-repeated rows and repeated ids give repeated answers; other columns are ignored.
+repeated rows and repeated ids give repeated answers; other columns are kept, but for the two added.
 """
 
 from __future__ import annotations

@@ -45,7 +45,9 @@ ORACLE_SQL: dict[str, str] = {
         prefixes AS (SELECT DISTINCT list_slice(names, 1, k) AS p FROM (SELECT names, unnest(range(1, n_turns)) AS k FROM convs)),
         kept AS (
             SELECT names, min(conv_id) AS conv_id, count(*) - 1 AS n_collapsed FROM convs
-            WHERE names NOT IN (SELECT p FROM prefixes) GROUP BY names)
-        SELECT c.conv_id, c.n_turns, k.n_collapsed, c.text FROM kept k JOIN convs c USING (conv_id)
+            WHERE names NOT IN (SELECT p FROM prefixes) GROUP BY names),
+        parts AS (SELECT conv_id, list_slice(names, 1, k) AS p FROM (SELECT conv_id, names, unnest(range(1, len(names))) AS k FROM kept)),
+        seen AS (SELECT parts.conv_id, count(*) AS n FROM parts JOIN convs ON convs.names = p GROUP BY 1)
+        SELECT c.conv_id, c.n_turns, k.n_collapsed, coalesce(s.n, 0) AS n_snapshots, c.text FROM kept k JOIN convs c USING (conv_id) LEFT JOIN seen s ON s.conv_id = k.conv_id
     """,
 }

@@ -11,7 +11,9 @@ Scoring reads every whole text once, in Arrow batches, without a shuffle.
 
 Defined cases: null and empty texts have no words and score by the bias and statistics of an empty
 text. With no labelled rows every score is 0.5. Rows are scored one by one; other columns are ignored,
-and labels, lang, source and ids are never features. Labels other than 0 and 1, or null, are not used.
+and labels, lang, source and ids are never features. Labels other than 0 and 1, or null, are not used;
+of differing labels of one id, 1 counts, and it counts for all rows of that id. Texts of any length are
+read whole. An empty table gives an empty result; columns of clashing names are kept, but for `score`.
 """
 
 from __future__ import annotations

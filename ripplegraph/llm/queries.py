@@ -48,13 +48,14 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals, quantile and truncated totals of the corpus for every context limit that is a length."""
+    """Totals, quantile and truncated totals of the corpus for every context limit that is a length, and for powers of two."""
     import public_tokenizers
 
     with open(_file("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = f.read()
     lengths = token_counts.encoded_lengths(common.read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return token_counts.context_report(common.cut(token_counts.histogram(lengths)))
+    limits = spark.range(7, 18).select(F.pow(F.lit(2), F.col("id")).cast("long").alias("context_limit"))
+    return token_counts.context_report(common.cut(token_counts.histogram(lengths)), limits)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

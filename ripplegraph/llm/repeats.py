@@ -23,7 +23,7 @@ its fragments' strings are counted over all tasks instead, which gives the same
 
 Defined cases: null text counts as empty and keeps its row. Repeated rows (and repeated ids) are rows
 of their own, so each makes the other's long strings repeats. Texts shorter than `length` keep all.
-An empty table gives an empty result; other columns are ignored.
+Texts of any length are taken whole. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ The running sums are taken in two steps, first over bands of `band` lengths and
 so that no single task sorts the whole histogram.
 
 Defined cases: a null or empty text has length 0 and counts as a document. Repeated rows count each.
-An empty table gives an empty histogram. Special tokens in a text are ordinary text.
+An empty table gives an empty histogram (limits alone: no totals). Special tokens in a text are ordinary text.
+Texts of any length are encoded whole. Only the text column is read, so other columns' names do not matter.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def encoder(ranks: bytes, pattern: str):
     return _ENCODERS[key]
 
 
-def encoded_lengths(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", piece: int = 200_000) -> DataFrame:
+def encoded_lengths(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text") -> DataFrame:
     """One row (n_tokens long) per document. `ranks` is the content of a rank file (fixed size, under 1 MB)."""
     common.prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -47,7 +48,7 @@ def encoded_lengths(docs: DataFrame, ranks: bytes, pattern: str, text_col: str =
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             enc = encoder(shared.value, pattern)
-            sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in common.column(batch, text_col).to_pylist()]
+            sizes = [len(enc.encode_ordinary(t)) if t else 0 for some in common.slices(batch, text_col) for t in common.column(some, text_col).to_pylist()]
             n, c = np.unique(np.array(sizes, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(c.astype(np.int64))], names=["n_tokens", "n_docs"])
 
@@ -59,8 +60,11 @@ def histogram(lengths: DataFrame) -> DataFrame:
     return lengths.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def context_report(hist: DataFrame, band: int = 256) -> DataFrame:
-    """For every length taken as a context limit: totals, quantile and truncated totals."""
+def context_report(hist: DataFrame, limits: DataFrame | None = None, band: int = 256) -> DataFrame:
+    """For every observed length, and every limit of `limits` (context_limit), as a context limit: totals, quantile and truncated totals."""
+    if limits is not None:  # a limit that is no length is one of no documents
+        asked = limits.select(F.col("context_limit").cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_docs")).where("n_tokens >= 0")
+        hist = histogram(hist.select("n_tokens", "n_docs").unionByName(asked))
     h = hist.withColumn("band", F.floor(F.col("n_tokens") / band)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     bands = h.groupBy("band").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     later = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
@@ -85,5 +89,11 @@ def context_report(hist: DataFrame, band: int = 256) -> DataFrame:
         (F.col("total_docs") - F.col("longer_docs")).alias("fitting_docs"),
         (F.col("total_tokens") - F.col("longer_tokens") + limit * F.col("longer_docs")).alias("truncated_tokens"),
         (F.col("longer_tokens") - limit * F.col("longer_docs")).alias("lost_tokens"),
-        ((F.col("total_docs") - F.col("longer_docs")) / F.col("total_docs")).alias("quantile"),
+        F.try_divide(F.col("total_docs") - F.col("longer_docs"), F.col("total_docs")).alias("quantile"),
     )
+
+
+def lengths_at(report: DataFrame, quantiles: list[float]) -> DataFrame:
+    """(q, n_tokens): the smallest length that at least the share q of all documents do not exceed."""
+    reached = F.filter(F.array(*map(F.lit, quantiles)), lambda q: q <= F.col("quantile"))
+    return report.where("n_docs > 0").select(F.explode(reached).alias("q"), "context_limit").groupBy("q").agg(F.min("context_limit").alias("n_tokens"))

@@ -296,6 +296,11 @@ def test_context_report_equals_brute_force(spark):
         assert r["truncated_tokens"] == sum(min(s, limit) for s in sizes) and r["lost_tokens"] == sum(max(0, s - limit) for s in sizes)
         assert r["fitting_docs"] == sum(s <= limit for s in sizes) and r["total_tokens"] == sum(sizes) and r["quantile"] == r["fitting_docs"] / len(sizes)
     assert token_counts.context_report(token_counts.histogram(df.limit(0))).count() == 0
+    limits = spark.createDataFrame([(16,), (41,), (4096,), (9000,), (41,)], "context_limit int")
+    more = {r["context_limit"]: r for r in token_counts.context_report(token_counts.histogram(df), limits, band=8).collect()}
+    assert set(more) == set(sizes) | {16, 41, 4096, 9000} and all(more[x]["truncated_tokens"] == sum(min(s, x) for s in sizes) and more[x]["fitting_docs"] == sum(s <= x for s in sizes) for x in (16, 41, 4096, 9000))
+    at = {r["q"]: r["n_tokens"] for r in token_counts.lengths_at(token_counts.context_report(token_counts.histogram(df)), [0.25, 0.5, 1.0]).collect()}
+    assert at == {q: sorted(sizes)[-(-int(q * 100) * len(sizes) // 100) - 1] for q in (0.25, 0.5, 1.0)}
 
 
 def test_encoded_lengths(spark, docs):
@@ -411,6 +416,10 @@ def test_snapshots_collapse(spark):
     rows = [(1, *t) for t in one] + [(2, *t) for t in one[:2]] + [(3, *t) for t in one] + [(4, 0, "user", "hi"), (4, 1, "assistant", "HELLO"), (5, 0, "user", None), (6, 0, None, "x"), (None, 0, "user", "z")] + [(7, *t) for t in one[1:]]
     got = {r["conv_id"]: r for r in chat.collapse_and_render(spark.createDataFrame(rows, c)).collect()}
     assert set(got) == {1, 4, 5, 6, 7} and got[1]["n_collapsed"] == 1 and got[1]["n_turns"] == 3
+    assert {i: r["n_snapshots"] for i, r in got.items()} == {1: 1, 4: 0, 5: 0, 6: 0, 7: 0}
+    long = [(8, None, "user", "x" * 200_000), (9, None, "user", "x" * 200_000), (9, 1, "assistant", "y")]
+    clash = spark.createDataFrame([(*r, 1, "z") for r in long], f"{c}, n_turns long, a string")
+    assert [(r["conv_id"], r["n_snapshots"], len(r["text"])) for r in chat.collapse_and_render(clash).collect()] == [(9, 1, 9 + 200_000 + 1 + 14 + 2 + 7)]
     assert got[1]["text"] == "<|user|>\nhi\n<|assistant|>\nhello\n<|user|>\nbye\n<|end|>" and got[5]["text"] == "<|user|>\n\n<|end|>" and got[6]["text"].startswith("<|unknown|>")
     assert chat.collapse_and_render(spark.createDataFrame([], c)).count() == 0
 

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from ripplegraph.llm import decontaminate, langid, pii
+from ripplegraph.llm import bpe, decontaminate, langid, pii, quality, repeats
 
 DOC = "doc_id long, text string"
 ITEM = "item_id long, text string"
@@ -92,3 +92,43 @@ def test_many_spans_in_one_text(spark):
     df = spark.createDataFrame([(1, text), (1, text), (2, "10.0.0.1 " * 130), (None, None), (3, "")], DOC)
     out = pii.redact(pii.detect(df, [])).orderBy("doc_id").collect()
     assert [r["text"] for r in out] == [None, "x [EMAIL] é " * 3000, "x [EMAIL] é " * 3000, "[IP] " * 130, ""]
+
+
+def long_text(seed, words):
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(words))
+
+
+def test_repeats_in_very_long_texts(spark):
+    one, other, passage = long_text(1, 150_000), long_text(2, 150_000), long_text(3, 60)
+    half = len(one) // 2
+    rows = [(1, one[:half] + passage + one[half:]), (2, passage + other), (3, "short")]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.remove_repeats(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {1: (len(passage), 1, one.encode()), 2: (len(passage), 1, other.encode()), 3: (0, 0, b"short")}
+
+
+def test_very_long_texts_are_encoded_whole(spark):
+    import public_tokenizers
+
+    tokens = bpe.Tokens(open(public_tokenizers.path("word_bpe_49k.json")).read())
+    text = long_text(4, 200_000) + " \u65e5\u672c " + "x" * 50_000
+    got = bpe.decode(bpe.encode(spark.createDataFrame([(1, text), (2, "a b")], DOC), tokens), tokens).orderBy("doc_id").collect()
+    tok, _ = tokens.library()
+    for r, t in zip(got, (text, "a b"), strict=True):
+        ids = tok.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["decoded"] == tok.decode(ids, skip_special_tokens=False)
+
+
+def test_leaks_in_very_long_texts_and_clashing_columns(spark):
+    item, text = long_text(5, 40), long_text(6, 300_000)
+    docs = spark.createDataFrame([(1, text + item + text, 9, 9), (2, text, 9, 9)], f"{DOC}, item_id long, start long")
+    found = decontaminate.leaks(docs, spark.createDataFrame([(7, item)], ITEM)).collect()
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in found} == {(1, 7, 0)} and min(r["start"] for r in found) == len(text)
+
+
+def test_repeated_ids_of_differing_labels(spark):
+    docs = spark.createDataFrame([(1, "good words here", "a"), (1, "other good words", "b"), (2, "#### 12 ## 9", "c"), (3, long_text(7, 200_000), "d")], f"{DOC}, y string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, quality int")
+    machine = quality.fit(docs, labels)
+    scores = {r["y"]: r["score"] for r in quality.score(docs, machine).collect()}
+    assert set(scores) == set("abcd") and scores["a"] > 0.5 > scores["c"]  # a row of label 1 outweighs one of label 0
