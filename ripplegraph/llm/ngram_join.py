@@ -301,7 +301,7 @@ def _links(key: tuple, table: pa.Table, percent: int) -> pa.Table:
 
 
 def components(
-    docs: DataFrame, text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = 200_000, range_bytes: int = 12_000_000, tag_col: str | None = None
+    docs: DataFrame, text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = 200_000, range_bytes: int = 8_000_000, tag_col: str | None = None
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, tag, group) of every document.
 
