@@ -189,3 +189,36 @@ def stretch(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
     raw = pa.Codec("zstd").decompress(data[8:], 8 * n, asbytes=True)
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64).ravel()
+
+
+def ordered(rows: DataFrame, keys: list, weight, place: str = "place", run: str = "run") -> DataFrame:
+    """rows with their number in the order of `keys` (from 0, without gaps) and the sum of `weight` over the rows before them.
+
+    Rows are dealt out by range; rows of equal keys are told apart by where they were read, so that many of them are
+    not one task's. What the driver sees is one line a partition: its number of rows and its weight.
+    """
+    prepare(rows.sparkSession)
+    salt, pid, own = "_salt", "_pid", "_weight"
+    dealt = rows.withColumn(own, weight.cast("long")).withColumn(salt, F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange(*keys, salt).sortWithinPartitions(*keys, salt).drop(salt)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at, total = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            w = column(batch, own).to_numpy(zero_copy_only=False).astype(np.int64)
+            sums = np.cumsum(w)
+            new = [np.full(len(w), part, np.int32), np.arange(at, at + len(w)), total + sums - w]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, new)], [*batch.schema.names, pid, place, run])
+            at, total = at + len(w), total + int(sums[-1]) if len(w) else total
+
+    found = cut(dealt.mapInArrow(number, f"{schema}, {pid} int, {place} long, {run} long"))
+    bases, n, total = [], 0, 0
+    for r in sorted(found.groupBy(pid).agg(F.count("*").alias("n"), F.sum(own).alias("w")).collect()):
+        bases.append((r[pid], n, total))
+        n, total = n + r["n"], total + r["w"]
+    base = rows.sparkSession.createDataFrame(bases, f"{pid} int, _n long, _w long")
+    out = found.join(F.broadcast(base), pid)
+    return out.withColumn(place, F.col(place) + F.col("_n")).withColumn(run, F.col(run) + F.col("_w")).drop(pid, own, "_n", "_w")

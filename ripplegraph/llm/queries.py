@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, decontaminate, langid, ngram_join, pii, quality, repeats, token_counts, topk
+from . import bpe, chat, common, decontaminate, langid, ngram_join, pii, quality, repair, repeats, token_counts, topk
 
 
 def _file(name: str) -> str:
@@ -93,7 +93,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by the rule of the contract and repaired by the cheapest edits."""
+    return repair.damaged_and_repaired(common.read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_top_k, op2_pii, op3_language_id, op4_ngram_jaccard, op5_token_counts, op6_decontaminate, op7_repeated_bytes, op8_chat, op9_quality, op10_bpe)
+    for f in (op1_exact_top_k, op2_pii, op3_language_id, op4_ngram_jaccard, op5_token_counts, op6_decontaminate, op7_repeated_bytes, op8_chat, op9_quality, op10_bpe, op13_repair)
 }
