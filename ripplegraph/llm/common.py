@@ -106,12 +106,12 @@ def slices(batch: pa.RecordBatch, text_col: str, rows: int = 500, size: int = 2
         at = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and row numbers of the words (runs without white space) of a batch."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row numbers of the words (runs without bytes of `space`) of a batch."""
     if len(data) == 0:
         empty = np.empty(0, np.int64)
         return empty, empty, empty
-    inside = ~SPACE[data]
+    inside = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(data), bool)

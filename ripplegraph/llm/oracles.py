@@ -50,4 +50,22 @@ ORACLE_SQL: dict[str, str] = {
         seen AS (SELECT parts.conv_id, count(*) AS n FROM parts JOIN convs ON convs.names = p GROUP BY 1)
         SELECT c.conv_id, c.n_turns, k.n_collapsed, coalesce(s.n, 0) AS n_snapshots, c.text FROM kept k JOIN convs c USING (conv_id) LEFT JOIN seen s ON s.conv_id = k.conv_id
     """,
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        words AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+        totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+        f1 AS (SELECT lang, p, count(*) AS f FROM (SELECT lang, unnest(w) AS p FROM words) GROUP BY ALL HAVING count(*) >= 10),
+        f2 AS (SELECT lang, p[1] AS x, p[2] AS y, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS p FROM words) GROUP BY ALL HAVING count(*) >= 10),
+        f3 AS (SELECT lang, p[1] AS x, p[2] AS y, p[3] AS z, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: [w[i], w[i + 1], w[i + 2]])) AS p FROM words) GROUP BY ALL HAVING count(*) >= 10),
+        cuts AS (
+            SELECT f2.lang, x || ' ' || y AS phrase, f2.f AS a, 1 AS k, l.f AS l, r.f AS r FROM f2 JOIN f1 l ON l.lang = f2.lang AND l.p = x JOIN f1 r ON r.lang = f2.lang AND r.p = y
+            WHERE NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND 100 * f3.f >= 50 * f2.f AND (f3.x = f2.x AND f3.y = f2.y OR f3.y = f2.x AND f3.z = f2.y))
+            UNION ALL SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || z, f3.f, 1, l.f, r.f FROM f3 JOIN f1 l ON l.lang = f3.lang AND l.p = f3.x JOIN f2 r ON r.lang = f3.lang AND r.x = f3.y AND r.y = z
+            UNION ALL SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || z, f3.f, 2, l.f, r.f FROM f3 JOIN f2 l ON l.lang = f3.lang AND l.x = f3.x AND l.y = f3.y JOIN f1 r ON r.lang = f3.lang AND r.p = z),
+        scored AS (SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+        lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE nth = 1)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }

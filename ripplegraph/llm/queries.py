@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, decontaminate, langid, mixing, ngram_join, pii, quality, repair, repeats, token_counts, topk
+from . import bpe, chat, collocations, common, decontaminate, langid, mixing, ngram_join, pii, quality, repair, repeats, token_counts, topk
 
 
 def _file(name: str) -> str:
@@ -98,6 +98,11 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of two or three words that hold together most, for each language."""
+    return collocations.mine(common.read(spark, sf_dir, "documents"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged by the rule of the contract and repaired by the cheapest edits."""
     return repair.damaged_and_repaired(common.read(spark, sf_dir, "conversations"))
@@ -105,5 +110,5 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_top_k, op2_pii, op3_language_id, op4_ngram_jaccard, op5_token_counts, op6_decontaminate, op7_repeated_bytes, op8_chat, op9_quality, op10_bpe, op11_mixing, op13_repair)
+    for f in (op1_exact_top_k, op2_pii, op3_language_id, op4_ngram_jaccard, op5_token_counts, op6_decontaminate, op7_repeated_bytes, op8_chat, op9_quality, op10_bpe, op11_mixing, op12_collocations, op13_repair)
 }
