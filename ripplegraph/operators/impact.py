@@ -159,6 +159,134 @@ def analyse(changes: DataFrame, entities: DataFrame, artifacts: DataFrame, relat
     return (merge(found) if hops >= 2 or semantic is not None else near), rejected
 
 
+def node_bits(artifacts: DataFrame) -> DataFrame:
+    """(artifact_id, word, bit): every artifact is one bit of a 64-bit word; neighbours in the order of ids share words."""
+    rows = artifacts.select("artifact_id").distinct().repartitionByRange("artifact_id").sortWithinPartitions("artifact_id").withColumn("n", F.monotonically_increasing_id())
+    return cut(rows.select("artifact_id", F.shiftright("n", 6).alias("word"), F.expr("shiftleft(1L, cast(n & 63 as int))").alias("bit")))
+
+
+#: Values that a graph's relations have; masks are kept for each of them.
+DOMAIN = 4
+
+
+def _domain(relations: DataFrame) -> tuple[list[str], list[str]]:
+    """Statuses and match types of relations that are followed (each at most DOMAIN, else an error), exact first."""
+    out = []
+    for name in ("status", "match_type"):
+        found = sorted(r[0] for r in relations.where(F.col("status") != "rejected").select(name).where(f"{name} is not null").distinct().limit(DOMAIN + 1).collect())
+        if len(found) > DOMAIN:
+            raise ValueError(f"more than {DOMAIN} values of {name}: {found}")
+        out.append(found)
+    return out[0], sorted(out[1], key=lambda v: (v != "exact", v))
+
+
+def _hop2_masks(near: DataFrame, relations: DataFrame, bits: DataFrame, statuses: list[str], types: list[str]) -> DataFrame:
+    """I5 in masks: (change_id, word, should, may, t0.., s0..), a bit for each artifact that a second hop reaches with that property.
+
+    A target's artifacts are gathered once, as words; a change unites the words of what it has reached, so a hub
+    sends a 64th of its neighbours at most, and no path or evidence travels.
+    """
+    guessed = (F.col("polarity") == "inferred") & (F.col("status") != "confirmed")
+    held = lambda cond: F.bit_or(F.when(cond, F.col("bit")).otherwise(F.lit(0).cast("long")))
+    edges = relations.where("status <> 'rejected'").select("target_id", F.col("source_id").alias("artifact_id"), "polarity", "status", "match_type").join(bits, "artifact_id")
+    fan = edges.groupBy("target_id", "word").agg(
+        held(~guessed).alias("should"), held(guessed).alias("may"),
+        *[held(F.col("match_type") == v).alias(f"t{i}") for i, v in enumerate(types)], *[held(F.col("status") == v).alias(f"s{i}") for i, v in enumerate(statuses)],
+    )
+    n = near.select("change_id", F.col("artifact_id").alias("target_id"), *[F.col(f"s{i}").alias(f"has{i}") for i in range(len(statuses))])
+    met = n.join(fan, "target_id")
+    every = F.col("should").bitwiseOR(F.col("may"))
+    plain = ["should", "may", *[f"t{i}" for i in range(len(types))]]
+    through = [F.bit_or(F.when(F.col(f"has{i}"), every).otherwise(F.col(f"s{i}"))).alias(f"s{i}") for i in range(len(statuses))]
+    return met.groupBy("change_id", "word").agg(*[F.bit_or(c).alias(c) for c in plain], *through)
+
+
+def classes(changes: DataFrame, entities: DataFrame, artifacts: DataFrame, relations: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """I1 to I6 by class: (change_id, review_priority, evidence_strength, match_type, relation_distance, rule_assessment,
+    relation_statuses, n_links), how many artifacts each change reaches in each way; and I11 by class, as trace_counts() gives it.
+
+    What lies a hop away is counted by rows, which grow with the relations; what lies two hops away by masks. The rows
+    themselves, with paths and evidence, are those of analyse() for the changes that one asks for. Where an artifact is
+    reached by several inexact match types, the least of them names the class.
+    """
+    changed = cut(changed_entities(changes, names_of(entities, aliases)))
+    statuses, types = _domain(relations)
+    bits = node_bits(artifacts)
+    one, rejected = hop1(changed, relations, artifacts)
+    both = direct(changed, entities, relations).withColumn("_seq", F.lit("")).unionByName(one)
+    rank = rank_in(F.col("review_priority"), PRIORITIES)
+    at = F.struct("relation_distance", "_seq")
+    near = both.groupBy("change_id", "artifact_id").agg(
+        F.min_by(F.struct("review_priority", "evidence_strength", "rule_assessment"), F.struct(rank.alias("rank"), at.alias("at"))).alias("b"),
+        F.min_by("match_type", at).alias("first"),
+        F.min("relation_distance").alias("relation_distance"),
+        F.bool_or(F.col("match_type") == "exact").alias("exact"),
+        *[F.bool_or(F.array_contains("relation_statuses", v)).alias(f"s{i}") for i, v in enumerate(statuses)],
+    )
+    near = cut(near.join(bits, "artifact_id", "left"))
+    masks = cut(_hop2_masks(near, relations, bits, statuses, types))
+
+    # artifacts of the first hop: a second one may raise their priority and adds its statuses
+    on = lambda c: F.coalesce(F.col(c).bitwiseAND(F.col("bit")) != 0, F.lit(False))
+    second = masks.select("change_id", "word", *[F.col(c).alias(f"_{c}") for c in masks.columns[2:]])
+    j = near.join(second, ["change_id", "word"], "left")
+    raised = (F.col("b.review_priority") == "may_review") & on("_should")
+    exact = F.col("exact") | (on("_t0") if types[:1] == ["exact"] else F.lit(False))
+    has = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"s{i}") | on(f"_s{i}"), v) for i, v in enumerate(statuses)])), ",") if statuses else F.lit("")
+    firsts = j.select(
+        "change_id",
+        F.when(raised, "should_review").otherwise(F.col("b.review_priority")).alias("review_priority"),
+        F.when(raised, "medium").otherwise(F.col("b.evidence_strength")).alias("evidence_strength"),
+        F.when(exact, "exact").otherwise(F.col("first")).alias("match_type"),
+        "relation_distance",
+        F.when(raised, "explicit_relation").otherwise(F.col("b.rule_assessment")).alias("rule_assessment"),
+        has.alias("relation_statuses"),
+        F.col("word").isNotNull().alias("known"),
+        F.lit(1).cast("long").alias("n"),
+    )
+
+    # artifacts of the second hop alone: bits counted by every way of being in the masks
+    own = near.where("word is not null").groupBy("change_id", "word").agg(F.bit_or("bit").alias("own"))
+    only = masks.join(own, ["change_id", "word"], "left").withColumn("free", F.bitwise_not(F.coalesce("own", F.lit(0).cast("long"))))
+    found = []
+    for p, strength in (("should", "medium"), ("may", "weak")):
+        of_p = F.col("should") if p == "should" else F.col("may").bitwiseAND(F.bitwise_not("should"))
+        before = F.lit(-1).cast("long")
+        for k, kind in enumerate(types):
+            of_t, before = before.bitwiseAND(F.col(f"t{k}")), before.bitwiseAND(F.bitwise_not(F.col(f"t{k}")))
+            for which in range(1, 1 << len(statuses)):
+                mask = F.col("free").bitwiseAND(of_p).bitwiseAND(of_t)
+                for i in range(len(statuses)):
+                    mask = mask.bitwiseAND(F.col(f"s{i}") if which >> i & 1 else F.bitwise_not(F.col(f"s{i}")))
+                named = ",".join(v for i, v in enumerate(statuses) if which >> i & 1)
+                found.append(F.struct(F.lit(f"{p}_review").alias("p"), F.lit(strength).alias("s"), F.lit(kind).alias("t"), F.lit(named).alias("st"), F.bit_count(mask).cast("long").alias("n")))
+    if found:
+        rows = only.select("change_id", F.explode(F.array(*found)).alias("c")).where("c.n > 0")
+        firsts = firsts.unionByName(rows.select(
+            "change_id", F.col("c.p").alias("review_priority"), F.col("c.s").alias("evidence_strength"), F.col("c.t").alias("match_type"), F.lit(2).alias("relation_distance"),
+            F.lit("explicit_relation").alias("rule_assessment"), F.col("c.st").alias("relation_statuses"), F.lit(True).alias("known"), F.col("c.n").alias("n"),
+        ))
+    keys = ["change_id", "review_priority", "evidence_strength", "match_type", "relation_distance", "rule_assessment", "relation_statuses"]
+    counts = cut(firsts.groupBy(*keys, "known").agg(F.sum("n").alias("n")))
+    report = counts.groupBy(*keys).agg(F.sum("n").alias("n_links"))
+
+    # rejected relations to artifacts that nothing else reaches
+    out = rejected.select("change_id", "artifact_id").distinct().join(near.select("change_id", "artifact_id"), ["change_id", "artifact_id"], "left_anti").join(bits, "artifact_id")
+    reached = masks.select("change_id", "word", F.col("should").bitwiseOR(F.col("may")).alias("any"))
+    out = out.join(reached, ["change_id", "word"], "left").where(~on("any"))
+    met = counts.where("known").select("change_id", F.lit(True).alias("included"), "review_priority", F.lit("other").alias("why"), "n")
+    met = met.unionByName(out.select("change_id", F.lit(False).alias("included"), F.lit("hidden").alias("review_priority"), F.lit("rejected").alias("why"), F.lit(1).cast("long").alias("n")))
+    return report, _with_rest(changes, artifacts, met)
+
+
+def _with_rest(changes: DataFrame, artifacts: DataFrame, met: DataFrame) -> DataFrame:
+    """Counts of what a change meets, and by subtraction those of what it does not."""
+    counts = met.groupBy("change_id", "included", "review_priority", "why").agg(F.sum("n").alias("n"))
+    every = changes.select("change_id").distinct().crossJoin(F.broadcast(artifacts.agg(F.count("*").alias("_all"))))  # one row
+    rest = every.join(counts.groupBy("change_id").agg(F.sum("n").alias("_met")), "change_id", "left").withColumn("n", F.col("_all") - F.coalesce("_met", F.lit(0))).where("n > 0")
+    return counts.unionByName(rest.select("change_id", F.lit(False).alias("included"), F.lit("hidden").alias("review_priority"), F.lit("other").alias("why"), "n"))
+
+
 def semantic_candidates(top_chunks: DataFrame, evidence: DataFrame, relations: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Artifacts reached from (change_id, chunk_id) by evidence that supports a relation; they may be reviewed."""
     e = evidence.join(top_chunks, "chunk_id").select("change_id", "evidence_id", F.explode("supports").alias("s")).where("s.type = 'relation'")
@@ -227,10 +355,7 @@ def trace_counts(changes: DataFrame, artifacts: DataFrame, impacts: DataFrame, r
     out = rejected.select("change_id", "artifact_id").distinct().join(known, "artifact_id", "left_semi").join(in_, ["change_id", "artifact_id"], "left_anti")
     why = F.when(F.col("reason").startswith("Rejected"), "rejected").otherwise("other")
     met = in_.select("change_id", F.lit(True).alias("included"), "review_priority", why.alias("why")).unionByName(out.select("change_id", F.lit(False).alias("included"), F.lit("hidden").alias("review_priority"), F.lit("rejected").alias("why")))
-    counts = met.groupBy("change_id", "included", "review_priority", "why").agg(F.count("*").alias("n"))
-    every = changes.select("change_id").distinct().crossJoin(F.broadcast(artifacts.agg(F.count("*").alias("_all"))))  # one row
-    rest = every.join(counts.groupBy("change_id").agg(F.sum("n").alias("_met")), "change_id", "left").withColumn("n", F.col("_all") - F.coalesce("_met", F.lit(0))).where("n > 0")
-    return counts.unionByName(rest.select("change_id", F.lit(False).alias("included"), F.lit("hidden").alias("review_priority"), F.lit("other").alias("why"), "n"))
+    return _with_rest(changes, artifacts, met.withColumn("n", F.lit(1).cast("long")))
 
 
 def explain(trace_rows: DataFrame, names: DataFrame, runs: DataFrame, wanted: DataFrame) -> DataFrame:

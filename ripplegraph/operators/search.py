@@ -181,9 +181,11 @@ def _fits(prop: Column, kind: Column) -> Column:
 def verify(paths: DataFrame, atoms: DataFrame, artifacts: DataFrame, evidence: DataFrame) -> DataFrame:
     """Paths to artifacts with verdict and verdict_reason, from the polarity of the path and the quotes on it.
 
+    A change of several atoms is judged by the first one that was submitted (column `seq`, where atoms have it).
     Each quote is read once per change that asks for it and reduced to two booleans before the paths come back.
     """
-    atom = atoms.groupBy("change_id").agg(F.min_by(F.struct("target_terms", "before", "after", "property", "operation"), "atom_id").alias("atom"))
+    order = F.struct(*[c for c in ("seq", "atom_id") if c in atoms.columns])
+    atom = atoms.groupBy("change_id").agg(F.min_by(F.struct("target_terms", "before", "after", "property", "operation"), order).alias("atom"))
     p = paths.join(artifacts.select(F.col("artifact_id").alias("node_id"), "display_name", "artifact_type"), "node_id").join(atom, "change_id")
     rows = p.select("change_id", "node_id", F.explode("evidence_ids").alias("evidence_id"))
     asked = rows.select("change_id", "evidence_id").distinct().join(atom, "change_id").join(evidence.select("evidence_id", "quote"), "evidence_id")
@@ -266,14 +268,19 @@ def _action() -> Column:
     return out
 
 
+def first_relations(relations: DataFrame, limit: int) -> DataFrame:
+    """(_n, relation_id): the first `limit` relations at each node; a hub goes into no join with more of them."""
+    ends = relations.select(F.col("source_id").alias("_n"), "relation_id").unionByName(relations.select(F.col("target_id").alias("_n"), "relation_id")).distinct()
+    return ends.withColumn("_r", F.row_number().over(Window.partitionBy("_n").orderBy("relation_id"))).where(F.col("_r") <= limit).drop("_r")
+
+
 def candidate_subgraph(paths: DataFrame, relations: DataFrame, limit: int = 40) -> DataFrame:
-    """(change_id, node_id, relations, nodes, evidence): path relations first, then relations that touch the path, up to `limit` in all (a limit of the report)."""
+    """(change_id, node_id, relations, nodes, evidence): path relations first, then relations that touch the path, up to `limit` in all (a limit of the report).
+
+    Of a node no more than `limit` relations can come up beside the three of the path, so each node gives its first ones."""
     on_path = paths.select("change_id", "node_id", F.posexplode("path").alias("_i", "s")).select("change_id", "node_id", F.col("s.relation_id").alias("relation_id"), F.lit(0).alias("_k"), F.col("_i"))
     nodes = paths.select("change_id", "node_id", F.explode(F.array_union(F.array("node_id"), F.flatten(F.transform("path", lambda s: F.array(s["source_id"], s["target_id"]))))).alias("_n")).distinct()
-    touch = None
-    for end in ("source_id", "target_id"):
-        part = nodes.join(relations.select(F.col(end).alias("_n"), "relation_id"), "_n").select("change_id", "node_id", "relation_id", F.lit(1).alias("_k"), F.lit(0).alias("_i"))
-        touch = part if touch is None else touch.unionByName(part)
+    touch = nodes.join(first_relations(relations, limit + 3), "_n").select("change_id", "node_id", "relation_id", F.lit(1).alias("_k"), F.lit(0).alias("_i"))
     both = on_path.unionByName(touch).groupBy("change_id", "node_id", "relation_id").agg(F.min(F.struct("_k", "_i")).alias("_o"))
     order = Window.partitionBy("change_id", "node_id").orderBy("_o", "relation_id")
     top = both.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import alias, freshness, grid, impact, maintain, search, views
 from ..sources import sinks
 from . import impact_queries, more_queries
@@ -104,9 +105,10 @@ def rerank_batches(s: SparkSession, d: str) -> DataFrame:
 
 def explain_names(s: SparkSession, d: str) -> DataFrame:
     """Why the suppliers are, or are not, in the latest run."""
-    i, r = impact_queries._impacts(s, d)
-    tr = impact.trace(t.changes(s, d), t.artifacts(s, d), i, r)
-    runs = t.changes(s, d).select("change_id", F.substring("change_id", 5, 9).cast("int").alias("seq"))
+    runs = t.changes(s, d).select("change_id", F.expr("substring(change_id, 5)").cast("long").alias("seq"))
+    asked = t.changes(s, d).join(F.broadcast(runs.agg(F.max_by("change_id", "seq").alias("change_id"))), "change_id")  # one row
+    i, r = impact.analyse(asked, t.entities(s, d), t.artifacts(s, d), t.relations(s, d))
+    tr = impact.trace(asked, t.artifacts(s, d), i, r)
     idx = alias.name_index(t.artifacts(s, d), t.entities(s, d))
     wanted = t.raw(s, d, "supplier").select(F.col("s_name").alias("name"))
     return impact.explain(tr, idx, runs, wanted).select("name", "artifact_id", "included")
@@ -131,18 +133,18 @@ def named_entities(s: SparkSession, d: str) -> DataFrame:
 
 def evidence_seeds(s: SparkSession, d: str) -> DataFrame:
     """Seeds from quoted evidence for changes that name no entity."""
-    a = impact_queries._term_atoms(s, d).withColumn("target_terms", F.transform("target_terms", lambda x: F.concat(x, F.lit(" limit is"))))
+    a = impact_queries._term_atoms(t.changes(s, d)).withColumn("target_terms", F.transform("target_terms", lambda x: F.concat(x, F.lit(" limit is"))))
     none = s.createDataFrame([], "change_id string, entity_id string")
     return search.seeds_from_evidence(a.withColumn("before", F.lit(None).cast("string")), none, t.relations(s, d), t.evidence(s, d))
 
 
 def _paths(s: SparkSession, d: str) -> DataFrame:
-    return search.bounded_search(impact_queries.seed_entities(s, d), t.relations(s, d).where("target_id like 'entity.%'"))
+    return search.bounded_search(impact_queries._shared_seeds(s, d), t.relations(s, d))
 
 
 def candidate_subgraphs(s: SparkSession, d: str) -> DataFrame:
     """Subgraph around each candidate."""
-    g = search.candidate_subgraph(_paths(s, d), t.relations(s, d).where("target_id like 'entity.%'"))
+    g = search.candidate_subgraph(_paths(s, d), t.relations(s, d))
     return g.select("change_id", "node_id", F.size("relations").alias("n_relations"), F.size("nodes").alias("n_nodes"))
 
 
@@ -153,8 +155,8 @@ def impact_context(s: SparkSession, d: str) -> DataFrame:
 
 def checked_submissions(s: SparkSession, d: str) -> DataFrame:
     """Submissions by change; one with foreign evidence is rejected as a whole."""
-    g = search.candidate_subgraph(_paths(s, d), t.relations(s, d).where("target_id like 'entity.%'"))
-    a = g.select(F.col("change_id").alias("submission_id"), "change_id", "node_id", F.when(F.col("change_id").rlike("[68]3$"), F.array(F.lit("zz"))).otherwise(F.slice("evidence", 1, 1)).alias("evidence_ids"), F.slice("relations", 1, 1).alias("relation_ids"))
+    g = cut(search.candidate_subgraph(_paths(s, d), t.relations(s, d)))
+    a = g.select(F.col("change_id").alias("submission_id"), "change_id", "node_id", F.when(F.col("change_id").rlike("[aeiou].$"), F.array(F.lit("zz"))).otherwise(F.slice("evidence", 1, 1)).alias("evidence_ids"), F.slice("relations", 1, 1).alias("relation_ids"))
     return search.check_submission(a, g).groupBy("submission_id", "rejected").agg(F.count("*").alias("n"))
 
 
@@ -293,15 +295,16 @@ ORACLE_SQL = {
         SELECT change_id, artifact_id, CASE WHEN kept THEN p WHEN up THEN CASE WHEN p = 'may_review' THEN 'should_review' ELSE p END ELSE 'may_review' END AS review_priority,
             CASE WHEN kept THEN 'strong' WHEN up THEN CASE p WHEN 'must_review' THEN 'strong' ELSE 'medium' END ELSE 'weak' END AS evidence_strength FROM j""", *_I),
     "ordered_impacts": t.with_views("WITH " + _HOP + " SELECT change_id, artifact_id, review_priority, CAST(row_number() OVER (PARTITION BY change_id ORDER BY CASE review_priority WHEN 'must_review' THEN 0 WHEN 'should_review' THEN 1 ELSE 2 END, artifact_id) AS INTEGER) AS place FROM best", *_I),
-    "explain_names": t.with_views("WITH " + impact_queries._ALL + """, latest AS (SELECT arg_max(change_id, CAST(substring(change_id, 5) AS BIGINT)) AS c FROM changes_t)
-        SELECT s_name AS name, 'api.' || CAST(s_suppkey AS VARCHAR) AS artifact_id, m.artifact_id IS NOT NULL AS included FROM supplier LEFT JOIN (SELECT artifact_id FROM merged JOIN latest ON change_id = c) m ON m.artifact_id = 'api.' || CAST(s_suppkey AS VARCHAR)""", *_I),
-    "candidate_subgraphs": t.with_views(impact_queries._WAYS.replace("{only}", "target_id LIKE 'entity.%'") + """, r AS (SELECT * FROM both_r WHERE target_id LIKE 'entity.%'),
+    "explain_names": t.with_views("WITH latest AS (SELECT arg_max(change_id, CAST(substring(change_id, 5) AS BIGINT)) AS c FROM changes_t), " + impact_queries._BY_CLASS.replace("FROM changes_t JOIN names", "FROM changes_t JOIN latest ON change_id = c JOIN names") + """
+        SELECT s_name AS name, 'api.' || CAST(s_suppkey AS VARCHAR) AS artifact_id, m.artifact_id IS NOT NULL AS included FROM supplier LEFT JOIN found m ON m.artifact_id = 'api.' || CAST(s_suppkey AS VARCHAR)""", *_I),
+    "candidate_subgraphs": t.with_views(impact_queries._WAYS.replace("{only}", "true") + """, r AS (SELECT * FROM both_r),
+        ends AS (SELECT source_id AS n, relation_id FROM r UNION ALL SELECT target_id, relation_id FROM r), few AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY n ORDER BY relation_id) <= 60),
         nodes AS (SELECT change_id, node_id, node_id AS n FROM found UNION SELECT s.change_id, s.node_id, source_id FROM steps s JOIN r USING (relation_id) UNION SELECT s.change_id, s.node_id, target_id FROM steps s JOIN r USING (relation_id)),
-        every AS (SELECT change_id, node_id, relation_id, 0 AS k, i FROM steps UNION ALL SELECT change_id, node_id, relation_id, 1, 0 FROM nodes JOIN r ON n = source_id UNION ALL SELECT change_id, node_id, relation_id, 1, 0 FROM nodes JOIN r ON n = target_id),
+        every AS (SELECT change_id, node_id, relation_id, 0 AS k, i FROM steps UNION ALL SELECT change_id, node_id, relation_id, 1, 0 FROM nodes JOIN few USING (n)),
         top AS (SELECT *, row_number() OVER (PARTITION BY change_id, node_id ORDER BY o, relation_id) AS x FROM (SELECT change_id, node_id, relation_id, min((k, i)) AS o FROM every GROUP BY 1, 2, 3))
         SELECT change_id, node_id, CAST(count(DISTINCT relation_id) AS INTEGER) AS n_relations, CAST(len(list_distinct(flatten(list([source_id, target_id])))) AS INTEGER) AS n_nodes FROM top JOIN r USING (relation_id) WHERE x <= 40 GROUP BY 1, 2""", *_I),
-    "impact_context": t.with_views(impact_queries._WAYS.replace("{only}", "target_id LIKE 'entity.%'") + " SELECT change_id, CAST(least(100, count(*)) AS INTEGER) AS n FROM found GROUP BY 1", *_I),
-    "checked_submissions": t.with_views(impact_queries._WAYS.replace("{only}", "target_id LIKE 'entity.%'") + " SELECT change_id AS submission_id, regexp_matches(change_id, '[68]3$') AS rejected, count(*) AS n FROM found GROUP BY 1, 2", *_I),
+    "impact_context": t.with_views(impact_queries._WAYS.replace("{only}", "true") + " SELECT change_id, CAST(least(100, count(*)) AS INTEGER) AS n FROM found GROUP BY 1", *_I),
+    "checked_submissions": t.with_views(impact_queries._WAYS.replace("{only}", "true") + " SELECT change_id AS submission_id, regexp_matches(change_id, '[aeiou].$') AS rejected, count(*) AS n FROM found GROUP BY 1, 2", *_I),
     "region_listing": t.with_views(more_queries._GRID + more_queries._REGIONS + " SELECT region_id, sheet_name, range, CASE WHEN n <= 2 THEN 'note_block' ELSE 'screen_item_table' END AS region_type FROM text ORDER BY region_id LIMIT 10", "cells"),
     "change_sessions": t.with_views("WITH " + _HOP + " SELECT c.change_id, 1 AS atoms, CAST(count(b.artifact_id) AS INTEGER) AS impacts, CAST(count(b.artifact_id) AS INTEGER) AS decisions FROM changes_t c LEFT JOIN best b ON b.change_id = c.change_id GROUP BY 1", *_I),
 }
@@ -336,3 +339,5 @@ ORACLE_SQL["alias_candidates"] = t.with_views("""WITH n AS (SELECT DISTINCT 'ent
         UNION SELECT a.id, b.id, 'same_evidence_neighborhood' FROM o a JOIN o b ON a.file = b.file AND a.id < b.id AND abs(a.line_start - b.line_start) <= 3),
     pairs AS (SELECT l, r, list_sort(list(s)) AS ss FROM sig GROUP BY 1, 2), sided AS (SELECT ss, CASE WHEN (length(x.d), x.id) <= (length(y.d), y.id) THEN x ELSE y END AS t, CASE WHEN (length(x.d), x.id) <= (length(y.d), y.id) THEN y ELSE x END AS c FROM pairs JOIN n x ON x.id = l JOIN n y ON y.id = pairs.r)
     SELECT 'alias_' || substring(sha1(array_to_string(ss, '|') || t.id || c.id), 1, 10) AS candidate_id, t.id AS target_id, c.id AS entity_b_id, CAST(len(ss) AS INTEGER) AS n_signals, array_to_string(list_sort(list_distinct([c.d, c.c])), ',') AS aliases FROM sided""", "relations", "evidence")
+for _name in ("candidate_subgraphs", "impact_context", "checked_submissions"):
+    ORACLE_SQL[_name] = t.for_shared(ORACLE_SQL[_name])

@@ -14,7 +14,12 @@ _joined = lambda c: F.array_join(c, ",").alias(c)
 
 
 def _impacts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return impact.analyse(t.changes(s, d), t.entities(s, d), t.artifacts(s, d), cut(t.relations(s, d)))
+    """Impacts, row by row, of the changes by name: together they change every part. Those of a change for each part are counted by class."""
+    return impact.analyse(t.shared_changes(s, d), t.shared_entities(s, d), t.artifacts(s, d), cut(t.relations(s, d)))
+
+
+def _classes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return impact.classes(t.changes(s, d), t.entities(s, d), t.artifacts(s, d), cut(t.relations(s, d)))
 
 
 def changed_entities(s: SparkSession, d: str) -> DataFrame:
@@ -40,7 +45,7 @@ def impact_rejected(s: SparkSession, d: str) -> DataFrame:
 
 
 def impact_report(s: SparkSession, d: str) -> DataFrame:
-    """What must, should or may be reviewed for each change, over two hops."""
+    """What must, should or may be reviewed when all parts of a name change, over two hops."""
     r, _ = _impacts(s, d)
     return r.select("change_id", "artifact_id", "review_priority", "evidence_strength", "match_type", "relation_distance", "rule_assessment", F.size("relation_paths").alias("n_paths"), F.size("evidence_ids").alias("n_evidence"), _joined("relation_statuses"))
 
@@ -48,12 +53,23 @@ def impact_report(s: SparkSession, d: str) -> DataFrame:
 def impact_trace(s: SparkSession, d: str) -> DataFrame:
     """Whether and why each artifact is included, per change."""
     i, r = _impacts(s, d)
-    return impact.trace_counts(t.changes(s, d), t.artifacts(s, d), i, r)
+    return impact.trace_counts(t.shared_changes(s, d), t.artifacts(s, d), i, r)
+
+
+def all_impact_report(s: SparkSession, d: str) -> DataFrame:
+    """In which ways, and how often in each, every part's change reaches artifacts over two hops."""
+    return _classes(s, d)[0]
+
+
+def all_impact_trace(s: SparkSession, d: str) -> DataFrame:
+    """Artifacts by whether and why they are included, for every part's change."""
+    return _classes(s, d)[1]
 
 
 def report_counts(s: SparkSession, d: str) -> DataFrame:
-    """K1: candidates per change and priority."""
-    return sinks.session_counts(_impacts(s, d)[0])
+    """K1: candidates per change and priority, for every part's change."""
+    n = lambda p: F.coalesce(F.sum(F.when(F.col("review_priority") == p, F.col("n_links"))), F.lit(0)).alias(p)
+    return _classes(s, d)[0].groupBy("change_id").agg(F.sum("n_links").alias("candidates"), *[n(p) for p in impact.PRIORITIES])
 
 
 _CHANGED = """
@@ -98,6 +114,30 @@ _ALL = (
             min(dist) AS relation_distance, list_distinct(flatten(list(paths))) AS paths, list_distinct(flatten(list(evs))) AS evs, list_sort(list_distinct(flatten(list(statuses)))) AS statuses
         FROM cands GROUP BY 1, 2)"""
 )
+#: What each change reaches, without paths and evidence: the first hop by rows, the second one grouped by itself.
+_BY_CLASS = (
+    _HOP1
+    + """,
+    sure AS (SELECT DISTINCT target_id FROM relations_t WHERE status = 'confirmed'),
+    cand1 AS (
+        SELECT change_id, c.entity_id AS artifact_id, CASE WHEN method = 'llm' AND sure.target_id IS NULL THEN 'may_review' ELSE 'must_review' END AS p, CASE WHEN method = 'llm' AND sure.target_id IS NULL THEN 'inferred_relation' ELSE 'direct_match' END AS a,
+            CASE WHEN method = 'llm' AND sure.target_id IS NULL THEN 'semantic' ELSE 'exact' END AS match_type, 0 AS dist, '' AS seq, false AS c, false AS u
+        FROM changed c JOIN entities_t e ON c.entity_id = e.entity_id LEFT JOIN sure ON sure.target_id = c.entity_id
+        UNION ALL SELECT change_id, h.artifact_id, review_priority, rule_assessment, match_type, 1, h.relation_id, status = 'confirmed', status = 'unconfirmed' FROM hop1 h JOIN artifacts_t USING (artifact_id) WHERE status <> 'rejected'),
+    near AS (
+        SELECT change_id, artifact_id, arg_min(p, (rank, dist, seq)) AS p, arg_min(a, (rank, dist, seq)) AS a, min(rank) AS rank, arg_min(match_type, (dist, seq)) AS first, bool_or(match_type = 'exact') AS exact, min(dist) AS dist, bool_or(c) AS c, bool_or(u) AS u
+        FROM (SELECT *, CASE p WHEN 'must_review' THEN 0 WHEN 'should_review' THEN 1 ELSE 2 END AS rank FROM cand1) GROUP BY 1, 2),
+    edges AS (SELECT source_id, target_id, CASE WHEN polarity = 'inferred' AND status <> 'confirmed' THEN 2 ELSE 1 END AS rank, match_type, status = 'confirmed' AS c, status = 'unconfirmed' AS u
+        FROM (SELECT * FROM relations_t UNION ALL SELECT * FROM calls_t) WHERE status <> 'rejected'),
+    far AS (
+        SELECT n.change_id, e.source_id AS artifact_id, min(e.rank) AS rank, bool_or(e.match_type = 'exact') AS exact, min(e.match_type) AS first, bool_or(n.c OR e.c) AS c, bool_or(n.u OR e.u) AS u
+        FROM edges e JOIN near n ON e.target_id = n.artifact_id WHERE e.source_id IN (SELECT artifact_id FROM artifacts_t) GROUP BY 1, 2),
+    found AS (
+        SELECT coalesce(n.change_id, f.change_id) AS change_id, coalesce(n.artifact_id, f.artifact_id) AS artifact_id, CASE least(n.rank, f.rank) WHEN 0 THEN 'must_review' WHEN 1 THEN 'should_review' ELSE 'may_review' END AS review_priority,
+            CASE WHEN n.rank IS NULL OR f.rank < n.rank THEN 'explicit_relation' ELSE n.a END AS rule_assessment, CASE WHEN coalesce(n.exact, false) OR coalesce(f.exact, false) THEN 'exact' ELSE coalesce(n.first, f.first) END AS match_type,
+            coalesce(n.dist, 2) AS dist, coalesce(n.c, false) OR coalesce(f.c, false) AS c, coalesce(n.u, false) OR coalesce(f.u, false) AS u
+        FROM near n FULL JOIN far f ON n.change_id = f.change_id AND n.artifact_id = f.artifact_id)"""
+)
 _INPUT = ("artifacts", "entities", "relations", "calls", "evidence", "changes")
 
 
@@ -207,27 +247,33 @@ def atom_counts(s: SparkSession, d: str) -> DataFrame:
     return search.atom_counts(search.change_atoms(t.changes(s, d)))
 
 
-def _term_atoms(s: SparkSession, d: str) -> DataFrame:
+def _term_atoms(changes: DataFrame) -> DataFrame:
     """Atoms whose one term is the part name of the change."""
-    return t.changes(s, d).select(F.concat(F.lit("atom."), "change_id").alias("atom_id"), "change_id", F.array(F.regexp_extract("body", "^Set (.*) limit from", 1)).alias("target_terms"), F.lit("change_constraint").alias("operation"), F.lit("max_value").alias("property"), F.regexp_extract("body", "from ([0-9]+) to", 1).alias("before"), F.lit("99").alias("after"))
+    return changes.select(F.concat(F.lit("atom."), "change_id").alias("atom_id"), "change_id", F.array(F.regexp_extract("body", "^Set (.*) limit from", 1)).alias("target_terms"), F.lit("change_constraint").alias("operation"), F.lit("max_value").alias("property"), F.regexp_extract("body", "from ([0-9]+) to", 1).alias("before"), F.lit("99").alias("after"))
 
 
 def seed_entities(s: SparkSession, d: str) -> DataFrame:
     """Entities that each change's term names."""
-    e = t.entities(s, d)
-    names = e.select("entity_id", F.explode(F.array("display_name", "canonical_name")).alias("name"))
-    return search.seed_entities(_term_atoms(s, d), names)
+    return search.seed_entities(_term_atoms(t.changes(s, d)), _both_names(t.entities(s, d)))
+
+
+def _both_names(entities: DataFrame) -> DataFrame:
+    return entities.select("entity_id", F.explode(F.array("display_name", "canonical_name")).alias("name"))
+
+
+def _shared_seeds(s: SparkSession, d: str) -> DataFrame:
+    return search.seed_entities(_term_atoms(t.shared_changes(s, d)), _both_names(t.shared_entities(s, d)))
 
 
 def bounded_search(s: SparkSession, d: str) -> DataFrame:
     """Nodes reached within the depth of their relation types, with hops and evidence."""
-    return search.reached_nodes(seed_entities(s, d), t.relations(s, d)).select("change_id", "node_id", "hops")
+    return search.reached_nodes(_shared_seeds(s, d), t.relations(s, d)).select("change_id", "node_id", "hops")
 
 
 def verified_impacts(s: SparkSession, d: str) -> DataFrame:
     """Verified impact hypotheses."""
-    paths = search.bounded_search(seed_entities(s, d), cut(t.relations(s, d)))
-    v = search.verify(paths, _term_atoms(s, d), t.artifacts(s, d), t.evidence(s, d))
+    paths = search.bounded_search(_shared_seeds(s, d), cut(t.relations(s, d)))
+    v = search.verify(paths, _term_atoms(t.shared_changes(s, d)), t.artifacts(s, d), t.evidence(s, d))
     decisions = t.artifacts(s, d).select(F.concat(F.lit("i."), "artifact_id").alias("impact_id"), F.col("artifact_id").alias("candidate_node_id"), F.when(F.col("artifact_id").endswith("3"), "rejected").otherwise("accepted").alias("status"), F.lit("2024").alias("updated_at"))
     h = search.hypotheses(search.apply_prior_decisions(v, decisions))
     return h.select("change_id", "artifact_id", "review_priority", "relation_distance", "rule_assessment", F.size("evidence_ids").alias("n_evidence"))
@@ -260,7 +306,7 @@ def notes_export(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        changed_entities, impact_direct, impact_hop1, impact_rejected, impact_report, impact_trace, report_counts, replace_by_document, unique_last, merge_nodes, merge_relations, carry_status, document_collisions, check_contract, relation_diff,
+        changed_entities, impact_direct, impact_hop1, impact_rejected, impact_report, impact_trace, all_impact_report, all_impact_trace, report_counts, replace_by_document, unique_last, merge_nodes, merge_relations, carry_status, document_collisions, check_contract, relation_diff,
         set_status, without_sources, document_changes, stale_relations, relation_changes, append_versions, change_atoms, atom_counts, seed_entities, bounded_search, verified_impacts, flat_export, cypher_export, markdown_export, notes_export,
     )
 }
@@ -280,7 +326,13 @@ ORACLE_SQL = {
     "impact_trace": t.with_views("WITH " + _ALL + """, rej AS (SELECT DISTINCT change_id, artifact_id FROM hop1 JOIN artifacts_t USING (artifact_id) WHERE status = 'rejected')
         SELECT c.change_id, m.artifact_id IS NOT NULL AS included, coalesce(m.review_priority, 'hidden') AS review_priority, CASE WHEN m.artifact_id IS NULL AND r.artifact_id IS NOT NULL THEN 'rejected' ELSE 'other' END AS why, count(*) AS n
         FROM changes_t c CROSS JOIN artifacts_t a LEFT JOIN merged m ON m.change_id = c.change_id AND m.artifact_id = a.artifact_id LEFT JOIN rej r ON r.change_id = c.change_id AND r.artifact_id = a.artifact_id GROUP BY 1, 2, 3, 4""", *_INPUT),
-    "report_counts": t.with_views("WITH " + _ALL + """ SELECT change_id, count(*) AS candidates, sum((review_priority = 'must_review')::INT) AS must_review, sum((review_priority = 'should_review')::INT) AS should_review, sum((review_priority = 'may_review')::INT) AS may_review, sum((review_priority = 'hidden')::INT) AS hidden FROM merged GROUP BY 1""", *_INPUT),
+    "all_impact_report": t.with_views("WITH " + _BY_CLASS + """ SELECT change_id, review_priority, CASE review_priority WHEN 'must_review' THEN 'strong' WHEN 'should_review' THEN 'medium' ELSE 'weak' END AS evidence_strength, match_type, CAST(dist AS INTEGER) AS relation_distance, rule_assessment,
+        array_to_string(list_filter([CASE WHEN c THEN 'confirmed' END, CASE WHEN u THEN 'unconfirmed' END], lambda x: x IS NOT NULL), ',') AS relation_statuses, count(*) AS n_links FROM found GROUP BY ALL""", *_INPUT),
+    "all_impact_trace": t.with_views("WITH " + _BY_CLASS + """, rej AS (SELECT DISTINCT change_id, artifact_id FROM hop1 JOIN artifacts_t USING (artifact_id) WHERE status = 'rejected'),
+        met AS (SELECT change_id, true AS included, review_priority, 'other' AS why, count(*) AS n FROM found JOIN artifacts_t USING (artifact_id) GROUP BY 1, 3
+            UNION ALL SELECT change_id, false, 'hidden', 'rejected', count(*) FROM rej r WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.change_id = r.change_id AND f.artifact_id = r.artifact_id) GROUP BY 1)
+        SELECT * FROM met UNION ALL SELECT change_id, false, 'hidden', 'other', n FROM (SELECT c.change_id, (SELECT count(*) FROM artifacts_t) - coalesce(sum(n), 0) AS n FROM changes_t c LEFT JOIN met ON met.change_id = c.change_id GROUP BY 1) WHERE n > 0""", *_INPUT),
+    "report_counts": t.with_views("WITH " + _BY_CLASS + " SELECT change_id, count(*) AS candidates, " + ", ".join(f"sum((review_priority = '{p}')::INT) AS {p}" for p in impact.PRIORITIES) + " FROM found GROUP BY 1", *_INPUT),
     "replace_by_document": t.with_views("SELECT document_id, status, count(*) AS n FROM relations_t WHERE document_id NOT IN ('doc.1', 'doc.2') OR status = 'confirmed' GROUP BY 1, 2", "relations"),
     "unique_last": t.with_views("SELECT * FROM ledger_t QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1", "ledger"),
     "merge_nodes": t.with_views("SELECT display_name AS name, arg_min(entity_id, CAST(substring(entity_id, 8) AS BIGINT)) AS first_id, string_agg(DISTINCT canonical_name, ',' ORDER BY canonical_name) AS aliases, string_agg(DISTINCT document_id, ',' ORDER BY document_id) AS source_document_ids, string_agg(DISTINCT method, ',' ORDER BY method) AS extraction_methods FROM shared_names_t GROUP BY 1", "shared_names"),
@@ -353,3 +405,5 @@ ORACLE_SQL["verified_impacts"] = t.with_views(_WAYS.replace("{only}", "true") +
     v AS (SELECT f.*, CASE WHEN term IS NULL THEN 'hidden' WHEN explicit AND (term OR was) THEN 'must_review' WHEN inferred AND NOT term THEN 'may_review' WHEN explicit THEN 'should_review' ELSE 'may_review' END AS v FROM facts f JOIN artifacts_t ON artifact_id = f.node_id LEFT JOIN said s ON s.change_id = f.change_id AND s.node_id = f.node_id),
     w AS (SELECT *, CASE WHEN node_id LIKE '%3' THEN CASE v WHEN 'must_review' THEN 'should_review' WHEN 'should_review' THEN 'may_review' ELSE v END WHEN v = 'may_review' THEN 'should_review' ELSE v END AS p FROM v)
     SELECT change_id, node_id AS artifact_id, p AS review_priority, CAST(hops AS INTEGER) AS relation_distance, CASE WHEN explicit THEN 'explicit_relation' ELSE 'inferred_relation' END AS rule_assessment, CAST(len(evs) AS INTEGER) AS n_evidence FROM w WHERE p <> 'hidden'""", *_INPUT)
+for _name in ("impact_report", "impact_trace", "bounded_search", "verified_impacts", "flat_export", "markdown_export"):
+    ORACLE_SQL[_name] = t.for_shared(ORACLE_SQL[_name])

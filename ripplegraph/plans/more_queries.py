@@ -700,3 +700,5 @@ ORACLE_SQL = {
     "redact_documents": f"SELECT doc_id, sha256({_REDACT}) AS redacted_hash FROM documents",
     "sensitive_counts": " UNION ALL ".join(f"SELECT '{k}' AS category, count(*) AS chunks FROM documents WHERE regexp_matches(text, '{p}') HAVING count(*) > 0" for k, p in zip(privacy.CATEGORIES, _ASCII[2:], strict=True)),
 }
+for _name in ("decision_board", "review_queue"):
+    ORACLE_SQL[_name] = t.for_shared(ORACLE_SQL[_name])

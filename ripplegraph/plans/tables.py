@@ -18,7 +18,7 @@ SQL: dict[str, str] = {
         SELECT 'entity.' || CAST(p_partkey AS STRING) AS entity_id, 'BusinessField' AS entity_type, p_name || ' ' || CAST(p_partkey AS STRING) AS display_name, replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS STRING) AS canonical_name,
             'doc.' || CAST(p_partkey % 10 AS STRING) AS document_id, CASE WHEN p_partkey % 11 = 0 THEN 'llm' ELSE 'rule' END AS method FROM {part}""",
     "shared_names": """
-        SELECT 'entity.' || CAST(p_partkey AS STRING) AS entity_id, p_name AS display_name, replace(p_name, ' ', '_') AS canonical_name,
+        SELECT 'entity.' || CAST(p_partkey AS STRING) AS entity_id, 'BusinessField' AS entity_type, p_name AS display_name, replace(p_name, ' ', '_') AS canonical_name,
             'doc.' || CAST(p_partkey % 10 AS STRING) AS document_id, CASE WHEN p_partkey % 11 = 0 THEN 'llm' ELSE 'rule' END AS method FROM {part}""",
     "relations": """
         SELECT 'rel.' || CAST(l_suppkey AS STRING) || '.' || CAST(l_partkey AS STRING) AS relation_id,
@@ -40,7 +40,7 @@ SQL: dict[str, str] = {
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "changes": """
         SELECT 'chg.' || CAST(p_partkey AS STRING) AS change_id, 'Change ' || p_brand AS title, 'Set ' || p_name || ' ' || CAST(p_partkey AS STRING) || ' limit from ' || CAST(p_partkey % 50 AS STRING) || ' to 99' AS body
-        FROM {part} WHERE p_partkey % 80 = 3""",
+        FROM {part}""",
     "documents_old": """SELECT 'd' || CAST(doc_id AS STRING) AS document_id, source || '/' || CAST(doc_id AS STRING) AS path, sha256(text) AS hash FROM {documents} WHERE doc_id % 5 <> 0""",
     "documents_new": """SELECT 'd' || CAST(doc_id AS STRING) AS document_id, source || '/' || CAST(doc_id AS STRING) AS path, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '.' ELSE text END) AS hash FROM {documents} WHERE doc_id % 7 <> 0""",
     "cells": """
@@ -73,9 +73,9 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'column.known_' || CAST(r_regionkey AS STRING), 'Column', 'T' || CAST(r_regionkey AS STRING) || '.amount', CAST(r_regionkey AS INT) FROM {region}
         UNION ALL SELECT 'entity.amount_of_money', 'BusinessField', 'amount', 0 FROM {region} WHERE r_regionkey = 0""",
 }
-#: A change for every part, and one for every name that parts share.
-SQL["all_changes"] = SQL["changes"].replace(" WHERE p_partkey % 80 = 3", "")
-SQL["shared_changes"] = """SELECT DISTINCT 'chg.' || replace(p_name, ' ', '_') AS change_id, 'Change' AS title, 'Set ' || p_name || ' limit to 99' AS body FROM {part}"""
+#: A change for every name that parts share: it names all of them.
+SQL["shared_changes"] = """
+    SELECT 'chg.' || replace(p_name, ' ', '_') AS change_id, 'Change' AS title, 'Set ' || p_name || ' limit from ' || CAST(min(p_partkey % 50) AS STRING) || ' to 99' AS body FROM {part} GROUP BY p_name"""
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -96,6 +96,12 @@ def with_views(query: str, *names: str) -> str:
     return "WITH RECURSIVE " + ", ".join(parts) + (", " + query.removeprefix("WITH ") if query.startswith("WITH ") else " " + query)
 
 
+def for_shared(query: str) -> str:
+    """Oracle text over the changes by name in place of those by part."""
+    full = lambda n: SQL[n].format(**{x: x for x in NAMES})
+    return query.replace(full("changes"), full("shared_changes")).replace(full("entities"), full("shared_names"))
+
+
 def none() -> object:
     return F.array().cast("array<string>")
 
@@ -122,9 +128,21 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change for every part."""
     return flat(spark, sf_dir, "changes")
 
 
+def shared_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change for every name that parts share."""
+    return flat(spark, sf_dir, "shared_changes")
+
+
+def shared_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities that go by the names that they share."""
+    e = flat(spark, sf_dir, "shared_names")
+    return e.select("entity_id", F.lit("BusinessField").alias("entity_type"), "display_name", "canonical_name", F.array("canonical_name").alias("aliases"), F.array("document_id").alias("source_document_ids"), F.array("method").alias("extraction_methods"))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells with the lowest value of each place."""
     c = flat(spark, sf_dir, "cells").groupBy("workbook_id", "sheet_id", "sheet_name", "r", "c").agg(F.min("value").alias("value"))

@@ -1,8 +1,4 @@
-"""Impact queries over every part (all_...), and over the names that parts share (shared_...).
-
-The queries of impact_queries and extra_queries answer a part of the requests, retrieved orders or names that the tables
-give; their SQL says which. These answer all of them, and their SQL is the same text without the filters.
-"""
+"""First steps of the impact rules over the names that parts share, and two further views of whole tables."""
 
 from __future__ import annotations
 
@@ -13,85 +9,19 @@ from ..operators import alias, impact, views
 from . import extra_queries, impact_queries
 from . import tables as t
 
-_joined = lambda c: F.array_join(c, ",").alias(c)
-
-
-def _all(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return t.flat(s, d, "all_changes"), t.entities(s, d)
-
-
-def _shared(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = t.flat(s, d, "shared_names").select("entity_id", F.lit("BusinessField").alias("entity_type"), "display_name", "canonical_name", F.array("canonical_name").alias("aliases"), F.array("document_id").alias("source_document_ids"), F.array("method").alias("extraction_methods"))
-    return t.flat(s, d, "shared_changes"), e
-
-
-def _changed(given: tuple[DataFrame, DataFrame]) -> DataFrame:
-    return impact.changed_entities(given[0], impact.names_of(given[1]))
-
-
-def _direct(s: SparkSession, d: str, given: tuple[DataFrame, DataFrame]) -> DataFrame:
-    r = impact.direct(_changed(given), given[1], t.relations(s, d))
-    return r.select("change_id", "artifact_id", "review_priority", "evidence_strength", "rule_assessment")
-
-
-def _hop1(s: SparkSession, d: str, given: tuple[DataFrame, DataFrame]) -> DataFrame:
-    found, _ = impact.hop1(_changed(given), t.relations(s, d), t.artifacts(s, d))
-    return found.select("change_id", "artifact_id", F.col("_seq").alias("relation_id"), "review_priority", "evidence_strength", "rule_assessment")
-
-
-def _report(s: SparkSession, d: str, given: tuple[DataFrame, DataFrame]) -> DataFrame:
-    r, _ = impact.analyse(*given, t.artifacts(s, d), t.relations(s, d))
-    return r.select("change_id", "artifact_id", "review_priority", "evidence_strength", "match_type", "relation_distance", "rule_assessment", F.size("relation_paths").alias("n_paths"), F.size("evidence_ids").alias("n_evidence"), _joined("relation_statuses"))
-
-
-def _trace(s: SparkSession, d: str, given: tuple[DataFrame, DataFrame]) -> DataFrame:
-    a = t.artifacts(s, d)
-    return impact.trace_counts(given[0], a, *impact.analyse(*given, a, t.relations(s, d)))
-
-
-def all_changed_entities(s: SparkSession, d: str) -> DataFrame:
-    """Entities named in the change of every part."""
-    return _changed(_all(s, d))
-
-
-def all_impact_direct(s: SparkSession, d: str) -> DataFrame:
-    """Changed entities themselves, for every part's change."""
-    return _direct(s, d, _all(s, d))
-
-
-def all_impact_hop1(s: SparkSession, d: str) -> DataFrame:
-    """Candidates one relation away, for every part's change."""
-    return _hop1(s, d, _all(s, d))
-
-
-def all_impact_rejected(s: SparkSession, d: str) -> DataFrame:
-    """Rejected relations into changed entities, for every part's change."""
-    return impact.hop1(_changed(_all(s, d)), t.relations(s, d), t.artifacts(s, d))[1]
-
-
-def all_impact_report(s: SparkSession, d: str) -> DataFrame:
-    """What must, should or may be reviewed for every part's change, over two hops."""
-    return _report(s, d, _all(s, d))
-
-
-def all_impact_trace(s: SparkSession, d: str) -> DataFrame:
-    """Artifacts by whether and why they are included, for every part's change."""
-    return _trace(s, d, _all(s, d))
+def _changed(s: SparkSession, d: str) -> DataFrame:
+    return impact.changed_entities(t.shared_changes(s, d), impact.names_of(t.shared_entities(s, d)))
 
 
 def shared_changed_entities(s: SparkSession, d: str) -> DataFrame:
     """All parts of each name that a change gives."""
-    return _changed(_shared(s, d))
+    return _changed(s, d)
 
 
 def shared_impact_hop1(s: SparkSession, d: str) -> DataFrame:
     """Candidates one relation away from all parts of a name."""
-    return _hop1(s, d, _shared(s, d))
-
-
-def shared_impact_report(s: SparkSession, d: str) -> DataFrame:
-    """What must, should or may be reviewed when all parts of a name change."""
-    return _report(s, d, _shared(s, d))
+    found, _ = impact.hop1(_changed(s, d), t.relations(s, d), t.artifacts(s, d))
+    return found.select("change_id", "artifact_id", F.col("_seq").alias("relation_id"), "review_priority", "evidence_strength", "rule_assessment")
 
 
 def all_semantic_candidates(s: SparkSession, d: str) -> DataFrame:
@@ -109,23 +39,8 @@ def all_inspected_artifacts(s: SparkSession, d: str) -> DataFrame:
     return views.inspect(a, w, alias.name_index(a, t.entities(s, d)), "artifact_id").select("name", "artifact_id", "artifact_type")
 
 
-def _text(sql: str, **other: str) -> str:
-    """The SQL with other tables in place of those named."""
-    full = lambda n: t.SQL[n].format(**{x: x for x in t.NAMES})
-    for old, new in other.items():
-        sql = sql.replace(full(old), full(new))
-    return sql
-
-
-QUERIES = {
-    f.__name__: f
-    for f in (
-        all_changed_entities, all_impact_direct, all_impact_hop1, all_impact_rejected, all_impact_report, all_impact_trace, shared_changed_entities, shared_impact_hop1, shared_impact_report, all_semantic_candidates, all_inspected_artifacts,
-    )
-}
+QUERIES = {f.__name__: f for f in (shared_changed_entities, shared_impact_hop1, all_semantic_candidates, all_inspected_artifacts)}
 
-_OLD = impact_queries.ORACLE_SQL
-ORACLE_SQL = {f"all_{n}": _text(_OLD[n], changes="all_changes") for n in ("changed_entities", "impact_direct", "impact_hop1", "impact_rejected", "impact_report", "impact_trace")}
-ORACLE_SQL |= {f"shared_{n}": _text(_OLD[n], changes="shared_changes", entities="shared_names") for n in ("changed_entities", "impact_hop1", "impact_report")}
+ORACLE_SQL = {f"shared_{n}": t.for_shared(impact_queries.ORACLE_SQL[n]) for n in ("changed_entities", "impact_hop1")}
 ORACLE_SQL["all_semantic_candidates"] = extra_queries.ORACLE_SQL["semantic_candidates"]
 ORACLE_SQL["all_inspected_artifacts"] = extra_queries.ORACLE_SQL["inspected_artifacts"]

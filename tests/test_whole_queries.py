@@ -9,7 +9,7 @@ from ripplegraph.plans import tables as t
 from ripplegraph.plans import whole_queries
 
 
-@pytest.mark.parametrize("name", ["impact_trace", *whole_queries.QUERIES])
+@pytest.mark.parametrize("name", ["impact_trace", "all_impact_report", "all_impact_trace", "report_counts", *whole_queries.QUERIES])
 def test_queries_over_all_parts_equal_sql(spark, name):
     db = duckdb.connect()
     for table in TABLES:
@@ -18,7 +18,7 @@ def test_queries_over_all_parts_equal_sql(spark, name):
 
 
 def test_every_part_has_a_change(spark):
-    assert t.flat(spark, SMALL, "all_changes").count() == t.raw(spark, SMALL, "part").count()
+    assert t.flat(spark, SMALL, "changes").count() == t.raw(spark, SMALL, "part").count()
     q = entry.queries()
     reached = q["shared_changed_entities"](spark, SMALL)
     assert reached.select("entity_id").distinct().count() == t.flat(spark, SMALL, "shared_names").where("method <> 'llm'").count()
