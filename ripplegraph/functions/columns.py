@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters, digits and underscore as Python's \\w has them, and the edge between these and others.
 WORD = r"\p{L}\p{N}_"
+#: The edges before and after a character that is one of these itself: one look is enough.
+START, END = rf"(?<![{WORD}])", rf"(?![{WORD}])"
 EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
 

@@ -8,12 +8,15 @@ once and expanded last, since the output itself lists every pair.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import any_of, short_hash
+from ..functions.firsts import first_per, first_relations
+from ..functions.lineage import cut
 
-# Words that make no meaningful overlap, concept rules, thresholds.
+# What an identifier token is, words that make no meaningful overlap, concept rules, thresholds.
+IDENTIFIER = r"[A-Za-z][A-Za-z0-9]*|\p{Nd}+|[一-龥ぁ-んァ-ン]+"
 STOP = ("id", "no", "name", "field", "item", "value", "code", "type")
 MIN_TRIGRAM, MIN_CONTEXT, NEAR_LINES = 0.72, 0.4, 3
 BY_EVIDENCE = "same_evidence_neighborhood"
@@ -22,7 +25,7 @@ BY_EVIDENCE = "same_evidence_neighborhood"
 def tokens(value: Column) -> Column:
     """A4: identifier tokens of two characters or more: camel, snake and Japanese words, folded."""
     spaced = F.regexp_replace(F.regexp_replace(value, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    words = F.transform(F.regexp_extract_all(spaced, F.lit(r"[A-Za-z][A-Za-z0-9]*|\p{Nd}+|[一-龥ぁ-んァ-ン]+"), F.lit(0)), F.lower)
+    words = F.transform(F.regexp_extract_all(spaced, F.lit(IDENTIFIER), F.lit(0)), F.lower)
     return F.filter(words, lambda w: F.length(w) >= 2)
 
 
@@ -92,23 +95,54 @@ def _pairs(df: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
     return a.join(b, (F.col(f"l_{key}") == F.col(f"r_{key}")) & (F.col("l_id") < F.col("r_id")))
 
 
+def _weight(score: str):
+    """What an item of a list weighs: the square of its number for the cosine, one for Jaccard."""
+    return lambda x: x["n"] * x["n"] if score == "cosine" else F.lit(1.0)
+
+
+def _meetings(lists: DataFrame, score: str, least: float) -> DataFrame:
+    """(l_grp, r_grp): lists (grp, weight, list in the common order) whose beginnings share an item."""
+    weigh = _weight(score)
+    light = F.lit(least * least if score == "cosine" else least) * F.col("weight") * (1 - 1e-9)
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("rest"))
+    rest = F.aggregate(F.reverse("list"), zero, lambda s, x: F.struct((s["sum"] + weigh(x)).alias("sum"), (s["rest"] + F.when(s["sum"] + weigh(x) < light, 1).otherwise(0)).alias("rest")))["rest"]
+    starts = lists.select("grp", "weight", F.explode(F.slice("list", F.lit(1), F.size("list") - rest)).alias("x")).select("grp", "weight", "x.item")
+    a = starts.select(F.col("grp").alias("l_grp"), F.col("weight").alias("l_weight"), "item")
+    b = starts.select(F.col("grp").alias("r_grp"), F.col("weight").alias("r_weight"), "item")
+    met = a.join(b, "item").where("l_grp <= r_grp")
+    if score == "jaccard":
+        met = met.where(F.least("l_weight", "r_weight") >= F.lit(least * (1 - 1e-9)) * F.greatest("l_weight", "r_weight"))
+    return met.select("l_grp", "r_grp").distinct()
+
+
 def similar_classes(items: DataFrame, score: str, least: float) -> tuple[DataFrame, DataFrame]:
     """(id, grp) and (l_grp, r_grp, score): ids of equal multisets of items (id, item, n) form a class, and which classes are similar.
 
-    Classes are compared once by an inverted index; l_grp = r_grp stands for the pairs within a class. Both
-    tables together say what all pairs of ids would, without a row for each.
+    Classes are compared once; l_grp = r_grp stands for the pairs within a class. Both tables together say what all pairs
+    of ids would, without a row for each.
+
+    Two classes meet through rare items only: all lists are put in one order, rarest item first, and of each list the
+    shortest beginning is taken whose rest is too light to reach the threshold (weight n * n for the cosine, a count for
+    Jaccard). If two beginnings share no item, all shared items lie in the rest of one of them, which is too light; so no
+    pair is lost, and the list of a common item is joined only for the classes that have little else.
     """
     content = items.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("item", "n"))).alias("content"))
-    content = content.withColumn("grp", F.sha2(F.to_json("content"), 256))
+    content = cut(content.withColumn("grp", F.sha2(F.to_json("content"), 256)))
     groups = content.groupBy("grp").agg(F.first("content").alias("content"))
-    sizes = groups.select("grp", F.size("content").alias("size"), F.sqrt(F.aggregate("content", F.lit(0.0), lambda s, x: s + x["n"] * x["n"])).alias("norm"))
-    long = groups.select("grp", F.explode("content").alias("c")).select("grp", "c.item", "c.n").join(sizes, "grp")
-    a = long.select(*[F.col(c).alias(f"l_{c}") for c in long.columns])
-    b = long.select(*[F.col(c).alias(f"r_{c}") for c in long.columns])
-    both = a.join(b, (F.col("l_item") == F.col("r_item")) & (F.col("l_grp") <= F.col("r_grp")))
-    g = both.groupBy("l_grp", "r_grp").agg(F.sum(F.col("l_n") * F.col("r_n")).alias("dot"), F.count("*").alias("shared"), F.first("l_norm").alias("ln"), F.first("r_norm").alias("rn"), F.first("l_size").alias("ls"), F.first("r_size").alias("rs"))
-    value = F.col("dot") / (F.col("ln") * F.col("rn")) if score == "cosine" else F.col("shared") / (F.col("ls") + F.col("rs") - F.col("shared"))
-    close = g.withColumn("score", value).where(F.col("score") >= least - 1e-12)
+    long = groups.select("grp", F.explode("content").alias("c")).select("grp", "c.item", "c.n")
+    seen = long.groupBy("item").agg(F.count("*").alias("df"))
+    lists = long.join(seen, "item").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("df", "item", "n"))).alias("list"))
+    weigh = _weight(score)
+    whole = F.aggregate("list", F.lit(0.0), lambda s, x: s + weigh(x))
+    lists = cut(lists.withColumn("weight", whole).withColumn("by_item", F.map_from_entries(F.transform("list", lambda x: F.struct(x["item"], x["n"])))))
+    met = _meetings(lists, score, least)
+    side = lambda p: lists.select(*[F.col(c).alias(f"{p}_{c}") for c in ("grp", "weight", "by_item")])
+    g = met.join(side("l"), "l_grp").join(side("r"), "r_grp")
+    other = lambda x: F.try_element_at("r_by_item", x["key"])
+    term = lambda x: F.coalesce(x["value"] * other(x) if score == "cosine" else F.when(other(x).isNotNull(), 1.0), F.lit(0.0))
+    dot = F.aggregate(F.map_entries("l_by_item"), F.lit(0.0), lambda s, x: s + term(x))
+    value = F.col("dot") / (F.sqrt("l_weight") * F.sqrt("r_weight")) if score == "cosine" else F.col("dot") / (F.col("l_weight") + F.col("r_weight") - F.col("dot"))
+    close = g.withColumn("dot", dot).withColumn("score", value).where(F.col("score") >= least - 1e-12)
     return content.select("id", "grp"), close.select("l_grp", "r_grp", "score")
 
 
@@ -247,24 +281,27 @@ def candidates(entities: DataFrame, pairs: DataFrame) -> DataFrame:
 def pair_context(pairs: DataFrame, entities: DataFrame, relations: DataFrame, evidence: DataFrame, max_relations: int = 24, max_quotes: int = 8) -> DataFrame:
     """(left, right): neighbours, the first relations that touch the pair or a neighbour, and evidence with its first quotes (limits of the report).
 
-    Evidence is that of those relations and that which the pair has in common or close by (A7).
+    Evidence is that of those relations and that which the pair has in common or close by (A7). The first relations of a
+    pair are among the first ones of its ends, and theirs among the first ones of their neighbours.
     """
-    ends = relations.select(F.col("source_id").alias("n"), F.col("target_id").alias("o")).unionByName(relations.select(F.col("target_id").alias("n"), F.col("source_id").alias("o"))).distinct()
     p = pairs.select("left", "right")
-    own = p.select("left", "right", F.explode(F.array("left", "right")).alias("n"))
-    around = own.join(ends, "n").select("left", "right", F.col("o").alias("n")).distinct()
-    surrounding = around.groupBy("left", "right").agg(F.array_sort(F.collect_set("n")).alias("surrounding_node_ids"))
-    nodes = own.unionByName(around).distinct()
-    touch = None
-    for end in ("source_id", "target_id"):
-        part = nodes.join(relations.select(F.col(end).alias("n"), "relation_id"), "n").select("left", "right", "relation_id")
-        touch = part if touch is None else touch.unionByName(part)
-    order = Window.partitionBy("left", "right").orderBy("relation_id")
-    top = touch.distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_relations)
+    named = cut(p.select(F.explode(F.array("left", "right")).alias("entity_id")).distinct())
+    ends = relations.select(F.col("source_id").alias("entity_id"), F.col("target_id").alias("node")).unionByName(relations.select(F.col("target_id").alias("entity_id"), F.col("source_id").alias("node")))
+    around = cut(ends.join(named, "entity_id", "left_semi").distinct())
+    # each entity is summed up once: its neighbours, and the first relations of all of them; a pair unites two such rows
+    reach = around.unionByName(named.select("entity_id", F.col("entity_id").alias("node"))).distinct()
+    touch = reach.join(first_relations(relations, max_relations), "node").select("entity_id", "relation_id").distinct()
+    firsts = first_per(touch, "entity_id", "relation_id", max_relations).groupBy("entity_id").agg(F.array_sort(F.collect_list("relation_id")).alias("first"))
+    own = named.join(around.groupBy("entity_id").agg(F.collect_set("node").alias("around")), "entity_id", "left").join(firsts, "entity_id", "left")
+    none = F.array().cast("array<string>")
+    side = lambda c, x: own.select(F.col("entity_id").alias(c), F.coalesce("around", none).alias(f"{x}_around"), F.coalesce("first", none).alias(f"{x}_first"))
+    both = p.join(side("left", "l"), "left").join(side("right", "r"), "right")
+    both = both.select("left", "right", F.array_sort(F.array_union("l_around", "r_around")).alias("_around"), F.slice(F.array_sort(F.array_union("l_first", "r_first")), 1, max_relations).alias("_first"))
+    surrounding = both.select("left", "right", F.when(F.size("_around") > 0, F.col("_around")).alias("surrounding_node_ids"))
+    top = both.select("left", "right", F.posexplode("_first").alias("_n", "relation_id"))
     text = F.concat("source_id", F.lit(" -"), "relation_type", F.lit("-> "), "target_id", F.lit(" ["), "status", F.lit("/"), "polarity", F.lit("]"))
     r = top.join(relations.select("relation_id", text.alias("line"), "evidence_ids"), "relation_id")
     lines = r.groupBy("left", "right").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "line"))), lambda s: s["line"]).alias("relation_context"))
-    named = p.select(F.explode(F.array("left", "right")).alias("entity_id")).distinct()
     near = evidence_pairs(entities.join(named, "entity_id", "left_semi"), relations, evidence).join(p, ["left", "right"], "left_semi")
     ids = r.select("left", "right", F.explode("evidence_ids").alias("evidence_id")).unionByName(near.select("left", "right", "evidence_id")).distinct()
     ev = ids.join(evidence.select("evidence_id", "quote"), "evidence_id")

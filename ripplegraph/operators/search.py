@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import EDGE, any_of, lines_of, rank_in, short_hash, strip
 from ..functions.containment import pairs_within
+from ..functions.firsts import first_relations
 from ..functions.lineage import cut
 from .impact import PRIORITIES
 
@@ -24,16 +25,16 @@ DEPTH_THREE = ("DEFINES", "DISPLAYS", "VALIDATES", "REQUEST_FIELD", "SENDS", "CO
 _WORD = "0-9A-Za-z一-龥ぁ-んァ-ヶ万円"
 _PROPERTY = "上限|下限|桁数|必須|方式|値"
 PATTERNS = (
-    rf"[「\"]([^」\"]+)[」\"].*?({_PROPERTY}).*?([{_WORD}]+)から([{_WORD}]+)",
-    rf"([一-龥ぁ-んァ-ヶA-Za-z0-9_]+).*?({_PROPERTY}).*?([{_WORD}]+)から([{_WORD}]+)",
-    r"([A-Za-z_][A-Za-z0-9_]+)(.*?)([0-9]+).*?([0-9]+)",
+    rf"(?s)[「\"]([^」\"]+)[」\"].*?({_PROPERTY}).*?([{_WORD}]+)から([{_WORD}]+)",
+    rf"(?s)([一-龥ぁ-んァ-ヶA-Za-z0-9_]+).*?({_PROPERTY}).*?([{_WORD}]+)から([{_WORD}]+)",
+    r"(?s)([A-Za-z_][A-Za-z0-9_]+)(.*?)([0-9]+).*?([0-9]+)",  # the second group only keeps the places of the others
 )
 LIMIT_NAMES = ("requestedCreditLimit", "REQUESTED_CREDIT_LIMIT", "LIMIT_AMT")
 DECISION_STATUSES = ("unreviewed", "accepted", "rejected", "not_applicable", "needs_investigation")
 
 
 def _strip(c: Column, chars: str) -> Column:
-    return F.regexp_replace(c, f"^[{chars}]+|[{chars}]+$", "")
+    return F.regexp_replace(c, rf"^[{chars}]+|[{chars}]+\z", "")
 
 
 def change_atoms(changes: DataFrame) -> DataFrame:
@@ -268,19 +269,13 @@ def _action() -> Column:
     return out
 
 
-def first_relations(relations: DataFrame, limit: int) -> DataFrame:
-    """(_n, relation_id): the first `limit` relations at each node; a hub goes into no join with more of them."""
-    ends = relations.select(F.col("source_id").alias("_n"), "relation_id").unionByName(relations.select(F.col("target_id").alias("_n"), "relation_id")).distinct()
-    return ends.withColumn("_r", F.row_number().over(Window.partitionBy("_n").orderBy("relation_id"))).where(F.col("_r") <= limit).drop("_r")
-
-
 def candidate_subgraph(paths: DataFrame, relations: DataFrame, limit: int = 40) -> DataFrame:
     """(change_id, node_id, relations, nodes, evidence): path relations first, then relations that touch the path, up to `limit` in all (a limit of the report).
 
     Of a node no more than `limit` relations can come up beside the three of the path, so each node gives its first ones."""
     on_path = paths.select("change_id", "node_id", F.posexplode("path").alias("_i", "s")).select("change_id", "node_id", F.col("s.relation_id").alias("relation_id"), F.lit(0).alias("_k"), F.col("_i"))
     nodes = paths.select("change_id", "node_id", F.explode(F.array_union(F.array("node_id"), F.flatten(F.transform("path", lambda s: F.array(s["source_id"], s["target_id"]))))).alias("_n")).distinct()
-    touch = nodes.join(first_relations(relations, limit + 3), "_n").select("change_id", "node_id", "relation_id", F.lit(1).alias("_k"), F.lit(0).alias("_i"))
+    touch = nodes.join(first_relations(relations, limit + 3).withColumnRenamed("node", "_n"), "_n").select("change_id", "node_id", "relation_id", F.lit(1).alias("_k"), F.lit(0).alias("_i"))
     both = on_path.unionByName(touch).groupBy("change_id", "node_id", "relation_id").agg(F.min(F.struct("_k", "_i")).alias("_o"))
     order = Window.partitionBy("change_id", "node_id").orderBy("_o", "relation_id")
     top = both.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import EDGE, SPACE
+from ..functions.columns import EDGE, END, SPACE, START
 from ..functions.lineage import checkpoint_folder, cut
 from ..operators import alias, evaluate, grid, maintain, markdown, privacy, search, vectors, views
 from ..sources import readers
@@ -248,6 +248,22 @@ def redact_fields(s: SparkSession, d: str) -> DataFrame:
     return r.select("c_custkey", F.col("m")["customer_name"].alias("customer_name"), F.col("m")["segment"].alias("segment"), F.col("m")["note"].alias("note"))
 
 
+def redact_nested(s: SparkSession, d: str) -> DataFrame:
+    """A payload of three levels for every customer, redacted by key and by content."""
+    p = t.raw(s, d, "customer").selectExpr(
+        "c_custkey",
+        """named_struct('customer', named_struct('full_name', c_name, 'segment', c_mktsegment, 'balance', c_acctbal), 'note', 'call 090-1234-' || lpad(cast(c_custkey % 10000 as string), 4, '0'),
+            'lines', array(named_struct('text', 'mail u' || c_custkey || '@example.test', 'api_key', c_name, 'keys', array(c_name)), named_struct('text', c_name, 'api_key', null, 'keys', array(c_name))),
+            'more', map('account number', map('a', c_name), 'design', map('x', 'term ' || c_mktsegment, 'y', 'token=abcdefgh' || c_custkey))) as payload""",
+    )
+    r = privacy.redact_columns(p, "c_custkey")
+    x = lambda e, n: F.expr(f"payload.{e}").alias(n)
+    return r.select(
+        "c_custkey", x("customer.full_name", "full_name"), x("customer.segment", "segment"), x("customer.balance", "balance"), x("note", "note"), x("lines[0].text", "mail"), x("lines[0].api_key", "first_key"),
+        x("lines[1].text", "plain"), x("lines[1].api_key", "second_key"), x("lines[0].keys[0]", "listed"), x("more['account number']['a']", "account"), x("more['design']['x']", "design"), x("more['design']['y']", "secret"),
+    )
+
+
 def sensitive_counts(s: SparkSession, d: str) -> DataFrame:
     """Documents with a hit per category."""
     return privacy.sensitive_counts(t.raw(s, d, "documents"))
@@ -543,7 +559,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_rows, sections, chunks, document_chunks, markdown_relations, markdown_dedupe, relation_lines_in_chunks, plain_mentions, unresolved, alias_suggestions, name_index, alias_collisions, concept_keys, alias_trigram_pairs, alias_context_pairs,
-        alias_evidence_pairs, alias_candidates, alias_trigram_members, alias_trigram_classes, alias_context_members, alias_context_classes, alias_part_evidence_pairs, alias_class_members, alias_class_signals, alias_part_candidates, embedding_plan, cosine_top_k, redact_documents, redact_fields, sensitive_counts, audit_rows, answer_summary, case_metrics, missed_must, dataset_metrics, release_gate, expected_sets, field_is_absent, sheet_types, region_bounds, region_members,
+        alias_evidence_pairs, alias_candidates, alias_trigram_members, alias_trigram_classes, alias_context_members, alias_context_classes, alias_part_evidence_pairs, alias_class_members, alias_class_signals, alias_part_candidates, embedding_plan, cosine_top_k, redact_documents, redact_nested, redact_fields, sensitive_counts, audit_rows, answer_summary, case_metrics, missed_must, dataset_metrics, release_gate, expected_sets, field_is_absent, sheet_types, region_bounds, region_members,
         region_rendering, region_edges, proposed_entities, proposed_artifacts, proposed_evidence, rebuilt_relations, grid_health, sheet_details, folder_health, repeated_fields, field_alias_groups, ddl_columns, openapi_fields, alias_catalog, manifest_gap, collection_counts, graph_view, source_preview, decision_board, review_queue, run_history, document_context, ledger_mutations,
         ledger_status, source_changes, streamed_status,
     )
@@ -553,7 +569,7 @@ _I = impact_queries._INPUT
 _ALL = impact_queries._ALL
 _REDACT = "text"
 #: The patterns as SQL's regular expressions have them, whose classes and word edges are those of ASCII, which is what the table's texts hold around them.
-_ASCII = [p.replace(f"[^{SPACE})]", r"[^\s)]").replace(f"[{SPACE}]", r"\s").replace(EDGE, r"\b").replace(r"\p{Nd}", r"\d") for p in privacy.REDACT]
+_ASCII = [p.replace(f"[^{SPACE})]", r"[^\s)]").replace(f"[{SPACE}]", r"\s").replace(EDGE, r"\b").replace(START, r"\b").replace(END, r"\b").replace(r"\p{Nd}", r"\d") for p in privacy.REDACT]
 for _p in _ASCII:
     _REDACT = f"regexp_replace({_REDACT}, '{_p.replace(chr(39), chr(39) * 2)}', '[REDACTED]', 'g')"
 _GRID = """WITH c AS (SELECT workbook_id, sheet_id, sheet_name, r, c, min(value) AS value FROM cells_t GROUP BY 1, 2, 3, 4, 5),
@@ -632,6 +648,8 @@ ORACLE_SQL = {
     "embedding_plan": "SELECT 'd' || CAST(doc_id AS VARCHAR) AS chunk_id, sha256(text) AS content_hash, CASE WHEN length(text) % 2 = 0 AND length(text) % 3 <> 0 THEN 'unchanged' ELSE 'pending' END AS state FROM documents",
     "cosine_top_k": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0)
         SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 5""",
+    "redact_nested": """SELECT c_custkey, '[REDACTED]' AS full_name, c_mktsegment AS segment, c_acctbal AS balance, 'call [REDACTED]' AS note, 'mail [REDACTED]' AS mail, '[REDACTED]' AS first_key, c_name AS plain, '[REDACTED]' AS second_key, '[REDACTED]' AS listed,
+        '[REDACTED]' AS account, 'term ' || c_mktsegment AS design, '[REDACTED]' AS secret FROM customer""",
     "redact_fields": "SELECT c_custkey, '[REDACTED]' AS customer_name, c_mktsegment AS segment, '[REDACTED]' AS note FROM customer",
     "audit_rows": "SELECT event_id AS run_id, sha256(props) AS payload_hash, sha256(event_type) AS answer_hash, CAST(length(props) AS INTEGER) AS payload_chars, event_id % 2 = 0 AS redacted FROM events",
     "answer_summary": "SELECT user_id AS run_id, event_type AS llm_judgement, count(*) AS answers FROM events GROUP BY 1, 2",
@@ -651,7 +669,7 @@ ORACLE_SQL = {
     "sheet_types": t.with_views("SELECT DISTINCT sheet_id, 'screen_item_definition' AS sheet_type FROM cells_t", "cells"),
     "region_members": t.with_views(_GRID + """ SELECT g.sheet_id, start_row, start_column, CASE WHEN count(*) <= 2 THEN 'note_block' ELSE 'screen_item_table' END AS region_type, count(*) AS cells, CAST(count(*) AS INTEGER) AS n_evidence
         FROM reg g JOIN c ON c.sheet_id = g.sheet_id AND c.r BETWEEN start_row AND end_row AND c.c BETWEEN start_column AND end_column GROUP BY g.sheet_id, start_row, start_column""", "cells"),
-    "unresolved": t.with_views(_GRID + _REGIONS + " SELECT region_id, '別紙参照' AS mention FROM text WHERE marked", "cells"),
+    "unresolved": t.with_views(_GRID + _REGIONS + " SELECT DISTINCT region_id, value AS mention FROM mem WHERE value = '別紙参照'", "cells"),
     "region_rendering": t.with_views(_GRID + _REGIONS + """ SELECT region_id, CAST(stop - n - 3 AS INTEGER) AS line_start, CAST(stop AS INTEGER) AS line_end, sha256(rendered) AS text_hash
         FROM (SELECT *, sum(n + 6) OVER (PARTITION BY workbook_id ORDER BY sheet_id, idx) - 2 AS stop FROM text)""", "cells"),
     "region_edges": t.with_views(_GRID + _REGIONS + _ROWS + " SELECT rel AS relation_type, source_id, target_id, 'explicit' AS polarity, 'exact' AS match_type, region_id FROM said", "cells"),

@@ -105,10 +105,15 @@ def ddl_columns(files: DataFrame) -> DataFrame:
     """
     head = rf"(?is)CREATE[{SPACE}]+TABLE[{SPACE}]+"
     statement = rf"{head}[{WORD}.]+[{SPACE}]*\(.*?\);"
-    s = files.select("path", "text", F.explode(F.regexp_extract_all("text", F.lit(statement), F.lit(0))).alias("s"))
+    s = files.select("path", "text", F.regexp_extract_all("text", F.lit(statement), F.lit(0)).alias("_every"))
+    # a statement stands behind the end of the one before it, so equal ones have places of their own
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at"))
+    place = lambda acc, x: F.call_function("locate", x, F.col("text"), acc["next"])
+    found = F.aggregate("_every", start, lambda acc, x: F.struct((place(acc, x) + F.length(x)).alias("next"), F.array_append(acc["at"], place(acc, x)).alias("at")))["at"]
+    s = s.select("path", "text", F.explode(F.arrays_zip(F.col("_every").alias("s"), found.alias("at"))).alias("_one")).select("path", "text", "_one.s", F.col("_one.at").alias("_from"))
     body = F.regexp_extract("s", rf"{head}[{WORD}.]+[{SPACE}]*\((.*?)\);", 1)
     s = s.withColumn("table_name", F.regexp_extract("s", rf"{head}([{WORD}.]+)[{SPACE}]*\(", 1)).withColumn("body", body)
-    s = s.withColumn("_at", F.expr("locate(s, text) + locate('(', s)"))  # place of the body in the text, from 1
+    s = s.withColumn("_at", F.expr("_from + locate('(', s)"))  # place of the body in the text, from 1
     parts = F.split("body", ",", -1)
     p = s.select("path", "text", "table_name", "_at", parts.alias("_all"), F.posexplode(parts).alias("position", "_raw"))
     before = F.length(F.array_join(F.slice("_all", 1, F.col("position")), ",")) + F.when(F.col("position") > 0, 1).otherwise(0)
