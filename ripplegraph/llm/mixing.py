@@ -174,9 +174,10 @@ def mix(docs: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
     ranked = sized(docs)
     plan = sources(ranked, recipe)
     times = draw(plan, recipe).groupBy("number", "block").agg(F.count("*").alias("times"))
-    taken = spans(ranked, plan, recipe).join(times, ["number", "block"]).groupBy("place").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # sorted on both sides: runtime statistics may take `times` for small, and it grows with the blocks
+    taken = spans(ranked, plan, recipe).join(times.hint("merge"), ["number", "block"]).groupBy("place").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     known = plan.select(F.col("source").alias("of"), "source_size", "target")
-    out = ranked.join(taken, "place", "left").join(known, F.col("source").eqNullSafe(F.col("of")))
+    out = ranked.join(taken.hint("merge"), "place", "left").join(known, F.col("source").eqNullSafe(F.col("of")))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
