@@ -10,8 +10,9 @@ of them, with -1 between pieces. Level by level, for two and for three words:
    the words it uses and is broadcast; in every shard the states of all text positions advance together, one word a step, and
    accepting states are bincounted. Sums over shards are exact counts.
 
-The driver holds one slice (about 2**18 phrases or 16 MB, whatever is less) and one bitmap (2**27 bits) at a time. A slice costs a pass over
-the encoded shards, so passes grow with the candidates; texts are read and split once.
+A slice (about 2**19 phrases or 32 MB of words, whatever is less) is built by one task; the driver passes it on, compressed, one
+at a time, and holds bitmaps of 2**27 bits. A slice costs a pass over the encoded shards, so passes grow with the
+candidates; texts are read and split once.
 
 Defined cases: a null text has no words, a null lang is `und`; a text may be of any length; words are compared by bytes;
 counts are exact to 10**14; no documents, no rows; columns other than text and lang are ignored.
@@ -19,6 +20,7 @@ counts are exact to 10**14; no documents, no rows; columns other than text and l
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,7 @@ APART = BREAK.copy()
 APART[[32, 9]] = True
 SHARD_BYTES = 4 << 20
 BITS = 27
-SLICE, SLICE_BYTES = 1 << 18, 16 << 20
+SLICE, SLICE_BYTES = 1 << 19, 32 << 20
 NAMES = ("x", "y", "z")
 
 
@@ -199,9 +201,32 @@ class Trie:
         return self.accept[state]
 
 
+def _pack(names: pa.Array, trie: Trie, cids: np.ndarray) -> bytes:
+    """A slice's trie with the words that it numbers and the candidates that it accepts."""
+    parts = [[names], [pa.array(trie.base), pa.array(trie.check), pa.array(trie.accept)], [pa.array(cids)]]
+    return pickle.dumps([common.write_batch(pa.RecordBatch.from_arrays(p, list("abc")[: len(p)])) for p in parts])
+
+
+def _unpack(blob: bytes) -> tuple[pa.Array, Trie, np.ndarray]:
+    names, arrays, cids = (common.read_batch(b) for b in pickle.loads(blob))
+    trie = Trie.__new__(Trie)
+    trie.base, trie.check, trie.accept = (c.to_numpy() for c in arrays.columns)
+    return names.column(0), trie, cids.column(0).to_numpy()
+
+
+def _built(width: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids = pa.chunked_array([c for name in NAMES[:width] for c in table[name].chunks], pa.binary()).combine_chunks().dictionary_encode()
+        rows = np.asarray(ids.indices).reshape(width, -1).T
+        blob = _pack(ids.dictionary, Trie(rows, len(ids.dictionary)), table["cid"].to_numpy())
+        return pa.table([table["slice"].slice(0, 1), pa.array([blob], pa.binary())], names=["slice", "trie"])
+
+    return run
+
+
 def _count(shared: object, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, trie, cids = shared.value
+        names, trie, cids = _unpack(shared.value)
         values = pc.SetLookupOptions(value_set=names)
         sums = np.zeros(len(cids), np.int64)
         for tokens, text in _shards(batches):
@@ -222,18 +247,18 @@ def count_phrases(shards: DataFrame, candidates: DataFrame, width: int, slice_ro
     size = sum((F.octet_length(c) for c in names), F.lit(0))
     n, total = candidates.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     slices = max(1, -(-n // slice_rows), -(-total // slice_bytes))
-    sc, out = shards.sparkSession.sparkContext, None
+    dealt = candidates.withColumn("slice", F.pmod(F.xxhash64(*names), F.lit(slices)).cast("long"))
+    tries = lineage.cut(dealt.groupBy("slice").applyInArrow(_built(width), "slice long, trie binary"))
+    out = None
     for k in range(slices):
-        part = candidates.where(F.pmod(F.xxhash64(*names), F.lit(slices)) == k).toArrow()
-        cids = part["cid"].to_numpy()
-        ids = pa.chunked_array([c for name in names for c in part[name].chunks], pa.binary()).combine_chunks().dictionary_encode()
-        rows = np.asarray(ids.indices).reshape(width, -1).T if len(cids) else np.empty((0, width), np.int32)
-        shared = sc.broadcast((ids.dictionary, Trie(rows, len(ids.dictionary)), cids))
-        sums = shards.mapInArrow(_count(shared, width), "cid long, n long").groupBy("cid").agg(F.sum("n").alias("f"))
-        sums = lineage.cut(sums)
-        shared.unpersist()
+        blob = tries.where(F.col("slice") == k).select("trie").collect()
+        if not blob:
+            continue
+        shared = shards.sparkSession.sparkContext.broadcast(bytes(blob[0][0]))
+        sums = lineage.cut(shards.mapInArrow(_count(shared, width), "cid long, n long").groupBy("cid").agg(F.sum("n").alias("f")))
+        shared.destroy()
         out = sums if out is None else out.unionByName(sums)
-    return candidates.join(out, "cid").drop("cid")
+    return candidates.drop("cid").withColumn("f", F.lit(0).cast("long")).limit(0) if out is None else candidates.join(out, "cid").drop("cid")
 
 
 # -- scores --------------------------------------------------------------------------------------
@@ -270,11 +295,11 @@ def frequent_phrases(docs: DataFrame, support: int = 10, bits: int = BITS, slice
         shared = spark.sparkContext.broadcast(list(maps))
         sums = shards.mapInArrow(_hash_counts(shared, bits), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
         mine = _bitmap(sums.where(F.col("n") >= support), bits)
-        shared.unpersist()
+        shared.destroy()
         shared = spark.sparkContext.broadcast([*maps, mine])
         schema = ", ".join(f"{c} binary" for c in NAMES[:width])
         candidates = lineage.cut(shards.mapInArrow(_named(shared, bits), schema).distinct().withColumn("cid", F.monotonically_increasing_id()))
-        shared.unpersist()
+        shared.destroy()
         held = lineage.cut(count_phrases(shards, candidates, width, slice_rows).where(F.col("f") >= support))
         found.append(held)
         if width == 2:
