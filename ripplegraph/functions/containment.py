@@ -2,36 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut
+from .workers import importable
+
+#: A slice of the catalog: so many texts and characters at most, on average; it is what the driver and each task hold.
+SLICE_ROWS, SLICE_CHARS = 1 << 17, 1 << 22
+
+
+class Catalog:
+    """Texts that are looked for, all at once: an Aho-Corasick automaton, made once in each worker."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts = texts
+        self.machine = None
+
+    def __getstate__(self) -> dict:
+        return {"texts": self.texts, "machine": None}
+
+    def found_in(self, text: str) -> list[str]:
+        """The different texts of the catalog that lie within a text, in one pass over its characters."""
+        if self.machine is None:
+            import ahocorasick
+
+            self.machine = ahocorasick.Automaton()
+            for i, t in enumerate(self.texts):
+                self.machine.add_word(t, i)
+            self.machine.make_automaton()
+        return [self.texts[i] for i in sorted({i for _, i in self.machine.iter(text)})]
 
-GRAM = 3
 
+def _scan(shared: object):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        catalog = shared.value
+        for batch in batches:
+            inner, outer = [], []
+            for text in batch.column(0).to_pylist():
+                found = catalog.found_in(text)
+                inner += found
+                outer += [text] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(inner, pa.string()), pa.array(outer, pa.string())], ["inner", "outer"])
 
-def grams(text: Column, size: int = GRAM) -> Column:
-    """Distinct runs of `size` characters of a text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+    return run
 
 
-def pairs_within(inner: DataFrame, outer: DataFrame) -> DataFrame:
+def pairs_within(inner: DataFrame, outer: DataFrame, slice_rows: int = SLICE_ROWS, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """(inner, outer): each distinct text of the column `text` of `inner` with the distinct texts of `outer` that contain it.
 
-    A text meets others through that of its runs of three characters which is rarest among them, so that a
-    common beginning or word brings no candidates; shorter texts meet them as runs of their own. Empty texts
-    lie in none. Runs of the outer texts go on only if some inner text has them.
+    The inner texts are dealt into slices of bounded size by hash; every outer text is read once for each slice, so the
+    work is its length times the slices plus what is found, however alike the texts are. Empty texts lie in none.
     """
+    spark = outer.sparkSession
+    importable(spark)
     small = cut(inner.select("text").where("text <> ''").distinct())
+    n, chars = small.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    slices = max(1, -(-n // slice_rows), -(-chars // slice_chars))
     big = outer.select("text").where("text <> ''").distinct()
-    long, short = small.where(F.length("text") >= GRAM), small.where(F.length("text") < GRAM)
-    own = long.select("text", F.explode(grams(F.col("text"))).alias("gram"))
-    offered = cut(big.select(F.col("text").alias("outer"), F.explode(grams(F.col("text"))).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi"))
-    counts = offered.groupBy("gram").agg(F.count("*").alias("n"))
-    # a run that no outer text offers keeps its text from meeting any
-    ranked = own.join(counts, "gram", "left").groupBy("text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k"))
-    rare = ranked.where("k.n > 0").select(F.col("text").alias("inner"), "k.gram")
-    found = rare.join(offered, "gram").where(F.col("outer").contains(F.col("inner"))).select("inner", "outer")
-    few = F.array_distinct(F.concat(grams(F.col("text"), 1), grams(F.col("text"), 2)))
-    runs = big.select(F.col("text").alias("outer"), F.explode(few).alias("inner"))
-    return found.unionByName(runs.join(short.select(F.col("text").alias("inner")), "inner").select("inner", "outer"))
+    big, out = cut(big) if slices > 1 else big, None
+    for k in range(slices):
+        texts = [r[0] for r in small.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k).collect()] if n else []
+        if not texts:
+            continue
+        shared = spark.sparkContext.broadcast(Catalog(texts))
+        found = big.mapInArrow(_scan(shared), "inner string, outer string")
+        if slices > 1:  # one slice at a time is held
+            found = cut(found)
+            shared.destroy()
+        out = found if out is None else out.unionByName(found)
+    return big.select(F.col("text").alias("inner"), F.col("text").alias("outer")).limit(0) if out is None else out

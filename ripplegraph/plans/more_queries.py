@@ -648,7 +648,7 @@ ORACLE_SQL = {
     "embedding_plan": "SELECT 'd' || CAST(doc_id AS VARCHAR) AS chunk_id, sha256(text) AS content_hash, CASE WHEN length(text) % 2 = 0 AND length(text) % 3 <> 0 THEN 'unchanged' ELSE 'pending' END AS state FROM documents",
     "cosine_top_k": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0)
         SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 5""",
-    "redact_nested": """SELECT c_custkey, '[REDACTED]' AS full_name, c_mktsegment AS segment, c_acctbal AS balance, 'call [REDACTED]' AS note, 'mail [REDACTED]' AS mail, '[REDACTED]' AS first_key, c_name AS plain, '[REDACTED]' AS second_key, '[REDACTED]' AS listed,
+    "redact_nested": r"""SELECT c_custkey, '[REDACTED]' AS full_name, c_mktsegment AS segment, c_acctbal AS balance, 'call [REDACTED]' AS note, 'mail [REDACTED]' AS mail, '[REDACTED]' AS first_key, regexp_replace(c_name, '\b\d{7,12}\b', '[REDACTED]', 'g') AS plain, '[REDACTED]' AS second_key, '[REDACTED]' AS listed,
         '[REDACTED]' AS account, 'term ' || c_mktsegment AS design, '[REDACTED]' AS secret FROM customer""",
     "redact_fields": "SELECT c_custkey, '[REDACTED]' AS customer_name, c_mktsegment AS segment, '[REDACTED]' AS note FROM customer",
     "audit_rows": "SELECT event_id AS run_id, sha256(props) AS payload_hash, sha256(event_type) AS answer_hash, CAST(length(props) AS INTEGER) AS payload_chars, event_id % 2 = 0 AS redacted FROM events",
