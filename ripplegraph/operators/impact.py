@@ -139,8 +139,8 @@ def hop2(near: DataFrame, relations: DataFrame, artifacts: DataFrame) -> DataFra
         F.lit("explicit_relation").alias("rule_assessment"),
         F.lit("A two-hop explicit relation path to the changed entity was found.").alias("reason"),
         F.array(F.concat("_path", F.lit(" <- "), "relation_type", F.lit(" - "), "source_id")).alias("relation_paths"),
-        F.array_sort(F.array_union("_ev", "evidence_ids")).alias("evidence_ids"),
-        F.array_sort(F.array_union("_st", F.array("status"))).alias("relation_statuses"),
+        F.concat("_ev", "evidence_ids").alias("evidence_ids"),  # merge() makes sets of them, once for each impact
+        F.array_union("_st", F.array("status")).alias("relation_statuses"),
         F.concat(F.lit("~"), "relation_id", F.lit("|"), "target_id").alias("_seq"),
     )
 
