@@ -3,15 +3,16 @@
 The texts are encoded once: a shard is the different (lang, word) names of some megabytes of text and the text as numbers
 of them, with -1 between pieces. Level by level, for two and for three words:
 
-1. Bound. Phrases whose parts are frequent (by a bitmap of fixed size) are counted by 64-bit hash; the hashes that reach the
-   support become the next bitmap. Equal hashes only add up, so no frequent phrase is lost: a candidate is Apriori-safe.
+1. Bound. Phrases whose parts are frequent (by a bitmap of fixed size) are counted by hash, in ranges of hashes of bounded
+   size; the hashes that reach the support become the next bitmap. Equal hashes only add up, so no frequent phrase is
+   lost: a candidate is Apriori-safe. A hot phrase is one number of each shard.
 2. Candidates. The phrases at such hashes are gathered by their words.
 3. Counting. The candidates are dealt into slices of bounded number and bytes. Each slice becomes a double-array trie over
    the words it uses and is broadcast; in every shard the states of all text positions advance together, one word a step, and
    accepting states are bincounted. Sums over shards are exact counts.
 
 A slice (about 2**19 phrases or 32 MB of words, whatever is less) is built by one task; the driver passes it on, compressed, one
-at a time, and holds bitmaps of 2**27 bits. A slice costs a pass over the encoded shards, so passes grow with the
+at a time, and holds bitmaps of 2**26 bits. A slice costs a pass over the encoded shards, so passes grow with the
 candidates; texts are read and split once.
 
 Defined cases: a null text has no words, a null lang is `und`; a text may be of any length; words are compared by bytes;
@@ -38,7 +39,9 @@ BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 APART = BREAK.copy()
 APART[[32, 9]] = True
 SHARD_BYTES = 4 << 20
-BITS = 27
+BITS = 26
+KEY_BITS = 44  # of a phrase's hash, in its bound
+RANGE = 1 << 20  # phrases of a range of hashes, repeats counted, on average
 SLICE, SLICE_BYTES = 1 << 19, 32 << 20
 NAMES = ("x", "y", "z")
 
@@ -123,11 +126,33 @@ def _phrases(tokens: pa.RecordBatch, text: np.ndarray, maps: list[np.ndarray], b
     return at[both], common.mix(found[both] * np.uint64(0xC2B2AE3D27D4EB4F) + found[both + 1])
 
 
-def _hash_counts(shared: object, bits: int):
+def _hash_counts(shared: object, bits: int, support: int, parts: int):
+    """Hashes of the phrases of each shard and how often they come, up to the support, by range of hashes: rising keys as differences."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, text in _shards(batches):
-            hashes, n = np.unique(_phrases(tokens, text, shared.value, bits)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["hash", "n"])
+            keys, n = np.unique(_phrases(tokens, text, shared.value, bits)[1] >> np.uint64(64 - KEY_BITS), return_counts=True)
+            ranges = (keys >> np.uint64(KEY_BITS - 20)).astype(np.int64) * parts >> 20
+            cuts = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]]) if len(keys) else np.empty(0, np.int64)
+            rows = [[], [], []]
+            for lo, hi in zip(cuts, np.r_[cuts[1:], len(keys)][: len(cuts)], strict=True):
+                rows[0].append(int(ranges[lo]))
+                rows[1].append(common.squeeze(np.diff(keys[lo:hi], prepend=np.uint64(0))))
+                rows[2].append(pa.compress(np.minimum(n[lo:hi], support).astype(np.uint16).tobytes(), "zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["part", "keys", "n"])
+
+    return run
+
+
+def _frequent(support: int):
+    """The keys of one range that come `support` times or more in all shards together."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(common.stretch(k.as_py()), dtype=np.uint64) for k in table["keys"]]
+        n = [np.frombuffer(pa.decompress(c.as_py(), 2 * len(k), "zstd"), np.uint16) for c, k in zip(table["n"], keys, strict=True)]
+        different, which = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(which, weights=np.concatenate(n))
+        return pa.table([pa.array((different[sums >= support] << np.uint64(64 - KEY_BITS)).view(np.int64))], names=["hash"])
 
     return run
 
@@ -290,11 +315,12 @@ def frequent_phrases(docs: DataFrame, support: int = 10, bits: int = BITS, slice
     total = F.col("name").cast("string").endswith("\n")
     counts = lineage.cut(counts.where((F.col("f") >= support) | total))
     words = counts.where(~total).select(F.col("name").alias("x"), "f")
+    parts = min(1 << 20, -(-(counts.where(total).agg(F.sum("f")).first()[0] or 1) // RANGE))
     maps, found = [_bitmap(counts.where(~total), bits)], []
     for width in (2, 3):
         shared = spark.sparkContext.broadcast(list(maps))
-        sums = shards.mapInArrow(_hash_counts(shared, bits), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-        mine = _bitmap(sums.where(F.col("n") >= support), bits)
+        keys = shards.mapInArrow(_hash_counts(shared, bits, support, parts), "part int, keys binary, n binary")
+        mine = _bitmap(keys.groupBy("part").applyInArrow(_frequent(support), "hash long"), bits)
         shared.destroy()
         shared = spark.sparkContext.broadcast([*maps, mine])
         schema = ", ".join(f"{c} binary" for c in NAMES[:width])

@@ -91,3 +91,4 @@ def test_tries_count_like_sets():
 def test_no_documents(spark):
     assert collocations.mine(spark.createDataFrame([], DOC)).count() == 0
     assert collocations.mine(spark.createDataFrame([(None, None)], DOC)).count() == 0
+    assert collocations.mine(spark.createDataFrame([("a b c", "en"), ("a. " * 20, "en")], DOC)).count() == 0
