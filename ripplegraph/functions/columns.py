@@ -59,6 +59,20 @@ def rank_in(value: Column, order: tuple[str, ...] | list[str], other: int | None
     return out
 
 
+def path_parts(path: Column) -> Column:
+    """Named parts of a path: empty ones and single dots do not count."""
+    return F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+
+
+def normal_path(path: Column) -> Column:
+    """A path as posixpath.normpath gives it: no empty parts, no single dots, `x/..` taken out."""
+    root = F.when(path.rlike("^//(?!/)"), "//").when(path.startswith("/"), "/").otherwise("")
+    up = lambda acc, p: (p == "..") & F.when(F.size(acc) > 0, F.try_element_at(acc, F.lit(-1)) != "..").otherwise(path.startswith("/"))
+    step = lambda acc, p: F.when(up(acc, p), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
+    full = F.concat(root, F.array_join(F.aggregate(path_parts(path), F.array().cast("array<string>"), step), "/"))
+    return F.when(path.isNotNull(), F.when(full == "", ".").otherwise(full))
+
+
 def lines_of(text: Column) -> Column:
     """Lines as str.splitlines() gives them: all line ends count, a last one opens no line."""
     ends = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"

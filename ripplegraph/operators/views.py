@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import rank_in
+from ..functions.columns import normal_path, path_parts, rank_in
 
 OPEN = ("pending", "unreviewed", "unconfirmed", "stale")
 ACTIONABLE = (*OPEN, "needs_investigation")
@@ -95,6 +95,35 @@ def source_library(documents: DataFrame, evidence: DataFrame, nodes: DataFrame,
     return out.fillna(0, ["evidence", "nodes", "relations", "versions", "stale"])
 
 
+def source_list(
+    documents: DataFrame, workbooks: DataFrame, sheets: DataFrame, regions: DataFrame, evidence: DataFrame, nodes: DataFrame, relations: DataFrame, versions: DataFrame, stale: DataFrame
+) -> DataFrame:
+    """Every source: documents with what they and their workbook hold, and workbooks that no document stands for.
+
+    A workbook (workbook_id, file_path, original_path, warnings, seq) belongs to the documents of either of its paths, a path of
+    several workbooks to the last by seq. Paths are compared in their normal form; a missing one belongs to nothing.
+    """
+    count = lambda df, name: df.groupBy("workbook_id").agg(F.count("*").alias(name))
+    books = workbooks.join(count(sheets, "sheets"), "workbook_id", "left").join(count(regions, "regions"), "workbook_id", "left").fillna(0, ["sheets", "regions"])
+    paths = books.select("workbook_id", "seq", F.explode(F.array("file_path", "original_path")).alias("_p"))
+    owner = paths.groupBy(normal_path(F.col("_p")).alias("_key")).agg(F.max_by("workbook_id", F.struct("seq", "workbook_id")).alias("workbook_id")).where("_key is not null")
+    rows = documents.withColumn("_key", normal_path(F.col("path"))).join(owner, "_key", "left").join(books.select("workbook_id", "sheets", "regions", "warnings"), "workbook_id", "left")
+    held = source_library(documents, evidence, nodes, relations, versions, stale).drop("title")
+    none = F.array().cast("array<string>")
+    known = rows.join(held, "document_id").select(
+        F.col("document_id").alias("source_id"), "title", "path", F.col("document_type").alias("source_type"), F.when(F.col("evidence") > 0, "ready").otherwise("indexed").alias("status"),
+        "evidence", "nodes", "relations", F.coalesce("sheets", F.lit(0)).alias("sheets"), F.coalesce("regions", F.lit(0)).alias("regions"), F.coalesce("warnings", none).alias("warnings"), "versions", "latest_change", "stale",
+    )
+    cited = evidence.groupBy(normal_path(F.col("source_location.file")).alias("_key")).agg(F.count("*").alias("evidence"))
+    alone = books.join(rows.select("workbook_id").where("workbook_id is not null").distinct(), "workbook_id", "left_anti").withColumn("_key", normal_path(F.col("file_path"))).join(cited, "_key", "left")
+    zero = F.lit(0).cast("long")
+    rest = alone.select(
+        F.col("workbook_id").alias("source_id"), F.coalesce(F.try_element_at(path_parts(F.col("file_path")), F.lit(-1)), F.lit("")).alias("title"), F.col("file_path").alias("path"), F.lit("dirty_excel").alias("source_type"), F.lit("ready").alias("status"),
+        F.coalesce("evidence", zero).alias("evidence"), zero.alias("nodes"), zero.alias("relations"), "sheets", "regions", F.coalesce("warnings", none).alias("warnings"), zero.alias("versions"), F.lit(None).cast("string").alias("latest_change"), zero.alias("stale"),
+    )
+    return known.unionByName(rest)
+
+
 def with_quotes(impacts: DataFrame, evidence: DataFrame) -> DataFrame:
     """Impacts with their evidence quotes, in the order of the ids."""
     long = impacts.select("change_id", "artifact_id", F.posexplode("evidence_ids").alias("_i", "evidence_id")).join(evidence.select("evidence_id", "quote"), "evidence_id")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import posixpath
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_entry import SMALL, TABLES, rows
 
+from ripplegraph.functions.columns import normal_path
 from ripplegraph.operators import freshness, maintain, pages, views
 from ripplegraph.plans import stored_queries
 from ripplegraph.plans import tables as t
@@ -131,3 +134,27 @@ def test_pages_of_an_empty_table(spark, tmp_path):
     place = str(tmp_path / "p")
     pages.write(spark.createDataFrame([], "k string, v int"), ["k"], place, 4)
     assert pages.total(spark, place) == 0 and pages.page(spark, place, 0, 5).collect() == [] and pages.page_after(spark, place, {"k": "a"}, 5).collect() == []
+
+
+def test_paths_as_posixpath_has_them(spark):
+    paths = ["", ".", "/", "//", "///a", "//a/..", "a//b/./c", "a/../..", "../../x", "/../x", "a/b/../../..", "/a/b/../c/", "./", "A/b", "a\\b", "x/..", "../x/../.."]
+    got = spark.createDataFrame([(p,) for p in paths] + [(None,)], "p string").select("p", normal_path(F.col("p")).alias("n")).collect()
+    assert {r["p"]: r["n"] for r in got} == {p: posixpath.normpath(p) for p in paths} | {None: None}
+
+
+def test_sources_of_odd_workbooks(spark):
+    docs = spark.createDataFrame([("d1", "One", "in/a.xlsx", "file"), ("d2", "Two", "IN/a.xlsx", "file"), ("d3", "None", None, "file")], "document_id string, title string, path string, document_type string")
+    books = spark.createDataFrame([("w1", "x/a.xlsx", "in/./a.xlsx", None, 1), ("w2", "y/a.xlsx", "in/a.xlsx", ["hidden"], 2), ("w3", None, None, None, 3)], "workbook_id string, file_path string, original_path string, warnings array<string>, seq int")
+    sheets = spark.createDataFrame([("w1",), ("w2",), ("w2",)], "workbook_id string")
+    ev = spark.createDataFrame([("d1", ("in/a.xlsx",)), (None, ("x//a.xlsx",)), (None, None)], "document_id string, source_location struct<file string>")
+    held = lambda key: spark.createDataFrame([], f"{key} string, source_document_ids array<string>")
+    none = spark.createDataFrame([], "document_id string, change_type string, version_number int, resolved_at string")
+    out = views.source_list(docs, books, sheets, sheets.limit(0), ev, held("node_id"), held("relation_id"), none, none)
+    got = {r["source_id"]: (r["title"], r["status"], r["evidence"], r["sheets"], r["regions"], r["warnings"]) for r in out.collect()}
+    assert got == {
+        "d1": ("One", "ready", 1, 2, 0, ["hidden"]),
+        "d2": ("Two", "indexed", 0, 0, 0, []),
+        "d3": ("None", "indexed", 0, 0, 0, []),
+        "w1": ("a.xlsx", "ready", 1, 1, 0, []),  # its path went to the later workbook
+        "w3": ("", "ready", 0, 0, 0, []),
+    }
