@@ -127,7 +127,7 @@ def test_queries_equal_sql(spark, name):
     for table in TABLES:
         db.execute(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
     got = rows(stored_queries.QUERIES[name](spark, SMALL).toPandas())
-    assert got and got == rows(db.execute(stored_queries.ORACLE_SQL[name]).fetchdf())
+    assert len(got) > 9 - 5 * (name == "stale_graph_view") and got == rows(db.execute(stored_queries.ORACLE_SQL[name]).fetchdf())
 
 
 def test_pages_of_an_empty_table(spark, tmp_path):
