@@ -40,6 +40,33 @@ def test_rule_flow(spark):
     assert trace["test.x"]["included"]
 
 
+def test_counted_equals_the_rows_with_their_texts(spark):
+    # paths and evidence by hundreds, relations that share evidence or differ only in their ids, inexact ones in odd order
+    entities = spark.createDataFrame([(f"entity.{i}", "BusinessField", f"field {i}", f"f{i}", [], ["llm"] if i == 3 else ["rule"]) for i in range(4)], E)
+    artifacts = spark.createDataFrame([(f"api.{i}", "API", f"A{i}") for i in range(150)] + [(f"screen.{i}", "Screen", f"S{i}") for i in range(40)] + [("entity.1", "Screen", "both")], A)
+    kinds, states, matches = ("READS", "DEFINES", "MENTIONS"), ("confirmed", "unconfirmed", "rejected", "stale"), ("exact", "alias", "semantic", "fuzzy")
+    edges = []
+    for i in range(600):
+        edges.append((f"r{i * 7 % 601}", kinds[i % 3], f"api.{i % 150}", f"entity.{i % 3}", [f"e{i % 90}", f"e{i % 11}"], "inferred" if i % 4 == 0 else "explicit", states[i * i % 4 if i % 5 else 2], matches[1 + i % 3]))
+    for i in range(900):
+        edges.append((f"c{i * 5 % 907}", "CALLS", f"screen.{i % 40}", f"api.{i * i % 150}", [] if i % 3 else [f"e{i % 13}"], "inferred" if i % 2 else "explicit", states[i % 4], matches[i % 4 if i % 7 else 1]))
+    edges += [(f"h{i}", "CALLS", "screen.0", f"api.{i}", [f"g{i}"], "inferred", "stale", "exact") for i in range(150)]
+    edges.append(("z", "READS", "api.3", "api.3", ["e1"], "explicit", "stale", "alias"))
+    edges.append(("y", "READS", "screen.1", "nowhere", None, "explicit", "stale", "alias"))
+    edges.append(("x", "DEFINES", "entity.1", "entity.0", ["e1"], "explicit", "confirmed", "fuzzy"))
+    relations = spark.createDataFrame(edges, R)
+    changes = spark.createDataFrame([("a", "field 0", "p", ""), ("b", "field 1", "p", "field 2"), ("c", "field 3", "p", "field 0"), ("d", "none", "p", "")], "change_id string, title string, path string, body string")
+    wanted = impact.analyse(changes, entities, artifacts, relations)[0].select(
+        "change_id", "artifact_id", "review_priority", "evidence_strength", "match_type", "relation_distance", "rule_assessment", F.size("relation_paths").alias("n_paths"), F.size("evidence_ids").alias("n_evidence"), "relation_statuses"
+    )
+    found = impact.counted(changes, entities, artifacts, relations)
+    assert found.columns == wanted.columns
+    rows = sorted(map(tuple, found.collect()))
+    assert rows == sorted(map(tuple, wanted.collect()))
+    assert max(r[7] for r in rows) > 64 and max(r[8] for r in rows) > 64 and {r[4] for r in rows} >= {"exact", "alias"}
+    assert impact.counted(changes.limit(0), entities, artifacts, relations).count() == 0
+
+
 def test_one_hop_keeps_mentions_low(spark):
     entities, artifacts, relations = graph(spark)
     changes = spark.createDataFrame([("c1", "LIMIT", "p", "")], "change_id string, title string, path string, body string")

@@ -23,3 +23,10 @@ def test_every_part_has_a_change(spark):
     reached = q["shared_changed_entities"](spark, SMALL)
     assert reached.select("entity_id").distinct().count() == t.flat(spark, SMALL, "shared_names").where("method <> 'llm'").count()
     assert reached.groupBy("change_id").count().where("count > 1").count() > 0
+
+
+def test_report_lists_every_pair_that_the_classes_count(spark):
+    q = entry.queries()
+    report, counts = q["all_impact_report"](spark, SMALL), q["all_impact_classes"](spark, SMALL)
+    assert {"artifact_id", "n_paths", "n_evidence"} <= set(report.columns)
+    assert report.count() == counts.groupBy().sum("n_links").first()[0] > t.raw(spark, SMALL, "part").count() * 100
