@@ -102,7 +102,7 @@ def _frequencies(ids: DataFrame, bits: int, words: int, percent: int) -> DataFra
                 part, packed = part[order], packed[order]
                 cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
                 parts = np.flatnonzero(np.diff(cuts))
-                payload = [common.squeeze(packed[cuts[p] : cuts[p + 1]]) for p in parts]
+                payload = [common.squeeze(packed[cuts[p] : cuts[p + 1]], 16) for p in parts]
                 doc = common.column(some, "doc_id")
                 facts = [doc.fill_null(0).to_numpy(), np.asarray(doc.is_valid()), common.column(some, "tag").to_numpy(), size, *sums.view(np.int64)]
                 about = b"".join(x.astype(np.int64).tobytes() for x in facts)
@@ -122,7 +122,7 @@ def _frequencies(ids: DataFrame, bits: int, words: int, percent: int) -> DataFra
         about = np.asarray(table.column("about"))
         rest = table.filter(pa.array(about))
         table = table.filter(pa.array(~about))
-        parts = [common.stretch(x.as_py()) for x in table.column("payload")]
+        parts = [common.stretch(x.as_py(), 16) for x in table.column("payload")]
         packed = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         source = np.repeat(np.arange(len(table)), [len(x) for x in parts])
         order = np.argsort(packed >> np.uint64(16), kind="stable")
@@ -138,7 +138,7 @@ def _frequencies(ids: DataFrame, bits: int, words: int, percent: int) -> DataFra
         some = np.flatnonzero(counts)
         chunks = pa.concat_arrays([table.column("chunk").combine_chunks().take(pa.array(some)), rest.column("chunk").combine_chunks()])
         ends = np.cumsum(counts[some])
-        payload = pa.array([common.squeeze(packed[order[e - c : e]]) for e, c in zip(ends.tolist(), counts[some].tolist(), strict=True)], pa.binary())
+        payload = pa.array([common.squeeze(packed[order[e - c : e]], 16) for e, c in zip(ends.tolist(), counts[some].tolist(), strict=True)], pa.binary())
         classes = common.blobs(cls, counts[some])
         n, m = len(some), len(rest)
         return pa.table(
@@ -157,7 +157,7 @@ def _frequencies(ids: DataFrame, bits: int, words: int, percent: int) -> DataFra
         keep = np.flatnonzero(part >= 0)
         n = len(doc)
         if len(keep):
-            packed = np.concatenate([common.stretch(table.column("payload")[int(i)].as_py()) for i in keep])
+            packed = np.concatenate([common.stretch(table.column("payload")[int(i)].as_py(), 16) for i in keep])
             cls = np.concatenate([np.frombuffer(table.column("classes")[int(i)].as_py(), np.uint8) for i in keep])
             lengths = [len(table.column("classes")[int(i)].as_py()) for i in keep]
             token = (packed >> np.uint64(16)) | (np.repeat(part[keep].astype(np.uint64), lengths) << np.uint64(min(48, 64 - bits)))
@@ -171,7 +171,8 @@ def _frequencies(ids: DataFrame, bits: int, words: int, percent: int) -> DataFra
         token, cls, row = token[pick], cls[pick], row[pick]
         order = np.lexsort((token, cls, row))
         counts = np.where(ok, shared, 0)
-        tokens = common.blobs(token[order], counts)
+        token, ends = token[order], np.cumsum(counts)
+        tokens = pa.array([common.squeeze(token[e - c : e]) if fit else None for e, c, fit in zip(ends.tolist(), counts.tolist(), ok.tolist(), strict=True)], pa.binary())
         return pa.table(
             {
                 "doc_id": pa.array(doc, mask=valid == 0),
@@ -179,7 +180,7 @@ def _frequencies(ids: DataFrame, bits: int, words: int, percent: int) -> DataFra
                 "n_shingles": pa.array(size),
                 "sig": pa.array(sig),
                 "sig2": pa.array(sig2),
-                "tokens": pc.if_else(pa.array(ok), tokens, pa.scalar(None, pa.binary())),
+                "tokens": tokens,
             }
         )
 
@@ -259,7 +260,7 @@ def _links(key: tuple, table: pa.Table, percent: int) -> pa.Table:
     table = table.sort_by([("n_shingles", "ascending"), ("node", "ascending")])
     left = np.asarray(table.column("left"))
     size, root = (table.column(c).to_numpy() for c in ("n_shingles", "root"))
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("tokens")]
+    sets = [common.stretch(x.as_py()) for x in table.column("tokens")]
     as_sets: dict[int, set] = {}
     index_rows = np.flatnonzero(left)
     same = bool(left.all())
@@ -323,10 +324,10 @@ def components(
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = common.column(b, "n_shingles").to_numpy()
-            raw, offsets = common.bytes_of(common.column(b, "tokens"))
-            token = np.frombuffer(raw.tobytes(), np.int64)
-            first = offsets // 8
-            shared = np.diff(first)
+            held = [common.stretch(x.as_py()) for x in common.column(b, "tokens")]
+            shared = np.array([len(x) for x in held], np.int64)
+            first = np.concatenate([np.zeros(1, np.int64), np.cumsum(shared)])
+            token = np.concatenate([*held, np.empty(0, np.uint64)]).view(np.int64)
             take = shared - (-(-percent * n // 100)) + 1
             entry = common.ragged_index(first[:-1], take)
             yield pa.RecordBatch.from_arrays([pa.array(token[entry]), pa.array(np.repeat(common.column(b, "node").to_numpy(), take))], names=["token", "node"])
