@@ -8,6 +8,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from ripplegraph.llm import collocations, oracles, queries
 
@@ -92,3 +93,24 @@ def test_no_documents(spark):
     assert collocations.mine(spark.createDataFrame([], DOC)).count() == 0
     assert collocations.mine(spark.createDataFrame([(None, None)], DOC)).count() == 0
     assert collocations.mine(spark.createDataFrame([("a b c", "en"), ("a. " * 20, "en")], DOC)).count() == 0
+
+
+def test_a_candidate_is_named_by_one_crew_of_shards():
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    bits, every = 16, np.full(1 << 13, 255, np.uint8)
+    texts = [f"w{i} same old words w{i}" for i in range(40)]
+    shards = [list(collocations._encode(iter([pa.RecordBatch.from_pydict({"text": [t], "lang": ["en"]})]))) for t in texts]
+    counts = [b for s in shards for b in collocations._hash_counts(Held([every]), bits, 10, 1)(iter(s))]
+    often = collocations._frequent(10)(pa.Table.from_batches(counts))
+    assert len(often) == 2  # same old, old words
+    crews = [np.zeros(1 << 13, np.uint8) for _ in range(collocations.CREWS)]
+    for h, crew in zip(often["hash"].to_numpy().view(np.uint64), often["crew"].to_pylist(), strict=True):
+        slot = int(h >> np.uint64(64 - bits))
+        crews[crew][slot >> 3] |= 1 << (slot & 7)
+    named = [tuple(r.values()) for s in shards for b in collocations._named(Held(([every], crews)), bits)(iter(s)) for r in b.to_pylist()]
+    wanted = {(b"en\nsame", b"en\nold"), (b"en\nold", b"en\nwords")}
+    assert wanted <= set(named)
+    assert sum(n in wanted for n in named) < 2 * len(texts)  # not by every shard that has it
