@@ -51,26 +51,27 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def connected(edges: DataFrame, rounds: int = 40, local: int = LOCAL_EDGES) -> DataFrame:
+def connected(edges: DataFrame, rounds: int = 40, local: int = LOCAL_EDGES, files: int | None = None) -> DataFrame:
     """(node, root) for every node of edges (a, b) that is not its own root; root is the smallest node reachable.
 
     Edges are dealt out to tasks, `local` to each, which keep a forest of theirs; what several tasks hold is joined by stars.
+    Tables in between are kept as `files` files at most.
     """
     e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, before = common.cut(e), None
+    e, before = common.cut(e, files), None
     parts = -(-e.count() // local)
     e = e.repartition(max(1, parts)).mapInArrow(_forests, "u long, v long")
     if parts <= 1:  # one task held every edge
         return common.cut(e.select(F.col("u").alias("node"), F.col("v").alias("root")))
-    e = common.cut(e.distinct())
+    e = common.cut(e.distinct(), files)
     for _ in range(rounds):
         # v is u's smaller neighbour; the smallest neighbour of v replaces it. A node without a smaller one keeps its edges.
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        low = common.cut(low.select(F.col("u").alias("v"), "m"))  # a table of its own, so that the join below can split a hot v
+        low = common.cut(low.select(F.col("u").alias("v"), "m"), files)  # a table of its own, so that the join below can split a hot v
         large = e.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = common.cut(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        e = common.cut(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), files)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -261,7 +261,6 @@ def _links(key: tuple, table: pa.Table, percent: int) -> pa.Table:
     left = np.asarray(table.column("left"))
     size, root = (table.column(c).to_numpy() for c in ("n_shingles", "root"))
     sets = [common.stretch(x.as_py()) for x in table.column("tokens")]
-    as_sets: dict[int, set] = {}
     index_rows = np.flatnonzero(left)
     same = bool(left.all())
     block = Block([sets[i] for i in index_rows], size[index_rows])
@@ -269,8 +268,7 @@ def _links(key: tuple, table: pa.Table, percent: int) -> pa.Table:
     lead: dict[int, int] = {}  # a row of each component that was met last
 
     def near(i: int, j: int) -> bool:
-        a, b = (as_sets.setdefault(x, set(sets[x].tolist())) for x in (i, j))
-        both = len(a & b)
+        both = len(np.intersect1d(sets[i], sets[j]))
         return 100 * both >= percent * int(size[i] + size[j] - both)
 
     def link(i: int, j: int) -> None:
@@ -315,11 +313,12 @@ def components(
     bits = min(31, max(0, math.ceil(math.log2(max(1, size / range_bytes)))))
     tag = F.lit(0) if tag_col is None else F.col(tag_col)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag.cast("long").alias("tag"), F.col(text_col).alias("text"))
-    every = common.cut(_frequencies(ids, bits, words, percent))
+    files = common.files_of(spark, size)
+    every = common.cut(_frequencies(ids, bits, words, percent), files)
     classes = every.where(F.col("tokens").isNotNull()).groupBy("sig", "sig2").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")
     )
-    sets = common.cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    sets = common.cut(classes.withColumn("node", F.monotonically_increasing_id()), files)
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -332,13 +331,13 @@ def components(
             entry = common.ragged_index(first[:-1], take)
             yield pa.RecordBatch.from_arrays([pa.array(token[entry]), pa.array(np.repeat(common.column(b, "node").to_numpy(), take))], names=["token", "node"])
 
-    listed = common.cut(sets.select("node", "n_shingles", "tokens").mapInArrow(prefix, "token long, node long"))
-    lead = common.cut(listed.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").drop("z"))
+    listed = common.cut(sets.select("node", "n_shingles", "tokens").mapInArrow(prefix, "token long, node long"), files)
+    lead = common.cut(listed.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").drop("z"), files)
     met = listed.join(lead, "token").select("a", F.col("node").alias("b")).where("a != b").distinct()
-    stars = graph.connected(met)
+    stars = graph.connected(met, files=files)
     groups = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "grp")
-    grouped = common.cut(groups.join(sets.select("node", "n_shingles"), "node"))
-    joined = graph.connected(_meetings(grouped, sets, block, percent))
+    grouped = common.cut(groups.join(sets.select("node", "n_shingles"), "node"), files)
+    joined = graph.connected(_meetings(grouped, sets, block, percent, files), files=files)
     # the smallest id of each component, over classes of equal sets
     label = sets.select("node", "sig", "sig2", "doc_id", "copies").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = label.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
@@ -347,19 +346,19 @@ def components(
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "tag", "group")
 
 
-def _meetings(grouped: DataFrame, sets: DataFrame, block: int, percent: int) -> DataFrame:
+def _meetings(grouped: DataFrame, sets: DataFrame, block: int, percent: int, files: int) -> DataFrame:
     """(a, b): links that join all that is similar, from all meetings of blocks of all groups."""
     # a row's block follows from counts of its group by size (in 16 shares), so no group is sorted in one task
     cost = F.greatest("n_shingles", F.lit(block // 500))
     salted = grouped.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(16)))
     counts = salted.groupBy("grp", "n_shingles", "salt").agg(F.count("*").alias("n"))
     before = F.sum(F.col("n") * cost).over(Window.partitionBy("grp").orderBy("n_shingles", "salt")) - F.col("n") * cost
-    counts = common.cut(counts.withColumn("before", before))
+    counts = common.cut(counts.withColumn("before", before), files)
     blk = F.floor((F.col("before") + F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")) * cost) / block)
-    placed = common.cut(salted.join(counts, ["grp", "n_shingles", "salt"]).select("grp", "node", blk.alias("blk"), "n_shingles"))
+    placed = common.cut(salted.join(counts, ["grp", "n_shingles", "salt"]).select("grp", "node", blk.alias("blk"), "n_shingles"), files)
     bounds = placed.groupBy("grp", "blk").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     nth = F.row_number().over(Window.partitionBy("grp").orderBy("blk"))  # over blocks
-    bounds = common.cut(bounds.withColumn("nth", nth))
+    bounds = common.cut(bounds.withColumn("nth", nth), files)
     x, y = bounds.alias("x"), bounds.alias("y")
     fits = (F.col("x.grp") == F.col("y.grp")) & (F.col("x.nth") <= F.col("y.nth")) & (F.col("y.low") * percent <= F.col("x.high") * 100)
     pairs = x.join(y, fits).select(F.col("x.grp").alias("grp"), F.col("x.blk").alias("i"), F.col("y.blk").alias("j"), (F.col("y.nth") - F.col("x.nth")).alias("gap"))
@@ -370,11 +369,11 @@ def _meetings(grouped: DataFrame, sets: DataFrame, block: int, percent: int) ->
         dealt = rows.join(left.unionByName(right), ["grp", "blk"]).select("grp", "i", "j", "left", "node", "root").join(sets.select("node", "n_shingles", "tokens"), "node")
         return dealt.groupBy("grp", "i", "j").applyInArrow(lambda key, table: _links(key, table, percent), "a long, b long")
 
-    first = common.cut(links(pairs.where("gap <= 1"), placed.withColumn("root", F.col("node"))))
+    first = common.cut(links(pairs.where("gap <= 1"), placed.withColumn("root", F.col("node"))), files)
     later = pairs.where("gap > 1")
     if not later.limit(1).count():
         return first
-    rooted = common.cut(placed.join(graph.connected(first), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    rooted = common.cut(placed.join(graph.connected(first, files=files), "node", "left").withColumn("root", F.coalesce("root", "node")), files)
     spread = rooted.groupBy("grp", "blk").agg(F.min("root").alias("least"), F.max("root").alias("most"))
     i, j = (spread.select("grp", F.col("blk").alias(c), F.col("least").alias(f"least_{c}"), F.col("most").alias(f"most_{c}")) for c in "ij")
     apart = later.join(i, ["grp", "i"]).join(j, ["grp", "j"]).where("least(least_i, least_j) != greatest(most_i, most_j)")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import SparkSession
 
+from ripplegraph.functions import lineage
 from ripplegraph.llm import common, graph, ngram_join
 
 
@@ -43,3 +44,27 @@ def test_rising_numbers_take_little_room():
     for low in (0, 16):
         for some in (odd, odd[:1], odd[:0]):
             assert (common.stretch(common.squeeze(some, low), low) == some).all()
+
+
+def test_small_tables_are_kept_in_few_files(spark: SparkSession, monkeypatch):
+    # with 211 partitions each kept table was 211 files, most of them empty; an executor starts processes for each
+    text = [" ".join(f"w{i // 8}x{k * (i % 8 == 0) if k < 2 else k}" for k in range(60)) for i in range(80)]
+    kept = []
+
+    def cut(df, *more, keep=lineage.cut):
+        kept.append(keep(df, *more))
+        return kept[-1]
+
+    monkeypatch.setattr(lineage, "cut", cut)
+    partitions, coalesce = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(partitions)
+    spark.conf.set(partitions, "211")
+    spark.conf.set(coalesce, "false")
+    try:
+        found = ngram_join.components(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"), block=500).collect()
+    finally:
+        spark.conf.set(partitions, before)
+        spark.conf.unset(coalesce)
+    assert all(r["component_id"] == r["doc_id"] // 8 * 8 for r in found)
+    assert max(df.rdd.getNumPartitions() for df in kept) <= 6 * spark.sparkContext.defaultParallelism
+    assert common.files_of(spark, 1 << 40) == 1 << 18  # many files where there is much
