@@ -71,7 +71,8 @@ def targets(sizes: DataFrame, recipe: Recipe) -> DataFrame:
             break
         count = n
         full = wide(F.col("weight")) * F.lit(num).cast("decimal(20,0)") > wide(F.col("source_size") * down * recipe.epochs) * F.lit(den).cast("decimal(18,0)")
-    shared = (F.col("weight") * F.lit(num)).cast("double") / F.lit(float(down * den))
+    # num is an int or a long by its size, so the product would be one too
+    shared = (wide(F.col("weight")) * F.lit(num).cast("decimal(20,0)")).cast("double") / F.lit(float(down * den))
     target = F.when(full, (F.col("source_size") * recipe.epochs).cast("double")).otherwise(shared)
     blocks = F.ceil(F.col("source_size") / recipe.block)
     out = rows.withColumn("target", target).withColumn("n_blocks", blocks)

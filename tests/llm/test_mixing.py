@@ -37,6 +37,14 @@ def test_permutations():
         assert n < 64 or (a != b).any()
 
 
+def test_targets_of_large_sources(spark):
+    for n in (10**6, 4 * 10**8, 10**9, 10**12):  # a word of share is an int, one near its limit, a long
+        sizes = [n, n, n]
+        rows = spark.createDataFrame([(f"s{i}", n, 0) for i, n in enumerate(sizes)], "source string, source_size long, begin long")
+        got = [r["target"] for r in mixing.targets(rows, mixing.Recipe()).orderBy("number").collect()]
+        assert np.allclose(got, shared(sizes))
+
+
 def test_query_against_its_rules(spark):
     docs = common.read(spark, SMALL, "documents")
     got = queries.op11_mixing(spark, SMALL).toPandas()
