@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from ripplegraph.operators import alias
 from ripplegraph.plans import more_queries
@@ -53,3 +55,11 @@ def test_evidence_pairs_of_all_parts(spark):
                     want.setdefault((a, b), set()).update({tuple(x), tuple(y)})
     got = {(x["left"], x["right"]): x["n"] for x in entry.queries()["alias_part_evidence_pairs"](spark, SMALL).collect()}
     assert got == {p: len(s) for p, s in want.items()}
+
+
+def test_candidates_of_one_hash(spark):
+    """A hash of ten digits stands for several pairs once there are millions of them."""
+    rows = [("h", "a", "b", "unsure", "r1", ["e1"]), ("h", "c", "d", "unsure", "r2", ["e2"]), ("g", "a", "d", "unsure", "r3", ["e3"])]
+    c = spark.createDataFrame(rows, "candidate_id string, entity_a_id string, entity_b_id string, judgement string, reason string, evidence_ids array<string>")
+    for some in ("entity_a_id = 'a' and entity_b_id = 'b'", "false", "true"):
+        assert sorted(map(tuple, alias.insert_new(c.where(some), c).collect())) == sorted(rows)
