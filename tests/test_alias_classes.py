@@ -63,3 +63,8 @@ def test_candidates_of_one_hash(spark):
     c = spark.createDataFrame(rows, "candidate_id string, entity_a_id string, entity_b_id string, judgement string, reason string, evidence_ids array<string>")
     for some in ("entity_a_id = 'a' and entity_b_id = 'b'", "false", "true"):
         assert sorted(map(tuple, alias.insert_new(c.where(some), c).collect())) == sorted(rows)
+    answers = c.withColumn("judgement", F.concat("entity_a_id", "entity_b_id")).withColumn("reason", F.lit("")).withColumn("evidence_ids", F.array_append("evidence_ids", F.lit("nowhere")))
+    known = spark.createDataFrame([("e2",)], "evidence_id string")
+    got = alias.apply_judgements(c, answers, known).select(c.columns).collect()
+    assert sorted(map(tuple, got)) == sorted((*r[:3], r[1] + r[2], *r[4:]) for r in rows)
+    assert alias.apply_judgements(c, answers.select("candidate_id", "judgement", "reason", "evidence_ids").where("candidate_id = 'g'"), known).count() == 3
