@@ -181,10 +181,10 @@ def changed_aliases(s: SparkSession, d: str) -> DataFrame:
 
 
 def submitted_atoms(s: SparkSession, d: str) -> DataFrame:
-    """Submitted atoms with their problems; every part sends one for its change."""
+    """Submitted atoms with their problems; every part sends one for its change, every fourth with a value that no change has (its text may hold any number: it has the part's key)."""
     c = t.changes(s, d).where("change_id not like '%9'")
     p = t.raw(s, d, "part")
-    a = p.select(F.concat(F.lit("chg."), F.col("p_partkey").cast("string")).alias("change_id"), (F.col("p_partkey") % 50).cast("string").alias("before"), F.when(F.col("p_partkey") % 4 == 0, "77777").otherwise("99").alias("after"), F.when(F.col("p_size") > 25, F.array("p_name")).otherwise(t.none()).alias("target_terms"))
+    a = p.select(F.concat(F.lit("chg."), F.col("p_partkey").cast("string")).alias("change_id"), (F.col("p_partkey") % 50).cast("string").alias("before"), F.when(F.col("p_partkey") % 4 == 0, "77777 days").otherwise("99").alias("after"), F.when(F.col("p_size") > 25, F.array("p_name")).otherwise(t.none()).alias("target_terms"))
     return search.check_atoms(a, c).select("change_id", _joined("problems"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ripplegraph.operators import privacy, search
+from ripplegraph.plans import further_queries
 from ripplegraph.sources import readers
 
 
@@ -56,3 +57,10 @@ def test_nested_payloads(spark):
         "id": 1, "api_key": "[REDACTED]", "a b.c": "[REDACTED]", "m": {"email": {"a": "[REDACTED]"}, "other": {"secret": "[REDACTED]", "w": "[REDACTED]"}},
         "p": {"text": "mail [REDACTED]", "account_number": "[REDACTED]", "n": 7, "none": None, "deep": [{"phone": {"x": ["[REDACTED]"], "z": None}, "design": {"x": ["tel [REDACTED]", None], "z": 4}}]},
     }
+
+
+def test_submitted_values_of_parts_with_long_keys(spark, tmp_path):
+    parts = [(k, "red bolt", "Brand#7", 30) for k in (777772, 777776, 577776, 8, 9, 7)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["change_id"]: r["problems"] for r in further_queries.submitted_atoms(spark, str(tmp_path)).collect()}
+    assert got == {**dict.fromkeys(("chg.777772", "chg.777776", "chg.577776", "chg.8"), "after_not_in_text"), "chg.9": "unknown_change", "chg.7": ""}
