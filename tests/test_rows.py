@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from ripplegraph.operators import privacy, search
@@ -64,3 +66,13 @@ def test_submitted_values_of_parts_with_long_keys(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     got = {r["change_id"]: r["problems"] for r in further_queries.submitted_atoms(spark, str(tmp_path)).collect()}
     assert got == {**dict.fromkeys(("chg.777772", "chg.777776", "chg.577776", "chg.8"), "after_not_in_text"), "chg.9": "unknown_change", "chg.7": ""}
+
+
+def test_atoms_of_long_texts_and_of_none(spark):
+    word = "limit " * 20_000
+    rows = [("a", word), ("b", "x_limit 7 " + word + "9"), ("c", ""), ("d", None), ("e", " \n\n")]
+    start = time.monotonic()
+    got = {r["change_id"]: r for r in search.change_atoms(spark.createDataFrame(rows, "change_id string, body string")).collect()}
+    assert time.monotonic() - start < 60
+    assert (got["a"]["before"], got["b"]["before"], got["b"]["after"], got["b"]["target_terms"]) == (None, "7", "9", ["x_limit"])
+    assert (got["c"]["target_terms"], got["d"]["target_terms"], got["e"]["target_terms"]) == ([""], [""], [" \n\n"])
