@@ -234,11 +234,16 @@ def proposals(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def clean(nodes: DataFrame, edges: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes and edges with evidence of their own region and known ends; and (region_id, warnings) on the rest."""
-    allowed = regions.select("region_id", F.col("evidence_ids").alias("_ok"))
-    bad = F.array_except("evidence_ids", "_ok")
+    # a region's list has an id for each of its cells, so only what is used and not in it travels with nodes and edges
+    used = lambda df: df.select("region_id", F.explode("evidence_ids").alias("id"))
+    own = used(regions).select(F.col("region_id").alias("of"), F.col("id").alias("ok"))
+    foreign = used(nodes).unionByName(used(edges)).distinct().join(own, (F.col("region_id") == F.col("of")) & F.col("id").eqNullSafe(F.col("ok")), "left_anti")
+    foreign = foreign.groupBy("region_id").agg(F.transform(F.collect_list(F.struct("id")), lambda x: x["id"]).alias("_foreign"))
+    allowed = regions.select("region_id").join(foreign, "region_id", "left").withColumn("_foreign", F.coalesce("_foreign", F.array().cast("array<string>")))
+    bad = F.array_intersect("evidence_ids", "_foreign")
     problem = F.when(F.size("evidence_ids") == 0, "missing evidence_ids").when(F.size(bad) > 0, F.concat(F.lit("invalid evidence_ids "), F.array_join(bad, ", ")))
     n = nodes.join(allowed, "region_id").withColumn("_p", problem)
-    good = n.where("_p is null").drop("_p", "_ok")
+    good = n.where("_p is null").drop("_p", "_foreign")
     ids = good.select("region_id", F.col("temp_id").alias("_t"), F.lit(True).alias("_known"))
     e = edges.join(allowed, "region_id")
     for end in ("source", "target"):
@@ -286,7 +291,7 @@ def proposals_to_graph(
         )
     e = e.withColumn("relation_type", F.coalesce(_map(RELATION_MAP, F.col("relation_type")), F.col("relation_type")))
     place = region_lines(regions).select("region_id", "section_id", "chunk_id")
-    about = regions.select("region_id", "workbook_id", "sheet_name", "range", "rendered_text", "start_row", "end_row")
+    about = regions.select("region_id", "workbook_id", "start_row", "end_row")
     e = e.join(about, "region_id").join(document, "workbook_id").join(place, "region_id").join(status.drop("status"), "region_id")
     key = F.concat_ws("|", "source_id", "relation_type", "target_id", "region_id")
     guess = F.col("inference_level") != "explicit"
@@ -307,7 +312,6 @@ def proposals_to_graph(
         "document_id",
         "section_id",
         "chunk_id",
-        quote.alias("quote"),
         F.when(F.col("target_kind") == "BusinessField", "entity").otherwise("artifact").alias("target_support"),
         F.struct(
             "file", F.greatest("start_row", F.lit(1)).alias("line_start"), F.greatest("start_row", "end_row").alias("line_end")
@@ -315,6 +319,7 @@ def proposals_to_graph(
         "region_id",
     )
     first = rows.groupBy("relation_id").agg(F.min(F.struct(*[c for c in rows.columns if c != "relation_id"])).alias("r")).select("relation_id", "r.*")
+    quotes = regions.select("region_id", quote.alias("quote"))  # once for each region, not for each of its edges
     supports = F.array(
         F.struct(F.col("target_support").alias("type"), F.col("target_id").alias("id")), F.struct(F.lit("relation").alias("type"), F.col("relation_id").alias("id"))
     )
@@ -322,9 +327,9 @@ def proposals_to_graph(
         "artifacts": node.where("kind <> 'BusinessField'").withColumnsRenamed({"node_id": "artifact_id", "kind": "artifact_type"}),
         "entities": node.where("kind = 'BusinessField'").withColumnsRenamed({"node_id": "entity_id", "kind": "entity_type"}),
         "relations": first.withColumn("evidence_ids", F.array("evidence_id")).withColumn("source_document_ids", F.array("document_id")).drop(
-            "evidence_id", "section_id", "chunk_id", "quote", "target_support", "source_location"
+            "evidence_id", "section_id", "chunk_id", "target_support", "source_location"
         ),
-        "evidence": first.select(
+        "evidence": first.join(quotes, "region_id").select(
             "evidence_id", "document_id", "section_id", "chunk_id", "quote", F.lit("dirty_excel_region_relation").alias("evidence_type"), supports.alias("supports"), "source_location"
         ),
     }

@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from ripplegraph.operators import privacy, search
+from ripplegraph.operators import grid, privacy, search
 from ripplegraph.plans import further_queries
 from ripplegraph.sources import readers
 
@@ -76,3 +76,28 @@ def test_atoms_of_long_texts_and_of_none(spark):
     assert time.monotonic() - start < 60
     assert (got["a"]["before"], got["b"]["before"], got["b"]["after"], got["b"]["target_terms"]) == (None, "7", "9", ["x_limit"])
     assert (got["c"]["target_terms"], got["d"]["target_terms"], got["e"]["target_terms"]) == ([""], [""], [" \n\n"])
+
+
+def test_proposals_of_a_large_region(spark):
+    """Text and evidence of a region do not travel with each of its edges."""
+    n = 12_000
+    text = F.expr(f"array_join(transform(sequence(1, {n}), i -> concat('| A', i, ' | ', repeat('v', 200), ' |')), '\\n')")
+    regions = spark.range(1).select(
+        F.lit("r").alias("region_id"), F.lit("w").alias("workbook_id"), F.lit("s").alias("sheet_id"), F.lit("S").alias("sheet_name"), F.lit("A1:B9").alias("range"), F.lit(1).alias("idx"), F.lit("screen_item_table").alias("region_type"),
+        F.expr(f"transform(sequence(1, {n}), i -> concat('e', i))").alias("evidence_ids"), F.lit(1).alias("start_row"), F.lit(n).alias("end_row"), text.alias("rendered_text"),
+    )
+    ids = F.when(F.col("id") == 7, F.array(F.lit("e1"), F.lit("zz"), F.lit("e7"), F.lit("yy"), F.lit("zz"))).when(F.col("id") == 8, F.array(F.lit(None).cast("string"))).otherwise(F.array(F.concat(F.lit("e"), F.col("id").cast("string"))))
+    rows = spark.range(1, n + 1).select(
+        F.lit("r").alias("region_id"), F.lit("ScreenField").alias("source_type"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("source"), F.lit("DISPLAYS").alias("relation_type"),
+        F.lit("API").alias("target_type"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("target"), ids.alias("evidence_ids"),
+    )
+    start = time.monotonic()
+    nodes, edges, told = grid.clean(*grid.proposals(rows), regions)
+    warnings = [w.split(": ", 1) for w in told.first()["warnings"]]
+    assert sorted(w[1] for w in warnings) == sorted(["invalid evidence_ids yy, zz"] * 2 + ["invalid evidence_ids "] * 2 + ["unknown node reference"] * 2)
+    document = spark.createDataFrame([("w", "d", "f")], "workbook_id string, document_id string, file string")
+    graph = grid.proposals_to_graph(nodes, edges, regions, regions.select("region_id", F.lit("pending").alias("status")), document)
+    assert graph["relations"].count() == n - 2
+    quotes = graph["evidence"].groupBy("quote").count().collect()
+    assert len(quotes) == 1 and quotes[0]["count"] == n - 2 and len(quotes[0]["quote"]) == 2000 and quotes[0]["quote"].startswith("[S!A1:B9] | A1 | vvv")
+    assert time.monotonic() - start < 100
