@@ -32,7 +32,7 @@ def _folder(s: SparkSession, name: str) -> str:
 def collection_rows(s: SparkSession, d: str) -> DataFrame:
     """Relations written as JSON lines and read back with their fixed schema."""
     path = _folder(s, "relations")
-    sinks.write_collection(t.relations(s, d), path)
+    sinks.write_collection(t.relations(s, d), path, "gzip")
     r = readers.read_collection(s, path, "relations")
     return r.select("relation_id", "relation_type", "source_id", "target_id", "status", F.size("evidence_ids").alias("n_evidence"), _joined("source_document_ids"))
 
